@@ -180,7 +180,9 @@ def round_columns(df: DataFrame, cols: Sequence[str] | None, decimals: int) -> D
     changes = {}
     for c in names:
         value = to_number(col(c)) if c in text else col(c)
-        value = F.bround(value, decimals)
+        # scale, round half to even, scale back: the arithmetic of a float array
+        scale = F.lit(float(10**decimals))
+        value = F.rint(value.cast("double") * scale) / scale
         changes[c] = value.cast("long") if decimals == 0 else value
     return _replace(df, changes)
 

@@ -59,9 +59,12 @@ def read_json(
     return normalise_missing(reader.json(path))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: its properties, ``_feature_index`` and ``_geometry_type``."""
-    raw = spark.read.option("multiLine", True).json(path)
+def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per feature: its properties, ``_feature_index`` and ``_geometry_type``.
+
+    A collection per line (multi_line=False) is read by many tasks.
+    """
+    raw = spark.read.option("multiLine", multi_line).json(path)
     if "features" not in raw.columns:
         raise ValueError("the file holds no features")
     feats = raw.select(F.posexplode("features").alias("_feature_index", "f"))
