@@ -62,16 +62,27 @@ def kmeans(
     return out, centres, float(model.summary.trainingCost)
 
 
+def fit_bisecting(points: DataFrame, names: Sequence[str], k: int, seed: int = 42):
+    """(labelled table, model) of bisecting k-means on prepared columns.
+
+    Halves are started by moving the centre by a share of its length, which fails at the
+    origin, where standardised data lie. A shift leaves all distances as they are.
+    """
+    moved = points.select(*[col(c) for c in points.columns], *[(col(c) + 10.0).alias(f"_s{i}") for i, c in enumerate(names)])
+    vectors = _vectors(moved, [f"_s{i}" for i in range(len(names))]).persist()
+    try:
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="_features", predictionCol=LABEL).fit(vectors)
+    finally:
+        vectors.unpersist()
+    return model.transform(vectors).select(*[col(c) for c in points.columns], LABEL), model
+
+
 def hierarchical(
     df: DataFrame, k: int, cols: Sequence[str] | None = None, key: str | None = None, seed: int = 42
 ) -> tuple[DataFrame, float]:
     """Top-down hierarchy by bisecting k-means: (table with ``cluster_label``, cost)."""
     points, names = prepared(df.drop(LABEL), cols, skip=(key,) if key else ())
-    vectors = _vectors(points, names)
-    model = BisectingKMeans(
-        k=clamp_k(k, df.count()), seed=seed, featuresCol="_features", predictionCol=LABEL
-    ).fit(vectors)
-    labelled = model.transform(vectors).drop("_features")
+    labelled, model = fit_bisecting(points, names, clamp_k(k, df.count()), seed)
     return (labelled if key is None else _with_label(df, labelled, key)), float(model.summary.trainingCost)
 
 

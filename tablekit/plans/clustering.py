@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, small_table
 from tablekit.functions.storage import checkpoint
-from tablekit.operators.cluster import LABEL, dbscan, fit_kmeans
+from tablekit.operators.cluster import LABEL, dbscan, fit_bisecting, fit_kmeans
 from tablekit.operators.features import prepared
 from tablekit.operators.metrics import cluster_metrics
 
@@ -79,12 +77,10 @@ def cluster_best(
             rank = (m.get("silhouette", -1.0), -m["davies_bouldin"], m["calinski_harabasz"])
             found.append((rank, method, k, eps, m, labelled.select(key, LABEL)))
 
-    vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(points)
     for k in range(2, max(2, min(max_k, n - 1)) + 1):
         labelled, _ = fit_kmeans(points, names, k)
         add("kmeans", k, None, labelled, labelled)
-        model = BisectingKMeans(k=k, seed=42, featuresCol="_features", predictionCol=LABEL).fit(vectors)
-        labelled = model.transform(vectors).drop("_features")
+        labelled, _ = fit_bisecting(points, names, k)
         add("hierarchical", k, None, labelled, labelled)
     min_samples = max(5, min(20, len(names) * 2))
     for eps in radii:

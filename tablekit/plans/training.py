@@ -54,10 +54,10 @@ class TrainingRun:
     best: str | None
 
 
-def classification_panel(classes: int, trees: int = 300, large: bool = False) -> dict:
+def classification_panel(classes: int, trees: int = 300, large: bool = False, rounds: int = 50) -> dict:
     """Estimators by name. Large tables get the two that need the fewest passes."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    gbt = GBTClassifier(maxIter=20 if large else 50, maxDepth=3, seed=42, featuresCol="features", labelCol="label")
+    gbt = GBTClassifier(maxIter=min(rounds, 20) if large else rounds, maxDepth=3, seed=42, featuresCol="features", labelCol="label")
     # boosted trees are binary here: one model per class otherwise
     boosted = gbt.setWeightCol("weight") if classes == 2 else OneVsRest(
         classifier=gbt, featuresCol="features", labelCol="label", weightCol="weight"
@@ -69,12 +69,12 @@ def classification_panel(classes: int, trees: int = 300, large: bool = False) ->
     return panel
 
 
-def regression_panel(trees: int = 300, large: bool = False) -> dict:
+def regression_panel(trees: int = 300, large: bool = False, rounds: int = 50) -> dict:
     common = {"featuresCol": "features", "labelCol": "label"}
     panel = {"Ridge Regression": LinearRegression(regParam=0.01, elasticNetParam=0.0, maxIter=100, **common)}
     if not large:
         panel["Random Forest"] = RandomForestRegressor(numTrees=trees, maxDepth=10, seed=42, **common)
-    panel["Gradient Boosting"] = GBTRegressor(maxIter=20 if large else 50, maxDepth=3, seed=42, **common)
+    panel["Gradient Boosting"] = GBTRegressor(maxIter=min(rounds, 20) if large else rounds, maxDepth=3, seed=42, **common)
     return panel
 
 
@@ -125,6 +125,7 @@ def train_models(
     sample: bool = False,
     large: bool | None = None,
     trees: int = 300,
+    rounds: int = 50,
     neighbours: bool | None = None,
     seed: int = 42,
 ) -> TrainingRun:
@@ -178,7 +179,10 @@ def train_models(
     cols_kept = [*[col(k) for k in key], "features", "label", "weight"]
     train_set = checkpoint(prep.transform(train).select(*cols_kept))
     test_set = checkpoint(prep.transform(test).select(*cols_kept))
-    panel = classification_panel(len(classes), trees, large) if problem == "classification" else regression_panel(trees, large)
+    if problem == "classification":
+        panel = classification_panel(len(classes), trees, large, rounds)
+    else:
+        panel = regression_panel(trees, large, rounds)
     runs, models = [], {}
     kinds = [(c, df.schema[c].dataType.simpleString()) for c in features]
     for name, estimator in panel.items():

@@ -112,13 +112,16 @@ def i7_out(spark, d):
       (max(x) - min(x)) / least(20, greatest(5, count(*) // 10)) AS w, least(20, greatest(5, count(*) // 10)) AS nb FROM v GROUP BY g ORDER BY g LIMIT 8),
     b AS (SELECT g, x, lo, w, nb, least(floor((x - lo) / w), nb - 1) AS b FROM v JOIN q USING (g)),
     c AS (SELECT g, b - CAST(x < lo + b * w AS INT) + CAST(x >= lo + (b + 1) * w AND b < nb - 1 AS INT) AS bin, count(*) AS n FROM b GROUP BY ALL)
-    SELECT q.g AS "group", CAST(i AS BIGINT) AS bin, round((lo + i * w + lo + (i + 1) * w) / 2, 4) + 0.0 AS center, round(lo, 4) + 0.0 AS min, round(q1, 4) + 0.0 AS q1,
+    SELECT q.g AS "group", CAST(i AS BIGINT) AS bin, round((lo + i * w + lo + (i + 1) * w) / 2, 7) + 0.0 AS center, round(lo, 4) + 0.0 AS min, round(q1, 4) + 0.0 AS q1,
     round(q2, 4) + 0.0 AS median, round(q3, 4) + 0.0 AS q3, round(hi, 4) + 0.0 AS max,
     round(coalesce(n, 0) * CAST(1 AS DOUBLE) / max(n) OVER (PARTITION BY q.g), 4) + 0.0 AS width
     FROM q CROSS JOIN range(20) t(i) LEFT JOIN c ON c.g = q.g AND c.bin = i WHERE i < nb""",
 )
 def i8(spark, d):
-    return _rounded(chart.chart_violin(table(spark, d, "events"), "value", "event_type"))
+    got = chart.chart_violin(table(spark, d, "events"), "value", "event_type")
+    return got.select(
+        *[r(c, 7 if c == "center" else 4).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes]
+    )
 
 
 @query(
@@ -205,23 +208,23 @@ PLACES = "(SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_acctbal / 120 END
     "i14_map",
     f"""WITH s AS (SELECT * FROM {PLACES} WHERE lat IS NOT NULL ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 500),
     t AS (SELECT *, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS t FROM s)
-    SELECT round(lat, 4) + 0.0 AS lat, round(lon, 4) + 0.0 AS lon, round(c_acctbal, 4) + 0.0 AS size,
+    SELECT round(lat, 7) + 0.0 AS lat, round(lon, 4) + 0.0 AS lon, round(c_acctbal, 4) + 0.0 AS size,
     '#' || lpad(lower(to_hex(CAST(floor(255 * t) AS BIGINT))), 2, '0') || lpad(lower(to_hex(CAST(floor(180 * (1 - t) + 212 * t) AS BIGINT))), 2, '0')
     || lpad(lower(to_hex(CAST(floor(214 * (1 - t)) AS BIGINT))), 2, '0') AS color, CAST(3 AS BIGINT) AS popup_cells FROM t""",
 )
 def i14(spark, d):
     got = chart.chart_map(_places(spark, d), "lat", "lon", ["c_custkey"], "c_acctbal", "c_acctbal", 500)
     return got.select(
-        r("lat").alias("lat"), r("lon").alias("lon"), r("size").alias("size"), "color", F.size("popup").cast("long").alias("popup_cells")
+        r("lat", 7).alias("lat"), r("lon").alias("lon"), r("size").alias("size"), "color", F.size("popup").cast("long").alias("popup_cells")
     )
 
 
-@query("i15_detect_coordinates", f"SELECT 'geo_a' AS lat, 'geo_b' AS lon FROM {PLACES} HAVING min(lat) >= -90 AND max(lat) <= 90 AND max(lon) + 100 > 90")
+@query("i15_detect_coordinates", f"SELECT 'geo_a' AS lat, 'geo_b' AS lon FROM {PLACES} HAVING min(lat) >= -90 AND max(lat) <= 90 AND max(lon) + 50 BETWEEN 90 AND 180")
 def i15(spark, d):
     """Geographic hints in the names; the value ranges decide which is which."""
     from tablekit.functions.columns import small_table
 
-    got = _places(spark, d).select("c_custkey", (F.col("lon") + 100).alias("geo_b"), F.col("lat").alias("geo_a"))
+    got = _places(spark, d).select("c_custkey", (F.col("lon") + 50).alias("geo_b"), F.col("lat").alias("geo_a"))
     found = chart.detect_coordinates(got)
     return small_table(spark, [(found["lat"], found["lon"])], "lat string, lon string")
 

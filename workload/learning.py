@@ -101,20 +101,20 @@ def _documents(spark, d):
 
 @query("k1_train_classifiers")
 def k1(spark, d):
-    run = training.train_models(_documents(spark, d).drop("source"), "quality", ["doc_id"], trees=20)
+    run = training.train_models(_documents(spark, d).drop("source"), "quality", ["doc_id"], trees=20, rounds=10)
     return run.leaderboard.select("rank", "model", "primary_score", "error")
 
 
 @query("k2_train_regressors")
 def k2(spark, d):
-    run = training.train_models(table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=20)
+    run = training.train_models(table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=20, rounds=10)
     return run.leaderboard.select("rank", "model", "primary_score", "error")
 
 
 @query("k4_train_large")
 def k4(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    run = training.train_large(df, "o_orderstatus", ["o_orderkey"])
+    run = training.train_large(df, "o_orderstatus", ["o_orderkey"], rounds=5)
     return run.leaderboard.select("rank", "model", "primary_score", "error")
 
 
@@ -189,7 +189,7 @@ def k6(spark, d):
 
 def _part_run(spark, d):
     return training.train_models(
-        table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=10, neighbours=False
+        table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=10, rounds=5, neighbours=False
     )
 
 
