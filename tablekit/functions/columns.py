@@ -40,9 +40,20 @@ def label_columns(df: DataFrame) -> list[str]:
     ]
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text. Wide tables are handled by SQL text: a thousand columns built
+    call by call take longer to plan than to run."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number_text(value: float) -> str:
+    """A double literal for SQL text."""
+    return f"({float(value)!r}D)"
+
+
 def col(name: str) -> Column:
     """Column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def is_numeric(df: DataFrame, name: str) -> bool:

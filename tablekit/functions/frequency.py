@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions.columns import col, require_columns
+from tablekit.functions.text import word_count
 
 
-def _cell(df: DataFrame, name: str) -> Column:
+_TIMES = (T.TimestampType, T.TimestampNTZType)
+
+
+def _cell(df: DataFrame, name: str, at: int) -> Column:
     """The cell in one of three slots, so that whole numbers, fractions and text all keep
     their exact value and the grouping key stays cheap to hash."""
     kind = df.schema[name].dataType
     whole, frac, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(kind, T.IntegralType):
         whole = col(name).cast("long")
+    elif isinstance(kind, _TIMES):
+        whole = F.unix_micros(col(name).cast("timestamp"))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         frac = col(name).cast("double")
     else:
         text = col(name).cast("string")
     return F.struct(
-        F.lit(name).alias("column_name"), whole.alias("_n"), frac.alias("_d"), text.alias("_s")
+        F.lit(at).alias("_c"), whole.alias("_n"), frac.alias("_d"), text.alias("_s")
     )
 
 
@@ -31,15 +37,19 @@ def value_frequency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``column_name, value, count`` of the non-missing values (value as text; the typed
     slots ``_n _d _s`` stay for ordering)."""
     require_columns(df, *cols)
-    cells = F.array(*[_cell(df, c) for c in cols])
+    cells = F.array(*[_cell(df, c, i) for i, c in enumerate(cols)])
+    number = F.col("_n").cast("string")
+    times = [c for c in cols if isinstance(df.schema[c].dataType, _TIMES)]
+    if times:
+        moment = F.timestamp_micros("_n").cast("string")
+        number = F.when(F.col("column_name").isin(*times), moment).otherwise(number)
     return (
         df.select(F.inline(cells))
-        .filter(F.coalesce(F.col("_s"), F.col("_n").cast("string"), F.col("_d").cast("string")).isNotNull())
-        .groupBy("column_name", "_n", "_d", "_s")
+        .filter(F.col("_s").isNotNull() | F.col("_n").isNotNull() | F.col("_d").isNotNull())
+        .groupBy("_c", "_n", "_d", "_s")
         .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn(
-            "value", F.coalesce("_s", F.col("_n").cast("string"), F.col("_d").cast("string"))
-        )
+        .withColumn("column_name", F.get(F.array(*[F.lit(c) for c in cols]), F.col("_c")))
+        .withColumn("value", F.coalesce("_s", number, F.col("_d").cast("string")))
     )
 
 
@@ -54,13 +64,19 @@ def top_values(freq: DataFrame, top: int) -> DataFrame:
 
 
 def frequency_summary(freq: DataFrame) -> dict[str, dict[str, int]]:
-    """Per column: ``unique`` values, ``unique_nonblank`` text values, ``repeated`` values."""
+    """Per column: ``unique`` values, ``repeated`` values, and for text the non-blank cells
+    (``filled``), their distinct values (``unique_nonblank``) and words (``words``). Words are
+    counted once per distinct value."""
+    text = F.when(F.trim("_s") != "", F.col("_s"))
+    shown = F.when(text.isNotNull(), F.col("count"))
     rows = (
         freq.groupBy("column_name")
         .agg(
             F.count(F.lit(1)).alias("unique"),
-            F.count_if(F.trim("value") != "").alias("unique_nonblank"),
             F.count_if(F.col("count") > 1).alias("repeated"),
+            F.count(text).alias("unique_nonblank"),
+            F.coalesce(F.sum(shown), F.lit(0)).alias("filled"),
+            F.coalesce(F.sum(shown * word_count(text)), F.lit(0)).alias("words"),
         )
         .collect()  # one row per column
     )

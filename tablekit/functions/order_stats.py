@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.columns import chunks, col
+from tablekit.functions.columns import chunks, number_text, quoted
 
 MAP_BUDGET = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -147,18 +147,12 @@ def exact_quantiles(
     out: dict[str, dict[float, float | None]] = {}
     for part in chunks(names, COLUMNS_PER_PASS):
         alias = {c: f"q{i}" for i, c in enumerate(part)}
-        narrow = df.select(*[col(c).cast("double").alias(a) for c, a in alias.items()])
+        narrow = df.selectExpr(*[f"double({quoted(c)}) AS {a}" for c, a in alias.items()])
         if narrow.count() <= budget:
-            row = narrow.agg(
-                *[
-                    F.percentile(F.col(alias[c]), F.array(*[F.lit(float(p)) for p in probs[c]])).alias(
-                        alias[c]
-                    )
-                    for c in part
-                ]
-            ).first()
-            for c in part:
-                values = row[alias[c]]
+            points = {c: ", ".join(number_text(p) for p in probs[c]) for c in part}
+            row = narrow.selectExpr(*[f"percentile({alias[c]}, array({points[c]}))" for c in part]).first()
+            for i, c in enumerate(part):
+                values = row[i]
                 out[c] = dict(zip(probs[c], values if values is not None else [None] * len(probs[c])))
             continue
         row = narrow.agg(*[F.count(a).alias(a) for a in alias.values()]).first()

@@ -11,6 +11,7 @@ from tablekit.functions.columns import (
     col,
     is_numeric,
     numeric_columns,
+    quoted,
     require_columns,
     string_columns,
     to_number,
@@ -83,10 +84,20 @@ def fill_missing(df: DataFrame, column: str, strategy: str, value=None) -> DataF
     return _filled(df, {column: fill})
 
 
-def fill_values(df: DataFrame, numeric: str = "median", categorical: str = "mode") -> dict:
-    """Fill value per column, from at most three fused passes."""
+def gap_columns(df: DataFrame) -> list[str]:
+    """Columns with a missing cell."""
+    row = df.selectExpr("count(1)", *[f"count({quoted(c)})" for c in df.columns]).first()
+    return [c for i, c in enumerate(df.columns) if row[i + 1] < row[0]]
+
+
+def fill_values(
+    df: DataFrame, numeric: str = "median", categorical: str = "mode", cols: Sequence[str] | None = None
+) -> dict:
+    """Fill value per column (of ``cols``), from at most three fused passes."""
     fills: dict[str, object] = {}
-    nums, texts = numeric_columns(df), string_columns(df)
+    wanted = set(df.columns if cols is None else cols)
+    nums = [c for c in numeric_columns(df) if c in wanted]
+    texts = [c for c in string_columns(df) if c in wanted]
     if numeric == "median" and nums:
         found = exact_quantiles(df, {c: [0.5] for c in nums})
         fills.update({c: found[c][0.5] for c in nums})
@@ -111,7 +122,8 @@ def fill_values(df: DataFrame, numeric: str = "median", categorical: str = "mode
 
 
 def fill_missing_all(df: DataFrame, numeric: str = "median", categorical: str = "mode") -> DataFrame:
-    return _filled(df, fill_values(df, numeric, categorical))
+    """Statistics are taken of the columns that have gaps only."""
+    return _filled(df, fill_values(df, numeric, categorical, gap_columns(df)))
 
 
 def high_missing_columns(df: DataFrame, share: float = 0.5) -> list[str]:

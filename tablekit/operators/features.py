@@ -17,21 +17,24 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import (
     chunks,
     col,
     is_numeric,
+    number_text,
     numeric_columns,
+    quoted,
     require_columns,
     small_table,
 )
 from tablekit.functions.frequency import value_frequency
 from tablekit.functions.order_stats import exact_quantiles
+from tablekit.functions.storage import checkpoint
 from tablekit.functions.text import STOP_WORDS
-from tablekit.operators.clean import _filled, fill_values
+from tablekit.operators.clean import _filled, fill_values, gap_columns
 from tablekit.operators.profile import column_profile
 from tablekit.operators.sample import class_counts
 
@@ -42,24 +45,30 @@ def impute(
     df: DataFrame, numeric: str = "median", categorical: str = "mode", fitted_on: DataFrame | None = None
 ) -> DataFrame:
     """Fill missing values with statistics of ``fitted_on`` (the training rows)."""
-    return _filled(df, fill_values(fitted_on if fitted_on is not None else df, numeric, categorical))
+    base = fitted_on if fitted_on is not None else df
+    return _filled(df, fill_values(base, numeric, categorical, gap_columns(df)))
 
 
 def scaling(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(mean, population std) per column; a column without spread gets std 1."""
-    row = df.agg(
-        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+    return _scaling(df, {c: f"double({quoted(c)})" for c in cols})
+
+
+def _scaling(df: DataFrame, cells: Mapping[str, str]) -> dict[str, tuple[float, float]]:
+    row = df.selectExpr(
+        *[f"avg({e})" for e in cells.values()], *[f"stddev_pop({e})" for e in cells.values()]
     ).first()
-    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(cols)}
+    return {c: (row[i] or 0.0, row[len(cells) + i] or 1.0) for i, c in enumerate(cells)}
+
+
+def _scaled(cell: str, params: tuple[float, float]) -> str:
+    return f"({cell} - {number_text(params[0])}) / {number_text(params[1])}"
 
 
 def apply_scaling(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         *[
-            ((col(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
-            if c in params
-            else col(c)
+            f"{_scaled(f'double({quoted(c)})', params[c])} AS {quoted(c)}" if c in params else quoted(c)
             for c in df.columns
         ]
     )
@@ -82,26 +91,24 @@ def prepared(
     if len(names) < 2:
         raise ValueError("at least two numeric columns are needed")
     base = fitted_on if fitted_on is not None else df
-    stats = base.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(names)]
-    ).first()
-    gaps = [c for i, c in enumerate(names) if stats[f"c{i}"] < stats["n"]]
+    only = [quoted(c) for c in names]
+    gaps = set(gap_columns(base.selectExpr(*only)))
+    if fitted_on is not None and fitted_on is not df:
+        gaps |= set(gap_columns(df.selectExpr(*only)))
     fills: dict[str, float | None] = {}
-    if fitted_on is not None or gaps:
-        found = exact_quantiles(base, {c: [0.5] for c in (names if fitted_on is not None else gaps)})
+    if gaps:
+        found = exact_quantiles(base, {c: [0.5] for c in names if c in gaps})
         fills = {c: v[0.5] for c, v in found.items()}
-
-    def filled(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            *[
-                F.coalesce(col(c).cast("double"), F.lit(fills[c])).alias(c)
-                if fills.get(c) is not None
-                else (col(c).cast("double").alias(c) if c in names else col(c))
-                for c in frame.columns
-            ]
-        )
-
-    return apply_scaling(filled(df), scaling(filled(base), names)), names
+    cells = {}
+    for c in names:
+        cells[c] = f"double({quoted(c)})"
+        if fills.get(c) is not None:
+            cells[c] = f"coalesce({cells[c]}, {number_text(fills[c])})"
+    params = _scaling(base, cells)
+    out = df.selectExpr(
+        *[f"{_scaled(cells[c], params[c])} AS {quoted(c)}" if c in cells else quoted(c) for c in df.columns]
+    )
+    return out, names
 
 
 def fold_rare(df: DataFrame, cols: Sequence[str], min_frequency: int, other: str = "(rare)") -> DataFrame:
@@ -190,6 +197,7 @@ def tfidf_terms(df: DataFrame, column: str, key: Sequence[str], max_features: in
     )
     keys = [col(k) for k in key]
     tf = df.select(*keys, F.explode(toks).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = checkpoint(tf)  # read twice; tokenising is the costly part
     vocab = (
         tf.groupBy("term")
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("docs"))
@@ -200,8 +208,9 @@ def tfidf_terms(df: DataFrame, column: str, key: Sequence[str], max_features: in
     idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("docs"))) + 1.0
     # the vocabulary has at most max_features rows
     raw = tf.join(F.broadcast(vocab), "term").withColumn("w", (F.log(F.col("tf")) + 1.0) * idf)
-    norm = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, list(key)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a document has at most max_features rows here
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
 def feature_stages(

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.columns import col, is_numeric, require_columns, small_table
+from tablekit.functions.columns import col, is_numeric, quoted, require_columns, small_table
 from tablekit.functions.order_stats import exact_quantiles
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import prepared
@@ -205,8 +205,8 @@ def knn_join(
 
 
 def _points(df: DataFrame, cols: Sequence[str], key: str, name: str) -> DataFrame:
-    x = F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols])
-    return df.select(col(key).cast("long").alias(name), x.alias("x"))
+    x = ", ".join(f"double({quoted(c)}) + 0D" for c in cols)  # + 0: no negative zero
+    return df.selectExpr(f"bigint({quoted(key)}) AS {name}", f"array({x}) AS x")
 
 
 def knn_vote(near: DataFrame, targets: DataFrame, classify: bool) -> DataFrame:

@@ -92,7 +92,7 @@ def clean(df: DataFrame, options: Mapping[str, object] | None = None) -> tuple[D
         row = out.agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(c)).alias(c) for c in out.columns]).first()
         gaps = {c: row["_n"] - row[c] for c in out.columns if row[c] < row["_n"]}
         if gaps:
-            found = fill_values(out.select(*[col(c) for c in gaps]), num, cat)
+            found = fill_values(out, num, cat, list(gaps))
             note("filled_numeric", sum(gaps[c] for c in gaps if is_numeric(out, c) and c in found), num)
             note("filled_categorical", sum(gaps[c] for c in gaps if not is_numeric(out, c) and c in found), cat)
             out = _filled(out, {c: v for c, v in found.items() if c in gaps})

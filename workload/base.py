@@ -26,8 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table. Text work is costly per row: those tables, or any with ``spread``, use all
+    cores even where the file is a single row group."""
+    wide = spread or name in ("documents", "conversations", "pages")
+    cores = spark.sparkContext.defaultParallelism if wide else None
+    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), cores)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -43,9 +47,9 @@ def r(c: Column | str, digits: int = 4) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """lineitem with gaps in ``qty`` and ``flag``."""
-    return table(spark, sf_dir, "lineitem").withColumns(
+    return table(spark, sf_dir, "lineitem", spread).withColumns(
         {
             "qty": F.when(F.col("l_linenumber") != 3, F.col("l_quantity")),
             "flag": F.when(F.col("l_linenumber") != 5, F.col("l_returnflag")),

@@ -414,7 +414,7 @@ DIRTY = """(SELECT o_custkey, o_orderstatus, CASE WHEN o_custkey > 40 THEN o_tot
 
 def _dirty(spark, d):
     """orders twice, with odd names, padded text, numbers as text, a constant and a mostly empty column."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders", spread=True)
     one = o.select(
         F.col("o_custkey").alias("Cust Key"),
         F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")).alias(" Status"),

@@ -135,7 +135,7 @@ KNN_SQL = """WITH n AS (SELECT label AS c, count(*) AS n FROM embeddings GROUP B
 
 def _vectors(spark, d):
     emb = table(spark, d, "embeddings")
-    return emb.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
+    return emb.selectExpr("vec_id", "label", *[f"double(embedding[{i}]) AS x{i}" for i in range(64)])
 
 
 @query("k3_knn_predict", KNN_SQL)

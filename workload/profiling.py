@@ -29,7 +29,7 @@ PROFILE_SQL = " UNION ALL ".join(
 
 @query("f1_column_profile", PROFILE_SQL)
 def f1(spark, d):
-    return profile.column_profile(lineitem(spark, d))
+    return profile.column_profile(lineitem(spark, d, spread=True))
 
 
 @query(
@@ -53,7 +53,7 @@ def _rounded(df):
 
 @query("f2_describe_numeric", _each(NUMS, DESCRIBE, LINEITEM))
 def f2(spark, d):
-    return _rounded(profile.describe_numeric(lineitem(spark, d), NUMS))
+    return _rounded(profile.describe_numeric(lineitem(spark, d, spread=True), NUMS))
 
 
 @query(
@@ -70,7 +70,7 @@ def f2(spark, d):
     ),
 )
 def f3(spark, d):
-    return _rounded(profile.describe_all(lineitem(spark, d).select("l_quantity", "qty", "l_returnflag", "l_linestatus", "flag")))
+    return _rounded(profile.describe_all(lineitem(spark, d, spread=True).select("l_quantity", "qty", "l_returnflag", "l_linestatus", "flag")))
 
 
 HIST = """SELECT '{c}' AS column_name, CAST(i AS BIGINT) AS bin, round(lo + i * w, 6) + 0.0 AS lo, round(lo + (i + 1) * w, 6) + 0.0 AS hi,
@@ -82,7 +82,7 @@ HIST = """SELECT '{c}' AS column_name, CAST(i AS BIGINT) AS bin, round(lo + i *
 
 @query("f4_histogram", _each(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], HIST, LINEITEM))
 def f4(spark, d):
-    got = profile.histogram(lineitem(spark, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
+    got = profile.histogram(lineitem(spark, d, spread=True), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
     return got.withColumns({"lo": r("lo", 6), "hi": r("hi", 6)})
 
 
