@@ -113,7 +113,8 @@ def prepared(
 
 def fold_rare(df: DataFrame, cols: Sequence[str], min_frequency: int, other: str = "(rare)") -> DataFrame:
     """Categories seen fewer than ``min_frequency`` times become one category."""
-    keep = (
+    # counted once for all columns
+    keep = checkpoint(
         value_frequency(df, cols)
         .filter(F.col("count") >= min_frequency)
         .select("column_name", "value")

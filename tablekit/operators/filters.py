@@ -48,14 +48,14 @@ def keep_where_compare(
     df: DataFrame, column: str, op: str, value: float, unchanged_if_empty: bool = False
 ) -> DataFrame:
     require_columns(df, column)
-    out = df.filter(_COMPARE[op](col(column), F.lit(value)))
+    out = df.filter(_COMPARE[op](col(column), _literal(df, column, float(value))))
     return _or_unchanged(df, out, unchanged_if_empty)
 
 
 def drop_where_compare(df: DataFrame, column: str, op: str, value: float) -> DataFrame:
     """Keep the complement; missing rows go too."""
     require_columns(df, column)
-    return df.filter(_KEEP_FOR_DROP[op](col(column), F.lit(value)))
+    return df.filter(_KEEP_FOR_DROP[op](col(column), _literal(df, column, float(value))))
 
 
 def _as_number(value) -> float | None:
@@ -65,10 +65,16 @@ def _as_number(value) -> float | None:
         return None
 
 
+def _literal(df: DataFrame, column: str, number: float) -> Column:
+    """A literal of the column's kind: a cast on the column would keep the filter from the scan."""
+    whole = isinstance(df.schema[column].dataType, T.IntegralType) and number == int(number)
+    return F.lit(int(number) if whole else number)
+
+
 def _equals(df: DataFrame, column: str, value) -> Column:
     number = _as_number(value)
     if is_numeric(df, column) and number is not None:
-        return col(column) == F.lit(number)
+        return col(column) == _literal(df, column, number)
     return folded(col(column)) == F.lit(str(value).strip().lower())
 
 
@@ -93,20 +99,21 @@ def _condition(df: DataFrame, column: str, op: str, value) -> Column:
     c = col(column)
     if op in _COMPARE:
         number = c if is_numeric(df, column) else to_number(c.cast("string"))
-        hit = _COMPARE[op](number, F.lit(float(value)))
-    elif op == "contains":
-        hit = F.contains(F.lower(c.cast("string")), F.lit(str(value).lower()))
-    elif op == "==":
-        hit = _equals(df, column, value)
-    elif op == "!=":
+        return _COMPARE[op](number, _literal(df, column, float(value)))
+    if op == "contains":
+        return F.contains(F.lower(c.cast("string")), F.lit(str(value).lower()))
+    if op == "==":
+        return _equals(df, column, value)
+    if op == "!=":
         return ~F.coalesce(_equals(df, column, value), F.lit(False))
-    else:
-        raise ValueError(f"unknown operator {op}")
-    return F.coalesce(hit, F.lit(False))
+    raise ValueError(f"unknown operator {op}")
 
 
 def filter_conditions(df: DataFrame, conditions: Sequence[tuple[str, str, str, object]]) -> DataFrame:
-    """``(and|or, column, op, value)`` conditions folded left to right, without precedence."""
+    """``(and|or, column, op, value)`` conditions folded left to right, without precedence.
+
+    A missing cell meets no condition but ``!=``: unknown is dropped by the filter itself.
+    """
     if not conditions:
         return df
     masks = [(logic, _condition(df, c, op, v)) for logic, c, op, v in conditions]
@@ -137,7 +144,7 @@ def match_text(df: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> Dat
         wanted = F.lit(_normalised_text(value))
         word = value.strip().lower()
         if op == "eq" and isinstance(kind, T.NumericType) and number is not None:
-            hit = c == F.lit(number)
+            hit = c == _literal(df, column, number)
         elif op == "eq" and isinstance(kind, T.BooleanType) and word in TRUE_WORDS:
             hit = c
         elif op == "eq" and isinstance(kind, T.BooleanType) and word in FALSE_WORDS:
@@ -152,12 +159,12 @@ def match_text(df: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> Dat
             hit = F.endswith(normalised(c), wanted)
         else:
             raise ValueError(f"unknown operator {op}")
-        mask = mask & F.coalesce(hit, F.lit(False))
+        mask = mask & hit
     return df.filter(mask)
 
 
 def search_scores(df: DataFrame, value: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows that match a keyword phrase, with ``score``:
+    """Rows that match a keyword phrase, with ``match_score``:
     3 for the phrase in a cell, 2 in the whole row text, 1 for all its words in the row."""
     names = list(cols or df.columns)
     require_columns(df, *names)
@@ -175,7 +182,7 @@ def search_scores(df: DataFrame, value: str, cols: Sequence[str] | None = None)
     return (
         # the cheap row test goes first: a row that has neither cannot score
         wide.filter(all_words | in_row)
-        .withColumn("score", score.cast("long"))
+        .withColumn("match_score", score.cast("long"))
         .drop("_row")
     )
 
@@ -186,7 +193,7 @@ def search_rows(
     """Best ``limit`` matches, highest score first, then key order."""
     return (
         search_scores(df, value, cols)
-        .orderBy(F.col("score").desc(), *[col(k) for k in key])
+        .orderBy(F.col("match_score").desc(), *[col(k) for k in key])
         .limit(limit)
     )
 

@@ -213,20 +213,20 @@ def cluster_metrics(
     between = float((sizes[:, None] * (mean - centre) ** 2).sum())
     within = float((sizes[:, None] * var).sum())
     ch = 1.0 if within == 0 else between / (k - 1) / (within / (n - k))
-    centres = groups.select("c", "mean")
+    centres = groups.select(F.col("c").alias("_cluster"), F.col("mean").alias("_centre"))
     near = F.sqrt(
         F.aggregate(
-            F.zip_with(F.array(*[col(c).cast("double") for c in cols]), F.col("mean"), lambda a, b: (a - b) * (a - b)),
+            F.zip_with(F.array(*[col(c).cast("double") for c in cols]), F.col("_centre"), lambda a, b: (a - b) * (a - b)),
             F.lit(0.0),
             lambda acc, v: acc + v,
         )
     )
     # one row per cluster on the right; Spark broadcasts it by its measured size
     spread_rows = (
-        df.join(centres, col(label) == F.col("c"))
-        .groupBy("c")
+        df.join(centres, col(label) == F.col("_cluster"))
+        .groupBy("_cluster")
         .agg(F.avg(near).alias("s"))
-        .orderBy("c")
+        .orderBy("_cluster")
         .collect()
     )
     spread = np.array([r["s"] for r in spread_rows])

@@ -173,6 +173,8 @@ def train_models(
         if cats:
             keep_rare = fold_rare(train, cats, 10)
             train = keep_rare.select(*[col(c) for c in train.columns])
+    # fitting reads the rows many times: the split is made once
+    train, test = checkpoint(train), checkpoint(test)
     # fitted on the training rows only, then read by every model
     inputs = [*features, target]
     prep = feature_pipeline(train.select(*[col(c) for c in inputs]), target, use_pca, 120 if large else 300)

@@ -81,9 +81,14 @@ def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     )
 
 
-def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str, min_partitions: int | None = None, has_nan: bool = True
+) -> DataFrame:
     """Parquet with NULL for NaN.
 
+    The NaN test keeps filters on floating columns from the scan. Where a table is known to mark
+    missing values with NULL only, ``has_nan=False`` leaves it out and the filters are pushed down.
+
     A row group is never split, so a small file may arrive as one task. ``min_partitions``
     deals the rows out by their first column in that case, for work that costs much more than
     moving them; a table that has enough splits is left alone.
@@ -91,7 +96,7 @@ def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = No
     df = spark.read.parquet(path)
     if min_partitions is not None and df.rdd.getNumPartitions() < min_partitions:
         df = df.repartition(min_partitions, col(df.columns[0]))
-    return normalise_missing(df)
+    return normalise_missing(df) if has_nan else df
 
 
 def check_select(query: str) -> str:

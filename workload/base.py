@@ -28,10 +28,10 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A test table. Text work is costly per row: those tables, or any with ``spread``, use all
-    cores even where the file is a single row group."""
+    cores even where the file is a single row group. The tables hold no NaN."""
     wide = spread or name in ("documents", "conversations", "pages")
     cores = spark.sparkContext.defaultParallelism if wide else None
-    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), cores)
+    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"), cores, has_nan=False)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -348,10 +348,10 @@ def e7(spark, d):
 
 @query(
     "e8_coerce_numeric_text",
-    "SELECT o_orderkey, CASE WHEN o_custkey > 30 THEN round(o_totalprice, 2) + 0.0 END AS price, o_orderpriority FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_custkey > 10 THEN round(o_totalprice, 2) + 0.0 END AS price, o_orderpriority FROM orders",
 )
 def e8(spark, d):
-    price = F.when(F.col("o_custkey") > 30, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"))).otherwise("n/a")
+    price = F.when(F.col("o_custkey") > 10, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"))).otherwise("n/a")
     got = table(spark, d, "orders").select("o_orderkey", price.alias("price"), "o_orderpriority")
     return clean.coerce_numeric_text(got).withColumn("price", r("price", 2))
 

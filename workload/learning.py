@@ -39,7 +39,9 @@ def j2(spark, d):
 @query(
     "j3_one_hot",
     """WITH k AS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) >= 30),
-    c AS (SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM k) THEN p_name ELSE '(rare)' END AS n, p_type FROM part)
+    y AS (SELECT p_type FROM part GROUP BY p_type HAVING count(*) >= 30),
+    c AS (SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM k) THEN p_name ELSE '(rare)' END AS n,
+      CASE WHEN p_type IN (SELECT p_type FROM y) THEN p_type ELSE '(rare)' END AS p_type FROM part)
     SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY n) - 1 AS BIGINT) AS name_slot, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS type_slot FROM c""",
 )
 def j3(spark, d):
@@ -304,18 +306,18 @@ def m1(spark, d):
 
 @query(
     "m2_lof",
-    """WITH m AS (SELECT avg(p_size) AS ma, stddev_pop(p_size) AS sa, avg(p_retailprice) AS mb, stddev_pop(p_retailprice) AS sb FROM part),
-    z AS (SELECT p_partkey AS id, (p_size - ma) / sa AS x, (p_retailprice - mb) / sb AS y FROM part, m),
+    """WITH m AS (SELECT avg(c_nationkey) AS ma, stddev_pop(c_nationkey) AS sa, avg(c_acctbal) AS mb, stddev_pop(c_acctbal) AS sb FROM customer),
+    z AS (SELECT c_custkey AS id, (c_nationkey - ma) / sa AS x, (c_acctbal - mb) / sb AS y FROM customer, m),
     e AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM z a JOIN z b ON a.id <> b.id
       QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) <= 20),
     k AS (SELECT a, max(d) AS kd FROM e GROUP BY a),
     l AS (SELECT e.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM e JOIN k ON k.a = e.b GROUP BY e.a),
     f AS (SELECT e.a AS id, avg(lb.lrd) / any_value(la.lrd) AS lof FROM e JOIN l la ON la.a = e.a JOIN l lb ON lb.a = e.b GROUP BY e.a)
-    SELECT id AS p_partkey, round(lof, 4) + 0.0 AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM f) AS is_anomaly FROM f""",
+    SELECT id AS c_custkey, round(lof, 4) + 0.0 AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM f) AS is_anomaly FROM f""",
 )
 def m2(spark, d):
-    got = neighbours.lof_anomalies(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
-    return got.select("p_partkey", r("lof").alias("lof"), "is_anomaly")
+    got = neighbours.lof_anomalies(table(spark, d, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"])
+    return got.select("c_custkey", r("lof").alias("lof"), "is_anomaly")
 
 
 # ---- components

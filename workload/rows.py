@@ -236,7 +236,7 @@ def b7_eq(spark, d):
 )
 def b8(spark, d):
     got = filters.search_rows(table(spark, d, "documents"), "With the", ["doc_id"], ["text", "source"])
-    return got.select("doc_id", "score")
+    return got.select("doc_id", F.col("match_score").alias("score"))
 
 
 # ---- sorting and sampling
