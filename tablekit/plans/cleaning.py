@@ -12,6 +12,7 @@ from tablekit.functions.columns import (
     is_numeric,
     label_columns,
     numeric_columns,
+    quoted,
     small_table,
     string_columns,
     strip,
@@ -22,12 +23,9 @@ from tablekit.functions.storage import checkpoint
 from tablekit.operators.clean import (
     _filled,
     clip_columns,
-    constant_columns,
     duplicate_count,
     fill_values,
-    high_missing_columns,
     iqr_bounds,
-    numeric_text_columns,
 )
 from tablekit.operators.edits import standard_names
 
@@ -63,39 +61,53 @@ def clean(df: DataFrame, options: Mapping[str, object] | None = None) -> tuple[D
         names = standard_names(out.columns)
         note("column_names", sum(a != b for a, b in zip(names, out.columns)))
         out = out.toDF(*names)
-    if opt["strip_whitespace"]:
-        texts = string_columns(out)
-        if texts:
-            row = out.agg(*[F.count_if(strip(col(c)) != col(c)).alias(c) for c in texts]).first()
-            note("whitespace", sum(row[c] > 0 for c in texts))
-            out = out.select(*[strip(col(c)).alias(c) if c in texts else col(c) for c in out.columns])
-    if opt["fix_mixed_types"]:
-        hit = numeric_text_columns(out)
-        note("numeric_text", len(hit), ", ".join(hit))
-        out = out.select(*[to_number(col(c)).alias(c) if c in hit else col(c) for c in out.columns])
+    # pass 1: padded cells, and numbers among the stripped texts
+    texts = string_columns(out)
+    tidy = {c: strip(col(c)) if opt["strip_whitespace"] else col(c) for c in texts}
+    if texts and (opt["strip_whitespace"] or opt["fix_mixed_types"]):
+        aggs = []
+        for i, c in enumerate(texts):
+            aggs += [
+                F.count_if(tidy[c] != col(c)).alias(f"w{i}"),
+                F.count(col(c)).alias(f"n{i}"),
+                F.count(to_number(tidy[c])).alias(f"x{i}"),
+            ]
+        row = out.agg(*aggs).first()
+        note("whitespace", sum(row[f"w{i}"] > 0 for i in range(len(texts))))
+        if opt["fix_mixed_types"]:
+            hit = [c for i, c in enumerate(texts) if row[f"n{i}"] and row[f"x{i}"] / row[f"n{i}"] >= 0.9]
+            note("numeric_text", len(hit), ", ".join(hit))
+            tidy.update({c: to_number(tidy[c]) for c in hit})
+        out = out.select(*[tidy[c].alias(c) if c in tidy else col(c) for c in out.columns])
+    # pass 2: rows, filled cells, and columns that hold one value
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(out.columns):
+        aggs += [F.count(col(c)).alias(f"c{i}"), F.min(col(c)).eqNullSafe(F.max(col(c))).alias(f"k{i}")]
+    row = out.agg(*aggs).first()
+    n = row["n"]
+    names = list(enumerate(out.columns))
     gone: list[str] = []
     if opt["drop_constant_cols"]:
-        gone = constant_columns(out)
+        gone = [c for i, c in names if row[f"k{i}"]]
         note("constant_columns", len(gone), ", ".join(gone))
     if opt["drop_high_missing_cols"]:
-        rest = out.select(*[col(c) for c in out.columns if c not in gone])
-        high = high_missing_columns(rest)
+        high = [c for i, c in names if c not in gone and n and (n - row[f"c{i}"]) / n > 0.5]
         note("high_missing_columns", len(high), ", ".join(high))
         gone = gone + high
-    out = out.select(*[col(c) for c in out.columns if c not in gone])
+    out = out.select(*[col(c) for _, c in names if c not in gone])
+    num, cat = str(opt["fill_missing_numeric"] or "none"), str(opt["fill_missing_categorical"] or "none")
+    gaps = {c: n - row[f"c{i}"] for i, c in names if c not in gone and row[f"c{i}"] < n}
     if opt["drop_duplicates"]:
-        before = out.count()
         out = checkpoint(out.dropDuplicates())
-        note("duplicates", before - out.count())
-    num, cat = str(opt["fill_missing_numeric"] or "none"), str(opt["fill_missing_categorical"] or "none")
-    if num != "none" or cat != "none":
-        row = out.agg(F.count(F.lit(1)).alias("_n"), *[F.count(col(c)).alias(c) for c in out.columns]).first()
-        gaps = {c: row["_n"] - row[c] for c in out.columns if row[c] < row["_n"]}
-        if gaps:
-            found = fill_values(out, num, cat, list(gaps))
-            note("filled_numeric", sum(gaps[c] for c in gaps if is_numeric(out, c) and c in found), num)
-            note("filled_categorical", sum(gaps[c] for c in gaps if not is_numeric(out, c) and c in found), cat)
-            out = _filled(out, {c: v for c, v in found.items() if c in gaps})
+        # pass 3: rows and gaps that are left
+        row = out.selectExpr("count(1)", *[f"count({quoted(c)})" for c in out.columns]).first()
+        note("duplicates", n - row[0])
+        gaps = {c: row[0] - row[i + 1] for i, c in enumerate(out.columns) if row[i + 1] < row[0]}
+    if gaps and (num != "none" or cat != "none"):
+        found = fill_values(out, num, cat, list(gaps))
+        note("filled_numeric", sum(gaps[c] for c in gaps if is_numeric(out, c) and c in found), num)
+        note("filled_categorical", sum(gaps[c] for c in gaps if not is_numeric(out, c) and c in found), cat)
+        out = _filled(out, {c: v for c, v in found.items() if c in gaps})
     if opt["remove_outliers"]:
         nums = numeric_columns(out)
         bounds = iqr_bounds(out, nums, 3.0) if nums else {}
