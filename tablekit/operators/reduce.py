@@ -30,13 +30,17 @@ def _fit(df: DataFrame, cols: Sequence[str] | None, k: int | None, drop_flat: bo
     return vectors, names, model, pc * signs, signs
 
 
-def pca_project(df: DataFrame, key: Sequence[str], cols: Sequence[str] | None = None, k: int = 2) -> DataFrame:
-    """Key columns and coordinates ``pc1 .. pck`` of the standardised rows."""
+def pca_project(
+    df: DataFrame, key: Sequence[str], cols: Sequence[str] | None = None, k: int = 2, color: str | None = None
+) -> DataFrame:
+    """Key columns and coordinates ``pc1 .. pck`` of the standardised rows, with the ``label`` of a
+    colour column if one is named."""
     names = list(cols or [c for c in numeric_columns(df, exclude=GENERATED) if c not in key])
     vectors, _, model, _, signs = _fit(df, names, k, False)
     xs = vector_to_array("_pc")
     coords = [(F.get(xs, F.lit(i)) * F.lit(float(signs[i]))).alias(f"pc{i + 1}") for i in range(k)]
-    return model.transform(vectors).select(*[col(c) for c in key], *coords)
+    shade = [F.coalesce(col(color).cast("string"), F.lit("(missing)")).alias("label")] if color else []
+    return model.transform(vectors).select(*[col(c) for c in key], *coords, *shade)
 
 
 def pca_variance(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
