@@ -454,10 +454,10 @@ BOOT = f"""b AS (SELECT l_extendedprice AS y, qty AS x, {HASH} AS h FROM {LINEIT
  boot AS MATERIALIZED (SELECT trial, sum(w * s) / sum(w) * (SELECT count(*) FROM b) AS result, (sum(w * s) - sum(w * y)) / sum(w) * (SELECT count(*) FROM b) AS delta FROM s GROUP BY trial)"""
 
 
-@query("p4_bootstrap_sum", f"WITH {BOOT} SELECT CAST(trial AS BIGINT) AS trial, round(result, 1) + 0.0 AS result, round(delta, 1) + 0.0 AS delta FROM boot")
+@query("p4_bootstrap_sum", f"WITH {BOOT} SELECT CAST(trial AS BIGINT) AS trial, round(result, 0) + 0.0 AS result, round(delta, 0) + 0.0 AS delta FROM boot")
 def p4(spark, d):
     got = whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100)
-    return got.select("trial", r("result", 1).alias("result"), r("delta", 1).alias("delta"))
+    return got.select("trial", r("result", 0).alias("result"), r("delta", 0).alias("delta"))
 
 
 @query(
@@ -485,21 +485,21 @@ def p4_median(spark, d):
 
 @query(
     "p5_bootstrap_summary",
-    f"""WITH {BOOT} SELECT CAST(count(*) AS BIGINT) AS trials, round(avg(result), 1) + 0.0 AS mean, round(median(result), 1) + 0.0 AS median, round(quantile_cont(result, 0.05), 1) + 0.0 AS p05,
-    round(quantile_cont(result, 0.95), 1) + 0.0 AS p95, round(avg(delta), 1) + 0.0 AS delta, round(median(delta), 1) + 0.0 AS delta_median, round(quantile_cont(delta, 0.05), 1) + 0.0 AS delta_p05,
-    round(quantile_cont(delta, 0.95), 1) + 0.0 AS delta_p95 FROM boot""",
+    f"""WITH {BOOT} SELECT CAST(count(*) AS BIGINT) AS trials, round(avg(result), 0) + 0.0 AS mean, round(median(result), 0) + 0.0 AS median, round(quantile_cont(result, 0.05), 0) + 0.0 AS p05,
+    round(quantile_cont(result, 0.95), 0) + 0.0 AS p95, round(avg(delta), 0) + 0.0 AS delta, round(median(delta), 0) + 0.0 AS delta_median, round(quantile_cont(delta, 0.05), 0) + 0.0 AS delta_p05,
+    round(quantile_cont(delta, 0.95), 0) + 0.0 AS delta_p95 FROM boot""",
 )
 def p5(spark, d):
     got = whatif.bootstrap_summary(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100))
-    return got.select("trials", *[r(c, 1).alias(c) for c in got.columns if c != "trials"])
+    return got.select("trials", *[r(c, 0).alias(c) for c in got.columns if c != "trials"])
 
 
 @query(
     "p6_bootstrap_histogram",
     f"""WITH {BOOT}, m AS (SELECT min(result) AS lo, (max(result) - min(result)) / 20 AS w FROM boot)
-    SELECT CAST(i AS BIGINT) AS bin, round(lo + i * w, 1) + 0.0 AS lo, round(lo + (i + 1) * w, 1) + 0.0 AS hi,
+    SELECT CAST(i AS BIGINT) AS bin, round(lo + i * w, 0) + 0.0 AS lo, round(lo + (i + 1) * w, 0) + 0.0 AS hi,
     CAST((SELECT count(*) FROM boot, m WHERE least(greatest(ceil((result - lo) / w) - 1, 0), 19) = i) AS BIGINT) AS count FROM m, range(20) t(i)""",
 )
 def p6(spark, d):
     got = whatif.bootstrap_histogram(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100))
-    return got.select("bin", r("lo", 1).alias("lo"), r("hi", 1).alias("hi"), "count")
+    return got.select("bin", r("lo", 0).alias("lo"), r("hi", 0).alias("hi"), "count")

@@ -333,19 +333,19 @@ def g2(spark, d):
 
 
 TREND = """WITH t AS (SELECT {v} AS v, row_number() OVER (ORDER BY {t}, {k}) AS a, row_number() OVER (ORDER BY {t} DESC, {k} DESC) AS b, count(*) OVER () AS n FROM {s})
- SELECT CAST(any_value(n) AS BIGINT) AS rows, CAST(any_value(n) // 5 AS BIGINT) AS rows_per_end, round(avg(v) FILTER (WHERE a <= n // 5), 6) + 0.0 AS first_mean,
- round(avg(v) FILTER (WHERE b <= n // 5), 6) + 0.0 AS last_mean FROM t"""
+ SELECT CAST(any_value(n) AS BIGINT) AS rows, CAST(any_value(n) // 5 AS BIGINT) AS rows_per_end, round(avg(v) FILTER (WHERE a <= n // 5), 8) + 0.0 AS first_mean,
+ round(avg(v) FILTER (WHERE b <= n // 5), 8) + 0.0 AS last_mean FROM t"""
 
 
 @query("g3_trend_ends", TREND.format(v="value", t="ts", k="event_id", s="events"))
 def g3(spark, d):
-    return _rounded(relate.trend_ends(table(spark, d, "events"), "value", "ts", "event_id"), 6)
+    return _rounded(relate.trend_ends(table(spark, d, "events"), "value", "ts", "event_id"), 8)
 
 
 @query("g3_trend_ends_tied", TREND.format(v="o_totalprice", t="o_orderdate", k="o_orderkey", s="orders"))
 def g3_tied(spark, d):
     """Days hold many orders, so both cuts fall inside a day."""
-    return _rounded(relate.trend_ends(table(spark, d, "orders"), "o_totalprice", "o_orderdate", "o_orderkey"), 6)
+    return _rounded(relate.trend_ends(table(spark, d, "orders"), "o_totalprice", "o_orderdate", "o_orderkey"), 8)
 
 
 @query(
