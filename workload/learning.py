@@ -333,6 +333,17 @@ def n1_variance(spark, d):
     return reduce.pca_variance(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+@query(
+    "n1_pca_variance_pair",
+    """SELECT CAST(i AS BIGINT) AS component, round(CASE WHEN i = 1 THEN 1 + abs(r) ELSE 1 - abs(r) END * 50, 6) + 0.0 AS explained_pct,
+    round(CASE WHEN i = 1 THEN 50 * (1 + abs(r)) ELSE 100 END, 6) + 0.0 AS cumulative_pct
+    FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), (VALUES (1), (2)) t(i)""",
+)
+def n1_pair(spark, d):
+    """The eigenvalues of a 2 x 2 correlation matrix are 1 + |r| and 1 - |r|."""
+    return _rounded(reduce.pca_variance(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
+
+
 @query("n1_pca_loadings")
 def n1_loadings(spark, d):
     return reduce.pca_loadings(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
