@@ -5,12 +5,138 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import chat, hamming, warc
-from tablekit.llm.base import ORACLES, QUERIES, query, shared_folder, table
+from tablekit.llm import chat, decontaminate, hamming, language, licences, minhash, mixing, pii, quality, warc
+from tablekit.llm.base import ORACLES, QUERIES, held_out, query, shared_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``documents`` that models may learn from."""
+    return table(spark, sf_dir, "documents").where(~held_out(F.col("doc_id")))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.Model | None:
+    return language.train(learned(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).classes()
+
+
+@query(
+    "op2_decontaminate",
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(13, len(words)) AS size, array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS win
+ FROM (SELECT item_id, words, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+dw AS (SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS win
+ FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT dw.doc_id, dw.i, iw.size, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.size = iw.size),
+marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+ FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+ CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN marks ON d.doc_id = marks.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = decontaminate.benchmark_windows(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), windows)
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op4_licences")
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+#: whole-number weights of the mixture, by level; others have weight 1
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The table has no domain: sources are dealt to two by a hash."""
+    first = F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 1)
+    return docs.withColumn("domain", F.when(first < "8", "a").otherwise("b"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Half of all tokens, a token per four bytes, each document at most four times."""
+    tokens = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(4))
+    return mixing.mix_sources(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, tokens)
+
+
+def _fill_sql(name: str, above: list[str], level: str, source: str, weight: str) -> str:
+    keys = ", ".join([*above, level])
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    got = f"JOIN {source} g USING ({', '.join(above)})" if above else f", {source} g"
+    order = f"{part} ORDER BY CAST(cap AS DOUBLE) / w, {keys}"
+    return f"""{name}_k AS (SELECT k.*, g.granted FROM (SELECT {keys}, CAST(sum(4 * available) AS BIGINT) AS cap, {weight} AS w
+ FROM leaf GROUP BY {keys}) k {got}),
+{name}_f AS (SELECT *, CAST(cap AS HUGEINT) * (sum(w) OVER ({part}) - coalesce(sum(w) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ <= (granted - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM {name}_k),
+{name} AS (SELECT {keys}, CAST(CASE WHEN is_full THEN cap ELSE
+ floor(CAST(granted - coalesce(sum(cap) FILTER (is_full) OVER ({part}), 0) AS DOUBLE) * w / (sum(w) FILTER (NOT is_full) OVER ({part}))) END AS BIGINT) AS granted
+ FROM {name}_f)"""
+
+
+MIX_SQL = (
+    """WITH t AS (SELECT doc_id, CASE WHEN substr(md5(coalesce(source, '')), 1, 1) < '8' THEN 'a' ELSE 'b' END AS domain,
+ lang, source, CAST((strlen(text) + 3) // 4 AS BIGINT) AS n_tokens FROM documents WHERE strlen(text) > 0),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS available FROM t GROUP BY domain, lang, source),
+b AS (SELECT CAST(sum(available) AS BIGINT) // 2 AS granted FROM leaf),
+"""
+    + _fill_sql("d1", [], "domain", "b", "CASE domain WHEN 'a' THEN 3 ELSE 2 END")
+    + ",\n"
+    + _fill_sql("d2", ["domain"], "lang", "d1", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")
+    + ",\n"
+    + _fill_sql("d3", ["domain", "lang"], "source", "d2", "1")
+    + """,
+p AS (SELECT domain, lang, source, granted // available AS whole, granted % available AS part FROM leaf JOIN d3 USING (domain, lang, source)),
+x AS (SELECT t.*, whole, part, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+ ORDER BY md5('11:' || whole || ':' || doc_id), doc_id, n_tokens) AS run FROM t JOIN p USING (domain, lang, source))
+SELECT doc_id, n_tokens, CAST(whole + CASE WHEN run <= part THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM x
+WHERE whole > 0 OR run <= part"""
+)
+
+
+@query("op5_mixing", MIX_SQL)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "n_tokens", F.col("repeats").cast("long").alias("repeats"))
+
+
 @query(
     "op6_warc",
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -28,6 +154,40 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data_field(docs: DataFrame) -> pii.Field:
+    return pii.train(docs.select("text"))
+
+
+def _joined_spans(name: str):
+    shown = F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(shown, ",")
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, personal_data_field(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined_spans("base"), 256).alias("base_sha256"), _joined_spans("spans").alias("spans"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
+    marked = learned(spark, sf_dir).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("text", "label")
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality.train(marked))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query(
     "op9_chat_windows",
     r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
