@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablekit.functions.columns import col
+from tablekit.functions.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,16 +37,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``, else under the
-    warehouse, which is shared wherever a cluster keeps tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+ROW = "_row"
+
+
+def packed(docs: DataFrame, text: str | None = None) -> DataFrame:
+    """All columns as one, so that none of their names meets an operator's, with the text beside it."""
+    rest = [col(c) for c in docs.columns if c != text] or [F.lit(0).alias("_")]
+    return docs.select(F.struct(*rest).alias(ROW), *([col(text)] if text else []))
+
+
+def unpacked(columns: Sequence[str], text: str | None = None) -> list[Column]:
+    """The columns of the table that was packed."""
+    return [col(c) if c == text else F.col(ROW).getField(c).alias(c) for c in columns]
+
+
+def extended(fields: Sequence[T.StructField], added: str) -> T.StructType:
+    """A schema with more columns."""
+    return T.StructType([*fields, *T.StructType.fromDDL(added).fields])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekit.functions.columns import col
+from tablekit.llm.base import extended
 from tablekit.llm.words import run_hashes, word_slices
 
 PREFIX = "_hit_"
@@ -101,7 +103,7 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     names = [f.name for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND
+    schema = extended(docs.schema.fields, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Table(shared.value)
@@ -139,7 +141,7 @@ def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
 
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, items (sorted ids whose windows occur), and spans: start
-    and end of each marked run, in bytes of the text's UTF-8."""
+    and end of each marked run, in bytes of the text's UTF-8. Columns of these names are replaced."""
     clash = {"n_words", "n_hit", "items", "spans", "contaminated"} & set(docs.columns)
     docs = docs.drop(*clash)
     n = windows.count()
@@ -156,11 +158,11 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows:
             now = {c: F.col(PREFIX + c) for c in ("start", "end", "cut", "items")}
             if gathered is not None:
                 now = {c: F.concat(F.col(f"_all_{c}"), v) for c, v in now.items()}
-            keep = [F.col(f"`{c}`") for c in docs.columns]
+            keep = [col(c) for c in docs.columns]
             found = found.select(*keep, F.col(PREFIX + "words").alias("_all_words"), *(v.alias(f"_all_{c}") for c, v in now.items()))
             gathered = found
         found = found.select(
-            *(F.col(f"`{c}`") for c in docs.columns),
+            *(col(c) for c in docs.columns),
             F.col("_all_words").alias(PREFIX + "words"),
             *(F.col(f"_all_{c}").alias(PREFIX + c) for c in ("start", "end", "cut", "items")),
         )
@@ -169,7 +171,7 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows:
     cut = _merge(F.col(PREFIX + "cut")) if passes > 1 else F.col(PREFIX + "cut")
     size = F.aggregate(merged, F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]).cast("long"))
     return found.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
+        *(col(c) for c in docs.columns),
         F.col(PREFIX + "words").alias("n_words"),
         size.alias("n_hit"),
         F.array_sort(F.array_distinct(PREFIX + "items")).alias("items"),
@@ -202,8 +204,8 @@ def remove(found: DataFrame, text: str = "text", spans_only: bool = False) -> Da
     cut out of them."""
     if not spans_only:
         return found.where(~contaminated(F.col("n_words"), F.col("n_hit")))
-    raw = F.col(text).cast("binary")
+    raw = col(text).cast("binary")
     ends = F.concat(F.array(F.lit(0)), F.col("spans.end"))
     starts = F.concat(F.col("spans.start"), F.array(F.octet_length(raw)))
     pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.substring(raw, p["a"] + 1, p["b"] - p["a"]).cast("string"))
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(col(text)))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablekit.llm.base import extended
 from tablekit.llm.words import byte_slices
 
 ORDER = 3
@@ -38,15 +39,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: dict[str, list[np.ndarray]] = {}
 
     def fold(lang: str) -> None:
-        keys = np.concatenate([np.repeat(total[lang][0], 0)] + parts[lang]) if lang in total else np.concatenate(parts[lang])
-        values, n = np.unique(keys, return_counts=True)
+        values, n = np.unique(np.concatenate(parts[lang]), return_counts=True)
         if lang in total:
-            v = np.concatenate([total[lang][0], values])
-            c = np.concatenate([total[lang][1], n])
-            values, where = np.unique(v, return_inverse=True)
-            n = np.bincount(where, c).astype(np.int64)
-        total[lang] = (values, n)
-        parts[lang] = []
+            values, where = np.unique(np.concatenate([total[lang][0], values]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([total[lang][1], n])).astype(np.int64)
+        total[lang], parts[lang] = (values, n), []
 
     for batch in batches:
         langs = batch.column("lang").to_pylist()
@@ -183,8 +180,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
     if model is None:
         return kept.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    comma = ", " if head else ""
+    schema = extended(kept.schema.fields[:-1], "_letters boolean, lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -202,8 +198,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                 names=[*keep, "_letters", "lang_pred", "score", "bits_per_byte"],
             )
 
-    scored = kept.select(*keep, letters.alias("_letters"), "_text")
-    scored = scored.select(*keep, "_text", "_letters").mapInArrow(run, f"{head}{comma}_letters boolean, lang_pred string, score double, bits_per_byte double")
+    scored = kept.select(*keep, "_text", letters.alias("_letters")).mapInArrow(run, schema)
     return scored.select(
         *keep,
         F.when(F.col("_letters"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"),

@@ -8,12 +8,13 @@ coordinate with the probability of their (weighted) Jaccard similarity. Ranks ar
 hashed exponential gaps, only as far as a text of its total weight needs for all coordinates to be hit:
 a long text looks at each element once and throws as few darts as a short one.
 
-Texts with equal sets become one node. Nodes that share a band are linked to the smallest node of the
-bucket, so buckets give links, not pairs. Links are verified on whole texts in two turns: the strongest
-link of each node, then those whose ends are still apart. Where a bucket then still holds several
-components, everyone outside its largest one is compared with all of the bucket, in blocks, by
-signature; pairs that could reach the threshold are verified too. So a similar pair that shares a
-bucket is never lost, however large the bucket, and no bucket is expanded into all pairs.
+Texts with equal sets become one node. Nodes that share a band are linked to one leader of the bucket,
+the node that meets most others, so buckets give links, not pairs. Links are verified on whole texts in
+two turns: the strongest link of each node, then those whose ends are still apart. Where a bucket then
+still holds several components, everyone outside its largest one is compared with all of the bucket, in
+blocks, by signature; pairs that could reach the threshold are verified too, first the likeliest of each
+node and component, then all between components that are left. So a similar pair that shares a bucket is
+never lost, however large the bucket.
 
 With 24 bands of 4 rows, a pair of similarity 0.8 shares no bucket with probability 4e-6.
 
@@ -32,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import written
+from tablekit.functions.columns import col
+from tablekit.llm.base import ROW, packed, unpacked, written
 from tablekit.llm.words import Words, mix, run_hashes, word_slices
 from tablekit.operators.cluster import connected_components
 
@@ -200,8 +202,9 @@ def _same_set(weighted: bool):
     return run
 
 
-def _candidates(coordinates: int, share: float):
-    """Pairs of a block of outsiders and a block of the bucket whose signatures could mean similarity."""
+def _candidates(coordinates: int, share: float, best_only: bool):
+    """Pairs of a block of outsiders and a block of the bucket whose signatures could mean similarity:
+    all, or the likeliest one of each outsider and component."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, coordinates)
@@ -210,7 +213,12 @@ def _candidates(coordinates: int, share: float):
         whole = np.flatnonzero(~frame["outside"].to_numpy())
         out = [np.zeros((0, 2), np.int64)]
         for i in rest:
-            near = whole[((sig[whole] == sig[i]).sum(axis=1) >= share * coordinates) & (root[whole] != root[i])]
+            other = whole[root[whole] != root[i]]
+            same = (sig[other] == sig[i]).sum(axis=1)
+            near, same = other[same >= share * coordinates], same[same >= share * coordinates]
+            if best_only and len(near) > 1:
+                order = np.lexsort((-same, root[near]))
+                near = near[order][np.r_[True, np.diff(root[near][order]) != 0]]
             out.append(np.stack([np.maximum(node[near], node[i]), np.minimum(node[near], node[i])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -235,18 +243,16 @@ class NearDuplicates:
     def keep_one(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """The rows of ``docs`` without all but one row of each class: the smallest id's; texts without
         words all stay."""
-        names = docs.columns
-        kept = self.nodes.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min(F.struct("node", "h1", "h2")).alias("m"))
-        kept = kept.select(F.col("class_id").alias("_id"), "m.h1", "m.h2").distinct()
-        tagged = docs.withColumn("_text", F.col(text))
-        wordless = ~F.coalesce(F.rlike(text, F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]")), F.lit(False))
-        one = (
-            tagged.where(~wordless)
-            .join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-            .drop("_id")
-        )
+        kept = self.nodes.where(F.col("rep").eqNullSafe(F.col("class_id")))
+        kept = kept.groupBy("class_id").agg(F.min(F.struct("node", "h1", "h2")).alias("m"))
+        kept = kept.select(F.col("class_id").alias("_rep"), "m.h1", "m.h2").distinct()
+        wordless = ~F.coalesce(F.rlike(col(text), F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]")), F.lit(False))
+        rows = packed(docs.where(~wordless), text).withColumnRenamed(text, "_text")
+        rows = rows.withColumn("_key", F.col("_text") if id_col == text else F.col(ROW).getField(id_col))
+        one = rows.join(kept, F.col("_key").eqNullSafe(F.col("_rep"))).select(ROW, "_text", "h1", "h2")
         one = one.mapInArrow(_same_set(self.weighted), one.schema).dropDuplicates(["h1", "h2"])
-        return one.select(*names).unionByName(docs.where(wordless))
+        one = one.withColumnRenamed("_text", text).select(*unpacked(docs.columns, text))
+        return one.unionByName(docs.where(wordless))
 
 
 def near_duplicates(
@@ -271,8 +277,13 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = written(buckets.join(shared, ["band", "value"]).select("band", "value", "node", "leader", "size"))
+    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
+    met = written(buckets.join(shared, ["band", "value"]).select("band", "value", "node", "size"))
+    # the text that others are copies of meets more of them than any copy does: it leads its buckets
+    rank = met.groupBy("node").agg(F.sum("size").alias("rank"))
+    led = met.join(rank, "node").withColumn("n", -F.col("node"))
+    leaders = led.groupBy("band", "value").agg((-F.max(F.struct("rank", "n"))["n"]).alias("leader"))
+    members = written(met.join(leaders, ["band", "value"]).select("band", "value", "node", "leader"))
     in_buckets = members.select("node").distinct()
     wanted = nodes.select("node", "rep", "h1", "h2").join(in_buckets, "node")
     texts = source.join(wanted, source["_id"].eqNullSafe(wanted["rep"])).select("node", "h1", "h2", "_text")
@@ -284,14 +295,22 @@ def near_duplicates(
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return written(both.mapInArrow(_similar(threshold, weighted), "a long, b long"))
 
-    def joined(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
-        if roots is None:
-            links = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            return written(connected_components(in_buckets.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "root"))
+    def led_to(edges: DataFrame) -> DataFrame:
+        """Each node's root where every node has at most one link, upwards in rank."""
+        up = in_buckets.join(edges.select(F.col("a").alias("node"), "b"), "node", "left")
+        roots = written(up.select("node", F.coalesce("b", "node").alias("root")))
+        while True:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            jumped = written(roots.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            roots = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                return roots
+
+    def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
         links = apart(edges, roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
-        top = connected_components(roots.select(F.col("root").alias("id")).distinct(), links)
+        top = connected_components(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), links)
         top = top.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        return written(roots.join(top, "root").select("node", F.col("top").alias("root")))
+        return written(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         ra = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
@@ -302,19 +321,24 @@ def near_duplicates(
         members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
     )
     strongest = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-    roots = joined(None, verified(strongest))
-    second = written(apart(votes.join(strongest, ["a", "b"], "left_anti"), roots).select("a", "b"))
-    if not second.isEmpty():
-        roots = joined(roots, verified(second))
-    third = written(_across(members, roots, nodes, k, threshold).join(votes, ["a", "b"], "left_anti"))
-    if not third.isEmpty():
-        roots = joined(roots, verified(third))
+    strongest = written(strongest)
+    roots = led_to(verified(strongest))
+    tested = votes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = written(apart(votes.join(strongest, ["a", "b"], "left_anti"), roots).select("a", "b"))
+    for best_only in (None, True, False):
+        if best_only is not None:
+            rest = written(_across(members, roots, nodes, k, threshold, best_only).join(tested, ["a", "b"], "left_anti"))
+            tested = tested.unionByName(rest)
+        if not rest.isEmpty():
+            found = verified(rest)
+            if not found.isEmpty():
+                roots = joined(roots, found)
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     return NearDuplicates(rows, written(placed.join(ids, "root").select("node", "h1", "h2", "rep", "class_id")), weighted)
 
 
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float, best_only: bool) -> DataFrame:
     """Pairs within buckets of several components that leader links can't have settled. A true pair
     falls below three quarters of the threshold in its signature with probability under 1e-6."""
     m = members.join(roots, "node")
@@ -340,5 +364,5 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, thre
     key = ["band", "value", "i", "j"]
     rest = m.where("root <> main").select(*key[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), "node", "root", "sig", F.lit(True).alias("outside"))
     whole = m.select(*key[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), "node", "root", "sig", F.lit(False).alias("outside"))
-    pairs = rest.unionByName(whole).groupBy(*key).applyInPandas(_candidates(k, 0.75 * threshold), "a long, b long")
+    pairs = rest.unionByName(whole).groupBy(*key).applyInPandas(_candidates(k, 0.75 * threshold, best_only), "a long, b long")
     return pairs.distinct()

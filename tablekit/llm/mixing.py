@@ -23,7 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
+from tablekit.functions.columns import col
+from tablekit.llm.base import ROW, unpacked, written
+
 NULL_NAME = "\x00null"
 
 
@@ -91,7 +93,7 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame,
-    levels: list[str],
+    levels: dict[str, Column],
     weights: dict[str, dict[str, int]],
     tokens: Column,
     budget: int | None = None,
@@ -100,40 +102,52 @@ def mix_sources(
     seed: int = 11,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """The chosen rows of ``docs`` with n_tokens and repeats (how often the document is read). The
+    """levels: name and value of each level, the top one first. The chosen rows of ``docs`` with n_tokens and repeats (how often the document is read), in place of
+    columns of that name. The
     budget is ``budget`` tokens, or ``share`` (a fraction) of all there are."""
-    tagged = docs.withColumns({"n_tokens": tokens.cast("long"), **{f"_l{i}": _name(F.col(f"`{c}`")) for i, c in enumerate(levels)}})
-    tagged = tagged.where("n_tokens > 0")
     names = [f"_l{i}" for i in range(len(levels))]
     by_name = {f"_l{i}": weights.get(c, {}) for i, c in enumerate(levels)}
-    leaves = tagged.groupBy(*names).agg(F.sum("n_tokens").alias("available"))
+    # a table's own columns travel as one, so their names meet none of these
+    tagged = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias(ROW),
+        col(id_col).alias("_id"),
+        tokens.cast("long").alias("n_tokens"),
+        *(_name(c).alias(n) for c, n in zip(levels.values(), names)),
+    ).where("n_tokens > 0")
+    leaves = written(tagged.groupBy(*names).agg(F.sum("n_tokens").alias("available")))
     if budget is None:
         everything = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("t")).first()["t"]
         budget = everything * share[0] // share[1]
     plan = leaf_budgets(leaves, names, budget, by_name, epochs)
-    plan = plan.select(
-        *(F.col(n).alias(f"p{n}") for n in names),
-        F.floor(F.col("granted") / F.col("available")).cast("long").alias("whole"),
-        (F.col("granted") % F.col("available")).alias("part"),
+    # a row per leaf, written: Spark knows its size and broadcasts it if that is small
+    plan = written(
+        plan.select(
+            *(F.col(n).alias(f"p{n}") for n in names),
+            F.floor(F.col("granted") / F.col("available")).cast("long").alias("whole"),
+            (F.col("granted") % F.col("available")).alias("part"),
+        )
     )
     same = reduce(lambda a, b: a & b, (F.col(n) == F.col(f"p{n}") for n in names))
     x = tagged.join(plan, same)
-    key = order_key(seed, F.col("whole"), F.col(f"`{id_col}`"))
-    x = x.withColumn("_key", key).withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+    x = x.withColumn("_key", order_key(seed, F.col("whole"), F.col("_id")))
+    x = x.withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     # first level: tokens of hash ranges, second: of the documents of the one range that holds the cut
     ranges = x.groupBy(*names, "_range", "part").agg(F.sum("n_tokens").alias("in_range"))
     upto = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("in_range").over(upto), F.lit(0)))
-    cut = ranges.where("before <= part and before + in_range > part").select(
-        *(F.col(n).alias(f"c{n}") for n in names), F.col("_range").alias("cut_range"), "before"
+    cut = written(
+        ranges.where("before <= part and before + in_range > part").select(
+            *(F.col(n).alias(f"c{n}") for n in names), F.col("_range").alias("cut_range"), "before"
+        )
     )
     at_cut = reduce(lambda a, b: a & b, (F.col(n) == F.col(f"c{n}") for n in names))
     x = x.join(cut, at_cut, "left")
     inside = x.where("_range = cut_range")
-    run = Window.partitionBy(*names).orderBy("_key", F.col(f"`{id_col}`"), "n_tokens").rangeBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*names).orderBy("_key", "_id", "n_tokens").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_run", F.col("before") + F.sum("n_tokens").over(run))
     others = x.where("cut_range is null or _range <> cut_range").withColumn("_run", F.lit(0).cast("long"))
     extra = F.when(F.col("_range") < F.col("cut_range"), 1).when(F.col("_range") > F.col("cut_range"), 0)
     extra = F.coalesce(extra, (F.col("_run") <= F.col("part")).cast("int"))
     out = inside.unionByName(others).withColumn("repeats", F.col("whole") + F.when(F.col("cut_range").isNull(), 0).otherwise(extra))
-    return out.where("repeats > 0").select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "repeats")), "n_tokens", "repeats")
+    own = unpacked([c for c in docs.columns if c not in ("n_tokens", "repeats")])
+    return out.where("repeats > 0").select(*own, "n_tokens", F.col("repeats").cast("long").alias("repeats"))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekit.llm.base import extended
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 # the lookbehinds don't change what matches: a match that fails at the start of a run fails within it
@@ -333,13 +335,13 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 
 
 def find_personal_data(docs: DataFrame, crf: Field, text: str = "text", certainty: float = 0.7, mask: bool = False) -> DataFrame:
-    """The columns of ``docs`` with base and spans (kind, start, end). With ``mask`` every span of the
+    """The columns of ``docs`` with base and spans (kind, start, end), in place of columns of that name. With ``mask`` every span of the
     text is replaced by its kind in brackets, overlapping ones by that of the first."""
     docs = docs.drop(*({"base", "spans"} & set(docs.columns)))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     names = docs.columns
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     span = "array<struct<kind:string,start:int,end:int>>"
+    schema = extended(docs.schema.fields, f"base {span}, spans {span}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +355,7 @@ def find_personal_data(docs: DataFrame, crf: Field, text: str = "text", certaint
             columns = [pa.array(masked, batch.column(text).type) if mask and n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(base, pa.list_(_SPAN)), pa.array(every, pa.list_(_SPAN))], names=[*names, "base", "spans"])
 
-    return docs.mapInArrow(run, f"{head}, base {span}, spans {span}")
+    return docs.mapInArrow(run, schema)
 
 
 def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -81,20 +81,16 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: whole-number weights of the mixture, by level; others have weight 1
-MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """The table has no domain: sources are dealt to two by a hash."""
-    first = F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 1)
-    return docs.withColumn("domain", F.when(first < "8", "a").otherwise("b"))
-
-
 def mixed(docs: DataFrame) -> DataFrame:
-    """Half of all tokens, a token per four bytes, each document at most four times."""
+    """Half of all tokens, a token per four bytes, each document at most four times. The table has no
+    domain: sources are dealt to two by a hash."""
+    first = F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 1)
+    levels = {"domain": F.when(first < "8", "a").otherwise("b"), "lang": F.col("lang"), "source": F.col("source")}
     tokens = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(4))
-    return mixing.mix_sources(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, tokens)
+    return mixing.mix_sources(docs, levels, MIX_WEIGHTS, tokens)
 
 
 def _fill_sql(name: str, above: list[str], level: str, source: str, weight: str) -> str:
@@ -134,7 +130,7 @@ WHERE whole > 0 OR run <= part"""
 @query("op5_mixing", MIX_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixed(docs).select("doc_id", "n_tokens", F.col("repeats").cast("long").alias("repeats"))
+    return mixed(docs).select("doc_id", "n_tokens", "repeats")
 
 
 @query(
