@@ -155,8 +155,9 @@ def compile_model(rows: list[tuple[str, int, int]], min_count: int) -> Model:
     return Model(langs, symbol, state, bits)
 
 
-def train(labelled: DataFrame, train_docs: int = 2000, train_bytes: int = 1 << 17, min_count: int = 8) -> Model | None:
-    """labelled: text, lang, and doc_id if there is one. None if no row has both."""
+def train(labelled: DataFrame, train_docs: int = 1000, train_bytes: int = 1 << 17, min_count: int = 8) -> Model | None:
+    """labelled: text, lang, and doc_id if there is one. None if no row has both. Up to a thousand texts
+    of a language, Spark leaves the others behind in the tasks that read them."""
     key = F.xxhash64("text", *([F.col("doc_id")] if "doc_id" in labelled.columns else []))
     rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= train_bytes)
     sample = (
