@@ -153,7 +153,7 @@ class Field:
                 n = s.count("0")
                 if s[-1] not in "a0" or n < 7 and "@" not in s and "[aa]" not in s and "(aa)" not in s and (s.count(".") != 3 or not n):
                     continue
-                check = luhn(_NOT_DIGIT.sub("", raw[a:b])) if 13 <= n <= 19 else None
+                check = luhn(_NOT_DIGIT.sub("", raw[a:b])) if 15 <= n <= 19 else None
                 small = all(len(x) <= 3 and int(x) <= 255 for x in _NUMBER.findall(raw[a:b])) if s.count(".") == 3 else None
                 before = text[origin + a - 1 : origin + a].translate(_SHAPE) if origin + a else ""
                 after = text[origin + b : origin + b + 1].translate(_SHAPE)
@@ -262,6 +262,7 @@ def variants(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str
 def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, most: int = 1500) -> Field:
     """Stochastic gradient on the conditional likelihood of the regions' segmentations. Regions that
     look alike are one case that counts by the root of its number; at most ``most`` cases are used."""
+    crf, rng = Field(), random.Random(seed)
     cases: dict[tuple, tuple] = {}
     times: Counter = Counter()
     for text in texts:
@@ -275,16 +276,16 @@ def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, mo
                 if t is not text and not inside:
                     continue  # what else is near a variant has no labels
                 if (target := gold(tokens, inside)) is not None:
-                    look = t[tokens[0][0] : tokens[-1][1]].translate(_SHAPE)
-                    cases.setdefault((look, tuple(target)), (t, tokens, target))
-                    times[look, tuple(target)] += 1
-    crf, rng = Field(), random.Random(seed)
-    some = [(*cases[k], math.sqrt(times[k])) for k in sorted(cases)]
+                    look = (*(seg[2] for seg in crf.segments(t, tokens)), tuple(target))
+                    cases.setdefault(look, (t, tokens, target))
+                    times[look] += 1
+    some = [(*cases[k], math.sqrt(times[k])) for k in sorted(cases, key=repr)]
     rng.shuffle(some)
     some = some[:most]
+    epochs = max(epochs, 4000 // max(1, len(some)))
     for epoch in range(epochs):
         rng.shuffle(some)
-        step = rate / (1 + epoch / 10)
+        step = rate / (1 + 4 * epoch / epochs)
         for text, tokens, target, often in some:
             crf.cache.clear()
             by_start, n = crf.lattice(text, tokens), len(tokens)
