@@ -130,6 +130,8 @@ def top_k(
     table = table.join(F.broadcast(parts), ["s", "lead"]).withColumn("part", F.pmod(F.xxhash64("code"), "parts"))
     table = written(table.select("s", "lead", "part", "low", "code", "ids"))
     total = entries.select(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, id long, distance int")
     best = None
     for radius in range(1, bits + 1):
         # every lead the radius can reach, and what remains of it for the low bits; the first round has radius 0 too

@@ -12,8 +12,8 @@ Texts with equal sets become one node. Nodes that share a band are linked to one
 the node that meets most others, so buckets give links, not pairs. Links are verified on whole texts in
 two turns: the strongest link of each node, then those whose ends are still apart. Where a bucket then
 still holds several components, everyone outside its largest one is compared with all of the bucket, in
-blocks, by signature; pairs that could reach the threshold are verified too, first the likeliest of each
-node and component, then all between components that are left. So a similar pair that shares a bucket is
+blocks, by size and signature; pairs that could reach the threshold are verified too, first the likeliest
+of any two components, then all between components that are left. So a similar pair that shares a bucket is
 never lost, however large the bucket.
 
 With 24 bands of 4 rows, a pair of similarity 0.8 shares no bucket with probability 4e-6.
@@ -144,10 +144,11 @@ def _sign(bands: int, rows_in_band: int, weighted: bool):
                         batch.column("_id").slice(w.lo, rows),
                         pa.array(h1, mask=wordless),
                         pa.array(h2, mask=wordless),
+                        pa.array(np.bincount(row, count if weighted else None, rows).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(starts), pa.array(values.ravel())),
                         pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()),
                     ],
-                    names=["_id", "h1", "h2", "bands", "sig"],
+                    names=["_id", "h1", "h2", "size", "bands", "sig"],
                 )
 
     return run
@@ -202,26 +203,38 @@ def _same_set(weighted: bool):
     return run
 
 
-def _candidates(coordinates: int, share: float, best_only: bool):
-    """Pairs of a block of outsiders and a block of the bucket whose signatures could mean similarity:
-    all, or the likeliest one of each outsider and component."""
+def _candidates(coordinates: int, threshold: float):
+    """Pairs of a block of outsiders and a block of the bucket that could be similar: sets of fitting
+    sizes, and signatures that agree often enough. A pair that shares several buckets comes from the
+    first."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, coordinates)
-        node, root = frame["node"].to_numpy(), frame["root"].to_numpy()
-        rest = np.flatnonzero(frame["outside"].to_numpy())
-        whole = np.flatnonzero(~frame["outside"].to_numpy())
-        out = [np.zeros((0, 2), np.int64)]
-        for i in rest:
-            other = whole[root[whole] != root[i]]
-            same = (sig[other] == sig[i]).sum(axis=1)
-            near, same = other[same >= share * coordinates], same[same >= share * coordinates]
-            if best_only and len(near) > 1:
-                order = np.lexsort((-same, root[near]))
-                near = near[order][np.r_[True, np.diff(root[near][order]) != 0]]
-            out.append(np.stack([np.maximum(node[near], node[i]), np.minimum(node[near], node[i])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        bands = np.stack(frame["bands"].to_numpy())
+        node, root, size = (frame[c].to_numpy() for c in ("node", "root", "size"))
+        band, outside = int(frame["band"].iloc[0]), frame["outside"].to_numpy()
+        whole = np.flatnonzero(~outside)
+        found: list[tuple] = [(np.zeros(0, np.int64),) * 5]
+        for i in np.flatnonzero(outside):
+            fits = np.minimum(size[whole], size[i]) >= threshold * np.maximum(size[whole], size[i])
+            near = whole[fits & (root[whole] != root[i])]
+            near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+            same = (sig[near] == sig[i]).sum(axis=1)
+            ok = same >= 0.75 * threshold * coordinates
+            near, same = near[ok], same[ok]
+            if len(near):
+                found.append((np.full(len(near), node[i]), node[near], np.full(len(near), root[i]), root[near], same))
+        one, two, r1, r2, same = (np.concatenate(x) for x in zip(*found))
+        up = one > two
+        return pd.DataFrame(
+            {
+                "a": np.where(up, one, two),
+                "b": np.where(up, two, one),
+                "root_a": np.where(up, r1, r2),
+                "root_b": np.where(up, r2, r1),
+                "same": same,
+            }
+        ).drop_duplicates(["a", "b"])
 
     return run
 
@@ -268,21 +281,21 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
     rows = written(
-        source.mapInArrow(_sign(bands, rows_in_band, weighted), f"_id {id_type}, h1 long, h2 long, bands array<long>, sig binary")
+        source.mapInArrow(_sign(bands, rows_in_band, weighted), f"_id {id_type}, h1 long, h2 long, size long, bands array<long>, sig binary")
     )
     nodes = written(
         rows.where("h1 is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min("_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(buckets.join(shared, ["band", "value"]).select("band", "value", "node", "size"))
+    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(buckets.join(shared, ["band", "value"]).select("band", "value", "node", "n"))
     # the text that others are copies of meets more of them than any copy does: it leads its buckets
-    rank = met.groupBy("node").agg(F.sum("size").alias("rank"))
-    led = met.join(rank, "node").withColumn("n", -F.col("node"))
-    leaders = led.groupBy("band", "value").agg((-F.max(F.struct("rank", "n"))["n"]).alias("leader"))
+    rank = met.groupBy("node").agg(F.sum("n").alias("rank"))
+    led = met.join(rank, "node").withColumn("low", -F.col("node"))
+    leaders = led.groupBy("band", "value").agg((-F.max(F.struct("rank", "low"))["low"]).alias("leader"))
     members = written(met.join(leaders, ["band", "value"]).select("band", "value", "node", "leader"))
     in_buckets = members.select("node").distinct()
     wanted = nodes.select("node", "rep", "h1", "h2").join(in_buckets, "node")
@@ -307,6 +320,8 @@ def near_duplicates(
                 return roots
 
     def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        if edges.isEmpty():
+            return roots
         links = apart(edges, roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
         top = connected_components(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), links)
         top = top.select(F.col("id").alias("root"), F.col("root").alias("top"))
@@ -325,22 +340,25 @@ def near_duplicates(
     roots = led_to(verified(strongest))
     tested = votes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = written(apart(votes.join(strongest, ["a", "b"], "left_anti"), roots).select("a", "b"))
-    for best_only in (None, True, False):
-        if best_only is not None:
-            rest = written(_across(members, roots, nodes, k, threshold, best_only).join(tested, ["a", "b"], "left_anti"))
-            tested = tested.unionByName(rest)
-        if not rest.isEmpty():
-            found = verified(rest)
-            if not found.isEmpty():
-                roots = joined(roots, found)
+    roots = joined(roots, verified(rest))
+    pairs = written(_across(members, roots, nodes, k, threshold).join(tested, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        # first the likeliest pair of any two components, then what is between those that are left
+        ends = (F.least("root_a", "root_b"), F.greatest("root_a", "root_b"))
+        best = pairs.groupBy(*ends).agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b")
+        best = written(best)
+        roots = joined(roots, verified(best))
+        others = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).select("a", "b")
+        roots = joined(roots, verified(written(others)))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     return NearDuplicates(rows, written(placed.join(ids, "root").select("node", "h1", "h2", "rep", "class_id")), weighted)
 
 
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float, best_only: bool) -> DataFrame:
-    """Pairs within buckets of several components that leader links can't have settled. A true pair
-    falls below three quarters of the threshold in its signature with probability under 1e-6."""
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs within buckets of several components that leader links can't have settled: a, b, their
+    roots, and the coordinates they share. A true pair falls below three quarters of the threshold in
+    its signature with probability under 1e-6."""
     m = members.join(roots, "node")
     parts = m.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
     main = (
@@ -355,14 +373,16 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, thre
             F.ceil(F.col("total") / BLOCK).alias("all_blocks"),
         )
     )
-    m = m.join(main, ["band", "value"]).join(nodes.select("node", "sig"), "node")
+    m = m.join(main, ["band", "value"]).join(nodes.select("node", "size", "bands", "sig"), "node")
     h = F.xxhash64("node")
 
     def blocks(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    key = ["band", "value", "i", "j"]
-    rest = m.where("root <> main").select(*key[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), "node", "root", "sig", F.lit(True).alias("outside"))
-    whole = m.select(*key[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), "node", "root", "sig", F.lit(False).alias("outside"))
-    pairs = rest.unionByName(whole).groupBy(*key).applyInPandas(_candidates(k, 0.75 * threshold, best_only), "a long, b long")
-    return pairs.distinct()
+    key, kept = ["band", "value", "i", "j"], ["node", "root", "size", "bands", "sig"]
+    rest = m.where("root <> main").select(*key[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), *kept, F.lit(True).alias("outside"))
+    whole = m.select(*key[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), *kept, F.lit(False).alias("outside"))
+    pairs = rest.unionByName(whole).groupBy(*key).applyInPandas(
+        _candidates(k, threshold), "a long, b long, root_a long, root_b long, same long"
+    )
+    return pairs.dropDuplicates(["a", "b"])
