@@ -1,8 +1,8 @@
 """Exact quantiles and order statistics that do not depend on one task's memory.
 
 Spark's ``percentile`` keeps a map of every distinct value of the column in a
-single reducer. That is the best plan while the map is small, so it is used up to
-``budget`` rows. Beyond it the value is bracketed with the bounded
+single reducer. That is the best plan while the maps are small, so it is used up to four times
+``budget`` cells (rows times columns). Beyond it the value is bracketed with the bounded
 ``approx_percentile`` sketch, the bracket is counted exactly, and only the values
 inside the last, small bracket are grouped and ranked.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tablekit.functions.columns import chunks, number_text, quoted
 
 MAP_BUDGET = 1_000_000
+# maps of several columns meet in one reducer: together they hold this many times the budget at most
+CELLS_PER_ROW = 4
 SKETCH_ACCURACY = 10_000
 COLUMNS_PER_PASS = 40
 
@@ -148,7 +150,7 @@ def exact_quantiles(
     for part in chunks(names, COLUMNS_PER_PASS):
         alias = {c: f"q{i}" for i, c in enumerate(part)}
         narrow = df.selectExpr(*[f"double({quoted(c)}) AS {a}" for c, a in alias.items()])
-        if narrow.count() <= budget:
+        if narrow.count() * len(part) <= CELLS_PER_ROW * budget:
             points = {c: ", ".join(number_text(p) for p in probs[c]) for c in part}
             row = narrow.selectExpr(*[f"percentile({alias[c]}, array({points[c]}))" for c in part]).first()
             for i, c in enumerate(part):

@@ -1,20 +1,36 @@
-"""Cutting lineage for iterative jobs."""
+"""Folders that all machines share, and cutting lineage in them."""
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, else the warehouse, which tables share anyway.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    A warehouse on a local disk is refused where tasks run on other machines.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    if re.match(r"file:|/", folder) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str = "files") -> str:
+    """A fresh folder there."""
+    return f"{shared_base(spark)}/tablekit-{kind}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablekit-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
     return df.checkpoint()

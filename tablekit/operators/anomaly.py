@@ -59,12 +59,21 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
 def grow_forest(
     df: DataFrame, cols: Sequence[str], key: Sequence[str], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42
 ) -> pd.DataFrame:
-    """Trees from per-tree hash subsamples of a bounded pool, one tree per group."""
-    pool = sample_n(df, 2 * trees * rows, key, seed)
+    """Trees from per-tree hash subsamples of a bounded pool, one tree per group. Which trees a row may be
+    in is decided by its hash for each tree before anything is moved."""
+    pool = checkpoint(sample_n(df, 2 * trees * rows, key, seed).select(*[col(k) for k in dict.fromkeys([*key, *cols])]))
+    held = pool.count()
+    # twice the rows a tree needs and more: fewer than it needs have odds below 1e-9
+    share = 1.0 if held <= 4 * rows else min(1.0, (2 * rows + 200) / held)
+    bound = int((share - 0.5) * 2 * (2**63 - 1))
+    trees_of = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("h", t).alias("h"))),
+        lambda s: s["h"] <= F.lit(bound),
+    )
     each = (
         pool.select(F.array(*[col(c) for c in cols]).alias("x"), row_hash(key, seed).alias("h"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("h", F.xxhash64("h", "tree"))
+        .select("x", F.explode(trees_of).alias("t"))
+        .select("x", "t.tree", "t.h")
     )
     order = Window.partitionBy("tree").orderBy("h")
     drawn = each.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= rows)
@@ -122,8 +131,9 @@ def isolation_forest(
                 total += depth[t, node]
             yield pd.DataFrame({"key": b["key"], "score": 2.0 ** (-total / len(per_tree) / norm)})
 
-    rows_in = points.select(col(key).cast("long").alias("key"), F.array(*[col(c) for c in names]).alias("x"))
-    scored = checkpoint(rows_in.mapInPandas(score, "key long, score double"))
+    rows_in = points.select(col(key).alias("key"), F.array(*[col(c) for c in names]).alias("x"))
+    kind = rows_in.schema["key"].dataType.simpleString()
+    scored = checkpoint(rows_in.mapInPandas(score, f"key {kind}, score double"))
     p = 1 - contamination
     bound = exact_quantiles(scored, {"score": [p]})["score"][p]
     return scored.select(F.col("key").alias(key), "score", (F.col("score") > F.lit(bound)).alias("is_anomaly"))

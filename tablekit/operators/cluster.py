@@ -7,12 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.functions.columns import col, require_columns, small_table
+from tablekit.functions.columns import col, numeric_columns, require_columns, small_table
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import prepared
+from tablekit.operators.neighbours import numbered, own_key
 
 LABEL = "cluster_label"
 ROWS_PER_SALT = 50_000
@@ -27,7 +28,7 @@ def _with_label(df: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
     return base.join(labelled.select(key, LABEL), key)
 
 
-def fit_kmeans(points: DataFrame, names: Sequence[str], k: int, seed: int = 42, starts: int = 1):
+def fit_kmeans(points: DataFrame, names: Sequence[str], k: int, seed: int = 42, starts: int = 10):
     """(labelled table, model) of the best of several starts, on prepared columns."""
     vectors = _vectors(points, names).persist()
     try:
@@ -48,7 +49,7 @@ def clamp_k(k: int, rows: int) -> int:
 
 
 def kmeans(
-    df: DataFrame, k: int, cols: Sequence[str] | None = None, key: str | None = None, seed: int = 42, starts: int = 1
+    df: DataFrame, k: int, cols: Sequence[str] | None = None, key: str | None = None, seed: int = 42, starts: int = 10
 ) -> tuple[DataFrame, DataFrame, float]:
     """(table with ``cluster_label``, centres in prepared space, inertia)."""
     points, names = prepared(df.drop(LABEL), cols, skip=(key,) if key else ())
@@ -273,6 +274,22 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _numbers(roots: DataFrame) -> DataFrame:
+    """``root, label``: 0, 1, ... in order of the roots. Ranges of a sort are numbered one by one and
+    continued from the sizes of those before, a row per range."""
+    at = F.monotonically_increasing_id()
+    ranged = roots.orderBy("root").select(
+        "root", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")
+    )
+    ranged = checkpoint(ranged)
+    before, starts = 0, []
+    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["n"]
+    table = small_table(roots.sparkSession, starts, "part long, before long")
+    return ranged.join(F.broadcast(table), "part").select("root", (F.col("before") + F.col("nth")).alias("label"))
+
+
 def dbscan(
     df: DataFrame,
     key: str,
@@ -289,13 +306,14 @@ def dbscan(
     comparing anything, which is where crowded regions end.
     """
     require_columns(df, key)
-    work, names = df, list(cols or [])
+    df = numbered(df, key)
+    work, names = df, list(cols or numeric_columns(df, exclude=(LABEL, key, "_tk_key")))
     if standardise:
-        work, names = prepared(df, cols, skip=(key,))
+        work, names = prepared(df, cols, skip=(key, "_tk_key"))
     dims = len(names)
     width = eps / math.sqrt(dims) * (1 - 1e-9)
     rows = work.select(
-        col(key).cast("long").alias("key"), F.array(*[col(c).cast("double") + F.lit(0.0) for c in names]).alias("x")
+        col("_tk_key").alias("key"), F.array(*[col(c).cast("double") + F.lit(0.0) for c in names]).alias("x")
     )
     places = checkpoint(
         rows.groupBy("x")
@@ -316,7 +334,8 @@ def dbscan(
     names_out = ["id", "cell", "x", "w"]
     core = checkpoint(places.join(dense, "cell").select(*names_out).unionByName(thin_core.select(*names_out)))
     if core.isEmpty():
-        return rows.select(F.col("key").alias(key), F.lit(-1).cast("long").alias(LABEL))
+        none = rows.select(F.col("key").alias("_tk_n"), F.lit(-1).cast("long").alias(LABEL))
+        return own_key(none, df, key, "_tk_n")
     core_cells = core.groupBy("cell").agg(F.min("id").alias("cid"))
     core_pairs = pairs.join(core_cells.select(F.col("cell").alias("a")), "a", "left_semi").join(
         core_cells.select(F.col("cell").alias("b")), "b", "left_semi"
@@ -327,10 +346,7 @@ def dbscan(
         ids.select(F.col("cell").alias("b"), F.col("cid").alias("v")), "b"
     )
     roots = connected_components(core_cells.select(F.col("cid").alias("id")), edges)
-    # one row per cluster: numbering them is the only global order
-    number = roots.select("root").distinct().withColumn(
-        "label", (F.row_number().over(Window.orderBy("root")) - 1).cast("long")
-    )
+    number = _numbers(roots.select("root").distinct())
     cell_label = checkpoint(
         core_cells.join(roots.withColumnRenamed("id", "cid"), "cid").join(number, "root").select("cell", "label")
     )
@@ -348,6 +364,7 @@ def dbscan(
         .agg(F.min("label").alias("label"))
     )
     labels = places.select("id", "x").join(core_label.unionByName(border), "id", "left")
-    return rows.join(labels.select("x", "label"), "x").select(
-        F.col("key").alias(key), F.coalesce("label", F.lit(-1)).cast("long").alias(LABEL)
+    found = rows.join(labels.select("x", "label"), "x").select(
+        F.col("key").alias("_tk_n"), F.coalesce("label", F.lit(-1)).cast("long").alias(LABEL)
     )
+    return own_key(found, df, key, "_tk_n")

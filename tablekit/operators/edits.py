@@ -167,6 +167,12 @@ def row_aggregate(df: DataFrame, name: str, op: str, cols: Sequence[str] | None
     return df.withColumn(name, out)
 
 
+def _whole(c: Column) -> Column:
+    """A 64-bit whole number, or text of one, with all its digits; else missing."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("long"))
+
+
 def round_columns(df: DataFrame, cols: Sequence[str] | None, decimals: int) -> DataFrame:
     """Half-to-even rounding; text is read as numbers first; 0 decimals gives integers."""
     if not 0 <= decimals <= 15:
@@ -179,11 +185,13 @@ def round_columns(df: DataFrame, cols: Sequence[str] | None, decimals: int) -> D
         names = [c for c in names if c not in text or row[c] > 0]
     changes = {}
     for c in names:
+        if isinstance(df.schema[c].dataType, T.IntegralType):
+            continue  # whole already, and a double wouldn't hold all its digits
         value = to_number(col(c)) if c in text else col(c)
         # scale, round half to even, scale back: the arithmetic of a float array
         scale = F.lit(float(10**decimals))
         value = F.rint(value.cast("double") * scale) / scale
-        changes[c] = value.cast("long") if decimals == 0 else value
+        changes[c] = F.coalesce(_whole(col(c)), value.cast("long")) if decimals == 0 else value
     return _replace(df, changes)
 
 
@@ -261,9 +269,9 @@ def convert_type(df: DataFrame, column: str, to: str) -> DataFrame:
     c = col(column)
     number = c.cast("double") if is_numeric(df, column) else to_number(c.cast("string"))
     if to == "integer":
-        if not df.filter(number != F.floor(number)).isEmpty():
+        if not df.filter(_whole(c).isNull() & (number != F.floor(number))).isEmpty():
             raise ValueError(f"{column} holds fractions, it cannot become integer")
-        out = number.try_cast("long")
+        out = F.coalesce(_whole(c), number.try_cast("long"))
     elif to == "float":
         out = number
     elif to in ("text", "category"):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
     IDF,
     Normalizer,
     OneHotEncoder,
@@ -15,8 +18,13 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StopWordsRemover,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,26 +164,70 @@ def one_hot(df: DataFrame, cols: Sequence[str], min_frequency: int | None = None
     return out.drop(*[f"{c}_index" for c in cols])
 
 
-def split_stop_words() -> list[str]:
-    """Stop words as a plain word tokenizer sees them: cut at, and joined over, the apostrophe."""
-    return sorted({w.split("'")[0] for w in STOP_WORDS} | {w.replace("'", "") for w in STOP_WORDS})
+def stop_tokens() -> list[str]:
+    """What the word tokenizer makes of the stop words."""
+    return sorted({t for w in STOP_WORDS for t in re.findall(r"\w+", w) if len(t) > 1})
+
+
+class TopTerms(Estimator):
+    """Fits a term counter whose vocabulary is the most frequent terms, ties by term."""
+
+    def __init__(self, source: str, out: str, size: int) -> None:
+        super().__init__()
+        self.source, self.out, self.size = source, out, size
+
+    def _fit(self, df: DataFrame):
+        words = df.select(F.explode(col(self.source)).alias("term"))
+        top = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(self.size)
+        # at most ``size`` rows; a model needs one term
+        terms = [r["term"] for r in top.collect()] or [""]
+        return CountVectorizerModel.from_vocabulary(terms, inputCol=self.source, outputCol=self.out)
+
+
+class DampedCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term counts n to 1 + ln n."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None) -> None:
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        counts = vector_to_array(col(self.getInputCol()))
+        damped = F.transform(counts, lambda n: F.when(n > 0, F.log(n) + 1.0).otherwise(0.0))
+        return df.withColumn(self.getOutputCol(), array_to_vector(damped))
+
+
+class SmoothIdf(Estimator):
+    """Fits a stage that multiplies by ln((1 + n) / (1 + df)) + 1."""
+
+    def __init__(self, source: str, out: str) -> None:
+        super().__init__()
+        self.source, self.out = source, out
+
+    def _fit(self, df: DataFrame):
+        idf = IDF(inputCol=self.source, outputCol=self.out).fit(df).idf
+        return ElementwiseProduct(
+            scalingVec=Vectors.dense([float(x) + 1.0 for x in idf]), inputCol=self.source, outputCol=self.out
+        )
 
 
 def tfidf_stages(column: str, max_features: int, out: str) -> list:
     """Text to a length-1 vector of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
-    t = f"_{column}"
+    t = f"_tk_{column}"
     return [
         # a missing text counts as empty
-        SQLTransformer(statement=f"SELECT *, coalesce(`{column}`, '') AS `{t}_text` FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, coalesce({quoted(column)}, '') AS {quoted(t + '_text')} FROM __THIS__"),
         RegexTokenizer(
             inputCol=f"{t}_text",
             outputCol=f"{t}_tok",
             pattern=r"[^\p{L}\p{N}_]+",
             minTokenLength=2,
         ),
-        StopWordsRemover(inputCol=f"{t}_tok", outputCol=f"{t}_words", stopWords=split_stop_words()),
-        CountVectorizer(inputCol=f"{t}_words", outputCol=f"{t}_tf", vocabSize=max_features),
-        IDF(inputCol=f"{t}_tf", outputCol=f"{t}_idf"),
+        StopWordsRemover(inputCol=f"{t}_tok", outputCol=f"{t}_words", stopWords=stop_tokens()),
+        TopTerms(f"{t}_words", f"{t}_tf", max_features),
+        DampedCounts(inputCol=f"{t}_tf", outputCol=f"{t}_damped"),
+        SmoothIdf(f"{t}_damped", f"{t}_idf"),
         Normalizer(inputCol=f"{t}_idf", outputCol=out),
     ]
 
@@ -191,7 +243,7 @@ def tfidf(df: DataFrame, column: str, max_features: int = 300):
 def tfidf_terms(df: DataFrame, column: str, key: Sequence[str], max_features: int = 300) -> DataFrame:
     """The same weights in long form with sublinear tf, exact in SQL: key, term, weight."""
     require_columns(df, column, *key)
-    stop = split_stop_words()
+    stop = stop_tokens()
     toks = F.filter(
         F.regexp_extract_all(F.lower(col(column)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)),
         lambda w: (F.length(w) > 1) & ~w.isin(*stop),
@@ -214,13 +266,34 @@ def tfidf_terms(df: DataFrame, column: str, key: Sequence[str], max_features: in
     return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
+def _level_model(df: DataFrame, cats: Sequence[str], fills: Mapping, min_frequency: int) -> StringIndexerModel:
+    """Indexer of the values seen at least ``min_frequency`` times; rarer ones share the place of unseen
+    ones, in training as in any later table."""
+    filled = df.select(*[F.coalesce(col(c).cast("string"), F.lit(str(fills.get(c, "Unknown")))).alias(c) for c in cats])
+    kept = (
+        value_frequency(filled, cats)
+        .filter(F.col("count") >= min_frequency)
+        .groupBy("column_name")
+        .agg(F.sort_array(F.collect_list("value")).alias("values"))
+    )
+    values = {r["column_name"]: r["values"] for r in kept.collect()}  # at most rows / min_frequency values
+    return StringIndexerModel.from_arrays_of_labels(
+        [values.get(c) or [""] for c in cats],
+        inputCols=[f"_tk_{c}_filled" for c in cats],
+        outputCols=[f"_tk_{c}_index" for c in cats],
+        handleInvalid="keep",
+    )
+
+
 def feature_stages(
     df: DataFrame,
     target: str,
     max_text_features: int = 300,
     roles: Mapping[str, str] | None = None,
+    out: str = "features",
+    min_frequency: int | None = None,
 ) -> tuple[list, dict[str, list[str]]]:
-    """Pipeline stages from raw columns to ``features``, and the columns by role."""
+    """Pipeline stages from raw columns to ``out``, and the columns by role."""
     if roles is None:
         roles = {r["column_name"]: r["role"] for r in column_profile(df.drop(target)).collect()}
     names = [c for c in df.columns if c != target]
@@ -233,37 +306,33 @@ def feature_stages(
         base = df.select(*[col(c).cast("double").alias(c) for c in nums], *[col(c).cast("string").alias(c) for c in cats])
         fills = fill_values(base)
         params = scaling(_filled(base, {c: fills.get(c) for c in nums}), nums) if nums else {}
-        exprs = ["*"]
+        exprs = []
         for c in nums:
             m, s = params[c]
             med = fills.get(c) or 0.0
-            exprs.append(f"(coalesce(cast(`{c}` as double), {med!r}D) - ({m!r}D)) / {s!r}D AS `{c}_scaled`")
+            cell = f"coalesce(cast({quoted(c)} as double), {med!r}D)"
+            exprs.append(f"({cell} - ({m!r}D)) / {s!r}D AS {quoted(f'_tk_{c}_scaled')}")
         for c in cats:
             safe = str(fills.get(c, "Unknown")).replace("\\", "\\\\").replace("'", "\\'")
-            exprs.append(f"coalesce(cast(`{c}` as string), '{safe}') AS `{c}_filled`")
-        for part in chunks(exprs[1:], 200):
+            exprs.append(f"coalesce(cast({quoted(c)} as string), '{safe}') AS {quoted(f'_tk_{c}_filled')}")
+        for part in chunks(exprs, 200):
             stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(part)} FROM __THIS__"))
         if nums:
-            stages.append(VectorAssembler(inputCols=[f"{c}_scaled" for c in nums], outputCol="_num"))
-            parts.append("_num")
+            stages.append(VectorAssembler(inputCols=[f"_tk_{c}_scaled" for c in nums], outputCol="_tk_num"))
+            parts.append("_tk_num")
         if cats:
-            stages += [
-                StringIndexer(
-                    inputCols=[f"{c}_filled" for c in cats],
-                    outputCols=[f"{c}_index" for c in cats],
-                    handleInvalid="keep",
-                ),
-                OneHotEncoder(
-                    inputCols=[f"{c}_index" for c in cats],
-                    outputCols=[f"{c}_onehot" for c in cats],
-                    handleInvalid="keep",
-                ),
-            ]
-            parts += [f"{c}_onehot" for c in cats]
+            ins, outs = [f"_tk_{c}_filled" for c in cats], [f"_tk_{c}_index" for c in cats]
+            if min_frequency:
+                stages.append(_level_model(df, cats, fills, min_frequency))
+            else:
+                stages.append(StringIndexer(inputCols=ins, outputCols=outs, handleInvalid="keep"))
+            onehot = [f"_tk_{c}_onehot" for c in cats]
+            stages.append(OneHotEncoder(inputCols=outs, outputCols=onehot, handleInvalid="keep"))
+            parts += onehot
     for c in texts:
-        stages += tfidf_stages(c, max_text_features, f"{c}_tfidf")
-        parts.append(f"{c}_tfidf")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
+        stages += tfidf_stages(c, max_text_features, f"_tk_{c}_tfidf")
+        parts.append(f"_tk_{c}_tfidf")
+    stages.append(VectorAssembler(inputCols=parts, outputCol=out))
     return stages, {"numeric": nums, "categorical": cats, "text": texts}
 
 
@@ -276,19 +345,27 @@ def components_for(model, share: float) -> int:
     return n
 
 
-def feature_pipeline(df: DataFrame, target: str, use_pca: bool = False, max_text_features: int = 300):
+def feature_pipeline(
+    df: DataFrame,
+    target: str,
+    use_pca: bool = False,
+    max_text_features: int = 300,
+    out: str = "features",
+    min_frequency: int | None = None,
+):
     """Fitted pipeline: numbers imputed and scaled (optionally reduced to 95 % of their
-    variance), categories one-hot, text tf-idf, all in ``features``."""
+    variance), categories one-hot (those rarer than ``min_frequency`` folded), text tf-idf, all in
+    ``out``. Columns in between have private names."""
     require_columns(df, target)
-    stages, roles = feature_stages(df, target, max_text_features)
+    stages, roles = feature_stages(df, target, max_text_features, out=out, min_frequency=min_frequency)
     if use_pca and len(roles["numeric"]) >= 2:
-        at = next(i for i, s in enumerate(stages) if isinstance(s, VectorAssembler) and s.getOutputCol() == "_num")
+        at = next(i for i, s in enumerate(stages) if isinstance(s, VectorAssembler) and s.getOutputCol() == "_tk_num")
         numbers = Pipeline(stages=stages[: at + 1]).fit(df).transform(df)
         k = len(roles["numeric"])
-        need = components_for(PCA(k=k, inputCol="_num", outputCol="_p").fit(numbers), 0.95)
-        stages.insert(at + 1, PCA(k=need, inputCol="_num", outputCol="_num_pca"))
+        need = components_for(PCA(k=k, inputCol="_tk_num", outputCol="_tk_p").fit(numbers), 0.95)
+        stages.insert(at + 1, PCA(k=need, inputCol="_tk_num", outputCol="_tk_num_pca"))
         last = stages[-1]
-        last.setInputCols(["_num_pca" if c == "_num" else c for c in last.getInputCols()])
+        last.setInputCols(["_tk_num_pca" if c == "_tk_num" else c for c in last.getInputCols()])
     return Pipeline(stages=stages).fit(df)
 
 

@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, require_columns, small_table
-from tablekit.operators.sample import sample_n
 
 SCORES_PER_BUCKET = 200_000
-SILHOUETTE_SAMPLE = 5_000
 
 
 def rank_auc(df: DataFrame, score: Column, positive: Column, per_bucket: int = SCORES_PER_BUCKET) -> float | None:
@@ -29,7 +27,7 @@ def rank_auc(df: DataFrame, score: Column, positive: Column, per_bucket: int = S
         F.col("s").isNotNull() & F.col("p").isNotNull()
     )
     n = rows.count()
-    buckets = min(5000, math.ceil(n / per_bucket))
+    buckets = math.ceil(n / per_bucket)
     counts = rows.groupBy("s").agg(
         F.sum("p").cast("double").alias("pos"), F.sum(1 - F.col("p")).cast("double").alias("neg")
     )
@@ -146,57 +144,42 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return small_table(df.sparkSession, out, "metric string, value double")
 
 
-def _silhouette(df: DataFrame, label: str, cols: Sequence[str], key: Sequence[str], sample: int) -> float | None:
-    """Mean silhouette over a repeatable sample, as the score is defined on samples: distances
-    are quadratic in it. The sample (bounded) travels to the tasks, which score its rows."""
-    pts = sample_n(df, sample, key).select(
-        col(label).cast("string").alias("c"), F.array(*[col(c).cast("double") for c in cols]).alias("x")
-    )
-    local = pts.toPandas()  # at most ``sample`` rows
-    codes, classes = pd.factorize(local["c"])
-    if len(classes) < 2:
-        return None
-    x = np.array(local["x"].tolist(), dtype=float)
-    sizes = np.bincount(codes)
-    member = np.zeros((len(codes), len(classes)))
-    member[np.arange(len(codes)), codes] = 1.0
+def _silhouette(
+    df: DataFrame, label: str, cols: Sequence[str], names: Sequence, sizes: np.ndarray, mean: np.ndarray, spread: np.ndarray
+) -> float | None:
+    """Mean silhouette of all rows in squared Euclidean distance. The mean squared distance of a row to
+    a cluster is that to its centre plus the cluster's variance, so no pair of rows is compared."""
+    shared = df.sparkSession.sparkContext.broadcast((list(names), sizes, mean, spread))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sizes, mean, spread = shared.value
+        at = {c: i for i, c in enumerate(names)}
+        step = max(1, (1 << 22) // (len(names) * max(1, mean.shape[1])))
         for b in batches:
-            total, count = 0.0, 0
-            for at in np.array_split(b["i"].to_numpy(), max(1, len(b) // 256)):
-                d = np.zeros((len(at), len(x)))
-                for j in range(x.shape[1]):
-                    d += (x[at, j][:, None] - x[None, :, j]) ** 2
-                sums = np.sqrt(d) @ member
-                own = codes[at]
-                rows = np.arange(len(at))
-                n_own = sizes[own]
-                inner = sums[rows, own] / np.maximum(n_own - 1, 1)
-                means = sums / sizes[None, :]
-                means[rows, own] = np.inf
-                outer = means.min(axis=1)
+            own_all = b["c"].map(at).to_numpy()
+            x_all = np.array(b["x"].tolist(), dtype=float).reshape(len(b), -1)
+            total = 0.0
+            for i in range(0, len(b), step):
+                own, x = own_all[i : i + step], x_all[i : i + step]
+                d = ((x[:, None, :] - mean[None, :, :]) ** 2).sum(axis=2) + spread
+                rows, n = np.arange(len(x)), sizes[own]
+                inner = d[rows, own] * n / np.maximum(n - 1, 1)
+                d[rows, own] = np.inf
+                outer = d.min(axis=1)
                 top = np.maximum(inner, outer)
-                s = np.where((n_own > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0)
-                total, count = total + float(s.sum()), count + len(at)
-            yield pd.DataFrame({"s": [total], "n": [count]})
-
-    spark = df.sparkSession
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(codes) // 200))
-    index = spark.range(0, len(codes), 1, parts).withColumnRenamed("id", "i")
-    row = index.mapInPandas(score, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
-    return row[0] / row[1]
+                total += float(np.where((n > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0).sum())
+            yield pd.DataFrame({"s": [total], "n": [len(b)]})
 
+    pts = df.select(col(label).cast("string").alias("c"), F.array(*[col(c).cast("double") for c in cols]).alias("x"))
+    row = pts.mapInPandas(score, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
+    return row[0] / row[1] if row[1] else None
 
-def cluster_metrics(
-    df: DataFrame, label: str, cols: Sequence[str], key: Sequence[str], sample: int = SILHOUETTE_SAMPLE
-) -> DataFrame:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin; empty for under two or too many labels.
 
-    The last two come from two grouped passes over all rows.
-    """
+def cluster_metrics(df: DataFrame, label: str, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Silhouette (in squared Euclidean distance), Calinski-Harabasz and Davies-Bouldin of all rows;
+    empty for under two or too many labels. Three grouped passes, a row per cluster each."""
     require_columns(df, label, *cols, *key)
-    groups = df.groupBy(col(label).alias("c")).agg(
+    groups = df.groupBy(col(label).alias("c"), col(label).cast("string").alias("name")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(col(c)) for c in cols]).alias("mean"),
         F.array(*[F.var_pop(col(c)) for c in cols]).alias("var"),
@@ -238,7 +221,7 @@ def cluster_metrics(
         ratio[i] = 0.0
         worst[i] = np.nan_to_num(ratio, nan=0.0, posinf=0.0).max()
     out = [("calinski_harabasz", float(ch)), ("davies_bouldin", float(worst.mean()))]
-    sil = _silhouette(df, label, cols, key, sample)
+    sil = _silhouette(df, label, cols, [r["name"] for r in rows], sizes, mean, var.sum(axis=1))
     if sil is not None:
-        out.insert(0, ("silhouette", float(sil)))
+        out.insert(0, ("silhouette_squared", float(sil)))
     return small_table(df.sparkSession, out, schema)

@@ -16,8 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablekit.functions.columns import col, is_numeric, quoted, require_columns, small_table
+from tablekit.functions.columns import col, is_numeric, numeric_columns, quoted, require_columns, small_table
 from tablekit.functions.order_stats import exact_quantiles
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import prepared
@@ -61,8 +62,6 @@ def _candidates(
 ) -> DataFrame:
     """Cells each query has to look into. First round: the nearest cells by upper bound that
     together hold k points. Second round (``bound`` known): every other cell not ruled out."""
-    between = _distances(pivots, pivots) if second else None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = _rows_per_step(len(pivots))
         for b in batches:
@@ -78,8 +77,11 @@ def _candidates(
                     bound = part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
                     near = d.argmin(axis=1)
                     own = d[np.arange(len(part)), near][:, None]
+                    # distances between pivots, only from those that are nearest to some query here
+                    used, which = np.unique(near, return_inverse=True)
+                    between = _distances(pivots[used], pivots)[which]
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (d**2 - own**2) / (2 * between[near])
+                        plane = (d**2 - own**2) / (2 * between)
                     plane[np.arange(len(part)), near] = 0.0
                     hit = ~first & (d - radius[None, :] <= bound) & ~(plane > bound)
                 at, cell = np.nonzero(hit)
@@ -209,6 +211,25 @@ def _points(df: DataFrame, cols: Sequence[str], key: str, name: str) -> DataFram
     return df.selectExpr(f"bigint({quoted(key)}) AS {name}", f"array({x}) AS x")
 
 
+def numbered(df: DataFrame, key: str, name: str = "_tk_key") -> DataFrame:
+    """``df`` with a whole-number key ``name`` in the order of ``key``, whose type may be any."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df.withColumn(name, col(key).cast("long"))
+    # ranges of a sort are numbered upwards, so order is kept; written, so the numbers stay
+    ids = df.select(col(key).alias("_tk_own")).distinct().orderBy("_tk_own")
+    ids = checkpoint(ids.withColumn(name, F.monotonically_increasing_id()))
+    return df.join(ids, col(key).eqNullSafe(F.col("_tk_own"))).drop("_tk_own")
+
+
+def own_key(result: DataFrame, source: DataFrame, key: str, name: str) -> DataFrame:
+    """``result`` with the table's own key in place of the number ``name``."""
+    if isinstance(source.schema[key].dataType, T.IntegralType):
+        return result.withColumnRenamed(name, key)
+    names = source.select(col(key).alias("_tk_back"), F.col("_tk_key").alias("_tk_of")).distinct()
+    back = result.join(names, F.col(name) == F.col("_tk_of"))
+    return back.select(F.col("_tk_back").alias(key), *[col(c) for c in result.columns if c != name])
+
+
 def knn_vote(near: DataFrame, targets: DataFrame, classify: bool) -> DataFrame:
     """Majority (the smallest class on a tie) or mean of the neighbours' targets.
 
@@ -240,13 +261,14 @@ def knn_predict(
     require_columns(train, *features, target, key)
     if classify is None:
         classify = not is_numeric(train, target)
-    base = train.filter(col(target).isNotNull())
+    base = numbered(train.filter(col(target).isNotNull()), key)
+    asked = numbered(test, key)
     fit, _ = prepared(base, features, fitted_on=base)
-    ask, _ = prepared(test, features, fitted_on=base)
-    near = knn_join(_points(ask, features, key, "qkey"), _points(fit, features, key, "pkey"), k)
+    ask, _ = prepared(asked, features, fitted_on=base)
+    near = knn_join(_points(ask, features, "_tk_key", "qkey"), _points(fit, features, "_tk_key", "pkey"), k)
     y = col(target) if classify else col(target).cast("double")
-    out = knn_vote(near, base.select(col(key).cast("long").alias("pkey"), y.alias("y")), classify)
-    return out.select(F.col("qkey").alias(key), "prediction")
+    out = knn_vote(near, base.select(col("_tk_key").alias("pkey"), y.alias("y")), classify)
+    return own_key(out, asked, key, "qkey").select(col(key), "prediction")
 
 
 def local_outlier_factor(
@@ -259,11 +281,12 @@ def local_outlier_factor(
     place that holds a third of the table costs no more than any other.
     """
     require_columns(df, key)
-    names = list(cols or [])
+    df = numbered(df, key)
+    names = list(cols or numeric_columns(df, exclude=(key, "_tk_key")))
     work = df
     if standardise:
-        work, names = prepared(df, cols, skip=(key,))
-    rows = checkpoint(_points(work, names, key, "pkey"))
+        work, names = prepared(df, cols, skip=(key, "_tk_key"))
+    rows = checkpoint(_points(work, names, "_tk_key", "pkey"))
     n = rows.count()
     k = min(k, n - 1)
     place = Window.partitionBy("x").orderBy("pkey")
@@ -299,11 +322,8 @@ def local_outlier_factor(
     rest = scored.filter(F.col("nth") == k + 2).select("x", F.col("lof").alias("rest"))
     # rows past the kept ones: only places that have any are joined
     others = rows.join(kept.select("pkey"), "pkey", "left_anti").join(rest, "x")
-    return (
-        scored.select("pkey", "lof")
-        .unionByName(others.select("pkey", F.col("rest").alias("lof")))
-        .withColumnRenamed("pkey", key)
-    )
+    every = scored.select("pkey", "lof").unionByName(others.select("pkey", F.col("rest").alias("lof")))
+    return own_key(every, df, key, "pkey")
 
 
 def lof_anomalies(

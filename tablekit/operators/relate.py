@@ -47,14 +47,16 @@ def trend_ends(df: DataFrame, number: str, time: str, key: str) -> DataFrame:
     rows = df.filter(col(number).isNotNull() & col(time).isNotNull()).select(
         col(number).cast("double").alias("v"),
         F.unix_micros(col(time).cast("timestamp")).alias("t"),
-        col(key).alias("k"),
+        col(key).cast("long").alias("k"),
     )
     n = rows.count()
     if n < 3:
         raise ValueError("a trend needs at least three dated rows")
     k = max(1, n // 5)
-    first = first_k(rows, [F.col("t"), F.col("k")], k)
-    last = first_k(rows, [-F.col("t"), -F.col("k")], k)
+    # a 64-bit key as two numbers that a double holds exactly
+    order = [F.col("t"), F.shiftright("k", 32), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))]
+    first = first_k(rows, order, k)
+    last = first_k(rows, [-c for c in order], k)
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(k).cast("long").alias("rows_per_end"),

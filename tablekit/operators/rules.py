@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from tablekit.functions.columns import col, label_columns, require_columns
 
-CUBE_COLUMNS = 12
-
 
 def _item(df: DataFrame, name: str) -> Column:
     """``column=value``; a boolean column is an item only when true."""
@@ -43,15 +41,9 @@ def frequent_itemsets(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     min_support: float = 0.1,
-    cube_columns: int = CUBE_COLUMNS,
 ) -> DataFrame:
-    """``items`` (sorted array), ``size``, ``count``, ``support``.
-
-    A row holds at most one item per column, so the itemsets are the cells of a cube. Rare
-    items cannot be part of a frequent set: they are blanked first, which leaves few
-    distinct combinations, and the cube runs over those with their counts. Tables with
-    more columns go through FP-growth.
-    """
+    """``items`` (sorted array), ``size``, ``count``, ``support``, by FP-growth over the items that are
+    frequent by themselves."""
     names = list(cols or label_columns(df))
     require_columns(df, *names)
     if not names:
@@ -64,14 +56,11 @@ def frequent_itemsets(
     if not names:
         base = df.sparkSession.createDataFrame([], schema)
     else:
-        kept = items.select(*[F.when(col(c).isin(*keep[c]), col(c)).alias(c) for c in names])
-        if len(names) <= cube_columns:
-            base = _cube(kept, names)
-        else:
-            basket = kept.select(F.filter(F.array(*[col(c) for c in names]), lambda v: v.isNotNull()).alias("items"))
-            # FP-growth takes the share of the baskets it sees, so empty ones stay in
-            found = FPGrowth(itemsCol="items", minSupport=min_support).fit(basket).freqItemsets
-            base = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
+        kept = [F.when(col(c).isin(*keep[c]), col(c)) for c in names]
+        basket = items.select(F.filter(F.array(*kept), lambda v: v.isNotNull()).alias("items"))
+        # FP-growth takes the share of the baskets it sees, so empty ones stay in
+        found = FPGrowth(itemsCol="items", minSupport=min_support).fit(basket).freqItemsets
+        base = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
     return (
         base.filter(F.col("count") >= min_support * n)
         .withColumn("size", F.size("items").cast("long"))
@@ -79,23 +68,6 @@ def frequent_itemsets(
     )
 
 
-def _cube(kept: DataFrame, names: list[str]) -> DataFrame:
-    combos = kept.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_n"))
-    cells = combos.cube(*[col(c) for c in names]).agg(
-        F.sum("_n").alias("count"), *[F.grouping(col(c)).alias(f"_g{i}") for i, c in enumerate(names)]
-    )
-    whole, filled = F.lit(True), []
-    for i, c in enumerate(names):
-        # a kept column must hold an item: a real gap is not one
-        whole = whole & ((F.col(f"_g{i}") == 1) | col(c).isNotNull())
-        filled.append(F.when(F.col(f"_g{i}") == 0, col(c)))
-    return (
-        cells.filter(whole)
-        .select(F.array_sort(F.filter(F.array(*filled), lambda v: v.isNotNull())).alias("items"), "count")
-        .filter(F.size("items") > 0)
-    )
-
-
 def association_rules(
     df: DataFrame,
     cols: Sequence[str] | None = None,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, is_numeric, require_columns, row_hash, small_table
 
-LARGE_ROWS = 100_000
 SMALL_CLASS = 200_000
 DRIVER_CLASSES = 100_000
 
@@ -27,11 +26,11 @@ def sort_by(df: DataFrame, column: str, ascending: bool = True, key: Sequence[st
 
 
 def top_n(df: DataFrame, column: str, key: Sequence[str], n: int = 10, largest: bool = True) -> DataFrame:
-    """The n (at most 50) largest or smallest rows of a numeric column."""
+    """The n largest or smallest rows of a numeric column."""
     require_columns(df, column)
     if not is_numeric(df, column):
         raise ValueError(f"{column} is not numeric")
-    n = max(1, min(n, 50))
+    n = max(1, n)
     out = df.filter(col(column).isNotNull())
     order = col(column).desc() if largest else col(column).asc()
     return out.orderBy(order, *[col(k) for k in key]).limit(n)
@@ -67,13 +66,6 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return pool.orderBy("_h", *[col(k) for k in key]).limit(n).drop("_h")
 
 
-def training_sample_size(rows: int) -> int:
-    """All rows up to 100,000, then 5 % within 20,000 to 75,000."""
-    if rows <= LARGE_ROWS:
-        return rows
-    return min(rows, max(20_000, min(75_000, math.ceil(rows * 0.05))))
-
-
 def _quotas(counts: list[tuple[str, int]], size: int, floor_one: bool) -> dict[str, int]:
     """Split ``size`` over the classes in proportion, largest remainders first."""
     total = sum(n for _, n in counts)
@@ -168,12 +160,15 @@ def stratified_sample(
     n: int | None = None,
     seed: int = 42,
     small_class: int = SMALL_CLASS,
+    fraction: float | None = None,
 ) -> DataFrame:
-    """Class-proportional sample of n rows (default: training_sample_size)."""
+    """Class-proportional sample of n rows, or of a fraction of them."""
+    if (n is None) == (fraction is None):
+        raise ValueError("give either n or a fraction")
     require_columns(df, label, *key)
     counts = class_counts(df, label)
     total = sum(c for _, c in counts)
-    size = training_sample_size(total) if n is None else min(n, total)
+    size = math.ceil(total * fraction) if n is None else min(n, total)
     if size >= total:
         return df.filter(col(label).isNotNull())
     quotas = _quotas(counts, size, floor_one=False)

@@ -38,7 +38,7 @@ def suggest_k(df: DataFrame, key: str, cols: Sequence[str] | None = None, max_k:
         labelled, model = fit_kmeans(points, names, k)
         m = _metrics(labelled, names, key)
         inertia.append(float(model.summary.trainingCost))
-        sil.append(m.get("silhouette", 0.0))
+        sil.append(m.get("silhouette_squared", 0.0))
         db.append(m.get("davies_bouldin", 0.0))
         ch.append(m.get("calinski_harabasz", 0.0))
     at = range(len(ks))
@@ -74,7 +74,7 @@ def cluster_best(
     def add(method: str, k: int, eps: float | None, labelled: DataFrame, scored: DataFrame) -> None:
         m = _metrics(scored, names, key)
         if m:
-            rank = (m.get("silhouette", -1.0), -m["davies_bouldin"], m["calinski_harabasz"])
+            rank = (m.get("silhouette_squared", -1.0), -m["davies_bouldin"], m["calinski_harabasz"])
             found.append((rank, method, k, eps, m, labelled.select(key, LABEL)))
 
     for k in range(2, max(2, min(max_k, n - 1)) + 1):
@@ -97,7 +97,7 @@ def cluster_best(
         raise ValueError("no valid clustering was found")
     found.sort(key=lambda f: f[0], reverse=True)
     rows = [
-        (i + 1, method, k, eps, m.get("silhouette"), m["davies_bouldin"], m["calinski_harabasz"])
+        (i + 1, method, k, eps, m.get("silhouette_squared"), m["davies_bouldin"], m["calinski_harabasz"])
         for i, (_, method, k, eps, m, _) in enumerate(found)
     ]
     table = small_table(

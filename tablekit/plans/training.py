@@ -23,13 +23,11 @@ from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import (
     class_weights,
     feature_pipeline,
-    fold_rare,
     infer_problem_type,
-    with_class_weight,
 )
 from tablekit.operators.metrics import classification_metrics, regression_metrics
 from tablekit.operators.neighbours import knn_join, knn_vote
-from tablekit.operators.sample import LARGE_ROWS, sample_n, stratified_sample, train_test_split, training_sample_size
+from tablekit.operators.sample import stratified_sample, train_test_split
 
 KNN = "K-Nearest Neighbors"
 
@@ -44,6 +42,7 @@ class TrainedModel:
     problem: str
     columns: list[tuple[str, str]]  # feature name and type
     classes: list[str] = field(default_factory=list)
+    neighbours: DataFrame | None = None  # prepared training rows, where these are the model
 
 
 @dataclass
@@ -54,31 +53,35 @@ class TrainingRun:
     best: str | None
 
 
-def classification_panel(classes: int, trees: int = 300, large: bool = False, rounds: int = 50) -> dict:
-    """Estimators by name. Large tables get the two that need the fewest passes."""
-    common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    gbt = GBTClassifier(maxIter=min(rounds, 20) if large else rounds, maxDepth=3, seed=42, featuresCol="features", labelCol="label")
+#: names of this module's own columns; a table's columns may be called label or weight
+LABEL, WEIGHT, FEATURES, PREDICTION, PROBABILITY = (f"_tk_{x}" for x in ("label", "weight", "features", "prediction", "probability"))
+
+
+def classification_panel(classes: int, trees: int = 300, fast: bool = False, rounds: int = 50) -> dict:
+    """Estimators by name; ``fast`` leaves out the forest, which needs the most passes."""
+    common = {"featuresCol": FEATURES, "labelCol": LABEL, "weightCol": WEIGHT, "predictionCol": PREDICTION}
+    odds = {"probabilityCol": PROBABILITY, "rawPredictionCol": "_tk_raw"}
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=3, seed=42, featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
+    gbt = gbt.setProbabilityCol(PROBABILITY).setRawPredictionCol("_tk_raw")
     # boosted trees are binary here: one model per class otherwise
-    boosted = gbt.setWeightCol("weight") if classes == 2 else OneVsRest(
-        classifier=gbt, featuresCol="features", labelCol="label", weightCol="weight"
-    )
-    panel = {"Logistic Regression": LogisticRegression(maxIter=100, **common)}
-    if not large:
-        panel["Random Forest"] = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=42, **common)
+    boosted = gbt.setWeightCol(WEIGHT) if classes == 2 else OneVsRest(classifier=gbt, rawPredictionCol="_tk_raw", **common)
+    panel = {"Logistic Regression": LogisticRegression(maxIter=100, **common, **odds)}
+    if not fast:
+        panel["Random Forest"] = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=42, **common, **odds)
     panel["Gradient Boosting"] = boosted
     return panel
 
 
-def regression_panel(trees: int = 300, large: bool = False, rounds: int = 50) -> dict:
-    common = {"featuresCol": "features", "labelCol": "label"}
+def regression_panel(trees: int = 300, fast: bool = False, rounds: int = 50) -> dict:
+    common = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
     panel = {"Ridge Regression": LinearRegression(regParam=0.01, elasticNetParam=0.0, maxIter=100, **common)}
-    if not large:
+    if not fast:
         panel["Random Forest"] = RandomForestRegressor(numTrees=trees, maxDepth=10, seed=42, **common)
-    panel["Gradient Boosting"] = GBTRegressor(maxIter=min(rounds, 20) if large else rounds, maxDepth=3, seed=42, **common)
+    panel["Gradient Boosting"] = GBTRegressor(maxIter=rounds, maxDepth=3, seed=42, **common)
     return panel
 
 
-def _scores(pred: DataFrame, classes: list[str], column: str = "probability") -> dict:
+def _scores(pred: DataFrame, classes: list[str], column: str = PROBABILITY) -> dict:
     if column not in pred.columns:
         return {}
     xs = vector_to_array(column)
@@ -89,12 +92,10 @@ def _scores(pred: DataFrame, classes: list[str], column: str = "probability") ->
 
 def _measured(pred: DataFrame, problem: str, classes: list[str]) -> dict[str, float]:
     if problem == "regression":
-        rows = regression_metrics(pred, "label", "prediction")
+        rows = regression_metrics(pred, LABEL, PREDICTION)
     else:
-        pred = pred.withColumns(
-            {"label": col("label").cast("long"), "prediction": col("prediction").cast("long")}
-        )
-        rows = classification_metrics(pred, "label", "prediction", _scores(pred, classes))
+        pred = pred.withColumns({LABEL: col(LABEL).cast("long"), PREDICTION: col(PREDICTION).cast("long")})
+        rows = classification_metrics(pred, LABEL, PREDICTION, _scores(pred, classes))
     return {r["metric"]: r["value"] for r in rows.collect()}
 
 
@@ -122,37 +123,39 @@ def train_models(
     target: str,
     key: Sequence[str],
     use_pca: bool = False,
-    sample: bool = False,
-    large: bool | None = None,
+    fast: bool = False,
     trees: int = 300,
     rounds: int = 50,
-    neighbours: bool | None = None,
+    neighbours: bool = True,
+    test_fraction: float = 0.2,
+    text_terms: int = 300,
+    min_frequency: int | None = None,
+    train_rows: int | None = None,
     seed: int = 42,
 ) -> TrainingRun:
     """Fit the panel on a stratified split and rank it on the test rows.
 
-    Above 100,000 rows the fast panel is used, on all rows unless ``sample`` asks for the
-    smaller training sample. ``key`` (unique) makes the split repeatable and stays out of the
-    features.
+    The same panel at any size: what large tables may want cheaper is a parameter (``fast`` panel,
+    ``neighbours``, ``rounds``, ``min_frequency`` below which categories fold, and for a classifier
+    ``train_rows``, a bound on the labelled rows it learns from; test rows are never cut). ``key``
+    (unique) makes the split repeatable and stays out of the features.
     """
     require_columns(df, target, *key)
     rows = df.filter(col(target).isNotNull())
     features = [c for c in df.columns if c != target and c not in key]
     if not features:
         raise ValueError("at least one feature column is needed")
-    n = rows.count()
-    if n < 5:
+    if rows.count() < 5:
         raise ValueError("at least five rows with a target are needed")
-    large = n > LARGE_ROWS if large is None else large
     problem = infer_problem_type(rows, target)
-    if sample and n > LARGE_ROWS:
-        if problem == "classification":
-            rows = stratified_sample(rows, target, key, None, seed)
-        else:
-            rows = sample_n(rows, training_sample_size(n), key, seed)
     classes: list[str] = []
     ratio = 1.0
     spark = df.sparkSession
+    train, test = train_test_split(rows, key, target if problem == "classification" else None, test_fraction, seed)
+    if train_rows is not None:
+        if problem == "regression":
+            raise ValueError("train_rows bounds the rows of a classifier only")
+        train = stratified_sample(train, target, key, train_rows, seed)
     if problem == "classification":
         weights = class_weights(rows, target)
         found = weights.collect()  # a row per class
@@ -160,70 +163,81 @@ def train_models(
         if len(classes) < 2:
             raise ValueError(f"{target} has only one class")
         ratio = found[0]["ratio"]
-        index = small_table(spark, [(c, float(i)) for i, c in enumerate(classes)], "_name string, label double")
-        rows = with_class_weight(rows, target, weights) if ratio > 3 else rows.withColumn("weight", F.lit(1.0))
-        rows = rows.join(F.broadcast(index), col(target).cast("string") == F.col("_name")).drop("_name")
+        # one row per class
+        index = small_table(
+            spark,
+            [(r["class"], float(i), r["weight"] if ratio > 3 else 1.0) for i, r in enumerate(found)],
+            f"_tk_name string, {LABEL} double, {WEIGHT} double",
+        )
+
+        def marked(part: DataFrame) -> DataFrame:
+            return part.join(F.broadcast(index), col(target).cast("string") == F.col("_tk_name")).drop("_tk_name")
     else:
-        rows = rows.withColumn("label", col(target).cast("double")).withColumn("weight", F.lit(1.0))
-    fraction = 0.1 if large else 0.2
-    split_on = target if problem == "classification" else None
-    train, test = train_test_split(rows, key, split_on, fraction, seed)
-    if large:
-        cats = [f.name for f in df.schema.fields if f.name in features and f.dataType.typeName() == "string"]
-        if cats:
-            keep_rare = fold_rare(train, cats, 10)
-            train = keep_rare.select(*[col(c) for c in train.columns])
+
+        def marked(part: DataFrame) -> DataFrame:
+            return part.withColumns({LABEL: col(target).cast("double"), WEIGHT: F.lit(1.0)})
+
     # fitting reads the rows many times: the split is made once
-    train, test = checkpoint(train), checkpoint(test)
+    train, test = checkpoint(marked(train)), checkpoint(marked(test))
     # fitted on the training rows only, then read by every model
     inputs = [*features, target]
-    prep = feature_pipeline(train.select(*[col(c) for c in inputs]), target, use_pca, 120 if large else 300)
-    cols_kept = [*[col(k) for k in key], "features", "label", "weight"]
+    prep = feature_pipeline(
+        train.select(*[col(c) for c in inputs]), target, use_pca, text_terms, out=FEATURES, min_frequency=min_frequency
+    )
+    cols_kept = [*[col(k).alias(f"_tk_key{i}") for i, k in enumerate(key)], FEATURES, LABEL, WEIGHT]
     train_set = checkpoint(prep.transform(train).select(*cols_kept))
     test_set = checkpoint(prep.transform(test).select(*cols_kept))
     if problem == "classification":
-        panel = classification_panel(len(classes), trees, large, rounds)
+        panel = classification_panel(len(classes), trees, fast, rounds)
     else:
-        panel = regression_panel(trees, large, rounds)
+        panel = regression_panel(trees, fast, rounds)
+    if neighbours:
+        panel[KNN] = None
     runs, models = [], {}
     kinds = [(c, df.schema[c].dataType.simpleString()) for c in features]
     for name, estimator in panel.items():
         try:
-            model = estimator.fit(train_set)
-            metrics = _measured(model.transform(test_set), problem, classes)
+            if estimator is None:
+                trained = TrainedModel(name, prep, target, problem, kinds, classes, train_set.select(FEATURES, LABEL))
+                scored = _knn(trained, test_set)
+            else:
+                model = estimator.fit(train_set)
+                trained = TrainedModel(name, PipelineModel(stages=[*prep.stages, model]), target, problem, kinds, classes)
+                scored = model.transform(test_set)
+            metrics = _measured(scored, problem, classes)
             runs.append((name, metrics, primary_score(metrics, problem, ratio), None))
-            whole = PipelineModel(stages=[*prep.stages, model])
-            models[name] = TrainedModel(name, whole, target, problem, kinds, classes)
+            models[name] = trained
         except Exception as error:  # one failing model must not end the run
             runs.append((name, None, None, str(error).splitlines()[0]))
-    if neighbours if neighbours is not None else not large:
-        metrics = _measured(_knn(train_set, test_set, key[0], problem), problem, classes)
-        runs.append((KNN, metrics, primary_score(metrics, problem, ratio), None))
     board = leaderboard(spark, runs)
     best = next((r["model"] for r in board.collect() if r["error"] is None), None)  # a row per model
     return TrainingRun(problem, board, models, best)
 
 
-def _knn(train: DataFrame, test: DataFrame, key: str, problem: str) -> DataFrame:
-    def shaped(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(col(key).cast("long").alias(name), vector_to_array("features").alias("x"))
-
-    near = knn_join(shaped(test, "qkey"), shaped(train, "pkey"), 5)
-    votes = knn_vote(
-        near, train.select(col(key).cast("long").alias("pkey"), F.col("label").alias("y")), problem == "classification"
+def _knn(model: TrainedModel, rows: DataFrame, k: int = 5) -> DataFrame:
+    """``rows`` (with the prepared features) and PREDICTION from the k nearest of the kept rows. Rows
+    are numbered for the search, so keys of any type, and of many columns, do."""
+    asked = checkpoint(rows.withColumn("_tk_row", F.monotonically_increasing_id()))
+    known = checkpoint(model.neighbours.withColumn("pkey", F.monotonically_increasing_id()))
+    near = knn_join(
+        asked.select(F.col("_tk_row").alias("qkey"), vector_to_array(FEATURES).alias("x")),
+        known.select("pkey", vector_to_array(FEATURES).alias("x")),
+        k,
     )
-    truth = test.select(col(key).cast("long").alias("qkey"), "label")
-    return truth.join(votes, "qkey")
+    votes = knn_vote(near, known.select("pkey", F.col(LABEL).alias("y")), model.problem == "classification")
+    votes = votes.select(F.col("qkey").alias("_tk_q"), F.col("prediction").cast("double").alias(PREDICTION))
+    return asked.join(votes, F.col("_tk_row") == F.col("_tk_q")).drop("_tk_row", "_tk_q")
 
 
-def train_large(df: DataFrame, target: str, key: Sequence[str], sample: bool = False, **options) -> TrainingRun:
-    """The fast panel, on all rows unless ``sample`` is set."""
-    return train_models(df, target, key, sample=sample, large=True, **options)
+def train_large(df: DataFrame, target: str, key: Sequence[str], **options) -> TrainingRun:
+    """The fast panel without neighbours, with few rounds and rare categories folded."""
+    given = {"fast": True, "neighbours": False, "rounds": 20, "test_fraction": 0.1, "text_terms": 120, "min_frequency": 10}
+    return train_models(df, target, key, **(given | options))
 
 
 def feature_names(model: TrainedModel, df: DataFrame) -> list[str]:
     """Names of the assembled features, from the vector metadata."""
-    attrs = predict_raw(model, df.limit(1)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    attrs = predict_raw(model, df.limit(1)).schema[FEATURES].metadata.get("ml_attr", {}).get("attrs", {})
     flat = [a for group in attrs.values() for a in group]
     return [a.get("name", str(a["idx"])) for a in sorted(flat, key=lambda a: a["idx"])]
 
@@ -248,28 +262,32 @@ def feature_importance(model: TrainedModel, df: DataFrame, top: int = 15) -> Dat
 def predict_raw(model: TrainedModel, df: DataFrame) -> DataFrame:
     """All pipeline columns; feature columns the table lacks count as missing."""
     gaps = {c: F.lit(None).cast(kind) for c, kind in model.columns if c not in df.columns}
-    return model.pipeline.transform(df.withColumns(gaps) if gaps else df)
+    out = model.pipeline.transform(df.withColumns(gaps) if gaps else df)
+    return out if model.neighbours is None else _knn(model, out)
 
 
 def predict(model: TrainedModel, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` (the class name for a classification): any number of rows."""
     out = predict_raw(model, df)
-    value = F.col("prediction")
+    value = F.col(PREDICTION)
     if model.problem == "classification":
         names = F.array(*[F.lit(c) for c in model.classes])
-        value = F.get(names, F.col("prediction").cast("int"))
+        value = F.get(names, F.col(PREDICTION).cast("int"))
     return out.select(*[col(c) for c in df.columns if c != "prediction"], value.alias("prediction"))
 
 
 def save_model(model: TrainedModel, path: str) -> None:
-    """Pipeline and description under one folder of any Hadoop file system."""
+    """Pipeline, description and, for neighbours, their rows under one folder of any Hadoop file system."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    if model.neighbours is not None:
+        model.neighbours.write.mode("overwrite").parquet(f"{path}/neighbours")
     about = {
         "name": model.name,
         "target": model.target,
         "problem": model.problem,
         "columns": model.columns,
         "classes": model.classes,
+        "neighbours": model.neighbours is not None,
     }
     spark = SparkSession.active()
     small_table(spark, [(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -285,5 +303,6 @@ def load_model(path: str) -> TrainedModel:
         about["problem"],
         [tuple(c) for c in about["columns"]],
         about["classes"],
+        spark.read.parquet(f"{path}/neighbours") if about["neighbours"] else None,
     )
 

@@ -26,26 +26,54 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     return df.selectExpr(*cells)
 
 
-def _csv(spark: SparkSession, path: str, sep: str, schema: T.StructType | None) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
+SURPLUS = "_tk_surplus"
+
+
+def _csv(
+    spark: SparkSession, path: str, sep: str, schema: T.StructType | None, multi_line: bool
+) -> DataFrame:
+    reader = (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE")
+        # count() must parse as much as the rows do
+        .option("columnPruning", False)
+    )
     # Without a schema Spark reads the files once more to infer one: give it at scale.
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return normalise_missing(reader.csv(path))
+    known = schema if schema is not None else reader.option("inferSchema", True).csv(path).schema
+    # one column more takes what a line has too much; short lines are filled with NULL
+    wide = T.StructType([*known.fields, T.StructField(SURPLUS, T.StringType())])
+    rows = reader.option("inferSchema", False).schema(wide).csv(path)
+    return normalise_missing(rows.filter(F.col(SURPLUS).isNull()).drop(SURPLUS))
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str | None = None, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with header; the first of comma, semicolon, tab that splits the header is used."""
+    """CSV with header; the first of comma, semicolon, tab that splits the header is used.
+
+    Short lines are filled with NULL, lines with a value too many are left out, quotes are doubled
+    within quotes. A quoted cell may hold line breaks; where none does, ``multi_line=False`` lets
+    several tasks share a file.
+    """
     if sep is None:
         head = spark.read.text(path).limit(1).first()
         line = head[0] if head else ""
         sep = next((s for s in SEPARATORS if s in line), ",")
-    return _csv(spark, path, sep, schema)
+    return _csv(spark, path, sep, schema, multi_line)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return _csv(spark, path, "\t", schema)
+def read_tsv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
+    return _csv(spark, path, "\t", schema, multi_line)
 
 
 def read_json(
@@ -59,25 +87,30 @@ def read_json(
 
 
 def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per feature: its properties, ``_feature_index`` and ``_geometry_type``.
+    """One row per feature: its properties, ``_feature_index`` within its collection, ``_file`` (its
+    name), ``_geometry_type`` and ``_geometry`` as JSON text.
 
     A collection per line (multi_line=False) is read by many tasks.
     """
     raw = spark.read.option("multiLine", multi_line).json(path)
     if "features" not in raw.columns:
         raise ValueError("the file holds no features")
-    feats = raw.select(F.posexplode("features").alias("_feature_index", "f"))
+    feats = raw.select(F.col("_metadata.file_name").alias("_file"), F.posexplode("features").alias("_feature_index", "f"))
     fields = {f.name: f.dataType for f in feats.schema["f"].dataType.fields}
     if feats.isEmpty():
         raise ValueError("the file holds no features")
-    kind = F.lit(None).cast("string")
-    if isinstance(fields.get("geometry"), T.StructType) and "type" in fields["geometry"].names:
-        kind = F.col("f.geometry.type")
+    kind = shape = F.lit(None).cast("string")
+    if isinstance(fields.get("geometry"), T.StructType):
+        shape = F.when(F.col("f.geometry").isNotNull(), F.to_json("f.geometry"))
+        if "type" in fields["geometry"].names:
+            kind = F.col("f.geometry.type")
     props = [F.col("f.properties.*")] if isinstance(fields.get("properties"), T.StructType) else []
     return feats.select(
         *props,
         F.col("_feature_index").cast("long").alias("_feature_index"),
         F.coalesce(kind, F.lit("Unknown")).alias("_geometry_type"),
+        "_file",
+        shape.alias("_geometry"),
     )
 
 
@@ -140,13 +173,16 @@ def read_jdbc(
     return df
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write one file per partition; CSV gets a header."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", sep: str = ","
+) -> None:
+    """Write one file per partition; CSV gets a header, and read_csv reads back what was written."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"cannot write {fmt}")
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer = writer.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.parquet(path)
 

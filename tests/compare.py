@@ -6,6 +6,7 @@ import datetime
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -29,6 +30,7 @@ def session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
         .getOrCreate()
     )
 

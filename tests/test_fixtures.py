@@ -155,8 +155,14 @@ def test_bars(spark):
     assert pie["Other"] == 10 and len(pie) == 11
 
 
-def test_sample_sizes():
-    assert [sample.training_sample_size(n) for n in (120_000, 1_000_001, 2_000_000, 500)] == [20_000, 50_001, 75_000, 500]
+def test_many_bars_and_rows(spark):
+    many = spark.range(2500).selectExpr("id", "concat('c', id) AS city")
+    assert chart.chart_bar(many, "city", 2000).count() == 2000
+    assert sample.top_n(many, "id", ["id"], 100).count() == 100
+    wide = spark.range(30).selectExpr("id", *[f"double(id % {i + 2}) AS c{i}" for i in range(61)])
+    assert profile.correlation_matrix(wide).count() == 62 * 62
+    with pytest.raises(ValueError):
+        sample.stratified_sample(many, "city", ["id"])
 
 
 def test_quality_flags(spark):
@@ -241,3 +247,48 @@ def test_conversion(spark):
     assert edits.introduced_missing(df, edits.convert_type(df, "v", "float"), "v") == 1
     euro = spark.createDataFrame([(1, "1.234,56"), (2, "7,5"), (3, None)], "id long, v string")
     assert col_of(edits.fix_decimal_comma(euro), "v", "id") == [1234.56, 7.5, None]
+
+
+def test_csv_keeps_every_cell(spark, tmp_path):
+    text = 'a,b,c\n1,2,3\n4,5\n7,8,9,10\n"x\ny",1,"say ""no"""\n'
+    (tmp_path / "in.csv").write_text(text)
+    got = tables.read_csv(spark, str(tmp_path / "in.csv"))
+    rows = [tuple(r) for r in got.collect()]
+    assert rows == [("1", 2, "3"), ("4", 5, None), ("x\ny", 1, 'say "no"')] and got.count() == 3
+    df = spark.createDataFrame([(1, ' a "b"\n, c '), (2, ""), (3, None), (4, "\\")], "id long, t string")
+    tables.write_table(df, str(tmp_path / "out"), "csv")
+    back = tables.read_csv(spark, str(tmp_path / "out"), schema=df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, str(big), 1.5)], "n long, t string, d double")
+    assert edits.convert_type(df, "t", "integer").first()["t"] == big
+    assert edits.convert_type(df, "n", "integer").first()["n"] == big
+    rounded = edits.round_columns(df, ["n", "t", "d"], 0).first()
+    assert (rounded["n"], rounded["t"], rounded["d"]) == (big, big, 2)
+    assert dict(edits.round_columns(df, ["n"], 2).dtypes)["n"] == "bigint"
+    rows = [(i, i % 5, float(i)) for i in range(10)]
+    times = spark.createDataFrame(rows, "i long, s long, v double").selectExpr("v", "timestamp_seconds(0) AS t", f"{big - 5} + i AS k")
+    ends = relate.trend_ends(times, "v", "t", "k").first()
+    assert 0.5 in ends and 8.5 in ends
+
+
+def test_shared_folders(spark):
+    from tablekit.functions import storage
+
+    class Settings(dict):
+        def get(self, key, *default):
+            return dict.get(self, key, *default)
+
+    class Fake:
+        def __init__(self, conf, master):
+            self.conf, self.sparkContext, self.master = Settings(conf), self, master
+
+    named = Fake({"spark.checkpoint.dir": "hdfs://x/c/"}, "yarn")
+    assert storage.shared_base(named) == "hdfs://x/c"
+    assert storage.shared_base(Fake({"spark.sql.warehouse.dir": "file:/w"}, "local[8]")) == "file:/w"
+    assert storage.shared_base(Fake({"spark.sql.warehouse.dir": "hdfs://w"}, "yarn")) == "hdfs://w"
+    with pytest.raises(ValueError):
+        storage.shared_base(Fake({"spark.sql.warehouse.dir": "file:/w"}, "yarn"))

@@ -1,7 +1,9 @@
 """The paths meant for large tables, forced on small ones and checked by brute force: a third of
 the rows shares one value, key or place."""
 
+import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -177,9 +179,13 @@ def test_itemsets_by_fp_growth(spark):
     pdf = pd.DataFrame({c: rng.choice(list("aab"), 400) for c in "pqr"}).assign(flag=rng.random(400) < 0.4)
     pdf.loc[::9, "q"] = None
     df = spark.createDataFrame(pdf)
-    cube = {(tuple(r["items"]), r["count"]) for r in rules.frequent_itemsets(df).collect()}
-    growth = {(tuple(r["items"]), r["count"]) for r in rules.frequent_itemsets(df, cube_columns=1).collect()}
-    assert cube == growth and any("flag" in i for i, _ in cube)
+    baskets = [
+        [f"{c}={v}" for c, v in zip("pqr", row) if v is not None] + ["flag"] * bool(row[3]) for row in pdf.itertuples(index=False)
+    ]
+    counts = Counter(c for b in baskets for n in range(1, 5) for c in itertools.combinations(sorted(b), n))
+    want = {(i, n) for i, n in counts.items() if n >= 40}
+    got = {(tuple(r["items"]), r["count"]) for r in rules.frequent_itemsets(df).collect()}
+    assert got == want and any("flag" in i for i, _ in got)
 
 
 def test_isolation_forest(spark):
@@ -198,7 +204,7 @@ def test_silhouette(spark):
     pdf.loc[0, "c"] = 9  # a cluster of one
     pdf["a"] += pdf["c"] * 2
     got = {r["metric"]: r["value"] for r in metrics.cluster_metrics(spark.createDataFrame(pdf), "c", ["a", "b"], ["id"]).collect()}
-    d, c = _dist(pdf[["id", "a", "b"]]), pdf["c"].to_numpy()
+    d, c = _dist(pdf[["id", "a", "b"]]) ** 2, pdf["c"].to_numpy()
     s = []
     for i in range(300):
         own = (c == c[i]) & (np.arange(300) != i)
@@ -208,5 +214,21 @@ def test_silhouette(spark):
         a = d[i, own].mean()
         b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
         s.append((b - a) / max(a, b))
-    assert got["silhouette"] == pytest.approx(np.mean(s))
+    assert got["silhouette_squared"] == pytest.approx(np.mean(s))
     assert math.isfinite(got["davies_bouldin"]) and got["calinski_harabasz"] > 0
+
+
+def test_keys_of_text(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame(rng.normal(size=(120, 2)), columns=["a", "b"]).assign(id=np.arange(120))
+    df = spark.createDataFrame(pdf)
+    named = df.selectExpr("a", "b", "format_string('k%03d', id) AS id")
+    for run in (
+        lambda t: cluster.dbscan(t, "id", ["a", "b"], 0.6, 4),
+        lambda t: neighbours.local_outlier_factor(t, "id", ["a", "b"], 5),
+    ):
+        want = {f"k{r[0]:03d}": r[1] for r in run(df).collect()}
+        got = {r[0]: r[1] for r in run(named).collect()}
+        assert got == want
+    scored = anomaly.isolation_forest(named, "id", ["a", "b"], trees=10)
+    assert scored.count() == 120 and scored.filter("is_anomaly").count() == 12

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablekit.functions.storage import shared_folder
 from tablekit.sources.tables import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,10 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for files a query writes, in the shared folder of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/tablekit-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="tablekit-scratch-"), "out")
+    return shared_folder(spark)
 
 
 def r(c: Column | str, digits: int = 4) -> Column:

@@ -206,14 +206,14 @@ PLACES = "(SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_acctbal / 120 END
 
 @query(
     "i14_map",
-    f"""WITH s AS (SELECT * FROM {PLACES} WHERE lat IS NOT NULL ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 500),
+    f"""WITH s AS (SELECT * FROM {PLACES} WHERE lat IS NOT NULL ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 2000),
     t AS (SELECT *, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS t FROM s)
     SELECT round(lat, 7) + 0.0 AS lat, round(lon, 4) + 0.0 AS lon, round(c_acctbal, 4) + 0.0 AS size,
     '#' || lpad(lower(to_hex(CAST(floor(255 * t) AS BIGINT))), 2, '0') || lpad(lower(to_hex(CAST(floor(180 * (1 - t) + 212 * t) AS BIGINT))), 2, '0')
     || lpad(lower(to_hex(CAST(floor(214 * (1 - t)) AS BIGINT))), 2, '0') AS color, CAST(3 AS BIGINT) AS popup_cells FROM t""",
 )
 def i14(spark, d):
-    got = chart.chart_map(_places(spark, d), "lat", "lon", ["c_custkey"], "c_acctbal", "c_acctbal", 500)
+    got = chart.chart_map(_places(spark, d), "lat", "lon", ["c_custkey"], "c_acctbal", "c_acctbal")
     return got.select(
         r("lat", 7).alias("lat"), r("lon").alias("lon"), r("size").alias("size"), "color", F.size("popup").cast("long").alias("popup_cells")
     )
@@ -241,6 +241,19 @@ def i16(spark, d):
     return chart.chart_choropleth(got, "balance").select("_feature_index", r("value").alias("value"), "name")
 
 
-@query("i17_suggest_charts")
+@query(
+    "i17_suggest_charts",
+    """WITH r AS (SELECT unnest([abs(corr(l_quantity, l_extendedprice)), abs(corr(l_quantity, l_discount)), abs(corr(l_extendedprice, l_discount))]) AS r,
+      unnest(['l_quantity', 'l_quantity', 'l_extendedprice']) AS x, unnest(['l_extendedprice', 'l_discount', 'l_discount']) AS y FROM lineitem),
+    c AS (SELECT unnest(['l_returnflag', 'l_linestatus']) AS x, unnest([count(DISTINCT l_returnflag), count(DISTINCT l_linestatus)]) AS u FROM lineitem),
+    s AS (SELECT x, row_number() OVER (ORDER BY sd DESC) AS n FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS x,
+      unnest([stddev(l_quantity), stddev(l_extendedprice), stddev(l_discount)]) AS sd FROM lineitem)),
+    o AS (SELECT 1 AS pos, 'scatter' AS chart, x, y FROM (SELECT * FROM r ORDER BY r DESC LIMIT 1)
+      UNION ALL SELECT CASE x WHEN 'l_returnflag' THEN 2 ELSE 3 END, CASE WHEN u <= 6 THEN 'pie' ELSE 'bar' END, x, NULL FROM c WHERE u BETWEEN 2 AND 20
+      UNION ALL SELECT 4, 'box', x, NULL FROM s WHERE n = 1 UNION ALL SELECT 5, 'histogram', x, NULL FROM s WHERE n = 2
+      UNION ALL SELECT 6, 'density', x, NULL FROM s WHERE n = 1)
+    SELECT CAST(row_number() OVER (ORDER BY pos) AS BIGINT) AS rank, chart, x, y FROM o""",
+)
 def i17(spark, d):
-    return chart.suggest_charts(table(spark, d, "lineitem"), 6)
+    cols = ["l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus"]
+    return chart.suggest_charts(table(spark, d, "lineitem").select(*cols), 6)

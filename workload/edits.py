@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions import text
 from tablekit.operators import clean, edits
-from tablekit.operators.features import tfidf, tfidf_terms
+from tablekit.operators.features import stop_tokens, tfidf, tfidf_terms
 from tablekit.plans import cleaning
 from workload.base import LINEITEM, lineitem, query, r, table
 
@@ -160,11 +160,10 @@ def c11_date(spark, d):
     return got.select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-@query("c11_convert_month_first", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE day(o_orderdate) > 12")
+@query("c11_convert_month_first", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def c11_month_first(spark, d):
-    """Month-first dates, none of which can be read day first: the counted format wins."""
-    got = table(spark, d, "orders").filter(F.dayofmonth("o_orderdate") > 12)
-    got = got.select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"))
+    """Month-first dates, under half of which can be read day first: the counted format wins."""
+    got = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"))
     got = edits.convert_type(got, "day", "datetime")
     return got.select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
@@ -243,32 +242,34 @@ def d8(spark, d):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-SPLIT_STOP = "[" + ", ".join(
-    "'" + w + "'" for w in sorted({w.split("'")[0] for w in text.STOP_WORDS} | {w.replace("'", "") for w in text.STOP_WORDS})
-) + "]"
+SPLIT_STOP = "[" + ", ".join(f"'{w}'" for w in stop_tokens()) + "]"
 
 
-@query(
-    "d9_tfidf_terms",
-    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
+TERMS_SQL = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE length(term) > 1 AND NOT list_contains({SPLIT_STOP}, term) GROUP BY ALL),
     v AS (SELECT term, sum(tf) AS total, count(*) AS docs FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 300),
     w AS (SELECT doc_id, term, (ln(tf) + 1) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + docs)) + 1) AS w FROM tf JOIN v USING (term)),
     n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
-    SELECT doc_id, term, round(w / norm, 6) + 0.0 AS weight FROM w JOIN n USING (doc_id)""",
-)
+    SELECT doc_id, term, round(w / norm, 6) + 0.0 AS weight FROM w JOIN n USING (doc_id)"""
+
+
+@query("d9_tfidf_terms", TERMS_SQL)
 def d9_terms(spark, d):
     got = tfidf_terms(table(spark, d, "documents"), "text", ["doc_id"])
     return got.select("doc_id", "term", r("weight", 6).alias("weight"))
 
 
-@query("d9_tfidf")
+@query("d9_tfidf", TERMS_SQL)
 def d9(spark, d):
+    """The vectors of the model, as terms."""
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    _, got = tfidf(table(spark, d, "documents").select("doc_id", "text"), "text")
-    xs = vector_to_array("tfidf")
-    return got.select("doc_id", F.size(F.filter(xs, lambda v: v > 0)).cast("long").alias("terms"))
+    model, got = tfidf(table(spark, d, "documents").select("doc_id", "text"), "text")
+    words = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    pairs = F.arrays_zip(F.array(*[F.lit(w) for w in words]).alias("term"), vector_to_array("tfidf").alias("weight"))
+    long = got.select("doc_id", F.explode(F.filter(pairs, lambda p: p["weight"] > 0)).alias("p"))
+    return long.select("doc_id", "p.term", r("p.weight", 6).alias("weight"))
 
 
 # ---- duplicates, missing values, outliers

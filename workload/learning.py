@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablekit.functions.columns import small_table
 from tablekit.operators import anomaly, cluster, features, metrics, neighbours, reduce, rules, sample, whatif
 from tablekit.plans import clustering, training
-from workload.base import LINE_KEYS, LINEITEM, lineitem, query, r, table
+from workload.base import LINE_KEYS, LINEITEM, lineitem, query, r, scratch, table
 from workload.profiling import _rounded
 
 # ---- features
@@ -53,13 +53,17 @@ def j3(spark, d):
     return got.select("p_partkey", slot("p_name_onehot").alias("name_slot"), slot("p_type_onehot").alias("type_slot"))
 
 
-@query("j4_feature_pipeline")
+@query(
+    "j4_feature_pipeline",
+    """SELECT c_mktsegment AS segment, CAST(3 + (SELECT count(DISTINCT c_mktsegment) FROM customer) AS BIGINT) AS width,
+    CAST(count(*) AS BIGINT) AS rows FROM customer GROUP BY 1""",
+)
 def j4(spark, d):
-    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").drop("doc_id", "toxic")
-    got = features.feature_pipeline(df, "quality").transform(df)
-    return got.select("quality", F.size(vector_to_array("features")).cast("long").alias("width")).groupBy("quality", "width").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    """Two numbers, a place for each value of the category and one for values not seen."""
+    df = table(spark, d, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment", F.lit(1).alias("y"))
+    got = features.feature_pipeline(df, "y").transform(df)
+    width = F.size(vector_to_array("features")).cast("long").alias("width")
+    return got.select(F.col("c_mktsegment").alias("segment"), width).groupBy("segment", "width").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("j5_label_index", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS label FROM part")
@@ -101,23 +105,45 @@ def _documents(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("k1_train_classifiers")
+def _decided(spark, d):
+    """Customers whose class their segment decides: every model can find it."""
+    df = table(spark, d, "customer")
+    return df.select("c_custkey", "c_mktsegment", F.when(F.col("c_mktsegment") < "F", "early").otherwise("late").alias("label"))
+
+
+def _decided_sql(models: str) -> str:
+    return f"""SELECT CAST(row_number() OVER (ORDER BY m) AS BIGINT) AS rank, m AS model, CAST(1 AS DOUBLE) AS primary_score, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT unnest([{models}]) AS m) WHERE (SELECT count(DISTINCT c_mktsegment < 'F') FROM customer) = 2"""
+
+
+@query("k1_train_classifiers", _decided_sql("'Gradient Boosting', 'K-Nearest Neighbors', 'Logistic Regression', 'Random Forest'"))
 def k1(spark, d):
-    run = training.train_models(_documents(spark, d).drop("source"), "quality", ["doc_id"], trees=20, rounds=10)
+    run = training.train_models(_decided(spark, d), "label", ["c_custkey"])
+    return run.leaderboard.select("rank", "model", r("primary_score", 6).alias("primary_score"), "error")
+
+
+@query("k1_train_on_texts")
+def k1_texts(spark, d):
+    run = training.train_models(_documents(spark, d), "quality", ["doc_id"])
     return run.leaderboard.select("rank", "model", "primary_score", "error")
 
 
-@query("k2_train_regressors")
+@query(
+    "k2_train_regressors",
+    """SELECT m AS model, true AS fits, CAST(NULL AS VARCHAR) AS error FROM (SELECT unnest(['Gradient Boosting', 'K-Nearest Neighbors',
+    'Random Forest', 'Ridge Regression']) AS m) WHERE (SELECT count(*) FROM part) > 0""",
+)
 def k2(spark, d):
-    run = training.train_models(table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=20, rounds=10)
-    return run.leaderboard.select("rank", "model", "primary_score", "error")
+    """A target that is linear in the one feature: every model explains nearly all of it."""
+    df = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_size") * 3.0 + 5).alias("y"))
+    run = training.train_models(df, "y", ["p_partkey"])
+    return run.leaderboard.select("model", (F.col("primary_score") > 0.95).alias("fits"), "error")
 
 
-@query("k4_train_large")
+@query("k4_train_large", _decided_sql("'Gradient Boosting', 'Logistic Regression'"))
 def k4(spark, d):
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    run = training.train_large(df, "o_orderstatus", ["o_orderkey"], rounds=5)
-    return run.leaderboard.select("rank", "model", "primary_score", "error")
+    run = training.train_large(_decided(spark, d), "label", ["c_custkey"])
+    return run.leaderboard.select("rank", "model", r("primary_score", 6).alias("primary_score"), "error")
 
 
 KNN_SQL = """WITH n AS (SELECT label AS c, count(*) AS n FROM embeddings GROUP BY 1),
@@ -189,49 +215,113 @@ def k6(spark, d):
     return _rounded(metrics.regression_metrics(df, "l_extendedprice", "p"))
 
 
-def _part_run(spark, d):
-    return training.train_models(
-        table(spark, d, "part").drop("p_name"), "p_retailprice", ["p_partkey"], trees=10, rounds=5, neighbours=False
-    )
+@query(
+    "k7_leaderboard",
+    """WITH g AS (SELECT o_orderstatus AS y, CASE WHEN o_totalprice < 150000 THEN 'F' ELSE 'O' END AS a, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS b FROM orders),
+    s AS (SELECT unnest(['by price', 'by key']) AS model, unnest([avg(CAST(y = a AS INT)), avg(CAST(y = b AS INT))]) AS v FROM g)
+    SELECT CAST(row_number() OVER (ORDER BY v DESC, model) AS BIGINT) AS rank, model, round(v, 6) + 0.0 AS primary_score, CAST(NULL AS VARCHAR) AS error FROM s
+    UNION ALL SELECT 3, 'broken', NULL, 'no fit'""",
+)
+def k7(spark, d):
+    """Two given predictions ranked by accuracy, and a failure."""
+    price = F.when(F.col("o_totalprice") < 150000, "F").otherwise("O")
+    key = F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("O")
+    runs = []
+    for name, guess in (("by key", key), ("by price", price)):
+        scored = table(spark, d, "orders").select("o_orderstatus", guess.alias("guess"))
+        found = {t["metric"]: t["value"] for t in metrics.classification_metrics(scored, "o_orderstatus", "guess").collect()}
+        runs.append((name, found, found["accuracy"], None))
+    board = training.leaderboard(spark, [("broken", None, None, "no fit"), *runs])
+    return board.select("rank", "model", r("primary_score", 6).alias("primary_score"), "error")
 
 
-@query("k7_leaderboard")
-def k7(spark, d):
-    return _part_run(spark, d).leaderboard
+def _sized_run(spark, d):
+    """Parts whose class their size decides, beside two columns that say nothing."""
+    df = table(spark, d, "part").select("p_partkey", "p_size", F.lit(1).alias("flat"), F.lit("x").alias("same"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("label"))
+    return df, training.train_models(df, "label", ["p_partkey"])
 
 
-@query("k8_feature_importance")
+@query("k8_feature_importance", "SELECT 'p_size' AS feature, CAST(1 AS DOUBLE) AS importance FROM part HAVING count(*) > 0")
 def k8(spark, d):
-    run = _part_run(spark, d)
-    return training.feature_importance(run.models["Random Forest"], table(spark, d, "part"))
+    df, run = _sized_run(spark, d)
+    got = training.feature_importance(run.models["Random Forest"], df)
+    return got.where("importance > 0").select(F.regexp_extract("feature", "(p_size|flat|same)", 1).alias("feature"), r("importance", 6).alias("importance"))
 
 
-@query("k9_predict")
+SIZED = "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS prediction FROM part"
+
+
+@query("k9_predict", SIZED)
 def k9(spark, d):
-    run = _part_run(spark, d)
-    # without one of the features: it counts as missing
-    got = training.predict(run.models[run.best], table(spark, d, "part").drop("p_brand"))
-    return got.select("p_partkey", r("prediction", 2).alias("prediction"))
+    """Without one of the features, which then counts as missing."""
+    df, run = _sized_run(spark, d)
+    return training.predict(run.models["Random Forest"], df.drop("label", "same")).select("p_partkey", "prediction")
 
 
-@query("k10_save_and_load_model")
+@query(
+    "k10_save_and_load_model",
+    """SELECT m AS model, CAST((SELECT count(*) FROM part) AS BIGINT) AS same FROM (SELECT unnest(['Gradient Boosting',
+    'K-Nearest Neighbors', 'Logistic Regression', 'Random Forest']) AS m)""",
+)
 def k10(spark, d):
-    from workload.base import scratch
-
-    path = scratch(spark)
-    run = _part_run(spark, d)
-    training.save_model(run.models[run.best], path)
-    got = training.predict(training.load_model(path), table(spark, d, "part"))
-    return got.select("p_partkey", r("prediction", 2).alias("prediction"))
+    """Rows that every model, loaded again, predicts as before."""
+    df, run = _sized_run(spark, d)
+    out = None
+    for name, model in run.models.items():
+        path = scratch(spark)
+        training.save_model(model, path)
+        before = training.predict(model, df).select("p_partkey", F.col("prediction").alias("a"))
+        after = training.predict(training.load_model(path), df).select("p_partkey", F.col("prediction").alias("b"))
+        one = before.join(after, "p_partkey").agg(F.count_if(F.col("a") == F.col("b")).alias("same"))
+        one = one.select(F.lit(name).alias("model"), "same")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- clustering
 
 
-@query("l1_kmeans")
+def _groups(spark, d):
+    """Customers in four groups far from each other."""
+    g = F.col("c_custkey") % 4
+    at = F.when(g == 0, 0).when(g == 1, 300).when(g == 2, 1000).otherwise(1300)
+    x, y = at + F.col("c_custkey") % 7, at + F.col("c_custkey") % 5
+    return table(spark, d, "customer").select("c_custkey", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _found_groups(labelled):
+    """Clusters by the one group they hold; a cluster across groups would show as -1."""
+    g = F.col("c_custkey") % 4
+    whole = labelled.groupBy("cluster_label").agg(F.min(g).alias("lo"), F.max(g).alias("hi"), F.count(F.lit(1)).alias("rows"))
+    return whole.select(F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).cast("long").alias("grp"), "rows")
+
+
+GROUP_SIZES = "SELECT CAST(c_custkey % 4 AS BIGINT) AS grp, CAST(count(*) AS BIGINT) AS rows FROM customer GROUP BY 1"
+GROUP_COUNT = "SELECT CAST(count(DISTINCT c_custkey % 4) AS BIGINT) AS k FROM customer"
+
+
+@query("l1_kmeans", GROUP_SIZES)
 def l1(spark, d):
-    got, _, _ = cluster.kmeans(_vectors(spark, d), 10, [f"x{i}" for i in range(64)], "vec_id")
-    return cluster.cluster_sizes(got)
+    return _found_groups(cluster.kmeans(_groups(spark, d), 4, ["x", "y"], "c_custkey")[0])
+
+
+@query("l1_kmeans_nearest", "SELECT CAST(count(*) AS BIGINT) AS nearest FROM embeddings")
+def l1_nearest(spark, d):
+    """Rows whose cluster has the nearest of the ten centres."""
+    names = [f"x{i}" for i in range(8)]
+    df = _vectors(spark, d).select("vec_id", *names)
+    labelled, centres, _ = cluster.kmeans(df, 10, names, "vec_id")
+    points = features.prepared(df, names)[0]
+    at: dict = {}
+    for c in centres.collect():  # ten centres
+        at.setdefault(c["cluster"], {})[c["column_name"]] = c["value"]
+
+    def far(m):
+        return sum(((F.col(n) - m[n]) ** 2 for n in names), F.lit(0.0))
+
+    near = F.array_min(F.array(*[F.struct(far(m).alias("d"), F.lit(k).alias("cluster")) for k, m in at.items()]))
+    got = points.join(labelled.select("vec_id", "cluster_label"), "vec_id")
+    return got.agg(F.count_if(near["cluster"] == F.col("cluster_label")).alias("nearest"))
 
 
 DBSCAN_SQL = """WITH RECURSIVE m AS (SELECT avg(p_size) AS ma, stddev_pop(p_size) AS sa, avg(p_retailprice) AS mb, stddev_pop(p_retailprice) AS sb FROM part),
@@ -253,10 +343,9 @@ def l2(spark, d):
     return cluster.dbscan(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], 0.06, 4)
 
 
-@query("l3_hierarchical")
+@query("l3_hierarchical", GROUP_SIZES)
 def l3(spark, d):
-    got, _ = cluster.hierarchical(_vectors(spark, d), 8, [f"x{i}" for i in range(64)], "vec_id")
-    return cluster.cluster_sizes(got)
+    return _found_groups(cluster.hierarchical(_groups(spark, d), 4, ["x", "y"], "c_custkey")[0])
 
 
 @query(
@@ -266,10 +355,10 @@ def l3(spark, d):
     w AS (SELECT c, sum((x - mx) ** 2 + (y - my) ** 2) AS w, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s FROM t JOIN g USING (c) GROUP BY c),
     ch AS (SELECT (SELECT sum(g.n * ((mx - ox) ** 2 + (my - oy) ** 2)) FROM g, o) / ((SELECT count(*) FROM g) - 1) / ((SELECT sum(w) FROM w) / ((SELECT n FROM o) - (SELECT count(*) FROM g))) AS v),
     p AS (SELECT a.c AS a, max((wa.s + wb.s) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS r FROM g a JOIN g b ON a.c <> b.c JOIN w wa ON wa.c = a.c JOIN w wb ON wb.c = b.c GROUP BY 1),
-    smp AS (SELECT * FROM t ORDER BY md5(k || ':42'), k LIMIT 5000),
-    d AS (SELECT a.k AS k, a.c AS c, b.c AS bc, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s, count(*) AS n FROM smp a, smp b GROUP BY 1, 2, 3),
-    ab AS (SELECT k, max(CASE WHEN c = bc THEN s / (n - 1) END) AS a, min(CASE WHEN c <> bc THEN s / n END) AS b FROM d GROUP BY k)
-    SELECT 'silhouette' AS metric, (SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 FROM ab) AS value
+    v AS (SELECT c, w.w / g.n AS var, g.n, mx, my FROM g JOIN w USING (c)),
+    d AS (SELECT k, t.c AS c, v.c AS bc, (x - mx) ** 2 + (y - my) ** 2 + var AS s, n FROM t, v),
+    ab AS (SELECT k, max(CASE WHEN c = bc THEN s * n / (n - 1) END) AS a, min(CASE WHEN c <> bc THEN s END) AS b FROM d GROUP BY k)
+    SELECT 'silhouette_squared' AS metric, (SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 FROM ab) AS value
     UNION ALL SELECT 'calinski_harabasz', (SELECT round(v, 4) + 0.0 FROM ch) UNION ALL SELECT 'davies_bouldin', (SELECT round(avg(r), 4) + 0.0 FROM p)""",
 )
 def l4(spark, d):
@@ -280,28 +369,41 @@ def l4(spark, d):
         F.col("o_custkey").cast("double").alias("y"),
     )
     out = metrics.cluster_metrics(got, "o_orderpriority", ["x", "y"], ["o_orderkey"])
-    return out.withColumn("value", F.when(F.col("metric") == "silhouette", r("value", 6)).otherwise(r("value", 4)))
+    return out.withColumn("value", F.when(F.col("metric") == "silhouette_squared", r("value", 6)).otherwise(r("value", 4)))
 
 
-@query("l5_suggest_k")
+@query("l5_suggest_k", GROUP_COUNT)
 def l5(spark, d):
-    got = clustering.suggest_k(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", max_k=6)
-    return got.select("k", r("inertia", 2).alias("inertia"), r("silhouette").alias("silhouette"), "votes", "recommended")
+    return clustering.suggest_k(_groups(spark, d), "c_custkey").where("recommended").select("k")
 
 
-@query("l6_cluster_best")
+@query("l6_cluster_best", GROUP_SIZES)
 def l6(spark, d):
-    df = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    return clustering.cluster_best(df, "p_partkey", max_k=4, radii=(0.3, 0.8))[1]
+    return _found_groups(clustering.cluster_best(_groups(spark, d), "c_custkey")[0])
 
 
 # ---- anomalies
 
 
-@query("m1_isolation_forest")
+@query("m1_isolation_forest", "SELECT c_custkey, c_custkey % 10 = 0 AS is_anomaly FROM customer")
 def m1(spark, d):
-    got = anomaly.isolation_forest(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
-    return got.select("p_partkey", r("score", 6).alias("score"), "is_anomaly")
+    """One row in ten lies far from a dense group, each in a place of its own."""
+    key = F.col("c_custkey")
+    far = key % 10 == 0
+    x = F.when(far, 1000 + key * 37 % 5000).otherwise(key % 13 / 10)
+    y = F.when(far, -1000 - key * 53 % 7000).otherwise(key % 17 / 10)
+    df = table(spark, d, "customer").select(key, x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return anomaly.isolation_forest(df, "c_custkey", ["x", "y"]).select("c_custkey", "is_anomaly")
+
+
+@query("m1_isolation_forest_text_key", "SELECT c_name, c_custkey % 10 = 0 AS is_anomaly FROM customer")
+def m1_text(spark, d):
+    key = F.col("c_custkey")
+    far = key % 10 == 0
+    x = F.when(far, 1000 + key * 37 % 5000).otherwise(key % 13 / 10)
+    y = F.when(far, -1000 - key * 53 % 7000).otherwise(key % 17 / 10)
+    df = table(spark, d, "customer").select("c_name", x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return anomaly.isolation_forest(df, "c_name", ["x", "y"]).select("c_name", "is_anomaly")
 
 
 @query(
@@ -323,14 +425,33 @@ def m2(spark, d):
 # ---- components
 
 
-@query("n1_pca_analyse")
+#: a column, its negative and another one: with correlation r the eigenvalues are (3 + sqrt(1 + 8 r^2)) / 2, the same with a minus, and 0
+TRIPLE = """e AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem),
+ v AS (SELECT n, (3 + sqrt(1 + 8 * r * r)) / 6 * 100 AS a, (3 - sqrt(1 + 8 * r * r)) / 6 * 100 AS b FROM e)"""
+TRIPLE_COLS = ["l_quantity", "negative", "l_extendedprice"]
+
+
+def _triple(spark, d):
+    return table(spark, d, "lineitem").withColumn("negative", -F.col("l_quantity"))
+
+
+@query(
+    "n1_pca_analyse",
+    f"""WITH {TRIPLE} SELECT true AS feasible, CAST(3 AS BIGINT) AS columns, CAST(n AS BIGINT) AS rows,
+    CAST(CASE WHEN round(a, 2) >= 80 THEN 1 ELSE 2 END AS BIGINT) AS for_80, CAST(CASE WHEN round(a, 2) >= 90 THEN 1 ELSE 2 END AS BIGINT) AS for_90,
+    CAST(CASE WHEN round(a, 2) >= 95 THEN 1 ELSE 2 END AS BIGINT) AS for_95, CAST(100 AS DOUBLE) AS top2_pct, 'excellent' AS verdict FROM v""",
+)
 def n1(spark, d):
-    return reduce.pca_analyse(_vectors(spark, d), [f"x{i}" for i in range(64)])
+    return reduce.pca_analyse(_triple(spark, d), TRIPLE_COLS)
 
 
-@query("n1_pca_variance")
+@query(
+    "n1_pca_variance",
+    f"""WITH {TRIPLE} SELECT CAST(1 AS BIGINT) AS component, round(a, 6) + 0.0 AS explained_pct, round(a, 6) + 0.0 AS cumulative_pct FROM v
+    UNION ALL SELECT 2, round(b, 6) + 0.0, 100.0 FROM v UNION ALL SELECT 3, 0.0, 100.0 FROM v""",
+)
 def n1_variance(spark, d):
-    return reduce.pca_variance(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return _rounded(reduce.pca_variance(_triple(spark, d), TRIPLE_COLS), 6)
 
 
 @query(
@@ -344,9 +465,15 @@ def n1_pair(spark, d):
     return _rounded(reduce.pca_variance(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
 
 
-@query("n1_pca_loadings")
+@query(
+    "n1_pca_loadings",
+    """SELECT c AS column_name, CAST(j AS BIGINT) AS component, round(1 / sqrt(2), 6) + 0.0 AS size FROM (SELECT unnest(['l_quantity', 'l_extendedprice']) AS c),
+    (VALUES (1), (2)) t(j) WHERE (SELECT count(*) FROM lineitem) > 0""",
+)
 def n1_loadings(spark, d):
-    return reduce.pca_loadings(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    """Both axes of a pair weigh its columns alike; which sign is whose may be either."""
+    got = reduce.pca_loadings(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return got.select("column_name", "component", r(F.abs("loading"), 6).alias("size"))
 
 
 PAIR = """WITH m AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb, sign(corr(l_quantity, l_extendedprice)) AS s FROM lineitem)

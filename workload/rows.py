@@ -52,7 +52,8 @@ def a3(spark, d):
 @query(
     "a4_read_geojson",
     """SELECT s_suppkey, s_name, CAST(i AS BIGINT) AS _feature_index,
-    CASE WHEN i = 0 THEN 'Point' ELSE 'Unknown' END AS _geometry_type
+    CASE WHEN i = 0 THEN 'Point' ELSE 'Unknown' END AS _geometry_type,
+    CASE WHEN i = 0 THEN CAST(round(s_acctbal, 2) + 0.0 AS DOUBLE) END AS x
     FROM supplier, (VALUES (0), (1)) AS v(i)""",
 )
 def a4(spark, d):
@@ -66,7 +67,11 @@ def a4(spark, d):
     doc = F.struct(F.lit("FeatureCollection").alias("type"), F.array(located, nowhere).alias("features"))
     table(spark, d, "supplier").select(F.to_json(doc).alias("value")).write.text(path)
     return tables.read_geojson(spark, path, multi_line=False).select(
-        "s_suppkey", "s_name", "_feature_index", "_geometry_type"
+        "s_suppkey",
+        "s_name",
+        "_feature_index",
+        "_geometry_type",
+        r(F.get_json_object("_geometry", "$.coordinates[0]").cast("double"), 2).alias("x"),
     )
 
 
@@ -90,6 +95,52 @@ def a7(spark, d):
     return got.select(F.col("s_suppkey").cast("long"), "s_name", r("s_acctbal", 2).alias("s_acctbal"))
 
 
+def _round_trip(spark, df, sep):
+    path = scratch(spark)
+    tables.write_table(df, path, "csv", sep=sep)
+    return tables.read_csv(spark, path, sep, df.schema)
+
+
+@query(
+    "a7_round_trip_documents",
+    """SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, CAST((SELECT count(*) FROM documents) AS BIGINT) AS counted
+    FROM documents""",
+)
+def a7_documents(spark, d):
+    got = _round_trip(spark, table(spark, d, "documents"), ",")
+    return got.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", F.lit(got.count()).alias("counted"))
+
+
+@query("a2_round_trip_pages", "SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def a2_pages(spark, d):
+    got = _round_trip(spark, table(spark, d, "pages"), "\t")
+    return got.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query(
+    "a1_uneven_lines",
+    """SELECT o_orderkey AS a, CASE WHEN o_orderkey % 4 <> 1 THEN CAST(o_custkey AS BIGINT) END AS b,
+    CASE WHEN o_orderkey % 4 = 2 THEN 'x' || chr(10) || '"y", z' WHEN o_orderkey % 4 = 0 THEN 'plain' END AS c,
+    CAST((SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 3) AS BIGINT) AS counted FROM orders WHERE o_orderkey % 4 <> 3""",
+)
+def a1_uneven(spark, d):
+    """Whole, short, quoted and overlong lines."""
+    path = scratch(spark)
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    rest = F.col("o_orderkey") % 4
+    line = (
+        F.when(rest == 1, key)
+        .when(rest == 2, F.concat_ws(",", key, cust, F.lit('"x\n""y"", z"')))
+        .when(rest == 3, F.concat_ws(",", key, cust, F.lit("p"), F.lit("too many")))
+        .otherwise(F.concat_ws(",", key, cust, F.lit("plain")))
+    )
+    lines = table(spark, d, "orders").select(line.alias("a,b,c"))
+    # a header of its own in every file
+    lines.select(F.concat(F.when(F.monotonically_increasing_id() % (1 << 33) == 0, F.lit("a,b,c\n")).otherwise(""), F.col("`a,b,c`")).alias("value")).write.text(path)
+    got = tables.read_csv(spark, path)
+    return got.select(F.col("a").cast("long"), F.col("b").cast("long"), "c", F.lit(got.count()).alias("counted"))
+
+
 @query(
     "a8_normalise_missing",
     f"""SELECT l_returnflag, CAST(count(qty) AS BIGINT) AS filled, CAST(count(DISTINCT qty) AS BIGINT) AS distinct_values,
