@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,19 @@ def unpacked(columns: Sequence[str], text: str | None = None) -> list[Column]:
 def extended(fields: Sequence[T.StructField], added: str) -> T.StructType:
     """A schema with more columns."""
     return T.StructType([*fields, *T.StructType.fromDDL(added).fields])
+
+
+def text_sample(rows: DataFrame, n: int, group: str | None = None) -> DataFrame:
+    """Up to ``n`` distinct values of ``text``, in all or for each value of ``group`` (few), chosen by a
+    hash. Hashes alone are moved to find where to cut, then only the chosen texts."""
+    names = [group] if group else []
+    h = F.xxhash64("text")
+    keys = rows.select(*names, h.alias("_h")).distinct()
+    if group:
+        ranked = keys.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_h")))
+        cuts = ranked.where(F.col("_n") <= n).groupBy(group).agg(F.max("_h").alias("cut")).collect()  # a row per group
+        pairs = [F.lit(x) for r in cuts for x in (r[group], r["cut"])]
+        cut = F.try_element_at(F.create_map(*pairs), F.col(group)) if pairs else F.lit(None).cast("long")
+    else:
+        cut = F.lit(keys.orderBy("_h").limit(n).agg(F.max("_h")).first()[0]).cast("long")
+    return rows.where(h <= cut).dropDuplicates([*names, "text"])

@@ -9,7 +9,7 @@ automaton, and scoring a text adds up one row of the table per byte. The languag
 code wins.
 
 Training reads at most ``train_docs`` labelled texts of each language of at most ``train_bytes`` bytes,
-picked by a hash of text and id; the trees are counted in tasks and only their counts reach the driver.
+picked by a hash; the trees are counted in tasks and only their counts reach the driver.
 Scoring covers every byte of every text.
 
 Null text, and text without any letter, is ``und`` with score 0. Without labelled rows every text is
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import extended
+from tablekit.llm.base import extended, text_sample
 from tablekit.llm.words import byte_slices
 
 ORDER = 3
@@ -156,16 +156,9 @@ def compile_model(rows: list[tuple[str, int, int]], min_count: int) -> Model:
 
 
 def train(labelled: DataFrame, train_docs: int = 1000, train_bytes: int = 1 << 17, min_count: int = 8) -> Model | None:
-    """labelled: text, lang, and doc_id if there is one. None if no row has both. Up to a thousand texts
-    of a language, Spark leaves the others behind in the tasks that read them."""
-    key = F.xxhash64("text", *([F.col("doc_id")] if "doc_id" in labelled.columns else []))
+    """labelled: text, lang. None if no row has both."""
     rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= train_bytes)
-    sample = (
-        rows.select("lang", "text", key.alias("k"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text")))
-        .where(F.col("n") <= train_docs)
-        .select("lang", "text")
-    )
+    sample = text_sample(rows.select("lang", "text"), train_docs, "lang")
     grams = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
     if not table.num_rows:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import extended
+from tablekit.llm.base import extended, text_sample
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -313,8 +313,7 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = 800, train_char
     """The field from at most ``train_docs`` texts with a digit or @, of at most ``train_chars``
     characters, picked by a hash of the text."""
     rows = docs.select(F.col(text).alias("text")).where(F.rlike("text", F.lit("[0-9@]")) & (F.length("text") <= train_chars))
-    sample = rows.orderBy(F.xxhash64("text"), "text").limit(train_docs).toArrow()
-    return fit(sample.column("text").to_pylist())
+    return fit(sorted(text_sample(rows, train_docs).toArrow().column("text").to_pylist()))
 
 
 def all_spans(text: str, crf: Field, certainty: float = 0.7) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -4,8 +4,8 @@ A text is cut into overlapping chunks that cover all of it. Bytes are embedded;
 over each chunk; the largest response of each filter is the chunk's vector; mean and maximum of the
 chunk vectors go into one logistic unit.
 
-Training is a bounded job on the driver: at most ``train_docs`` labelled texts of at most
-``train_bytes`` bytes, picked by hash. Scoring is a map over all rows and all bytes.
+Training is a bounded job on the driver: the texts, of at most ``train_bytes`` bytes, of at most
+``train_docs`` labels, picked by hash. Scoring is a map over all rows and all bytes.
 
 Null counts as empty text; an empty text is one chunk of padding and has a score like any other.
 Without labelled rows every score is 0.5. A text with several labels counts once for each.
@@ -130,14 +130,18 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = 600,
     return net
 
 
-def train(labelled: DataFrame, train_docs: int = 2500, train_bytes: int = 1 << 14) -> Network | None:
-    """labelled: text, label (0 or 1). None without usable rows."""
-    rows = labelled.where("text is not null and label in (0, 1)").where(F.octet_length("text") <= train_bytes)
-    sample = rows.select("text", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("text"), "text", "label").limit(train_docs)
-    got = sample.toArrow()
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2500, train_bytes: int = 1 << 14) -> Network | None:
+    """docs: doc_id, text; labels: doc_id, label (0 or 1). The labels are sampled, by a hash of the id, so
+    only that many ids meet the texts, which stay where they are. None without usable rows."""
+    ids = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
+    ids = ids.orderBy(F.xxhash64("_id"), "_id", "label").limit(train_docs)
+    # at most ``train_docs`` rows
+    rows = docs.where(F.octet_length("text") <= train_bytes).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    got = rows.select("text", "label").toArrow()
     if not got.num_rows:
         return None
-    return fit([t.encode() for t in got.column("text").to_pylist()], got.column("label").to_pylist())
+    pairs = sorted(zip(got.column("text").to_pylist(), got.column("label").to_pylist()))
+    return fit([t.encode() for t, _ in pairs], [y for _, y in pairs])
 
 
 def score_quality(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -173,9 +173,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
-    marked = learned(spark, sf_dir).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("text", "label")
-    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality.train(marked))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.train(docs, labels))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

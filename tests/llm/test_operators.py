@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.llm import chat, decontaminate, hamming, language, licences, minhash, mixing, pii, quality, warc
+from tablekit.llm.base import text_sample
 from tablekit.llm.words import word_slices
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,6 +28,16 @@ def made_up(rng, n, alphabet=400):
     return " ".join(f"w{rng.randrange(alphabet)}é" if rng.random() < 0.2 else f"W{rng.randrange(alphabet)}" for _ in range(n))
 
 
+def test_samples_of_texts(spark):
+    rows = [(f"t{i % 40}", "ab"[i % 2]) for i in range(400)] + [("hot", "a")] * 300
+    df = spark.createDataFrame(rows, "text string, lang string")
+    some = [r.text for r in text_sample(df, 10).collect()]
+    assert len(some) == len(set(some)) == 10 and sorted(some) == sorted(r.text for r in text_sample(df.repartition(7), 10).collect())
+    each = Counter(r.lang for r in text_sample(df, 15, "lang").collect())
+    assert each == {"a": 15, "b": 15} and text_sample(df, 100).count() == 41
+    assert text_sample(df.limit(0), 5).count() == 0 and text_sample(df.limit(0), 5, "lang").count() == 0
+
+
 def test_words_of_bytes():
     texts = ["", None, "Zwei Wörter", "a", "a-b_c\x00D", "日本 x", " ", "end"]
     got = [w.text(int(w.first[i]), int(w.first[i + 1])).decode().split() for w in word_slices(pa.array(texts), 12) for i in range(w.hi - w.lo)]
@@ -455,7 +466,9 @@ def test_quality_of_odd_texts(spark):
     net = quality.fit([b"good text", b"%%%% $$$$"] * 20, [1, 0] * 20, steps=30)
     got = {r.doc_id: r.score for r in quality.score_quality(df, net).collect()}
     assert got[1] == got[2] and all(0 <= s <= 1 for s in got.values())
-    assert quality.train(spark.createDataFrame([], "text string, label int")) is None
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (7, 1)], "doc_id long, label int")
+    assert quality.train(df, labels.limit(0)) is None and quality.train(df.limit(0), labels) is None
+    assert quality.train(df.where("doc_id < 3"), labels) is None  # a null text, and no label
     assert {r.score for r in quality.score_quality(df, None).collect()} == {0.5}
     assert quality.score_quality(df.limit(0), net).count() == 0
 
