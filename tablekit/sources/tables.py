@@ -59,8 +59,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with header; the first of comma, semicolon, tab that splits the header is used.
 
-    Short lines are filled with NULL, lines with a value too many are left out, quotes are doubled
-    within quotes. A quoted cell may hold line breaks; where none does, ``multi_line=False`` lets
+    Empty cells, quoted or not, are NULL, short lines are filled with NULL, lines with a value too many
+    are left out, quotes are doubled within quotes. A quoted cell may hold line breaks; where none does, ``multi_line=False`` lets
     several tasks share a file.
     """
     if sep is None:
