@@ -62,10 +62,10 @@ def grow_forest(
     """Trees from per-tree hash subsamples of a bounded pool, one tree per group. Which trees a row may be
     in is decided by its hash for each tree before anything is moved."""
     pool = checkpoint(sample_n(df, 2 * trees * rows, key, seed).select(*[col(k) for k in dict.fromkeys([*key, *cols])]))
-    held = pool.count()
+    held = max(1, pool.count())
     # twice the rows a tree needs and more: fewer than it needs have odds below 1e-9
     share = 1.0 if held <= 4 * rows else min(1.0, (2 * rows + 200) / held)
-    bound = int((share - 0.5) * 2 * (2**63 - 1))
+    bound = 2**63 - 1 if share == 1.0 else int((share - 0.5) * 2**63 * 2)
     trees_of = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("h", t).alias("h"))),
         lambda s: s["h"] <= F.lit(bound),

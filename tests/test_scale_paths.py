@@ -229,6 +229,6 @@ def test_keys_of_text(spark):
     ):
         want = {f"k{r[0]:03d}": r[1] for r in run(df).collect()}
         got = {r[0]: r[1] for r in run(named).collect()}
-        assert got == want
+        assert got == pytest.approx(want)
     scored = anomaly.isolation_forest(named, "id", ["a", "b"], trees=10)
     assert scored.count() == 120 and scored.filter("is_anomaly").count() == 12
