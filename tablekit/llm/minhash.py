@@ -12,9 +12,9 @@ Texts with equal sets become one node. Nodes that share a band are linked to one
 the node that meets most others, so buckets give links, not pairs. Links are verified on whole texts in
 two turns: the strongest link of each node, then those whose ends are still apart. Where a bucket then
 still holds several components, everyone outside its largest one is compared with all of the bucket, in
-blocks, by size and signature; pairs that could reach the threshold are verified too, first the likeliest
-of any two components, then all between components that are left. So a similar pair that shares a bucket is
-never lost, however large the bucket.
+blocks, by size and signature, which gives the pairs of components that could be linked. Those are
+compared text by text in blocks within tasks, until a link is found. So a similar pair that shares a
+bucket is never lost, however large the bucket, and what tasks give is links of components, not pairs.
 
 With 24 bands of 4 rows, a pair of similarity 0.8 shares no bucket with probability 4e-6.
 
@@ -40,7 +40,8 @@ from tablekit.operators.cluster import connected_components
 
 SHINGLE = 5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 512
+#: nodes of a bucket, and texts, that a part of a comparison holds on either side
+BLOCK, TEXT_BLOCK = 512, 256
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,38 +204,78 @@ def _same_set(weighted: bool):
     return run
 
 
-def _candidates(coordinates: int, threshold: float):
-    """Pairs of a block of outsiders and a block of the bucket that could be similar: sets of fitting
-    sizes, and signatures that agree often enough. A pair that shares several buckets comes from the
-    first."""
+KEY = ["band", "value", "i", "j"]
+
+
+def _related(coordinates: int, threshold: float):
+    """Rows sorted by KEY: pairs of roots of an outsider and a member of the same part of a bucket that
+    could be similar, by the sizes of their sets and by how often their signatures agree. A pair of nodes
+    that shares several buckets is looked at in the first."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows.column(c).to_numpy() for c in KEY])
+        root, size = rows.column("root").to_numpy(), rows.column("size").to_numpy()
+        outside = rows.column("outside").to_numpy(zero_copy_only=False)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(root), -1)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, coordinates)
+        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)] if len(root) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        end = np.repeat(np.r_[first[1:], len(root)], np.diff(np.r_[first, len(root)]))
+        found, at = [np.zeros((0, 2), np.int64)], np.arange(len(root))
+        for d in range(1, int(np.diff(np.r_[first, len(root)]).max(initial=0))):
+            at = at[at + d < end[at]]
+            one, two = at, at + d
+            ok = (outside[one] != outside[two]) & (root[one] != root[two])
+            ok &= np.minimum(size[one], size[two]) >= threshold * np.maximum(size[one], size[two])
+            one, two = one[ok], two[ok]
+            ok = (bands[one] == bands[two]).argmax(axis=1) == key[0][one]
+            one, two = one[ok], two[ok]
+            ok = (sig[one] == sig[two]).sum(axis=1) >= 0.75 * threshold * coordinates
+            one, two = root[one[ok]], root[two[ok]]
+            found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
+        got = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last part may go on in the next batch
+            key = np.stack([batch.column(c).to_numpy() for c in KEY])
+            cut = int(np.flatnonzero((key != key[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if cut:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _links(coordinates: int, threshold: float, weighted: bool):
+    """One verified link for each component of the outer rows that has one to the inner rows, which are
+    of one component."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, coordinates)
-        bands = np.stack(frame["bands"].to_numpy())
         node, root, size = (frame[c].to_numpy() for c in ("node", "root", "size"))
-        band, outside = int(frame["band"].iloc[0]), frame["outside"].to_numpy()
-        whole = np.flatnonzero(~outside)
-        found: list[tuple] = [(np.zeros(0, np.int64),) * 5]
+        outside = frame["outside"].to_numpy()
+        sets = list(_sets(pa.array(frame["_text"], pa.string())))
+        whole, out, done = np.flatnonzero(~outside), [], set()
         for i in np.flatnonzero(outside):
+            if root[i] in done:
+                continue
             fits = np.minimum(size[whole], size[i]) >= threshold * np.maximum(size[whole], size[i])
-            near = whole[fits & (root[whole] != root[i])]
-            near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
-            same = (sig[near] == sig[i]).sum(axis=1)
-            ok = same >= 0.75 * threshold * coordinates
-            near, same = near[ok], same[ok]
-            if len(near):
-                found.append((np.full(len(near), node[i]), node[near], np.full(len(near), root[i]), root[near], same))
-        one, two, r1, r2, same = (np.concatenate(x) for x in zip(*found))
-        up = one > two
-        return pd.DataFrame(
-            {
-                "a": np.where(up, one, two),
-                "b": np.where(up, two, one),
-                "root_a": np.where(up, r1, r2),
-                "root_b": np.where(up, r2, r1),
-                "same": same,
-            }
-        ).drop_duplicates(["a", "b"])
+            same = (sig[whole] == sig[i]).sum(axis=1)
+            near = whole[fits & (same >= 0.75 * threshold * coordinates)]
+            for j in near[np.argsort(-(sig[near] == sig[i]).sum(axis=1), kind="stable")]:
+                if jaccard(sets[i], sets[j], weighted) >= threshold:
+                    out.append((node[i], node[j]))
+                    done.add(root[i])
+                    break
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -338,27 +379,19 @@ def near_duplicates(
     strongest = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
     strongest = written(strongest)
     roots = led_to(verified(strongest))
-    tested = votes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = written(apart(votes.join(strongest, ["a", "b"], "left_anti"), roots).select("a", "b"))
     roots = joined(roots, verified(rest))
-    pairs = written(_across(members, roots, nodes, k, threshold).join(tested, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        # first the likeliest pair of any two components, then what is between those that are left
-        ends = (F.least("root_a", "root_b"), F.greatest("root_a", "root_b"))
-        best = pairs.groupBy(*ends).agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b")
-        best = written(best)
-        roots = joined(roots, verified(best))
-        others = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots).select("a", "b")
-        roots = joined(roots, verified(written(others)))
+    related = written(_across(members, roots, nodes, k, threshold))
+    if not related.isEmpty():
+        roots = joined(roots, written(_between(related, roots, nodes, texts, k, threshold, weighted)))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     return NearDuplicates(rows, written(placed.join(ids, "root").select("node", "h1", "h2", "rep", "class_id")), weighted)
 
 
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs within buckets of several components that leader links can't have settled: a, b, their
-    roots, and the coordinates they share. A true pair falls below three quarters of the threshold in
-    its signature with probability under 1e-6."""
+    """Pairs of components (low, high) with nodes in one bucket that could be similar. A true pair falls
+    below three quarters of the threshold in its signature with probability under 1e-6."""
     m = members.join(roots, "node")
     parts = m.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
     main = (
@@ -379,10 +412,41 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, thre
     def blocks(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    key, kept = ["band", "value", "i", "j"], ["node", "root", "size", "bands", "sig"]
-    rest = m.where("root <> main").select(*key[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), *kept, F.lit(True).alias("outside"))
-    whole = m.select(*key[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), *kept, F.lit(False).alias("outside"))
-    pairs = rest.unionByName(whole).groupBy(*key).applyInPandas(
-        _candidates(k, threshold), "a long, b long, root_a long, root_b long, same long"
+    kept = ["root", "size", "bands", "sig"]
+    rest = m.where("root <> main").select(*KEY[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), *kept, F.lit(True).alias("outside"))
+    whole = m.select(*KEY[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), *kept, F.lit(False).alias("outside"))
+    parts = rest.unionByName(whole).repartition(*KEY).sortWithinPartitions(*KEY)
+    return parts.mapInArrow(_related(k, threshold), "low long, high long").distinct()
+
+
+def _between(
+    related: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, weighted: bool
+) -> DataFrame:
+    """Verified links between components: the nodes of the smaller are compared with those of the larger
+    in blocks, within tasks, and a pair of components gives a link or two at most."""
+    n = roots.groupBy("root").agg(F.count("*").alias("n"))
+    low = n.select(F.col("root").alias("low"), F.col("n").alias("n_low"))
+    high = n.select(F.col("root").alias("high"), F.col("n").alias("n_high"))
+    sized = related.join(low, "low").join(high, "high")
+    swap = F.col("n_low") > F.col("n_high")
+    sized = sized.select(
+        F.when(swap, F.col("low")).otherwise(F.col("high")).alias("wide"),
+        F.when(swap, F.col("high")).otherwise(F.col("low")).alias("root"),
+        F.greatest("n_low", "n_high").alias("n_wide"),
+        F.least("n_low", "n_high").alias("n_thin"),
     )
-    return pairs.dropDuplicates(["a", "b"])
+    wide = sized.groupBy("wide").agg(
+        F.ceil(F.sum("n_thin") / TEXT_BLOCK).alias("outer"), F.ceil(F.max("n_wide") / TEXT_BLOCK).alias("inner")
+    )
+    held = roots.join(nodes.select("node", "size", "sig"), "node").join(texts, "node")
+    h = F.xxhash64("node")
+
+    def blocks(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    kept = ["node", "root", "size", "sig", "_text"]
+    outer = sized.select("wide", "root").join(wide, "wide").join(held, "root")
+    outer = outer.select("wide", F.pmod(h, "outer").alias("i"), blocks("inner").alias("j"), *kept, F.lit(True).alias("outside"))
+    inner = wide.join(held, F.col("wide") == F.col("root"))
+    inner = inner.select("wide", blocks("outer").alias("i"), F.pmod(h, "inner").alias("j"), *kept, F.lit(False).alias("outside"))
+    return outer.unionByName(inner).groupBy("wide", "i", "j").applyInPandas(_links(k, threshold, weighted), "a long, b long")
