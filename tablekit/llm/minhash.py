@@ -282,7 +282,7 @@ def _links(coordinates: int, threshold: float, weighted: bool):
 
 class NearDuplicates:
     """rows: doc_id with h1, h2 of its set (null without words); nodes: node, h1, h2, rep (smallest
-    doc_id), class_id."""
+    doc_id), class_id, root (its component)."""
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, weighted: bool) -> None:
         self.rows, self.nodes, self.weighted = rows, nodes, weighted
@@ -298,8 +298,9 @@ class NearDuplicates:
         """The rows of ``docs`` without all but one row of each class: the smallest id's; texts without
         words all stay."""
         kept = self.nodes.where(F.col("rep").eqNullSafe(F.col("class_id")))
-        kept = kept.groupBy("class_id").agg(F.min(F.struct("node", "h1", "h2")).alias("m"))
-        kept = kept.select(F.col("class_id").alias("_rep"), "m.h1", "m.h2").distinct()
+        # by root: ids given twice can make two classes of one id
+        kept = kept.groupBy("root").agg(F.min(F.struct("node", "h1", "h2", "rep")).alias("m"))
+        kept = kept.select(F.col("m.rep").alias("_rep"), "m.h1", "m.h2")
         wordless = ~F.coalesce(F.rlike(col(text), F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]")), F.lit(False))
         rows = packed(docs.where(~wordless), text).withColumnRenamed(text, "_text")
         rows = rows.withColumn("_key", F.col("_text") if id_col == text else F.col(ROW).getField(id_col))
@@ -386,7 +387,7 @@ def near_duplicates(
         roots = joined(roots, written(_between(related, roots, nodes, texts, k, threshold, weighted)))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return NearDuplicates(rows, written(placed.join(ids, "root").select("node", "h1", "h2", "rep", "class_id")), weighted)
+    return NearDuplicates(rows, written(placed.join(ids, "root").select("node", "h1", "h2", "rep", "class_id", "root")), weighted)
 
 
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:

@@ -114,6 +114,13 @@ def test_one_of_each_class_stays(spark):
     assert sum(not shingle_set(t) for _, t in rows) == sum(not shingle_set(r.text) for r in kept.collect())
 
 
+def test_an_id_given_to_two_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (1, "h i j k l m n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.near_duplicates(df).keep_one(df)
+    assert sorted(map(tuple, kept.collect())) == sorted(set(rows[:2]))
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     found = minhash.near_duplicates(df)
