@@ -73,6 +73,7 @@ KNOWN = {
 PERMITTED = frozenset({"0bsd", "apache-2", "bsd-2", "bsd-3", "cc-by", "cc0", "isc", "mit", "unlicense", "zlib"})
 BINDS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_OPERAND = re.compile(r"((?:[ \t]*+\()*+)[ \t]*+([A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -86,21 +87,15 @@ def is_licence(name: str) -> bool:
     return name in KNOWN or name.startswith(("licenseref-", "documentref-"))
 
 
-def read_expression(text: str) -> list[str] | None:
-    """The licence expression that begins the text, in postfix form; what follows it is ignored. An
-    operator belongs to it only if an operand follows: any name as the first and after WITH, a known
+def read_expression(text: str, at: int = 0) -> list[str] | None:
+    """The licence expression that begins at a place of the text, in postfix form; what follows it is
+    neither read nor judged, save the operand after an operator. An operator belongs to it only if an operand follows: any name as the first and after WITH, a known
     identifier elsewhere. None if there is none, or parentheses don't match."""
     out: list[str] = []
     stack: list[str] = []
-    tokens, at = [], 0
+    operand = True
     while m := _TOKEN.match(text, at):
-        tokens.append(m[1])
-        at = m.end()
-        if len(tokens) > 4096:
-            return None
-    i, operand = 0, True
-    while i < len(tokens):
-        t = tokens[i]
+        t, at = m[1], m.end()
         low = t.lower()
         if operand:
             if t == "(":
@@ -116,10 +111,8 @@ def read_expression(text: str) -> list[str] | None:
             while (op := stack.pop()) != "(":
                 out.append(op)
         elif low in BINDS:
-            ahead = i + 1
-            while ahead < len(tokens) and tokens[ahead] == "(":
-                ahead += 1
-            if ahead == len(tokens) or not (low == "with" and ahead == i + 1 or is_licence(tokens[ahead])):
+            ahead = _OPERAND.match(text, at)
+            if not ahead or not (low == "with" and not ahead[1] or is_licence(ahead[2])):
                 break
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 out.append(stack.pop())
@@ -127,7 +120,6 @@ def read_expression(text: str) -> list[str] | None:
             operand = True
         else:
             break
-        i += 1
     if operand or "(" in stack:
         return None
     return out + stack[::-1]
@@ -146,15 +138,8 @@ def permitted(postfix: Iterable[str], allowed: frozenset[str] = PERMITTED) -> bo
 
 
 def licences_in(postfix: list[str]) -> set[str]:
-    """Labels of the operands, without the exceptions that follow WITH."""
-    stack: list[set[str]] = []
-    for t in postfix:
-        if t in BINDS:
-            b, a = stack.pop(), stack.pop()
-            stack.append(a if t == "with" else a | b)
-        else:
-            stack.append({label_of(t)})
-    return stack[0]
+    """Labels of the operands, without the exceptions: a WITH stands right behind its own."""
+    return {label_of(t) for t, then in zip(postfix, [*postfix[1:], ""]) if t not in BINDS and then != "with"}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -186,9 +171,9 @@ def scan_text(raw: bytes, a: ahocorasick.Automaton) -> tuple[int, list[tuple[str
         for n, m in enumerate(_WORD.finditer(raw)):
             if n in wanted:
                 after[n - 2] = m.end()
+        plain = raw.decode("latin-1")  # expressions are ASCII, and no token goes on beyond a line
         for t in tags:
-            line = raw[after[t] :].partition(b"\n")[0].decode("utf-8", "replace")
-            if line.startswith(":") and (postfix := read_expression(line[1:])):
+            if plain.startswith(":", after[t]) and (postfix := read_expression(plain, after[t] + 1)):
                 expressions.append((" ".join(postfix), ",".join(sorted(licences_in(postfix))), permitted(postfix)))
                 doubt *= 1 - TAG_WEIGHT
     for _ in base:

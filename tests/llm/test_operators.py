@@ -290,6 +290,18 @@ def test_licence_tags_and_odd_texts(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def test_expressions_with_long_lines_and_of_any_length():
+    a = licences.automaton()
+    for rest in ("", " word" * 3, " word" * 5000):
+        _, _, _, found, score = licences.scan_text(b"SPDX-License-Identifier: MIT" + rest.encode(), a)
+        assert found == [("MIT", "mit", True)] and score == pytest.approx(0.95)
+    _, _, _, found, _ = licences.scan_text("é SPDX-License-Identifier: MIT\nOR GPL-2.0 é".encode(), a)
+    assert found == [("MIT", "mit", True)]
+    long = licences.read_expression("MIT OR LicenseRef-0" + "".join(f" OR LicenseRef-{i}" for i in range(1, 20_000)))
+    assert len(long) == 40_001 and len(licences.licences_in(long)) == 20_001 and licences.permitted(long)
+    assert licences.licences_in(["GPL-2.0", "Classpath-exception-2.0", "with", "MIT", "or"]) == {"gpl-2", "mit"}
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
