@@ -47,7 +47,7 @@ NOTICES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
 TAG = "spdx license identifier"
-#: licence identifiers that can follow an operator, with the labels they give
+#: licence identifiers with the labels they give; others give their own name
 KNOWN = {
     "0bsd": "0bsd",
     "agpl-3.0": "agpl-3",
@@ -77,52 +77,76 @@ _OPERAND = re.compile(r"((?:[ \t]*+\()*+)[ \t]*+([A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+def bare(name: str) -> str:
+    """Without version suffixes, and without the stop or colon that ends a sentence."""
+    return re.sub(r"(-only|-or-later|\+)$", "", name.lower().rstrip(".:"))
+
+
 def label_of(name: str) -> str:
-    name = re.sub(r"(-only|-or-later|\+)$", "", name.lower())
+    name = bare(name)
     return KNOWN.get(name, name)
 
 
 def is_licence(name: str) -> bool:
-    name = re.sub(r"(-only|-or-later|\+)$", "", name.lower())
-    return name in KNOWN or name.startswith(("licenseref-", "documentref-"))
+    """Whether a name after an operator is a licence and not a word of prose."""
+    name = bare(name)
+    return name in KNOWN or re.search("[0-9-]", name) is not None
 
 
 def read_expression(text: str, at: int = 0) -> list[str] | None:
     """The licence expression that begins at a place of the text, in postfix form; what follows it is
-    neither read nor judged, save the operand after an operator. An operator belongs to it only if an operand follows: any name as the first and after WITH, a known
-    identifier elsewhere. None if there is none, or parentheses don't match."""
+    neither read nor judged, save the operand after an operator. An operator belongs to it only if an
+    operand follows: any name as the first, after WITH or an operator in upper case, and in parentheses
+    that close; elsewhere, where prose may follow, a known licence or a name with a digit or a hyphen.
+    Parentheses left open close at the end if an operator was read. None if there is no expression."""
     out: list[str] = []
     stack: list[str] = []
-    operand = True
+    operand, depth = True, 0
+    doubt: tuple[int, int, int, list[str]] | None = None  # what was read before a name that only parentheses let in
     while m := _TOKEN.match(text, at):
         t, at = m[1], m.end()
         low = t.lower()
         if operand:
             if t == "(":
                 stack.append(t)
+                depth += 1
             elif t == ")" or low in BINDS:
                 return None
             else:
                 out.append(t)
                 operand = False
         elif t == ")":
-            if "(" not in stack:
+            if not depth:
                 break
             while (op := stack.pop()) != "(":
                 out.append(op)
+            depth -= 1
+            if doubt and depth < doubt[0]:
+                doubt = None
         elif low in BINDS:
             ahead = _OPERAND.match(text, at)
-            if not ahead or not (low == "with" and not ahead[1] or is_licence(ahead[2])):
+            if not ahead or ahead[2].lower() in BINDS or low == "with" and ahead[1]:
                 break
+            if not (low == "with" or t.isupper() or is_licence(ahead[2])):
+                if not depth:
+                    break
+                if not doubt:
+                    p = len(stack) - 1
+                    while stack[p] != "(":
+                        p -= 1
+                    doubt = depth, len(out), p, stack[p:]  # what is below stays until this parenthesis closes
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = True
         else:
             break
-    if operand or "(" in stack:
+    if doubt:
+        _, n, p, rest = doubt
+        out, stack = out[:n], stack[:p] + rest
+    if operand or depth and not any(t in BINDS for t in (*out, *stack)):
         return None
-    return out + stack[::-1]
+    return out + [t for t in reversed(stack) if t != "("]
 
 
 def permitted(postfix: Iterable[str], allowed: frozenset[str] = PERMITTED) -> bool:

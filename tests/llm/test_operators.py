@@ -302,6 +302,35 @@ def test_expressions_with_long_lines_and_of_any_length():
     assert licences.licences_in(["GPL-2.0", "Classpath-exception-2.0", "with", "MIT", "or"]) == {"gpl-2", "mit"}
 
 
+@pytest.mark.parametrize(
+    "text, postfix, allowed",
+    [
+        ("(MIT OR BSL-1.0)", ["MIT", "BSL-1.0", "or"], True),
+        ("MIT AND GPL-1.0-only", ["MIT", "GPL-1.0-only", "and"], False),
+        ("Apache-2.0 AND MPL-1.1 */", ["Apache-2.0", "MPL-1.1", "and"], False),
+        ("MIT and CC-BY-3.0", ["MIT", "CC-BY-3.0", "and"], False),
+        ("MIT AND Ruby", ["MIT", "Ruby", "and"], False),
+        ("(MIT or Ruby) and more", ["MIT", "Ruby", "or"], True),
+        ("MIT and (well known) words", ["MIT"], True),
+        ("MIT AND (Ruby OR (PHP AND Zlib)) more", ["MIT", "Ruby", "PHP", "Zlib", "and", "or", "and"], False),
+        ("MIT AND (BSL-1.0", ["MIT", "BSL-1.0", "and"], False),
+        ("(MIT OR BSL-1.0, or", ["MIT", "BSL-1.0", "or"], True),
+        ("(MIT and other words", None, None),
+        ("((MIT or Ruby) and other words", ["MIT", "Ruby", "or"], True),
+        ("(MIT OR Ruby and other words", ["MIT", "Ruby", "or"], True),
+        ("MIT OR Apache-2.0.", ["MIT", "Apache-2.0.", "or"], True),
+        ("GPL-2.0 AND MIT with and", ["GPL-2.0", "MIT", "and"], False),
+        ("MIT OR ()", ["MIT"], True),
+        ("MIT OR AND", ["MIT"], True),
+    ],
+)
+def test_expressions_of_any_names(text, postfix, allowed):
+    assert licences.read_expression(text) == postfix
+    if postfix:
+        assert licences.permitted(postfix) is allowed
+        assert not any(x.endswith(".") for x in licences.licences_in(postfix))
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
