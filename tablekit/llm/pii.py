@@ -1,15 +1,15 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds what they miss.
 
 The patterns give the base spans. The random field works on regions: runs of tokens around digits and
-``@``, where alone a candidate can lie. Its segments are whole spans of up to ``MAX_TOKENS`` tokens,
+``@`` with marks and words beside them, where alone a candidate can lie. Its segments are whole spans of up to ``MAX_TOKENS`` tokens,
 scored by features of the entire span (its shape, counts of digits and marks, checksum, what stands
 beside it), and dynamic programming over segment ends chooses boundaries and types together. A segment
 counts as found if it is on the best path and the field gives it a probability of at least
 ``certainty``; it is added where no base span is.
 
 Training is a bounded job on the driver: the regions of at most ``train_docs`` documents, labelled by
-the patterns, with written variants of the same data ("00" for "+", "[at]" for "@", dots in card
-numbers) that the patterns don't cover. Weights follow the gradient of the conditional likelihood,
+the patterns, with written variants of the same data ("00" for "+", marks between blanks, "[at]" or
+" @ " for "@", dots in card numbers, two cards side by side) that the patterns don't cover. Weights follow the gradient of the conditional likelihood,
 which takes forward and backward sums over all segmentations.
 
 Offsets are in code points, ends exclusive. Null counts as empty text. Repeated documents are judged
@@ -41,6 +41,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+_AT = ("@", "[at]", "(at)", "[at)", "(at]")
+_MARK = re.compile(r"[^\w\s]|_")
+# marks, each after a blank or none, up to the next trigger
+_MARKS = re.compile(r"(?:\x20?(?![\[(]at[\])])(?:[^\w\s@]|_))*+")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W0-9A-Za-z]+|[^\w\s]|_")
 _NOT_DIGIT, _NUMBER = re.compile(r"[^0-9]"), re.compile(r"[0-9]+")
 _SHAPE = {i: "a" for i in [*range(65, 91), *range(97, 123)]} | {i: "0" for i in range(48, 58)}
@@ -83,29 +87,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans around triggers: tokens belong together while no more than a blank is between them
-    and one of two neighbours has a trigger or is a mark."""
+    """Token spans around triggers: blank-separated runs that hold a trigger, with the marks beside them
+    and the word beside an @ or [at] that stands at the edge of its run; they belong together while no
+    more than a blank is between."""
     now: list[tuple[int, int]] = []
-    end, last = -1, -1
+    end = -1
     for m in _TRIGGER.finditer(text):
         if m.start() < end:
             continue
+        least = max(end, 0)
         # from a little before the trigger, at a blank
-        a = text.rfind(" ", max(last, 0), m.start())
-        a = max(last, 0) if a < 0 else a + 1
-        a = max(a, m.start() - 64, last)
-        b = m.end()
-        while b < len(text) and text[b] > " " and b - m.end() < 128:
-            b += 1
+        a = text.rfind(" ", least, m.start())
+        a = least if a < 0 else a + 1
+        a = max(a, m.start() - 64)
+        b = _run_end(text, m.end())
+        if text.startswith(_AT, a) and a - 1 > least and text[a - 1] == " " and text[a - 2] > " ":
+            word = text.rfind(" ", least, a - 1)
+            a = max(least if word < 0 else word + 1, a - 65)
+        while text.endswith(_AT, a, b) and text[b : b + 1] == " " and text[b + 1 : b + 2] > " ":
+            b = _run_end(text, b + 1)
+        while (x := a - (text[a - 1 : a] == " ")) > least and _MARK.match(text, x - 1):
+            a = x - 1
+        b = _MARKS.match(text, b).end()
         if now and (a > end + 1 or "\n" in text[end:a]):
             yield now
             now = []
-        end = last = b
+        end = b
         now.extend(t.span() for t in _TOKEN.finditer(text, a, b))
     if now:
         yield now
 
 
+def _run_end(text: str, at: int) -> int:
+    b = at
+    while b < len(text) and text[b] > " " and b - at < 128:
+        b += 1
+    return b
+
+
 def features(key: tuple) -> list[str]:
     """Of a whole candidate: its shape with digits as 0 and letters as a, whether it starts with 00, its
     checksum and whether its numbers fit a byte (None where that means nothing), and what is beside it."""
@@ -244,19 +263,33 @@ def gold(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> li
 
 
 def variants(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """A text with one span written another way."""
+    """A text with one span written another way, for each way; without a span, what is no address because
+    its host has no dot, and no number from abroad."""
     for k, a, b in spans:
         raw = text[a:b]
-        other = {
-            "phone": raw.replace("+", "00", 1),
-            "email": raw.replace("@", "[at]", 1),
-            "card": ".".join(raw[i : i + 4] for i in range(0, len(raw), 4)) if raw.isdigit() else raw,
-        }.get(k, raw)
-        if other != raw:
-            lo, hi = max(0, a - 40), min(len(text), b + 40)
-            around = [s for s in spans if s[0] != k and s[1] < b and a < s[2]]
-            if not around:
-                yield text[lo:a] + other + text[b:hi], [(k, a - lo, a - lo + len(other))]
+        abroad = raw.replace("+", "00", 1)
+        others = {
+            "phone": [abroad, *(re.sub(r"[\x20().-]+", x, abroad) for x in (" - ", " / "))],
+            "email": [raw.replace("@", x, 1) for x in ("[at]", " [at] ", " @ ")],
+            "card": [".".join(raw[i : i + 4] for i in range(0, len(raw), 4))] if raw.isdigit() else [],
+        }.get(k, [])
+        lo, hi = max(0, a - 40), min(len(text), b + 40)
+        if not any(s[0] != k and s[1] < b and a < s[2] for s in spans):
+            for other in others:
+                if other != raw:
+                    yield text[lo:a] + other + text[b:hi], [(k, a - lo, a - lo + len(other))]
+        if k == "phone":
+            for x in (" - ", " / "):
+                yield re.sub(r"[\x20().-]+", x, raw).partition(x)[2], []
+        if k == "card" and raw.isdigit():
+            yield f"{raw} {raw}", [(k, 0, b - a), (k, b - a + 1, 2 * (b - a) + 1)]
+        if k == "email":
+            user, _, host = raw.partition("@")
+            _, _, rest = host.partition(".")
+            for x in (" [at] ", " @ "):
+                if "." in rest:
+                    yield user + x + rest, [(k, 0, len(user + x + rest))]
+                yield user + x + host.rpartition(".")[2], []
 
 
 def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, most: int = 1500) -> Field:
@@ -273,7 +306,7 @@ def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, mo
                 if not tokens or len(tokens) > 200:
                     continue
                 inside = [s for s in marked if s[1] < tokens[-1][1] and tokens[0][0] < s[2]]
-                if t is not text and not inside:
+                if t is not text and marked and not inside:
                     continue  # what else is near a variant has no labels
                 if (target := gold(tokens, inside)) is not None:
                     look = (*(seg[2] for seg in crf.segments(t, tokens)), tuple(target))
@@ -282,7 +315,7 @@ def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, mo
     some = [(*cases[k], math.sqrt(times[k])) for k in sorted(cases, key=repr)]
     rng.shuffle(some)
     some = some[:most]
-    epochs = max(epochs, 4000 // max(1, len(some)))
+    epochs = max(epochs, 12000 // max(1, len(some)))
     for epoch in range(epochs):
         rng.shuffle(some)
         step = rate / (1 + 4 * epoch / epochs)

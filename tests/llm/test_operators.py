@@ -471,6 +471,32 @@ def test_field_learns_and_masks(spark):
     assert empty.count() == 0
 
 
+def test_marks_and_words_between_blanks_are_scored():
+    rng = random.Random(3)
+    texts = [f"word call +{rng.randrange(1, 9)} ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} or mail ann{i}.b@site{i % 7}.example.org soon in {1980 + i % 9} - {1990 + i % 9}" for i in range(120)]
+    crf = pii.fit(texts)
+
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in pii.all_spans(text, crf)[1]]
+
+    for phone in ("0049 - 30 - 1234567", "0049 / 30 / 1234567"):
+        assert found(f"call {phone} now") == [("phone", phone)]
+    for email in ("john [at] example.com", "john.doe @ mail.example.com", "ann1 @ site1.example.org"):
+        assert found(f"mail {email} or") == [("email", email)]
+    for text in ("meet @ noon 5", "see you [at] home now", "in 2019 - 2020 we saw", "x\n@\ny.z"):
+        assert found(text) == []
+
+
+def test_regions_hold_each_token_once():
+    r = random.Random(2)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "1", ".", "@", "[at]", "(at)", " ", " ", "-", "[", "]", "(", "\n", "é"]) for _ in range(30))
+        spans = [s for tokens in pii.regions(t) for s in tokens]
+        assert all(a < b and b <= c for (a, b), (c, _) in itertools.pairwise(spans + [(len(t), len(t) + 1)]))
+        at = {i for a, b in spans for i in range(a, b)}
+        assert all(at.issuperset(range(*m.span())) for m in pii._TRIGGER.finditer(t))
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
