@@ -145,7 +145,7 @@ SELECT page_id, payload_bytes, payload_digest,
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    return warc.records(warc.read_warc(spark, path)).select(
+    return warc.verified(warc.records(warc.read_warc(spark, path))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

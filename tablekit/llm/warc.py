@@ -31,17 +31,21 @@ ROWS = "record_id string, chunk_no long, last boolean, digest_so_far string, byt
 
 
 def _cuts(payload: memoryview, size: int) -> Iterator[tuple[int, int]]:
-    """Chunks of at most ``size`` bytes, none of which holds the mark between records."""
+    """Chunks of at most ``size`` bytes, none of which makes the mark between records, be it within, with
+    the blank line before it or with the one behind it."""
     raw, at, n = payload.obj, 0, len(payload)
+    inside = len(END) + 2  # from the start of a mark to a place within it
     if not n:
         yield 0, 0
-    mark = raw.find(BETWEEN)
     while at < n:
         end = min(at + size, n)
-        while 0 <= mark < at:
-            mark = raw.find(BETWEEN, mark + 1)
-        if 0 <= mark and mark + len(BETWEEN) <= end:
-            end = mark + len(END) + 2  # within the mark
+        before = (END.encode() + raw[at : min(end, at + len(MARK))] + BETWEEN[-2:]).find(BETWEEN)
+        if before >= 0:
+            end = at + before - len(END) + inside
+        elif (mark := raw.find(BETWEEN, at, end)) >= 0:
+            end = mark + inside
+        elif raw.endswith(BETWEEN[:-2], at, end):
+            end += inside - len(BETWEEN[:-2])
         yield at, end
         at = end
 
@@ -245,3 +249,9 @@ def records(chunks: DataFrame) -> DataFrame:
         F.coalesce((F.col("found_digest") == F.col("payload_digest")) & (F.col("found_bytes") == F.col("payload_bytes")), F.lit(False)).alias("intact"),
     )
     return short.unionByName(long)
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """The rows of ``records``; one whose payload has not the stated digest and length raises."""
+    wrong = F.raise_error(F.concat(F.lit("payload differs from its header: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    return found.withColumn("payload_digest", F.when(F.col("intact"), F.col("payload_digest")).otherwise(wrong.cast("string")))

@@ -411,6 +411,26 @@ def test_archives_round_trip(spark, tmp_path):
     assert text.decode() == pages[2][2]
 
 
+def test_payloads_that_meet_the_mark_and_changed_payloads(spark, tmp_path):
+    from tablekit.llm import queries
+
+    mark = "\r\n\r\nWARC/1.1\r\n"
+    texts = [mark[:-2], mark[2:], mark[4:], mark[4:-2], "a" + mark[:-2] * 3, mark[4:] + "b" + mark[:-2], "\r\n", "x" * 88 + mark[:-2] + "y" * 50, "x" * 2500]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), chunk_bytes=100)
+    chunks = warc.read_warc(spark, str(tmp_path / "w"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.verified(warc.records(chunks)).collect()}
+    assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    for page, old in ((6, "0D0A"), (8, "78")):
+        hit = (F.col("record_id").startswith(f"urn:record:{page}:")) & (F.col("chunk_no") == 0)
+        changed = chunks.withColumn("data", F.when(hit, F.unhex(F.regexp_replace(F.hex("data"), f"^{old}", "41"))).otherwise(F.col("data")))
+        with pytest.raises(Exception, match="payload differs"):
+            warc.verified(warc.records(changed)).select("payload_digest").collect()
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    plan = queries.op6_warc(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload differs" in plan and "sha2" in plan
+
+
 def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(df, str(tmp_path / "w"))
