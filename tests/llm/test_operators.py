@@ -247,6 +247,13 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_languages_learn_from_as_many_texts_as_documented(monkeypatch, spark):
+    asked = []
+    monkeypatch.setattr(language, "text_sample", lambda rows, n, group: asked.append(n) or rows)
+    language.train(spark.createDataFrame([("en", "a few words")], "lang string, text string"))
+    assert asked == [2000]
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
