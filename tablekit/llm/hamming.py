@@ -29,14 +29,14 @@ WIDTH = 64
 
 
 def sign_code(embedding: Column) -> Column:
-    """64 bits: whether each of the first 64 components is positive; missing ones count as not."""
-    bits = F.slice(embedding, 1, WIDTH)
+    """64 bits: whether each component is positive; null ones count as not. More than 64 components raise."""
     code = F.aggregate(
-        bits,
+        embedding,
         F.lit(0).cast("long"),
         lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))),
     )
-    return F.when(embedding.isNotNull(), code)
+    wide = F.raise_error(F.lit(f"a vector has more than {WIDTH} components")).cast("long")
+    return F.when(F.size(embedding) > WIDTH, wide).when(embedding.isNotNull(), code)
 
 
 def _flips(width: int, radius: int) -> np.ndarray:

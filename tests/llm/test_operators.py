@@ -651,3 +651,11 @@ def test_fewer_codes_than_asked_for(spark):
 def test_sign_codes(spark):
     df = spark.createDataFrame([([1.0, -1.0, 0.5],), ([],), (None,)], "e array<double>")
     assert [r[0] for r in df.select(hamming.sign_code(F.col("e"))).collect()] == [5, 0, None]
+
+
+def test_sign_codes_of_wide_vectors_raise(spark):
+    df = spark.createDataFrame([([1.0] * 64,), ([1.0] * 65,)], "e array<double>")
+    codes = df.select(hamming.sign_code(F.col("e")))
+    assert codes.limit(1).first()[0] == -1
+    with pytest.raises(Exception, match="more than 64 components"):
+        codes.collect()
