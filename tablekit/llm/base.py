@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_models: list[Broadcast] = []
+
+
+def model(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of bounded size that ``release`` knows."""
+    _models.append(spark.sparkContext.broadcast(value))
+    return _models[-1]
+
+
+def release() -> None:
+    """Executors drop the models they hold. A query that still needs one gets it again."""
+    while _models:
+        _models.pop().unpersist()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """``mapInArrow`` by tasks that give back the memory of their batches when they end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
 ROW = "_row"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col
-from tablekit.llm.base import extended
+from tablekit.llm.base import extended, mapped, model
 from tablekit.llm.words import run_hashes, word_slices
 
 PREFIX = "_hit_"
@@ -101,7 +101,7 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared = model(docs.sparkSession, rows)
     names = [f.name for f in docs.schema.fields]
     schema = extended(docs.schema.fields, FOUND)
 
@@ -136,7 +136,7 @@ def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
                 [*batch.columns, *made], names=[*names, *(f"{PREFIX}{x}" for x in ("words", "start", "end", "cut", "items"))]
             )
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows: int = 500_000) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import extended, text_sample
+from tablekit.llm.base import extended, mapped, model as shared_model, text_sample
 from tablekit.llm.words import byte_slices
 
 ORDER = 3
@@ -159,7 +159,7 @@ def train(labelled: DataFrame, train_docs: int = 2000, train_bytes: int = 1 << 1
     """labelled: text, lang. None if no row has both."""
     rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= train_bytes)
     sample = text_sample(rows.select("lang", "text"), train_docs, "lang")
-    grams = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = mapped(sample, _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
     if not table.num_rows:
         return None
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
     letters = F.coalesce(F.rlike("_text", F.lit(r"\p{L}")), F.lit(False))
     if model is None:
         return kept.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs.sparkSession, model)
     schema = extended(kept.schema.fields[:-1], "_letters boolean, lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                 names=[*keep, "_letters", "lang_pred", "score", "bits_per_byte"],
             )
 
-    scored = kept.select(*keep, "_text", letters.alias("_letters")).mapInArrow(run, schema)
+    scored = mapped(kept.select(*keep, "_text", letters.alias("_letters")), run, schema)
     return scored.select(
         *keep,
         F.when(F.col("_letters"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"),

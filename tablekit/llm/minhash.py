@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col
-from tablekit.llm.base import ROW, packed, unpacked, written
+from tablekit.llm.base import ROW, mapped, packed, unpacked, written
 from tablekit.llm.words import Words, mix, run_hashes, word_slices
 from tablekit.operators.cluster import connected_components
 
@@ -305,7 +305,7 @@ class NearDuplicates:
         rows = packed(docs.where(~wordless), text).withColumnRenamed(text, "_text")
         rows = rows.withColumn("_key", F.col("_text") if id_col == text else F.col(ROW).getField(id_col))
         one = rows.join(kept, F.col("_key").eqNullSafe(F.col("_rep"))).select(ROW, "_text", "h1", "h2")
-        one = one.mapInArrow(_same_set(self.weighted), one.schema).dropDuplicates(["h1", "h2"])
+        one = mapped(one, _same_set(self.weighted), one.schema).dropDuplicates(["h1", "h2"])
         one = one.withColumnRenamed("_text", text).select(*unpacked(docs.columns, text))
         return one.unionByName(docs.where(wordless))
 
@@ -323,7 +323,7 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
     rows = written(
-        source.mapInArrow(_sign(bands, rows_in_band, weighted), f"_id {id_type}, h1 long, h2 long, size long, bands array<long>, sig binary")
+        mapped(source, _sign(bands, rows_in_band, weighted), f"_id {id_type}, h1 long, h2 long, size long, bands array<long>, sig binary")
     )
     nodes = written(
         rows.where("h1 is not null")
@@ -342,13 +342,13 @@ def near_duplicates(
     in_buckets = members.select("node").distinct()
     wanted = nodes.select("node", "rep", "h1", "h2").join(in_buckets, "node")
     texts = source.join(wanted, source["_id"].eqNullSafe(wanted["rep"])).select("node", "h1", "h2", "_text")
-    texts = written(texts.mapInArrow(_same_set(weighted), texts.schema).dropDuplicates(["node"]).select("node", "_text"))
+    texts = written(mapped(texts, _same_set(weighted), texts.schema).dropDuplicates(["node"]).select("node", "_text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b"))
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return written(both.mapInArrow(_similar(threshold, weighted), "a long, b long"))
+        return written(mapped(both, _similar(threshold, weighted), "a long, b long"))
 
     def led_to(edges: DataFrame) -> DataFrame:
         """Each node's root where every node has at most one link, upwards in rank."""
@@ -417,7 +417,7 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, thre
     rest = m.where("root <> main").select(*KEY[:2], F.pmod(h, "rest_blocks").alias("i"), blocks("all_blocks").alias("j"), *kept, F.lit(True).alias("outside"))
     whole = m.select(*KEY[:2], blocks("rest_blocks").alias("i"), F.pmod(h, "all_blocks").alias("j"), *kept, F.lit(False).alias("outside"))
     parts = rest.unionByName(whole).repartition(*KEY).sortWithinPartitions(*KEY)
-    return parts.mapInArrow(_related(k, threshold), "low long, high long").distinct()
+    return mapped(parts, _related(k, threshold), "low long, high long").distinct()
 
 
 def _between(

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import extended, text_sample
+from tablekit.llm.base import extended, mapped, model, text_sample
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
+#: candidates whose scores a task keeps
+CACHED = 20_000
 # the lookbehinds don't change what matches: a match that fails at the start of a run fails within it
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -183,7 +185,7 @@ class Field:
         if got is None:
             f = features(key)
             got = tuple(sum(self.weights.get((k, x), 0.0) for x in f) for k in KINDS)
-            if len(self.cache) < 200_000:
+            if len(key[0]) <= 48 and len(self.cache) < CACHED:
                 self.cache[key] = got
         return got
 
@@ -371,24 +373,25 @@ def find_personal_data(docs: DataFrame, crf: Field, text: str = "text", certaint
     """The columns of ``docs`` with base and spans (kind, start, end), in place of columns of that name. With ``mask`` every span of the
     text is replaced by its kind in brackets, overlapping ones by that of the first."""
     docs = docs.drop(*({"base", "spans"} & set(docs.columns)))
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared = model(docs.sparkSession, crf)
     names = docs.columns
     span = "array<struct<kind:string,start:int,end:int>>"
     schema = extended(docs.schema.fields, f"base {span}, spans {span}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(shared.value.weights)  # its cache ends with the task
         for batch in batches:
             base, every, masked = [], [], []
             for x in batch.column(text):
                 raw = x.as_py()
-                b, s = all_spans(raw or "", shared.value, certainty)
+                b, s = all_spans(raw or "", own, certainty)
                 base.append([dict(zip(("kind", "start", "end"), y)) for y in b])
                 every.append([dict(zip(("kind", "start", "end"), y)) for y in s])
                 masked.append(blanked(raw, s) if mask and s else raw)
             columns = [pa.array(masked, batch.column(text).type) if mask and n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(base, pa.list_(_SPAN)), pa.array(every, pa.list_(_SPAN))], names=[*names, "base", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:

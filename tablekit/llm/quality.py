@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekit.llm.base import mapped, model
 from tablekit.llm.words import byte_slices
 
 CHUNK, HOP = 512, 384
@@ -149,13 +150,13 @@ def score_quality(docs: DataFrame, net: Network | None, text: str = "text", keep
     kept = docs.select(*keep, F.col(text).alias("_text"))
     if net is None:
         return kept.select(*keep, F.lit(0.5).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = model(docs.sparkSession, net)
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.score(data, bounds) for _, _, data, bounds in byte_slices(batch.column("_text"), 1 << 18)]
+            found = [shared.value.score(data, bounds) for _, _, data, bounds in byte_slices(batch.column("_text"))]
             scores = np.concatenate([np.zeros(0), *found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*keep, "score"])
 
-    return kept.mapInArrow(run, f"{head}score double")
+    return mapped(kept, run, f"{head}score double")

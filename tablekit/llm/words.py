@@ -22,6 +22,8 @@ BLANKED = bytes(int(LOWER[i]) if IS_WORD[i] else 32 for i in range(256))
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: bytes of texts that are worked on at a time; the temporaries of a task are a few dozen times this
+SLICE = 1 << 17
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -85,7 +87,7 @@ class Words:
         return b" ".join(bytes(LOWER[self.data[a:b]]) for a, b in zip(self.start[i:j], self.end[i:j]))
 
 
-def byte_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, bytes, bounds) for runs of rows of about ``limit`` bytes, one row at least."""
     binary = column.cast(pa.large_binary()).fill_null(b"")
     n = len(binary)
@@ -101,7 +103,7 @@ def byte_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         lo = hi
 
 
-def word_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Words]:
+def word_slices(column: pa.Array, limit: int = SLICE) -> Iterator[Words]:
     """Null counts as empty text."""
     for lo, hi, data, bounds in byte_slices(column, limit):
         inside = IS_WORD[data]
