@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import chat, decontaminate, hamming, language, licences, minhash, mixing, pii, quality, warc
+from tablekit.llm import chat, decontaminate, hamming, infill, language, licences, minhash, mixing, periodic, pii, quality, warc
 from tablekit.llm.base import ORACLES, QUERIES, held_out, query, shared_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -240,3 +240,60 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     queries = codes.where("id % 50 = 0").select(F.col("id").alias("query_id"), "code")
     return hamming.top_k(codes, queries, k=10)
+
+
+@query(
+    "op11_infill",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1,
+ CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+ CASE WHEN t = '' OR regexp_matches(t, '<P>|<S>|<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+ CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+ ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the ids the words from one place on go round in a loop."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    split = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g, n = F.floor(h / 10), F.size("words")
+    a = F.when(n > 0, g % n).otherwise(0).cast("int")
+    p = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    block = F.slice("words", F.col("a") + 1, p)
+    rest = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - F.col("a")) / p).cast("int"))), F.lit(1), n - F.col("a"))
+    turned = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ")
+    rows = docs.select("doc_id", "text", split.alias("words"), g.alias("g")).select("*", a.alias("a"))
+    return rows.select("doc_id", F.when(n > 0, turned).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(looped(table(spark, sf_dir, "documents"))).withColumn("best", periodic.strongest("runs"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *(r[x].cast("string") for x in ("start", "length", "period"))))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )

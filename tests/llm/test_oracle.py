@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from fractions import Fraction
 
 import pytest
 
@@ -23,7 +24,7 @@ def test_against_sql(spark, con, name):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 12), 13]
 
 
 def test_language_is_learned_from_the_other_folds(spark, con):
@@ -89,3 +90,41 @@ def test_licence_contract(spark, con):
         assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if at else (None, None))
         assert r.base_labels == ",".join(labels)
         assert set(labels) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def brute_runs(words):
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def test_periodic_run_contract(spark, con):
+    import re
+
+    text = dict(con.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    rows = {r.doc_id: r for r in QUERIES["op13_periodic_runs"](spark, SF).collect()}
+    assert set(rows) == set(text)
+    for d, r in rows.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text[d])
+        h, n = zlib.crc32(str(d).encode()), len(words)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+        runs = brute_runs(words)
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=(None,) * 3)
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best)
+        assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
+        dropped = {i for s, k, q in runs for i in range(s + q, s + k)}
+        kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{k},{q}\n" for s, k, q in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(kept.encode()).hexdigest()
