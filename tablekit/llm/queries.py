@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm import chat, decontaminate, hamming, infill, language, licences, minhash, mixing, periodic, pii, quality, warc
+from tablekit.llm import chat, decontaminate, hamming, infill, language, licences, minhash, mixing, periodic, pii, quality, repeats, warc
 from tablekit.llm.base import ORACLES, QUERIES, held_out, query, shared_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -268,6 +268,19 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_suffix_repeats")
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the ids the words from one place on go round in a loop."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
