@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from tablekit.functions.columns import col, numeric_columns, small_table
 from tablekit.operators.features import GENERATED, prepared
 
+#: the first that holds names the result
+VERDICTS = (
+    ("excellent", "for_80 <= 2"),
+    ("good", "for_80 <= greatest(3, columns div 2)"),
+    ("poor", "for_90 >= columns"),
+)
+
 
 def _fit(df: DataFrame, cols: Sequence[str] | None, k: int | None, drop_flat: bool):
     names = list(cols or numeric_columns(df, exclude=GENERATED))
@@ -71,21 +78,18 @@ def pca_analyse(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         _, names, model, _, _ = _fit(df, cols, None, True)
     except ValueError:
         return small_table(df.sparkSession, [(False, 0, n, None, None, None, None, None)], schema)
-    total = np.round(np.cumsum(model.explainedVariance.toArray()) * 100, 2)
-
-    def needed(pct: float) -> int:
-        hit = np.nonzero(total >= pct)[0]
-        return int(hit[0]) + 1 if len(hit) else len(total)
-
-    p, n80, n90 = len(names), needed(80), needed(90)
-    if n80 <= 2:
-        verdict = "excellent"
-    elif n80 <= max(3, p // 2):
-        verdict = "good"
-    elif n90 >= p:
-        verdict = "poor"
-    else:
-        verdict = "moderate"
-    return small_table(
-        df.sparkSession, [(True, p, n, n80, n90, needed(95), float(total[min(1, p - 1)]), verdict)], schema
+    shares = np.round(np.cumsum(model.explainedVariance.toArray()) * 100, 2)
+    steps = small_table(df.sparkSession, [(i + 1, float(v)) for i, v in enumerate(shares)], "component long, total double")
+
+    def reached(pct: int):
+        """The first component at which the share is reached, else the last."""
+        return F.coalesce(F.min(F.when(F.col("total") >= pct, F.col("component"))), F.max("component")).alias(f"for_{pct}")
+
+    row = steps.agg(
+        F.lit(True).alias("feasible"),
+        F.lit(len(names)).cast("long").alias("columns"),
+        F.lit(n).cast("long").alias("rows"),
+        *(reached(pct) for pct in (80, 90, 95)),
+        F.max_by("total", F.when(F.col("component") <= 2, F.col("component"))).alias("top2_pct"),
     )
+    return row.withColumn("verdict", F.coalesce(*(F.when(F.expr(when), name) for name, when in VERDICTS), F.lit("moderate")))
