@@ -98,31 +98,32 @@ def compile_model(rows: list[tuple[str, int, int]], min_count: int) -> Model:
     """The automaton of all languages from (language, gram, count). A context is a state where some
     language has seen it ``min_count`` times; else its longest suffix that is one."""
     langs = sorted({r[0] for r in rows})
-    gram = np.array([r[1] for r in rows], np.int64)
-    n = np.array([r[2] for r in rows], np.float64)
     which = np.searchsorted(langs, [r[0] for r in rows])
-    seen = np.unique(np.concatenate([gram >> s & 255 for s in (24, 16, 8, 0)]))
+    return compiled(langs, which, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64), min_count)
+
+
+def compiled(langs: list[str], which: np.ndarray, gram: np.ndarray, n: np.ndarray, min_count: int) -> Model:
+    """``compile_model`` of columns, the language as its place in ``langs``."""
+    seen = np.unique(np.concatenate([np.unique(gram >> s & 255) for s in (24, 16, 8, 0)]))
     symbol = np.zeros(256, np.int32)
     symbol[seen[seen > 0]] = np.arange(1, (seen > 0).sum() + 1)
     size = int(symbol.max()) + 1
     c1, c2, c3, sym = (symbol[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0))
     context = [np.zeros_like(sym), c3, c2 * size + c3, (c1 * size + c2) * size + c3]
-    kept = []
-    for order in range(ORDER + 1):
-        total = np.zeros((len(langs), size**order))
-        np.add.at(total, (which, context[order]), n)
-        keep = (total.max(axis=0) >= min_count) if order else np.ones(1, bool)
-        if order:
-            keep &= np.isin(np.arange(size**order) % size ** (order - 1), kept[-1]) if order > 1 else True
-        kept.append(np.flatnonzero(keep))
+    kept = [np.zeros(1, np.int64)]
+    for order in range(1, ORDER + 1):
+        own, at = np.unique(which * size**order + context[order], return_inverse=True)
+        often = np.unique(own[np.bincount(at, n) >= min_count] % size**order)
+        kept.append(often[np.isin(often % size ** (order - 1), kept[-1])] if order > 1 else often)
     offsets = np.cumsum([0] + [len(k) for k in kept])
-    every = np.arange(size**ORDER)
     state = np.zeros(size**ORDER, np.int32)
-    for order in range(1, ORDER + 1):
-        suffix = every % size**order
-        at = np.minimum(np.searchsorted(kept[order], suffix), max(0, len(kept[order]) - 1))
-        if len(kept[order]):
-            state = np.where(kept[order][at] == suffix, offsets[order] + at, state)
+    for first in range(size):  # the contexts that begin with one symbol
+        lo, hi = first * size ** (ORDER - 1), (first + 1) * size ** (ORDER - 1)
+        for order in range(1, ORDER + 1):
+            suffix = np.arange(lo, hi) % size**order
+            at = np.minimum(np.searchsorted(kept[order], suffix), max(0, len(kept[order]) - 1))
+            if len(kept[order]):
+                state[lo:hi] = np.where(kept[order][at] == suffix, offsets[order] + at, state[lo:hi])
     bits = np.zeros((int(offsets[-1]) * size, len(langs)), np.float32)
     for li in range(len(langs)):
         own = which == li
@@ -163,7 +164,11 @@ def train(labelled: DataFrame, train_docs: int = 2000, train_bytes: int = 1 << 1
     table = grams.toArrow()
     if not table.num_rows:
         return None
-    return compile_model(list(zip(*(table.column(c).to_pylist() for c in ("lang", "gram", "n")))), min_count)
+    names = table.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.searchsorted(langs, names.dictionary.to_pylist())
+    gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
+    return compiled(langs, place[names.indices.to_numpy()], gram, n.astype(np.float64), min_count)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
