@@ -64,13 +64,15 @@ def release() -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """``mapInArrow`` by tasks that give back the memory of their batches when they end."""
+    """``mapInArrow`` for columns of any names, by tasks that give back the memory of their batches when
+    they end."""
+    names = df.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(b.rename_columns(names) for b in batches)
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(task, schema)
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(task, schema)
 
 
 ROW = "_row"

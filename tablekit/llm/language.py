@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekit.functions.columns import col
 from tablekit.llm.base import extended, mapped, model as shared_model, text_sample
 from tablekit.llm.words import byte_slices
 
@@ -172,35 +173,34 @@ def train(labelled: DataFrame, train_docs: int = 2000, train_bytes: int = 1 << 1
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred, score (share of the winner where every language has the chance
-    two to the power of minus its bits) and bits_per_byte of the winner."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    letters = F.coalesce(F.rlike("_text", F.lit(r"\p{L}")), F.lit(False))
+    """Columns ``keep`` (but those with the names of results) with lang_pred, score (share of the winner where
+    every language has the chance two to the power of minus its bits) and bits_per_byte of the winner."""
+    added = ("lang_pred", "score", "bits_per_byte")
+    names = [c for c in keep if c not in added]
+    letters = F.coalesce(F.rlike(col(text), F.lit(r"\p{L}")), F.lit(False))
+    kept = docs.select(*(col(c) for c in names), letters.alias("_has_letters"), col(text).alias("_judged"))
     if model is None:
-        return kept.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
-    shared = shared_model(docs.sparkSession, model)
-    schema = extended(kept.schema.fields[:-1], "_letters boolean, lang_pred string, score double, bits_per_byte double")
+        return kept.select(*(col(c) for c in names), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(8.0).alias("bits_per_byte"))
+    shared, n = shared_model(docs.sparkSession, model), len(names)
+    schema = extended(kept.schema.fields[:n], "lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = pa.array(m.languages)
+        languages = pa.array([*m.languages, UND])
         for batch in batches:
             best, share, bits = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
-            for _, _, data, bounds in byte_slices(batch.column("_text")):
+            for _, _, data, bounds in byte_slices(batch.column(n + 1)):
                 length = m.lengths(data, bounds)
                 least = length.min(axis=1)
                 best.append(length.argmin(axis=1))
                 share.append(1 / np.exp2(np.maximum(least[:, None] - length, -1000)).sum(axis=1))
                 bits.append(least / np.maximum(np.diff(bounds), 1))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], batch.column("_letters"), names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(share)), pa.array(np.concatenate(bits))],
-                names=[*keep, "_letters", "lang_pred", "score", "bits_per_byte"],
-            )
-
-    scored = mapped(kept.select(*keep, "_text", letters.alias("_letters")), run, schema)
-    return scored.select(
-        *keep,
-        F.when(F.col("_letters"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"),
-        F.when(F.col("_letters"), F.col("score")).otherwise(0.0).alias("score"),
-        "bits_per_byte",
-    )
+            some = batch.column(n).to_numpy(zero_copy_only=False).astype(bool)
+            made = [
+                languages.take(pa.array(np.where(some, np.concatenate(best), len(m.languages)))),
+                pa.array(np.where(some, np.concatenate(share), 0.0)),
+                pa.array(np.concatenate(bits)),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*names, *added])
+
+    return mapped(kept, run, schema)

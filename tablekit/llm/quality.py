@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.llm.base import mapped, model
+from tablekit.functions.columns import col
+from tablekit.llm.base import extended, mapped, model
 from tablekit.llm.words import byte_slices
 
-CHUNK, HOP = 512, 384
-DIM, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
+CHUNK, HOP = 512, 383
+DIM, WIDTH, STRIDE, FILTERS = 6, 8, 2, 24
 WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -146,17 +147,17 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2500, train_byte
 
 
 def score_quality(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with score: the probability of label 1."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    """Columns ``keep`` (but one named score) with score: the probability of label 1."""
+    names = [c for c in keep if c != "score"]
+    kept = docs.select(*(col(c) for c in names), col(text).alias("_judged"))
     if net is None:
-        return kept.select(*keep, F.lit(0.5).alias("score"))
+        return kept.select(*(col(c) for c in names), F.lit(0.5).alias("score"))
     shared = model(docs.sparkSession, net)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.score(data, bounds) for _, _, data, bounds in byte_slices(batch.column("_text"))]
+            found = [shared.value.score(data, bounds) for _, _, data, bounds in byte_slices(batch.column(len(names)))]
             scores = np.concatenate([np.zeros(0), *found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*names, "score"])
 
-    return mapped(kept, run, f"{head}score double")
+    return mapped(kept, run, extended(kept.schema.fields[:-1], "score double"))

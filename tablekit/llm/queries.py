@@ -77,6 +77,9 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"),
         "score",
+        F.array_join("expressions.postfix", "; ").alias("expressions"),
+        "permitted",
+        "usable",
     )
 
 

@@ -266,7 +266,9 @@ def test_languages_learn_from_as_many_texts_as_documented(monkeypatch, spark):
         ("Apache-2.0 WITH LLVM-exception or GPL-2.0", ["Apache-2.0", "LLVM-exception", "with", "GPL-2.0", "or"], True),
         ("MIT and other words", ["MIT"], True),
         ("MIT)", ["MIT"], True),
-        ("(MIT", None, None),
+        ("(MIT", ["MIT"], True),
+        ("((GPL-2.0", ["GPL-2.0"], False),
+        ("(see below", None, None),
         ("AND MIT", None, None),
         ("", None, None),
         ("() MIT", None, None),
@@ -322,7 +324,7 @@ def test_expressions_with_long_lines_and_of_any_length():
         ("MIT AND (Ruby OR (PHP AND Zlib)) more", ["MIT", "Ruby", "PHP", "Zlib", "and", "or", "and"], False),
         ("MIT AND (BSL-1.0", ["MIT", "BSL-1.0", "and"], False),
         ("(MIT OR BSL-1.0, or", ["MIT", "BSL-1.0", "or"], True),
-        ("(MIT and other words", None, None),
+        ("(MIT and other words", ["MIT"], True),
         ("((MIT or Ruby) and other words", ["MIT", "Ruby", "or"], True),
         ("(MIT OR Ruby and other words", ["MIT", "Ruby", "or"], True),
         ("MIT OR Apache-2.0.", ["MIT", "Apache-2.0.", "or"], True),
@@ -338,6 +340,48 @@ def test_expressions_of_any_names(text, postfix, allowed):
         assert not any(x.endswith(".") for x in licences.licences_in(postfix))
 
 
+def test_base_finds_take_part_in_the_longest_match():
+    a = licences.automaton()
+    n, base, notices, _, score = licences.scan_text(b"CC BY-NC, and cc by sa; cc by too", a)
+    assert base == [("cc-by-nc", 0)] and notices == [("cc-by", 7), ("cc-by-sa", 4)] and n == 10
+    assert licences.scan_text(b"cc by nc", a)[4] == pytest.approx(0.9)
+    assert licences.judged([("cc-by-nc", 0)], [], []) == (False, 0.0)
+    assert licences.judged([], [], [("MIT", "mit", True)]) == (True, pytest.approx(0.95))
+    assert licences.judged([], [], [("Ruby MIT or", "mit,ruby", True)])[1] == pytest.approx(0.7)
+    assert licences.judged([("mit", 0)], [("gpl", 3)], []) == (False, pytest.approx(0.9 * 0.3)) and licences.judged([], [], []) == (None, 0.0)
+
+
+def test_licence_finds_by_brute_force():
+    rng, a = random.Random(7), licences.automaton()
+    vocabulary = sorted({w for p in [*licences.BASE, *licences.NOTICES, licences.TAG] for w in p.split()}) + ["x"]
+    phrases = [p.split() for p in [*licences.BASE, *licences.NOTICES, licences.TAG]]
+    for _ in range(200):
+        text = [w for _ in range(rng.randrange(12)) for w in (rng.choice(phrases) if rng.random() < 0.5 else [rng.choice(vocabulary)])]
+        want = sorted((i, " ".join(p)) for p in phrases for i in range(len(text)) if text[i : i + len(p)] == p)
+        assert sorted(a.find([w.encode() for w in text])) == want
+
+
+def test_licence_scan_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    n, base, notices, _, _ = licences.scan_text(b"cc by nc " * 80_000, licences.automaton())
+    assert time.perf_counter() - start < 1 and len(base) == 80_000 and not notices and n == 240_000
+
+
+def test_kept_columns_named_like_results(spark):
+    names = "_text string, lang_pred string, score int, _letters int, `labels` int, `a.b` int, text string"
+    df = spark.createDataFrame([("t", "p", 1, 2, 3, 4, "ein Text, under the mit license")], names)
+    model = language.train(spark.createDataFrame([("ein Text", "de")], "text string, lang string"))
+    keep = tuple(df.columns)
+    for found in (language.identify(df, model, keep=keep), language.identify(df, None, keep=keep), licences.scan_licences(df, keep=keep)):
+        row = found.first()
+        assert len(set(found.columns)) == len(found.columns) and row["_text"] == "t" and row["a.b"] == 4 and row["_letters"] == 2
+    assert licences.scan_licences(df, keep=keep).first()["labels"] == ["mit"]
+    scored = quality.score_quality(df, quality.Network.fresh(1), keep=keep).first()
+    assert 0 < scored["score"] < 1 and scored["lang_pred"] == "p"
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 
