@@ -86,31 +86,46 @@ def read_json(
     return normalise_missing(reader.json(path))
 
 
+def _variant_fields(found: str) -> T.StructType | None:
+    """The columns of objects whose merged schema Spark names so; fractions are doubles, and what is
+    of several kinds, or always null, is text."""
+    if not found.startswith("OBJECT<") or found == "OBJECT<>":
+        return None
+    kinds = ((r"OBJECT<", "STRUCT<"), (r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE"), (r"(?<=[:<] )VOID|(?<=<)VOID", "STRING"), (r"(?<=[:<] )VARIANT|(?<=<)VARIANT", "STRING"))
+    for old, new in kinds:
+        found = re.sub(old, new, found)
+    return T.StructType.fromDDL(found[len("STRUCT<") : -1])
+
+
 def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per feature: its properties, ``_feature_index`` within its collection, ``_file`` (its
-    name), ``_geometry_type`` and ``_geometry`` as JSON text.
+    name), ``_geometry_type`` and ``_geometry`` as JSON text with the values of the file, keys in order.
 
-    A collection per line (multi_line=False) is read by many tasks.
+    Documents are read as VARIANT values, so coordinates of points, lines, polygons and collections of
+    them keep their own nesting beside each other; only the properties get a common schema, which
+    takes a pass over the features. A null geometry gives type Unknown and no text. A collection per line
+    (multi_line=False) is read by many tasks.
     """
-    raw = spark.read.option("multiLine", multi_line).json(path)
-    if "features" not in raw.columns:
-        raise ValueError("the file holds no features")
-    feats = raw.select(F.col("_metadata.file_name").alias("_file"), F.posexplode("features").alias("_feature_index", "f"))
-    fields = {f.name: f.dataType for f in feats.schema["f"].dataType.fields}
+    raw = spark.read.option("multiLine", multi_line).option("singleVariantColumn", "doc").json(path)
+    feats = raw.select(
+        F.col("_metadata.file_name").alias("_file"),
+        F.posexplode(F.expr("try_variant_get(doc, '$.features', 'array<variant>')")).alias("_feature_index", "f"),
+    )
+    feats = feats.select(
+        "_file",
+        F.col("_feature_index").cast("long").alias("_feature_index"),
+        F.expr("try_variant_get(f, '$.geometry.type', 'string')").alias("_geometry_type"),
+        F.expr("try_variant_get(f, '$.geometry', 'variant')").alias("geometry"),
+        F.expr("try_variant_get(f, '$.properties', 'variant')").alias("properties"),
+    )
     if feats.isEmpty():
         raise ValueError("the file holds no features")
-    kind = shape = F.lit(None).cast("string")
-    if isinstance(fields.get("geometry"), T.StructType):
-        shape = F.when(F.col("f.geometry").isNotNull(), F.to_json("f.geometry"))
-        if "type" in fields["geometry"].names:
-            kind = F.col("f.geometry.type")
-    props = [F.col("f.properties.*")] if isinstance(fields.get("properties"), T.StructType) else []
-    return feats.select(
-        *props,
-        F.col("_feature_index").cast("long").alias("_feature_index"),
-        F.coalesce(kind, F.lit("Unknown")).alias("_geometry_type"),
-        "_file",
-        shape.alias("_geometry"),
+    fields = _variant_fields(feats.agg(F.expr("schema_of_variant_agg(properties)")).first()[0])
+    props = [F.col("p.*")] if fields else []
+    text = F.to_json("properties")
+    shape = F.when(~F.expr("is_variant_null(geometry)"), F.to_json("geometry"))
+    return feats.withColumn("p", F.from_json(text, fields) if fields else F.lit(None)).select(
+        *props, "_feature_index", F.coalesce("_geometry_type", F.lit("Unknown")).alias("_geometry_type"), "_file", shape.alias("_geometry")
     )
 
 

@@ -2,6 +2,8 @@
 
 import math
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,21 @@ def test_sources(spark, tmp_path):
     )
     got = tables.read_geojson(spark, str(tmp_path / "g.json")).orderBy("_feature_index").collect()
     assert [(r["n"], r["_feature_index"], r["_geometry_type"]) for r in got] == [("u", 0, "Point"), ("v", 1, "Unknown")]
+    shapes = [
+        {"type": "Point", "coordinates": [1.5, 2]},
+        {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1.25], [0, 0]]]},
+        {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [3, 4]}, {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}]},
+        None,
+    ]
+    props = [{"n": "u", "k": 1}, {"n": "v", "k": 2.5, "deep": {"a": [1]}}, None, {"n": 7, "odd name": True}]
+    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": p, "geometry": g} for p, g in zip(props, shapes)]}
+    (tmp_path / "m.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "l.json").write_text(json.dumps(doc) + "\n")
+    for name, multi_line in (("m", True), ("l", False)):
+        got = tables.read_geojson(spark, str(tmp_path / f"{name}.json"), multi_line).orderBy("_feature_index").collect()
+        assert [json.loads(r["_geometry"]) if r["_geometry"] else None for r in got] == shapes
+        assert [(r["n"], r["k"], r["odd name"]) for r in got] == [("u", 1.0, None), ("v", 2.5, None), (None,) * 3, ("7", None, True)]
+        assert got[1]["deep"]["a"] == [1]
     (tmp_path / "none.json").write_text('{"type":"FeatureCollection","features":[]}')
     with pytest.raises(Exception):
         tables.read_geojson(spark, str(tmp_path / "none.json"))

@@ -75,6 +75,39 @@ def a4(spark, d):
     )
 
 
+@query(
+    "a4_read_geojson_mixed",
+    """SELECT s_suppkey, CAST(s_suppkey % 5 AS BIGINT) AS _feature_index,
+    CASE s_suppkey % 5 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' WHEN 2 THEN 'GeometryCollection' WHEN 3 THEN 'Unknown' ELSE 'MultiPoint' END AS _geometry_type,
+    CASE s_suppkey % 5 WHEN 0 THEN format('{{"coordinates":[{0},1.5],"type":"Point"}}', s_suppkey)
+    WHEN 1 THEN format('{{"coordinates":[[[0,0],[{0},0],[{0},2],[0,0]]],"type":"Polygon"}}', s_suppkey)
+    WHEN 2 THEN format('{{"geometries":[{{"coordinates":[{0},1.5],"type":"Point"}},{{"coordinates":[[1,2],[3,{0}]],"type":"LineString"}}],"type":"GeometryCollection"}}', s_suppkey)
+    WHEN 4 THEN format('{{"coordinates":[[{0},4],[5,6]],"type":"MultiPoint"}}', s_suppkey) END AS _geometry
+    FROM supplier""",
+)
+def a4_mixed(spark, d):
+    """A collection of up to five features for every five suppliers, with geometries of all depths and none."""
+    path = scratch(spark)
+    n = F.col("s_suppkey").cast("string")
+    point = F.concat(F.lit('{"type": "Point", "coordinates": ['), n, F.lit(", 1.5]}"))
+    ring = F.concat(F.lit('{"type": "Polygon", "coordinates": [[[0,0], ['), n, F.lit(",0], ["), n, F.lit(",2], [0,0]]]}"))
+    line = F.concat(F.lit('{"type": "LineString", "coordinates": [[1,2],[3,'), n, F.lit("]]}"))
+    both = F.concat(F.lit('{"type": "GeometryCollection", "geometries": ['), point, F.lit(","), line, F.lit("]}"))
+    many = F.concat(F.lit('{"coordinates": [['), n, F.lit(', 4], [5, 6]], "type": "MultiPoint"}'))
+    kind = F.col("s_suppkey") % 5
+    shape = F.when(kind == 0, point).when(kind == 1, ring).when(kind == 2, both).when(kind == 3, "null").otherwise(many)
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"s_suppkey":'), n, F.lit('},"geometry":'), shape, F.lit("}"))
+    rows = table(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 5)).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind.alias("i"), feature.alias("f")))), lambda x: x["f"]), ",").alias("fs"),
+        F.min(kind).alias("least"),
+    )
+    # the first collection lacks the supplier with number 0
+    head = F.when(F.col("least") == 1, '{"type":"Feature","properties":{},"geometry":null},').otherwise("")
+    rows.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), head, "fs", F.lit("]}"))).write.text(path)
+    got = tables.read_geojson(spark, path, multi_line=False).filter("s_suppkey is not null")
+    return got.select("s_suppkey", "_feature_index", "_geometry_type", "_geometry")
+
+
 @query(
     "a5_read_parquet",
     "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer",
