@@ -1,146 +1,146 @@
-"""Exact quantiles and order statistics that do not depend on one task's memory.
-
-Spark's ``percentile`` keeps a map of every distinct value of the column in a
-single reducer. That is the best plan while the maps are small, so it is used up to four times
-``budget`` cells (rows times columns). Beyond it the value is bracketed with the bounded
-``approx_percentile`` sketch, the bracket is counted exactly, and only the values
-inside the last, small bracket are grouped and ranked.
+"""Exact quantiles and order statistics by radix selection.
+
+A double's bits, put in order, are a whole number of 64 bits. Each pass over the table looks at
+the next ``DIGIT`` bits of the values that share all bits so far with a wanted one, for all columns and
+ranks together: tasks count the digits they see, with the least and greatest value of each, and only these
+counts are moved. A rank whose digit holds a single value is found; after 64 bits every one is.
+So the work is four passes at most, the counts that reach the driver are bounded (a row per digit, column
+and wanted value), and there is one plan for tables of any size and values of any kind.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekit.functions.columns import chunks, number_text, quoted
+from tablekit.functions.columns import chunks, quoted
 
-MAP_BUDGET = 1_000_000
-# maps of several columns meet in one reducer: together they hold this many times the budget at most
-CELLS_PER_ROW = 4
-SKETCH_ACCURACY = 10_000
+DIGIT = 16
 COLUMNS_PER_PASS = 40
-
-
-@dataclass
-class _Bracket:
-    column: str
-    first: int  # lowest wanted rank, 0-based among non-missing values
-    last: int  # highest wanted rank
-    lo: float = -math.inf
-    hi: float = math.inf
-    below: int = 0
-    inside: int = 0
-    slack: float = 2.0 / SKETCH_ACCURACY
-    small: bool = False
-
-    def inside_value(self) -> Column:
-        c = F.col(self.column)
-        if self.lo == -math.inf and self.hi == math.inf:
-            return c
-        return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
-
-
-def _sketch(df: DataFrame, open_: list[_Bracket]) -> list[tuple[float, float]]:
-    """Tighter (lo, hi) proposals for the brackets, one pass."""
-    aggs = []
-    for i, b in enumerate(open_):
-        p1 = max(0.0, (b.first - b.below) / b.inside - b.slack)
-        p2 = min(1.0, (b.last + 1 - b.below) / b.inside + b.slack)
-        aggs.append(
-            F.percentile_approx(b.inside_value(), [p1, p2], SKETCH_ACCURACY).alias(f"s{i}")
-        )
-    row = df.agg(*aggs).first()
-    out = []
-    for i, b in enumerate(open_):
-        lo, hi = row[f"s{i}"]
-        p1 = (b.first - b.below) / b.inside - b.slack
-        p2 = (b.last + 1 - b.below) / b.inside + b.slack
-        out.append((b.lo if p1 <= 0 else lo, b.hi if p2 >= 1 else hi))
-    return out
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], budget: int) -> None:
-    """Shrink brackets in place until each holds at most ``budget`` distinct values."""
-    while True:
-        open_ = [b for b in brackets if not b.small]
-        if not open_:
-            return
-        proposals = _sketch(df, open_)
-        aggs = []
-        for i, (b, (lo, hi)) in enumerate(zip(open_, proposals)):
-            c = F.col(b.column)
-            inside = (c >= F.lit(lo)) & (c <= F.lit(hi))
-            aggs += [
-                F.count_if(c < F.lit(lo)).alias(f"b{i}"),
-                F.count_if(inside).alias(f"n{i}"),
-                F.approx_count_distinct(F.when(inside, c)).alias(f"d{i}"),
-            ]
-        row = df.agg(*aggs).first()
-        for i, (b, (lo, hi)) in enumerate(zip(open_, proposals)):
-            below, inside, distinct = row[f"b{i}"], row[f"n{i}"], row[f"d{i}"]
-            if not (below <= b.first and b.last < below + inside):
-                b.slack *= 8  # the sketch missed: try again with a wider margin
-                continue
-            stuck = lo == b.lo and hi == b.hi
-            b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
-            b.small = lo == hi or distinct <= budget or stuck
-
-
-def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """Read the wanted ranks out of the narrowed brackets."""
-    found: dict[tuple[str, int], float] = {}
-    todo = []
-    for b in brackets:
-        if b.lo == b.hi:
-            found[(b.column, b.first)] = found[(b.column, b.last)] = b.lo
+#: counts that a task holds before it adds them up
+HELD = 1 << 18
+_LOWEST = np.int64(-(2**63))
+_COUNTS = "target int, digit int, n long, least long, most long"
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles; both zeros are one."""
+    b = (x + 0.0).view(np.int64)
+    return b ^ ((b >> np.int64(63)) & np.int64(2**63 - 1))
+
+
+def _value(i: int) -> float:
+    b = np.array([i], np.int64)
+    return float((b ^ ((b >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of (target, digit, n, least, most), one for each target and digit."""
+    rows = np.concatenate(parts, axis=1)
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    first = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+    return np.stack([
+        rows[0, first],
+        rows[1, first],
+        np.add.reduceat(rows[2], first),
+        np.minimum.reduceat(rows[3], first),
+        np.maximum.reduceat(rows[4], first),
+    ])
+
+
+def _digits(targets: list[tuple[int, int]], done: int, width: int):
+    """Counts of the ``width`` bits behind the first ``done``, for targets (column, those first bits)."""
+    by_column: dict[int, list[tuple[int, int]]] = {}
+    for t, (c, prefix) in enumerate(targets):
+        by_column.setdefault(c, []).append((t, prefix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for c, wanted in by_column.items():
+                column = batch.column(c).drop_null()
+                if not len(column):
+                    continue
+                s = _ordered(column.to_numpy())
+                u = (s ^ _LOWEST).view(np.uint64)
+                for t, prefix in wanted:
+                    some, own = u, s
+                    if done:
+                        hit = u >> np.uint64(64 - done) == np.uint64(prefix)
+                        some, own = u[hit], s[hit]
+                        if not len(some):
+                            continue
+                    d = (some >> np.uint64(64 - done - width) & np.uint64(2**width - 1)).astype(np.uint16)
+                    order = np.argsort(d, kind="stable")  # by radix
+                    d, own = d[order], own[order]
+                    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                    n = np.diff(np.r_[first, len(d)])
+                    held.append(np.stack([np.full(len(first), t), d[first], n, np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)]).astype(np.int64))
+                    size += len(first)
+            if size > HELD:
+                held = [_added(held)]
+                size = held[0].shape[1]
+        if held:
+            rows = _added(held)
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=[x.split()[0] for x in _COUNTS.split(", ")])
+
+    return run
+
+
+def _pass(narrow: DataFrame, targets: list[tuple[int, int]], done: int, width: int) -> list[np.ndarray]:
+    """Per target its (digit, n, least, most), by digit."""
+    found = narrow.mapInArrow(_digits(targets, done, width), _COUNTS).groupBy("target", "digit")
+    rows = found.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).toArrow()
+    table = np.stack([rows.column(c).to_numpy() for c in ("target", "digit", "n", "least", "most")]).astype(np.int64)
+    table = table[:, np.lexsort((table[1], table[0]))]
+    at = np.searchsorted(table[0], np.arange(len(targets) + 1))
+    return [table[1:, at[t] : at[t + 1]] for t in range(len(targets))]
+
+
+def _select(narrow: DataFrame, wanted: Mapping[int, Sequence[float]], width: int, probs: bool) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """Values per column, and the value at each wanted (column, rank). With ``probs`` the ranks beside each
+    probability are wanted, else the given ranks."""
+    columns = list(wanted)
+    targets: list[tuple[int, int]] = [(c, 0) for c in columns]
+    counted = _pass(narrow, targets, 0, width)
+    sizes = {c: int(rows[1].sum()) for c, rows in zip(columns, counted)}
+    asked: list[list[tuple[int, int]]] = []  # per target: (rank, rank among the target's values)
+    for c in columns:
+        n = sizes[c]
+        if probs:
+            ranks = {f(p * (n - 1)) for p in wanted[c] for f in (math.floor, math.ceil)} if n else set()
         else:
-            todo.append(b)
-    if not todo:
-        return found
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("b"), b.inside_value().alias("v")) for i, b in enumerate(todo)]
-    )
-    freq = (
-        df.select(F.inline(cells))
-        .filter(F.col("v").isNotNull())
-        .groupBy("b", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    run = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = freq.withColumn("upto", F.sum("n").over(run))
-    hit = F.lit(False)
-    for i, b in enumerate(todo):
-        for r in {b.first, b.last}:
-            off = r - b.below
-            hit = hit | (
-                (F.col("b") == i) & (F.col("upto") > off) & (F.col("upto") - F.col("n") <= off)
-            )
-    for row in ranked.filter(hit).collect():  # at most two rows per bracket
-        b = todo[row["b"]]
-        for r in (b.first, b.last):
-            if row["upto"] - row["n"] <= r - b.below < row["upto"]:
-                found[(b.column, r)] = row["v"]
-    return found
-
-
-def _select(
-    df: DataFrame, wanted: list[tuple[str, int, int]], counts: Mapping[str, int], budget: int
-) -> dict[tuple[str, int], float]:
-    brackets = [
-        _Bracket(c, first, last, inside=counts[c], small=counts[c] <= budget)
-        for c, first, last in wanted
-    ]
-    _narrow(df, brackets, budget)
-    return _pick(df, brackets)
-
-
-def exact_quantiles(
-    df: DataFrame, probs: Mapping[str, Sequence[float]], budget: int = MAP_BUDGET
-) -> dict[str, dict[float, float | None]]:
+            ranks = {int(x) for x in wanted[c]}
+        asked.append([(x, x) for x in sorted(ranks)])
+    found: dict[tuple[int, int], float] = {}
+    done = width
+    while True:
+        nexts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (c, prefix), rows, ranks in zip(targets, counted, asked):
+            upto = np.cumsum(rows[1])
+            for rank, within in ranks:
+                i = int(np.searchsorted(upto, within, "right"))
+                if rows[2, i] == rows[3, i]:
+                    found[c, rank] = _value(int(rows[2, i]))
+                else:
+                    nexts.setdefault((c, prefix << width | int(rows[0, i])), []).append((rank, within - int(upto[i] - rows[1, i])))
+        if not nexts:
+            return sizes, found
+        targets, asked = list(nexts), list(nexts.values())
+        last = min(width, 64 - done)
+        counted, width = _pass(narrow, targets, done, last), last
+        done += last
+
+
+def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]], digit: int = DIGIT) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles of several columns; missing values are skipped.
 
     A column without values gives None for every probability.
@@ -148,46 +148,26 @@ def exact_quantiles(
     names = [c for c in probs if len(probs[c])]
     out: dict[str, dict[float, float | None]] = {}
     for part in chunks(names, COLUMNS_PER_PASS):
-        alias = {c: f"q{i}" for i, c in enumerate(part)}
-        narrow = df.selectExpr(*[f"double({quoted(c)}) AS {a}" for c, a in alias.items()])
-        if narrow.count() * len(part) <= CELLS_PER_ROW * budget:
-            points = {c: ", ".join(number_text(p) for p in probs[c]) for c in part}
-            row = narrow.selectExpr(*[f"percentile({alias[c]}, array({points[c]}))" for c in part]).first()
-            for i, c in enumerate(part):
-                values = row[i]
-                out[c] = dict(zip(probs[c], values if values is not None else [None] * len(probs[c])))
-            continue
-        row = narrow.agg(*[F.count(a).alias(a) for a in alias.values()]).first()
-        counts = {a: row[a] for a in alias.values()}
-        wanted = []
-        for c in part:
-            n = counts[alias[c]]
-            for p in probs[c]:
-                if n:
-                    pos = p * (n - 1)
-                    wanted.append((alias[c], math.floor(pos), math.ceil(pos)))
-        values = _select(narrow, wanted, counts, budget)
-        for c in part:
-            n = counts[alias[c]]
+        narrow = df.selectExpr(*[f"double({quoted(c)}) AS q{i}" for i, c in enumerate(part)])
+        sizes, values = _select(narrow, {i: probs[c] for i, c in enumerate(part)}, digit, True)
+        for i, c in enumerate(part):
             out[c] = {}
             for p in probs[c]:
-                if not n:
+                if not sizes[i]:
                     out[c][p] = None
                     continue
-                pos = p * (n - 1)
-                lo, hi = math.floor(pos), math.ceil(pos)
-                a, b = values[(alias[c], lo)], values[(alias[c], hi)]
-                out[c][p] = a + (b - a) * (pos - lo)
+                pos = p * (sizes[i] - 1)
+                a, b = values[i, math.floor(pos)], values[i, math.ceil(pos)]
+                out[c][p] = a + (b - a) * (pos - math.floor(pos))
     return out
 
 
-def rank_value(df: DataFrame, value: Column, rank: int, n: int, budget: int = MAP_BUDGET) -> float:
-    """The value at 0-based ``rank`` among the ``n`` non-missing values of a column."""
-    narrow = df.select(value.cast("double").alias("v"))
-    return _select(narrow, [("v", rank, rank)], {"v": n}, budget)[("v", rank)]
+def rank_value(df: DataFrame, value: Column, rank: int, digit: int = DIGIT) -> float:
+    """The value at 0-based ``rank`` among the non-missing values of a column."""
+    return _select(df.select(value.cast("double").alias("v")), {0: [rank]}, digit, False)[1][0, rank]
 
 
-def first_k(df: DataFrame, order: Sequence[Column], k: int, budget: int = MAP_BUDGET) -> Column:
+def first_k(df: DataFrame, order: Sequence[Column], k: int, digit: int = DIGIT) -> Column:
     """Predicate for the first ``k`` rows in the order of the given columns.
 
     Each order column must be exact as a double and the whole list unique. Works on
@@ -204,7 +184,7 @@ def first_k(df: DataFrame, order: Sequence[Column], k: int, budget: int = MAP_BU
             break
         if n <= left:
             return picked | (tied & c.isNotNull())
-        bound = rank_value(scope, c, left - 1, n, budget)
+        bound = rank_value(scope, c, left - 1, digit)
         less = scope.agg(F.count_if(c < F.lit(bound))).first()[0]
         picked = picked | (tied & (c < F.lit(bound)))
         left -= less

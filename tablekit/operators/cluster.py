@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, numeric_columns, require_columns, small_table
+from tablekit.functions.numbering import in_order
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import prepared
 from tablekit.operators.neighbours import numbered, own_key
@@ -274,22 +275,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def _numbers(roots: DataFrame) -> DataFrame:
-    """``root, label``: 0, 1, ... in order of the roots. Ranges of a sort are numbered one by one and
-    continued from the sizes of those before, a row per range."""
-    at = F.monotonically_increasing_id()
-    ranged = roots.orderBy("root").select(
-        "root", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")
-    )
-    ranged = checkpoint(ranged)
-    before, starts = 0, []
-    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
-        starts.append((r["part"], before))
-        before += r["n"]
-    table = small_table(roots.sparkSession, starts, "part long, before long")
-    return ranged.join(F.broadcast(table), "part").select("root", (F.col("before") + F.col("nth")).alias("label"))
-
-
 def dbscan(
     df: DataFrame,
     key: str,
@@ -346,7 +331,7 @@ def dbscan(
         ids.select(F.col("cell").alias("b"), F.col("cid").alias("v")), "b"
     )
     roots = connected_components(core_cells.select(F.col("cid").alias("id")), edges)
-    number = _numbers(roots.select("root").distinct())
+    number = in_order(roots.select("root").distinct(), [F.col("root")], "label")
     cell_label = checkpoint(
         core_cells.join(roots.withColumnRenamed("id", "cid"), "cid").join(number, "root").select("cell", "label")
     )

@@ -44,7 +44,7 @@ from tablekit.functions.storage import checkpoint
 from tablekit.functions.text import STOP_WORDS
 from tablekit.operators.clean import _filled, fill_values, gap_columns
 from tablekit.operators.profile import column_profile
-from tablekit.operators.sample import class_counts
+from tablekit.operators.sample import BROADCAST_CLASSES, class_table
 
 GENERATED = ("cluster_label",)
 
@@ -397,17 +397,20 @@ def infer_problem_type(df: DataFrame, target: str) -> str:
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Per class: rows, balanced weight n / (k n_c), and whether majority/minority exceeds 3."""
-    counts = class_counts(df, target)
-    n, k = sum(c for _, c in counts), len(counts)
-    ratio = max(c for _, c in counts) / min(c for _, c in counts)
-    return small_table(
-        df.sparkSession,
-        [(name, c, n / (k * c), ratio, ratio > 3) for name, c in counts],
-        "class string, count long, weight double, ratio double, imbalanced boolean",
+    classes = class_table(df, target)
+    n, k, most, least = classes.agg(F.sum("_n"), F.count(F.lit(1)), F.max("_n"), F.min("_n")).first()
+    ratio = most / least if k else 0.0
+    return classes.select(
+        F.col("_c").alias("class"),
+        F.col("_n").alias("count"),
+        (F.lit(float(n or 0)) / (F.lit(float(k)) * F.col("_n"))).alias("weight"),
+        F.lit(ratio).alias("ratio"),
+        F.lit(ratio > 3).alias("imbalanced"),
     )
 
 
 def with_class_weight(df: DataFrame, target: str, weights: DataFrame) -> DataFrame:
-    """Adds the ``weight`` column; the class table is bounded by class_counts."""
-    small = F.broadcast(weights.select(F.col("class").alias("_c"), "weight"))
-    return df.join(small, col(target).cast("string") == F.col("_c"), "left").drop("_c")
+    """Adds the ``weight`` column."""
+    classes = weights.select(F.col("class").alias("_c"), "weight")
+    few = classes.count() <= BROADCAST_CLASSES
+    return df.join(F.broadcast(classes) if few else classes, col(target).cast("string") == F.col("_c"), "left").drop("_c")

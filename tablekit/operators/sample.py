@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, is_numeric, require_columns, row_hash, small_table
+from tablekit.functions.numbering import in_order
+from tablekit.functions.storage import checkpoint
 
 SMALL_CLASS = 200_000
-DRIVER_CLASSES = 100_000
+#: class tables of up to so many rows go to every task; longer ones are joined by class
+BROADCAST_CLASSES = 100_000
 
 
 def sort_by(df: DataFrame, column: str, ascending: bool = True, key: Sequence[str] = ()) -> DataFrame:
@@ -66,90 +69,78 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return pool.orderBy("_h", *[col(k) for k in key]).limit(n).drop("_h")
 
 
-def _quotas(counts: list[tuple[str, int]], size: int, floor_one: bool) -> dict[str, int]:
-    """Split ``size`` over the classes in proportion, largest remainders first."""
-    total = sum(n for _, n in counts)
-    exact = {k: size * n / total for k, n in counts}
-    out = {k: math.floor(v) for k, v in exact.items()}
-    left = size - sum(out.values())
-    for k in sorted(exact, key=lambda k: (-(exact[k] - out[k]), k))[:left]:
-        out[k] += 1
-    if floor_one:
-        sizes = dict(counts)
-        out = {k: min(max(v, 1), sizes[k]) for k, v in out.items()}
-    return out
+def class_table(df: DataFrame, label: str) -> DataFrame:
+    """``_c, _n``: rows per class, missing labels left out; any number of classes."""
+    counts = df.filter(col(label).isNotNull()).groupBy(col(label).cast("string").alias("_c"))
+    return checkpoint(counts.agg(F.count(F.lit(1)).alias("_n")))
 
 
-def class_counts(df: DataFrame, label: str) -> list[tuple[str, int]]:
-    """Rows per class (missing labels left out); refused when the column is no class label."""
-    counts = (
-        df.filter(col(label).isNotNull())
-        .groupBy(col(label).cast("string").alias("c"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    found = counts.limit(DRIVER_CLASSES + 1).collect()
-    if len(found) > DRIVER_CLASSES:
-        raise ValueError(f"{label} has over {DRIVER_CLASSES} values, it is not a class label")
-    return sorted((r["c"], r["n"]) for r in found)
+def _quotas(classes: DataFrame, size: int, total: int, floor_one: bool) -> DataFrame:
+    """``_c, _n, _q``: ``size`` split over the classes in proportion, largest remainders first, then by name.
+    Whole numbers throughout, so classes of a size tie exactly."""
+    product = F.col("_n").cast("decimal(18,0)") * F.lit(size).cast("decimal(18,0)")
+    whole = classes.withColumn("_product", product).withColumn("_q", F.expr(f"_product div {total}"))
+    whole = whole.withColumn("_rest", F.col("_product") - F.col("_q") * F.lit(total).cast("decimal(18,0)")).drop("_product")
+    left = size - (whole.agg(F.sum("_q")).first()[0] or 0)
+    if left:
+        whole = in_order(whole, [F.col("_rest").desc(), F.col("_c")], "_no")
+        whole = whole.withColumn("_q", F.col("_q") + (F.col("_no") < left).cast("long")).drop("_no")
+    if floor_one:
+        whole = whole.withColumn("_q", F.least(F.greatest(F.col("_q"), F.lit(1).cast("long")), F.col("_n")))
+    return whole.drop("_rest")
 
 
-def _marked(df: DataFrame, label: str, key: Sequence[str], quotas: dict[str, int], sizes: dict[str, int], seed: int, small_class: int) -> tuple[DataFrame, DataFrame]:
-    """(taken, left): the first ``quota`` rows of each class in hash order.
+def _marked(df: DataFrame, label: str, key: Sequence[str], quotas: DataFrame, seed: int, small_class: int) -> tuple[DataFrame, DataFrame]:
+    """(taken, left): the first ``_q`` rows of each class in hash order.
 
     In a large class the rows well below or above the expected cut are decided by their
     hash alone. Only a band of a few standard deviations is ranked, so no task ever
     sorts a whole class.
     """
-    spark = df.sparkSession
-    plan = {}
-    for c, n in sizes.items():
-        q = quotas[c]
-        lo, hi = 0.0, 2.0
-        if n > small_class:
-            p = q / n
-            d = 8 * math.sqrt(p * (1 - p) / n) + 50 / n
-            lo, hi = max(0.0, p - d), min(2.0, p + d)
-        plan[c] = (lo, hi)
-
-    def bounds(below: dict[str, int]) -> DataFrame:
-        return small_table(
-            spark,
-            [(c, lo, hi, quotas[c] - below.get(c, 0)) for c, (lo, hi) in plan.items()],
-            "_c string, _lo double, _hi double, _q long",
-        )
-
+    p, large = F.col("_q") / F.col("_n"), F.col("_n") > small_class
+    d = 8 * F.sqrt(p * (1 - p) / F.col("_n")) + 50 / F.col("_n")
+    plan = quotas.select(
+        "_c",
+        "_q",
+        F.when(large, F.greatest(F.lit(0.0), p - d)).otherwise(0.0).alias("_lo"),
+        F.when(large, F.least(F.lit(2.0), p + d)).otherwise(2.0).alias("_hi"),
+    )
     hashed = df.withColumn("_c", col(label).cast("string")).withColumn("_h", row_hash(key, seed))
     hashed = hashed.withColumn("_u", fraction_of(F.col("_h")))
-    below: dict[str, int] = {}
-    if any(lo > 0 for lo, _ in plan.values()):
-        # the class table has at most DRIVER_CLASSES rows, checked in class_counts
-        seen = (
-            hashed.join(F.broadcast(bounds({})), "_c")
-            .groupBy("_c")
-            .agg(
-                F.count_if(F.col("_u") < F.col("_lo")).alias("b"),
-                F.count_if((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).alias("n"),
+    rows = plan.agg(F.count(F.lit(1)), F.max("_lo")).first()
+    few = rows[0] <= BROADCAST_CLASSES
+
+    def with_plan(plan: DataFrame) -> DataFrame:
+        return hashed.join(F.broadcast(plan) if few else plan, "_c")
+
+    plan = plan.withColumn("_below", F.lit(0).cast("long"))
+    if rows[1]:
+        under = F.count_if(F.col("_u") < F.col("_lo"))
+        inside = F.count_if((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+        seen = with_plan(plan.filter("_lo > 0")).groupBy("_c").agg(under.alias("_b"), inside.alias("_in"))
+        plan = plan.join(seen, "_c", "left")
+        # repeated keys can put too much on one side; then the whole class is ranked
+        fits = (F.col("_b") <= F.col("_q")) & (F.col("_q") <= F.col("_b") + F.col("_in"))
+        plan = checkpoint(
+            plan.select(
+                "_c",
+                "_q",
+                F.when(fits, F.col("_lo")).otherwise(0.0).alias("_lo"),
+                F.when(fits | (F.col("_lo") == 0), F.col("_hi")).otherwise(2.0).alias("_hi"),
+                F.when(fits, F.col("_b")).otherwise(0).cast("long").alias("_below"),
             )
-            .collect()
         )
-        for r in seen:
-            c = r["_c"]
-            if r["b"] <= quotas[c] <= r["b"] + r["n"]:
-                below[c] = r["b"]
-            else:
-                plan[c] = (0.0, 2.0)
-    joined = hashed.join(F.broadcast(bounds(below)), "_c")
+    joined = with_plan(plan)
     order = Window.partitionBy("_c").orderBy("_h", *[col(k) for k in key])
     band = joined.filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).withColumn(
         "_rn", F.row_number().over(order)
     )
     names = [col(c) for c in df.columns]
-    taken = band.filter(F.col("_rn") <= F.col("_q")).select(*names)
-    left = band.filter(F.col("_rn") > F.col("_q")).select(*names)
-    if below:
-        taken = taken.unionByName(joined.filter(F.col("_u") < F.col("_lo")).select(*names))
-    if any(hi < 2.0 for _, hi in plan.values()):
-        left = left.unionByName(joined.filter(F.col("_u") >= F.col("_hi")).select(*names))
+    quota = F.col("_q") - F.col("_below")
+    taken = band.filter(F.col("_rn") <= quota).select(*names)
+    left = band.filter(F.col("_rn") > quota).select(*names)
+    taken = taken.unionByName(joined.filter(F.col("_u") < F.col("_lo")).select(*names))
+    left = left.unionByName(joined.filter(F.col("_u") >= F.col("_hi")).select(*names))
     return taken, left
 
 
@@ -166,13 +157,12 @@ def stratified_sample(
     if (n is None) == (fraction is None):
         raise ValueError("give either n or a fraction")
     require_columns(df, label, *key)
-    counts = class_counts(df, label)
-    total = sum(c for _, c in counts)
+    classes = class_table(df, label)
+    total = classes.agg(F.sum("_n")).first()[0] or 0
     size = math.ceil(total * fraction) if n is None else min(n, total)
     if size >= total:
         return df.filter(col(label).isNotNull())
-    quotas = _quotas(counts, size, floor_one=False)
-    return _marked(df, label, key, quotas, dict(counts), seed, small_class)[0]
+    return _marked(df, label, key, _quotas(classes, size, total, floor_one=False), seed, small_class)[0]
 
 
 def train_test_split(
@@ -189,20 +179,20 @@ def train_test_split(
     work, by = df, label
     if label is not None:
         work = df.filter(col(label).isNotNull())
-        counts = class_counts(work, label)
-        if not counts or min(n for _, n in counts) < 2:
+        classes = class_table(work, label)
+        k, least, total = classes.agg(F.count(F.lit(1)), F.min("_n"), F.sum("_n")).first()
+        if not k or least < 2:
             by = None
     if by is None:
-        total = work.count()
-        counts = [("all", total)]
+        total, k = work.count(), 1
+        classes = small_table(df.sparkSession, [("all", total)], "_c string, _n long")
         work = work.withColumn("_all", F.lit("all"))
-    total = sum(n for _, n in counts)
     size = max(1, round(total * fraction))
     if by is not None:
-        size = max(size, len(counts))
+        size = max(size, k)
     if total - size < 1:
         raise ValueError("too few rows to split")
-    quotas = _quotas(counts, size, floor_one=by is not None)
-    test, train = _marked(work, by or "_all", key, quotas, dict(counts), seed, small_class)
+    quotas = _quotas(classes, size, total, floor_one=by is not None)
+    test, train = _marked(work, by or "_all", key, quotas, seed, small_class)
     names = [col(c) for c in df.columns]
     return train.select(*names), test.select(*names)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import order_stats
-from tablekit.operators import anomaly, cluster, metrics, neighbours, rules, sample, whatif
+from tablekit.operators import anomaly, cluster, features, metrics, neighbours, rules, sample, whatif
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +26,10 @@ def hot(spark):
     return df.repartition(5), pdf
 
 
-def test_quantiles_by_brackets(hot):
+def test_quantiles_by_narrow_digits(hot):
     df, pdf = hot
     probs = [0.0, 0.01, 0.25, 0.5, 0.62, 0.63, 0.999, 1.0]
-    got = order_stats.exact_quantiles(df, {"x": probs, "y": probs}, budget=20)
+    got = order_stats.exact_quantiles(df, {"x": probs, "y": probs}, digit=4)
     for c in ("x", "y"):
         want = pdf[c].quantile(probs)
         assert [got[c][p] for p in probs] == pytest.approx(list(want), abs=1e-12)
@@ -41,7 +41,7 @@ def test_quantiles_by_brackets(hot):
 def test_first_rows_with_ties(hot):
     df, pdf = hot
     for k in (1, 700, 1500, 2999, 3000):
-        keep = order_stats.first_k(df, [F.col("x"), F.col("id")], k, budget=20)
+        keep = order_stats.first_k(df, [F.col("x"), F.col("id")], k, digit=4)
         want = pdf.sort_values(["x", "id"]).head(k)["id"]
         assert {r["id"] for r in df.filter(keep).select("id").collect()} == set(want)
 
@@ -232,3 +232,18 @@ def test_keys_of_text(spark):
         assert got == pytest.approx(want)
     scored = anomaly.isolation_forest(named, "id", ["a", "b"], trees=10)
     assert scored.count() == 120 and scored.filter("is_anomaly").count() == 12
+
+
+def test_split_over_very_many_classes(spark):
+    classes = 120_000
+    df = spark.range(3 * classes).select("id", F.concat(F.lit("c"), F.col("id") % classes).alias("label"))
+    train, test = sample.train_test_split(df, ["id"], "label", fraction=0.4)
+    per = test.groupBy("label").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    size = round(3 * classes * 0.4)
+    # 1.2 rows of each class: the first of equal remainders, by name, give a second
+    assert {r["count"]: r["n"] for r in per} == {1: 2 * classes - size, 2: size - classes}
+    second = {r["label"] for r in test.groupBy("label").count().filter("count = 2").collect()}
+    assert second == set(sorted(f"c{i}" for i in range(classes))[: size - classes])
+    assert train.count() == 3 * classes - size
+    weights = features.class_weights(df, "label")
+    assert weights.count() == classes and weights.first()["weight"] == 1.0
