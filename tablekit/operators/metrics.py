@@ -7,52 +7,41 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, require_columns, small_table
+from tablekit.functions.storage import checkpoint
 
-SCORES_PER_BUCKET = 200_000
+def rank_aucs(df: DataFrame, scores: Mapping[str, tuple[Column, Column]]) -> dict[str, float | None]:
+    """Areas under the ROC curves of several (score, positive) pairs by rank sums, ties counted half; None
+    where one of the two classes is missing.
 
-
-def rank_auc(df: DataFrame, score: Column, positive: Column, per_bucket: int = SCORES_PER_BUCKET) -> float | None:
-    """Area under the ROC curve by rank sums, ties counted half.
-
-    Scores are reduced to (score, positives, negatives) first. The running count of lower
-    negatives is taken inside score buckets and carried over the bucket totals, so there is
-    no window over the whole table.
+    All pairs go into one long table, reduced to (pair, score, positives, negatives) and put in order by
+    ranges. Within a range the lower negatives are a running count; what earlier ranges hold is carried
+    over from their totals, a row per range and pair. The number of jobs does not depend on the pairs.
     """
-    rows = df.select(score.cast("double").alias("s"), positive.cast("int").alias("p")).filter(
-        F.col("s").isNotNull() & F.col("p").isNotNull()
-    )
-    n = rows.count()
-    buckets = math.ceil(n / per_bucket)
-    counts = rows.groupBy("s").agg(
-        F.sum("p").cast("double").alias("pos"), F.sum(1 - F.col("p")).cast("double").alias("neg")
-    )
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = rows.agg(F.percentile_approx("s", probs, 10_000)).first()[0]
-        splits = [-math.inf, *sorted(set(cuts)), math.inf]
-        counts = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(counts)
-    else:
-        counts = counts.withColumn("b", F.lit(0.0))
-    lower = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    names = list(scores)
+    cells = [
+        F.struct(F.lit(i).alias("c"), (s.cast("double") + F.lit(0.0)).alias("s"), p.cast("int").alias("p")) for i, (s, p) in enumerate(scores.values())
+    ]
+    rows = df.select(F.inline(F.array(*cells))).filter(F.col("s").isNotNull() & F.col("p").isNotNull())
+    counts = rows.groupBy("c", "s").agg(F.sum("p").cast("double").alias("pos"), F.sum(1 - F.col("p")).cast("double").alias("neg"))
+    part = F.shiftright(F.monotonically_increasing_id(), 33).alias("part")
+    ranged = checkpoint(counts.orderBy("c", "s").select("c", "s", "pos", "neg", part))  # a second sort might draw other ranges
+    lower = Window.partitionBy("part", "c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     pairs = F.col("pos") * (F.coalesce(F.sum("neg").over(lower), F.lit(0.0)) + F.col("neg") / 2)
-    totals = (
-        counts.withColumn("pairs", pairs)
-        .groupBy("b")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
-        .orderBy("b")
-        .collect()  # one row per bucket
-    )
-    wins, seen_neg, pos = 0.0, 0.0, 0.0
-    for t in totals:
-        wins += t["pairs"] + t["pos"] * seen_neg
-        seen_neg += t["neg"]
-        pos += t["pos"]
-    return wins / (pos * seen_neg) if pos and seen_neg else None
+    totals = ranged.withColumn("pairs", pairs).groupBy("c", "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("pairs") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0))
+    areas = totals.withColumn("wins", wins).groupBy("c").agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("area"))
+    got = {r["c"]: r["area"] for r in areas.collect()}  # a row per pair
+    return {name: got.get(i) for i, name in enumerate(names)}
+
+
+def rank_auc(df: DataFrame, score: Column, positive: Column) -> float | None:
+    """The area for one pair."""
+    return rank_aucs(df, {"": (score, positive)})[""]
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -115,8 +104,8 @@ def classification_metrics(
     if scores:
         sizes = {r["class"]: r["support"] for r in report}
         total, weight = 0.0, 0
-        for cls, score in scores.items():
-            area = rank_auc(df, score, col(label).cast("string") == F.lit(cls))
+        areas = rank_aucs(df, {cls: (score, col(label).cast("string") == F.lit(cls)) for cls, score in scores.items()})
+        for cls, area in areas.items():
             if area is not None:
                 w = sizes.get(cls, 0) if len(scores) > 1 else 1
                 total, weight = total + area * w, weight + w

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.functions.columns import col, label_columns, require_columns
+from tablekit.functions.storage import checkpoint
 
 
 def _item(df: DataFrame, name: str) -> Column:
@@ -37,13 +41,68 @@ def _frequent_items(items: DataFrame, n: int, min_support: float) -> dict[str, l
     return out
 
 
+def _baskets(items: DataFrame, at: dict[str, dict[str, int]]) -> DataFrame:
+    """``basket`` (sorted numbers of its frequent items) and ``w``: equal rows as one, with their number."""
+    cells = [
+        F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(at[c].items()) for x in pair]), col(c)) for c in items.columns if c in at
+    ]
+    basket = F.array_sort(F.array_compact(F.array(*cells)))
+    rows = items.select(basket.alias("basket")).filter(F.size("basket") > 0)
+    return checkpoint(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("w")))
+
+
+def _supports(candidates: list[tuple[int, ...]], width: int):
+    """Rows of all candidates in a task's weighted baskets; candidates that differ in their last item only
+    share the test of the others."""
+    by_head: dict[tuple[int, ...], list[int]] = {}
+    for n, c in enumerate(candidates):
+        by_head.setdefault(c[:-1], []).append(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            lists = batch.column("basket")
+            has = np.zeros((len(lists), width), bool)
+            has[pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()] = True
+            w = batch.column("w").to_numpy()
+            for head, some in by_head.items():
+                rows = np.flatnonzero(has[:, head].all(axis=1))
+                if len(rows):
+                    last = [candidates[n][-1] for n in some]
+                    total[some] += w[rows] @ has[np.ix_(rows, last)]
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], names=["candidate", "n"])
+
+    return run
+
+
+def _grown(sets: list[tuple[int, ...]], column: list[int]) -> list[tuple[int, ...]]:
+    """Sets of one more item whose subsets are all frequent; items of one column never meet."""
+    known = set(sets)
+    by_head: dict[tuple[int, ...], list[int]] = {}
+    for s in sorted(sets):
+        by_head.setdefault(s[:-1], []).append(s[-1])
+    out = []
+    for head, last in by_head.items():
+        for a, b in itertools.combinations(last, 2):
+            new = (*head, a, b)
+            if column[a] != column[b] and all(new[:i] + new[i + 1 :] in known for i in range(len(new) - 2)):
+                out.append(new)
+    return out
+
+
 def frequent_itemsets(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     min_support: float = 0.1,
 ) -> DataFrame:
-    """``items`` (sorted array), ``size``, ``count``, ``support``, by FP-growth over the items that are
-    frequent by themselves."""
+    """``items`` (sorted array), ``size``, ``count``, ``support``.
+
+    Rows with equal items become one weighted basket in a single shuffle, combined in the map tasks. Itemsets
+    then grow by one item at a time: every task counts the candidates in its baskets by bit columns, and a
+    row per candidate and task is added up. Candidates, and the itemsets that make them, are on the driver:
+    as many as the result has, times the items at most; they don't grow with the table.
+    """
     names = list(cols or label_columns(df))
     require_columns(df, *names)
     if not names:
@@ -51,18 +110,28 @@ def frequent_itemsets(
     items = df.select(*[_item(df, c).alias(c) for c in names])
     n = items.count()
     keep = _frequent_items(items, n, min_support)
-    names = [c for c in names if c in keep]
-    schema = "items array<string>, count long"
-    if not names:
-        base = df.sparkSession.createDataFrame([], schema)
-    else:
-        kept = [F.when(col(c).isin(*keep[c]), col(c)) for c in names]
-        basket = items.select(F.filter(F.array(*kept), lambda v: v.isNotNull()).alias("items"))
-        # FP-growth takes the share of the baskets it sees, so empty ones stay in
-        found = FPGrowth(itemsCol="items", minSupport=min_support).fit(basket).freqItemsets
-        base = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
+    shown: list[str] = []
+    column: list[int] = []
+    at: dict[str, dict[str, int]] = {}
+    for i, c in enumerate(x for x in names if x in keep):
+        at[c] = {}
+        for item in sorted(keep[c]):
+            at[c][item] = len(shown)
+            shown.append(item)
+            column.append(i)
+    found: list[tuple[tuple[int, ...], int]] = []
+    if shown:
+        baskets = _baskets(items, at)
+        now = [(i,) for i in range(len(shown))]
+        while now:
+            counted = baskets.mapInArrow(_supports(now, len(shown)), "candidate int, n long").groupBy("candidate").agg(F.sum("n").alias("n"))
+            often = [(now[r["candidate"]], r["n"]) for r in counted.filter(F.col("n") >= min_support * n).collect()]
+            found += often
+            now = _grown([s for s, _ in often], column)
+    sets = [sorted(shown[i] for i in s) for s, _ in found]
+    table = pa.table({"items": pa.array(sets, pa.list_(pa.string())), "count": pa.array([k for _, k in found], pa.int64())})
     return (
-        base.filter(F.col("count") >= min_support * n)
+        df.sparkSession.createDataFrame(table)
         .withColumn("size", F.size("items").cast("long"))
         .withColumn("support", F.col("count") / F.lit(float(max(n, 1))))
     )

@@ -48,7 +48,7 @@ def test_first_rows_with_ties(hot):
 
 def test_auc_by_buckets(hot):
     df, pdf = hot
-    got = metrics.rank_auc(df, F.floor(F.col("x") * 10), F.col("id") % 3 == 0, per_bucket=100)
+    got = metrics.rank_auc(df, F.floor(F.col("x") * 10), F.col("id") % 3 == 0)
     s, p = np.floor(pdf["x"] * 10), pdf["id"] % 3 == 0
     r = s.rank()
     n1, n0 = p.sum(), (~p).sum()
@@ -247,3 +247,31 @@ def test_split_over_very_many_classes(spark):
     assert train.count() == 3 * classes - size
     weights = features.class_weights(df, "label")
     assert weights.count() == classes and weights.first()["weight"] == 1.0
+
+
+def test_areas_of_many_pairs_in_one_table(spark, hot):
+    df, pdf = hot
+    pairs = {f"p{k}": (F.floor(F.col("x") * k), F.col("id") % (k + 1) == 0) for k in range(1, 6)}
+    pairs["one class"] = (F.col("x"), F.lit(True))
+    got = metrics.rank_aucs(df, pairs)
+    for k in range(1, 6):
+        score, yes = np.floor(pdf["x"] * k).to_numpy(), (pdf["id"] % (k + 1) == 0).to_numpy()
+        wins = (score[yes][:, None] > score[~yes]).sum() + 0.5 * (score[yes][:, None] == score[~yes]).sum()
+        assert got[f"p{k}"] == pytest.approx(wins / (yes.sum() * (~yes).sum()))
+    assert got["one class"] is None and metrics.rank_auc(df, F.col("x"), F.lit(False)) is None
+
+
+def test_itemsets_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(None if rng.random() < 0.1 else str(v) for v in rng.integers(0, k, 5)) for k in (1, 2, 3, 3, 5) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+    for support in (0.02, 0.1, 0.4):
+        counts: Counter = Counter()
+        for row in rows:
+            items = sorted(f"{c}={v}" for c, v in zip("abcde", row) if v is not None)
+            counts.update(s for n in range(1, 6) for s in itertools.combinations(items, n))
+        # an item of every row says nothing and is left out
+        want = {s: n for s, n in counts.items() if n >= support * len(rows)}
+        got = {tuple(r["items"]): r["count"] for r in rules.frequent_itemsets(df, min_support=support).collect()}
+        assert got == want
+    assert rules.frequent_itemsets(df.limit(0)).collect() == []
