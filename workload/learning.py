@@ -308,7 +308,7 @@ def l1(spark, d):
 @query("l1_kmeans_nearest", "SELECT CAST(count(*) AS BIGINT) AS nearest FROM embeddings")
 def l1_nearest(spark, d):
     """Rows whose cluster has the nearest of the ten centres."""
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     df = _vectors(spark, d).select("vec_id", *names)
     labelled, centres, _ = cluster.kmeans(df, 10, names, "vec_id")
     points = features.prepared(df, names)[0]
@@ -317,9 +317,11 @@ def l1_nearest(spark, d):
         at.setdefault(c["cluster"], {})[c["column_name"]] = c["value"]
 
     def far(m):
-        return sum(((F.col(n) - m[n]) ** 2 for n in names), F.lit(0.0))
+        gaps = F.zip_with("x", F.array(*[F.lit(m[n]) for n in names]), lambda u, v: (u - v) * (u - v))
+        return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g)
 
     near = F.array_min(F.array(*[F.struct(far(m).alias("d"), F.lit(k).alias("cluster")) for k, m in at.items()]))
+    points = points.select("vec_id", F.array(*names).alias("x"))
     got = points.join(labelled.select("vec_id", "cluster_label"), "vec_id")
     return got.agg(F.count_if(near["cluster"] == F.col("cluster_label")).alias("nearest"))
 
@@ -465,6 +467,21 @@ def n1_pair(spark, d):
     return _rounded(reduce.pca_variance(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
 
 
+@query(
+    "n1_pca_wide",
+    """WITH v AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings),
+    c AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM v a JOIN v b USING (vec_id) GROUP BY a.i, b.i)
+    SELECT CAST(64 AS BIGINT) AS components, CAST(100 AS DOUBLE) AS total_pct, round(sum(r * r), 4) + 0.0 AS squares FROM c""",
+)
+def n1_wide(spark, d):
+    """All columns of the embeddings: the eigenvalues add up to their number, and their squares to the squares
+    of all correlations."""
+    found = reduce.pca_variance(_vectors(spark, d), [f"x{i}" for i in range(64)])
+    value = F.col("explained_pct") * 64 / 100
+    total = F.round(F.sum("explained_pct"), 6).cast("double").alias("total_pct")
+    return found.agg(F.count("*").alias("components"), total, r(F.sum(value * value)).alias("squares"))
+
+
 @query(
     "n1_pca_loadings",
     """SELECT c AS column_name, CAST(j AS BIGINT) AS component, round(1 / sqrt(2), 6) + 0.0 AS size FROM (SELECT unnest(['l_quantity', 'l_extendedprice']) AS c),
@@ -587,14 +604,14 @@ def _hex(start):
 CUTS = "[" + ", ".join(str(c) for c in whatif.POISSON_CUTS) + "]"
 BOOT = f"""b AS (SELECT l_extendedprice AS y, qty AS x, {HASH} AS h FROM {LINEITEM} WHERE qty IS NOT NULL),
  c AS (SELECT y, x, {_hex(1)} AS a, {_hex(9)} | 1 AS b, {_hex(17)} AS c, {_hex(25)} | 1 AS d FROM b),
- w AS MATERIALIZED (SELECT t AS trial, y, x, len(list_filter({CUTS}, lambda q: q <= (a + t * b) % 4294967296)) AS w, (c + t * d) % 4294967296 / CAST(4294967296 AS DOUBLE) AS u FROM c, range(100) r(t)),
+ w AS MATERIALIZED (SELECT t AS trial, y, x, len(list_filter({CUTS}, lambda q: q <= (a + t * b) % 4294967296)) AS w, (c + t * d) % 4294967296 / CAST(4294967296 AS DOUBLE) AS u FROM c, range(1000) r(t)),
  s AS (SELECT trial, w, y, y + {SLOPE} * x * 0.1 AS s, y + {SLOPE} * x * (-10 + 20 * u) / 100 AS s2 FROM w WHERE w > 0),
  boot AS MATERIALIZED (SELECT trial, sum(w * s) / sum(w) * (SELECT count(*) FROM b) AS result, (sum(w * s) - sum(w * y)) / sum(w) * (SELECT count(*) FROM b) AS delta FROM s GROUP BY trial)"""
 
 
 @query("p4_bootstrap_sum", f"WITH {BOOT} SELECT CAST(trial AS BIGINT) AS trial, round(result, 0) + 0.0 AS result, round(delta, 0) + 0.0 AS delta FROM boot")
 def p4(spark, d):
-    got = whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100)
+    got = whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS)
     return got.select("trial", r("result", 0).alias("result"), r("delta", 0).alias("delta"))
 
 
@@ -604,7 +621,7 @@ def p4(spark, d):
 )
 def p4_random(spark, d):
     got = whatif.bootstrap(
-        lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, "uniform_percent", aggregate="mean", trials=100
+        lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, "uniform_percent", aggregate="mean"
     )
     return _rounded(got)
 
@@ -618,7 +635,7 @@ def p4_random(spark, d):
     SELECT CAST(trial AS BIGINT) AS trial, round(ms.v, 4) + 0.0 AS result, round(ms.v - my.v, 4) + 0.0 AS delta FROM ms JOIN my USING (trial)""",
 )
 def p4_median(spark, d):
-    return _rounded(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, aggregate="median", trials=100))
+    return _rounded(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, aggregate="median"))
 
 
 @query(
@@ -628,7 +645,7 @@ def p4_median(spark, d):
     round(quantile_cont(delta, 0.95), 0) + 0.0 AS delta_p95 FROM boot""",
 )
 def p5(spark, d):
-    got = whatif.bootstrap_summary(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100))
+    got = whatif.bootstrap_summary(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS))
     return got.select("trials", *[r(c, 0).alias(c) for c in got.columns if c != "trials"])
 
 
@@ -639,5 +656,5 @@ def p5(spark, d):
     CAST((SELECT count(*) FROM boot, m WHERE least(greatest(ceil((result - lo) / w) - 1, 0), 19) = i) AS BIGINT) AS count FROM m, range(20) t(i)""",
 )
 def p6(spark, d):
-    got = whatif.bootstrap_histogram(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS, trials=100))
+    got = whatif.bootstrap_histogram(whatif.bootstrap(lineitem(spark, d), "qty", "l_extendedprice", LINE_KEYS))
     return got.select("bin", r("lo", 0).alias("lo"), r("hi", 0).alias("hi"), "count")
