@@ -26,7 +26,7 @@ from tablekit.llm.base import extended, mapped, model
 from tablekit.llm.words import run_hashes, word_slices
 
 PREFIX = "_hit_"
-FOUND = f"{PREFIX}words long, {PREFIX}start array<int>, {PREFIX}end array<int>, {PREFIX}cut array<struct<start:int,end:int>>, {PREFIX}items array<long>"
+FOUND = f"{PREFIX}words long, {PREFIX}start array<int>, {PREFIX}end array<int>, {PREFIX}cut array<struct<start:int,end:int>>, {PREFIX}items array<string>"
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -41,16 +41,17 @@ def _item_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         if out:
             a, b, c = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["item_id", "size", "words"]
+                [pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["item_id", "size", "words"]
             )
 
 
 def benchmark_windows(items: DataFrame, width: int = 13) -> DataFrame:
-    """A row per distinct window: words (binary, one blank between), size, and the items that have it."""
-    rows = items.select(F.col("item_id").cast("long"), "text").mapInArrow(
-        lambda b: _item_windows(b, width), "item_id long, size int, words binary"
-    )
-    return rows.groupBy("words", "size").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    """A row per distinct window: words (binary, one blank between), size, and the items that have it, by
+    ids of the type they come in."""
+    kind = items.schema["item_id"].dataType
+    named = items.select(F.col("item_id").cast("string"), "text")
+    rows = mapped(named, lambda b: _item_windows(b, width), "item_id string, size int, words binary")
+    return rows.groupBy("words", "size").agg(F.sort_array(F.collect_set(F.col("item_id").cast(kind))).alias("items"))
 
 
 def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -120,7 +121,7 @@ def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
                         cuts.append([{"start": int(w.start[a + x] - base), "end": int(w.end[a + y - 1] - base)} for x, y in zip(s, e)])
                         starts.append(s.tolist())
                         ends.append(e.tolist())
-                        items.append(sorted(x for x in found[i] if x is not None))
+                        items.append([str(x) for x in found[i] if x is not None])
                     else:
                         for x in (starts, ends, cuts, items):
                             x.append([])
@@ -130,7 +131,7 @@ def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
                 pa.array(starts, pa.list_(pa.int32())),
                 pa.array(ends, pa.list_(pa.int32())),
                 pa.array(cuts, pa.list_(span)),
-                pa.array(items, pa.list_(pa.int64())),
+                pa.array(items, pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *made], names=[*names, *(f"{PREFIX}{x}" for x in ("words", "start", "end", "cut", "items"))]
@@ -142,6 +143,7 @@ def _pass(docs: DataFrame, rows: list, text: str) -> DataFrame:
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, items (sorted ids whose windows occur), and spans: start
     and end of each marked run, in bytes of the text's UTF-8. Columns of these names are replaced."""
+    kind = windows.schema["items"].dataType.elementType
     clash = {"n_words", "n_hit", "items", "spans", "contaminated"} & set(docs.columns)
     docs = docs.drop(*clash)
     n = windows.count()
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text", table_windows:
         *(col(c) for c in docs.columns),
         F.col(PREFIX + "words").alias("n_words"),
         size.alias("n_hit"),
-        F.array_sort(F.array_distinct(PREFIX + "items")).alias("items"),
+        F.array_sort(F.array_distinct(F.transform(PREFIX + "items", lambda x: x.cast(kind)))).alias("items"),
         cut.alias("spans"),
     )
 

@@ -116,7 +116,11 @@ def write_warc(
     revisit = F.col("to_uid").isNotNull()
 
     def name(page: Column, uid: Column) -> Column:
-        return F.concat(F.lit("urn:record:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), uid.cast("string"))
+        # an id that is no whole number goes by its bytes, so it may hold any characters
+        text = page.cast("string")
+        coded = F.concat(F.lit("x"), F.hex(text.cast("binary")))
+        shown = F.when(F.rlike(text, F.lit("^-?[0-9]+$")), text).otherwise(F.coalesce(coded, F.lit("null")))
+        return F.concat(F.lit("urn:record:"), shown, F.lit(":"), uid.cast("string"))
 
     records = p.select(
         name(F.col("page_id"), F.col("uid")).alias("record_id"),
@@ -154,8 +158,9 @@ def write_warc(
     rows.select(line).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives in ``path``: record_id, chunk_no, last, record_type, page_id,
+def read_warc(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The chunk table of the archives in ``path``: record_id, chunk_no, last, record_type, page_id (of type
+    ``id_type``, that of the ids that were written),
     url, payload_digest, payload_bytes (both as the record states), refers_to, digest_so_far, data.
     A record whose block is shorter than its header says raises."""
     pieces = spark.read.option("lineSep", BETWEEN.decode()).text(path).where("length(value) > 0")
@@ -180,17 +185,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ok = (F.octet_length("data") == F.col("n")) & (
         F.octet_length("raw") - F.col("start") + 1 - F.col("n") <= len(END)
     )
-    page = F.split(urn("WARC-Record-ID"), ":")
+
+    def page(name: str) -> Column:
+        shown = F.split(urn(name), ":")[2]
+        coded = F.unhex(F.substring(shown, 2, 1 << 30)).cast("string")
+        return F.when(shown.startswith("x"), coded).when(shown != "null", shown).try_cast(id_type)
+
     return p.select(
         urn("WARC-Record-ID").alias("record_id"),
         (F.coalesce(number, F.lit(1)) - 1).alias("chunk_no"),
         (number.isNull() | total.isNotNull()).alias("last"),
         field("WARC-Type").alias("record_type"),
-        page[2].try_cast("long").alias("page_id"),
+        page("WARC-Record-ID").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
         field("X-Payload-Length").cast("long").alias("payload_bytes"),
-        F.split(urn("WARC-Refers-To"), ":")[2].try_cast("long").alias("refers_to"),
+        page("WARC-Refers-To").alias("refers_to"),
         field("X-Payload-Digest-So-Far").alias("digest_so_far"),
         F.when(ok, F.col("data")).otherwise(F.raise_error(F.lit("block and Content-Length differ")).cast("binary")).alias("data"),
     )

@@ -703,3 +703,24 @@ def test_sign_codes_of_wide_vectors_raise(spark):
     assert codes.limit(1).first()[0] == -1
     with pytest.raises(Exception, match="more than 64 components"):
         codes.collect()
+
+
+def test_archives_of_text_ids(spark, tmp_path):
+    rows = [("a:b>", "u", "x" * 200), ("a:b>c#\n", "u", "x" * 200), (None, "u", "short"), ("7", "u", "x" * 200), ("é", "u", None)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.verified(warc.records(warc.read_warc(spark, str(tmp_path / "w"), "string"))).collect()}
+    assert got == {
+        "7": ("response", None, 200),
+        "a:b>": ("revisit", "7", 200),
+        "a:b>c#\n": ("revisit", "7", 200),
+        None: ("response", None, 5),
+        "é": ("response", None, 0),
+    }
+
+
+def test_benchmark_items_of_text_ids(spark):
+    b = spark.createDataFrame([("q/2", "one two three"), ("q/10", "three four"), (None, "five")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "one two three four five"), (2, "six")], "doc_id long, text string")
+    for windows in (500_000, 1):
+        found = decontaminate.scan(d, decontaminate.benchmark_windows(b), table_windows=windows)
+        assert {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()} == {1: (5, ["q/10", "q/2"]), 2: (0, [])}
