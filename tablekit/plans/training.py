@@ -266,14 +266,15 @@ def predict_raw(model: TrainedModel, df: DataFrame) -> DataFrame:
     return out if model.neighbours is None else _knn(model, out)
 
 
-def predict(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """Adds ``prediction`` (the class name for a classification): any number of rows."""
+def predict(model: TrainedModel, df: DataFrame, name: str = "prediction") -> DataFrame:
+    """Adds the column ``name`` (the class name for a classification): any number of rows. It takes the place
+    of a column of that name, so a table with a ``prediction`` of its own keeps it under another name only."""
     out = predict_raw(model, df)
     value = F.col(PREDICTION)
     if model.problem == "classification":
         names = F.array(*[F.lit(c) for c in model.classes])
         value = F.get(names, F.col(PREDICTION).cast("int"))
-    return out.select(*[col(c) for c in df.columns if c != "prediction"], value.alias("prediction"))
+    return out.select(*[col(c) for c in df.columns if c != name], value.alias(name))
 
 
 def save_model(model: TrainedModel, path: str) -> None:

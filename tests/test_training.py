@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablekit.operators import features
 from tablekit.plans import training
@@ -37,6 +38,12 @@ def test_predict_keeps_rows_and_names_classes(run, table):
     assert {r["prediction"] for r in got.select("prediction").distinct().collect()} == {"yes", "no"}
 
 
+def test_a_column_named_prediction_stays(run, table):
+    df, model = table.withColumn("prediction", F.lit("own")), run.models[run.best]
+    got = training.predict(model, df, name="guess")
+    assert got.columns == [*df.columns, "guess"] and {r["prediction"] for r in got.collect()} == {"own"}
+
+
 def test_save_and_load(run, table, tmp_path):
     model = run.models["Logistic Regression"]
     training.save_model(model, str(tmp_path / "m"))
