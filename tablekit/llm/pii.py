@@ -13,7 +13,9 @@ the patterns, with written variants of the same data ("00" for "+", marks betwee
 which takes forward and backward sums over all segmentations.
 
 Offsets are in code points, ends exclusive. Null counts as empty text. Repeated documents are judged
-alike. A region of any length is decoded; the work grows with its tokens times ``MAX_TOKENS``.
+alike. A region reaches to the blanks around it, however far, and one of any length is decoded; the work
+grows with its tokens times ``MAX_TOKENS``. Only training is bounded: it leaves out regions of over
+``train_tokens`` tokens and uses at most ``most`` kinds of cases.
 """
 
 from __future__ import annotations
@@ -98,14 +100,9 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         if m.start() < end:
             continue
         least = max(end, 0)
-        # from a little before the trigger, at a blank
-        a = text.rfind(" ", least, m.start())
-        a = least if a < 0 else a + 1
-        a = max(a, m.start() - 64)
-        b = _run_end(text, m.end())
+        a, b = _run_start(text, m.start(), least), _run_end(text, m.end())
         if text.startswith(_AT, a) and a - 1 > least and text[a - 1] == " " and text[a - 2] > " ":
-            word = text.rfind(" ", least, a - 1)
-            a = max(least if word < 0 else word + 1, a - 65)
+            a = _run_start(text, a - 1, least)
         while text.endswith(_AT, a, b) and text[b : b + 1] == " " and text[b + 1 : b + 2] > " ":
             b = _run_end(text, b + 1)
         while (x := a - (text[a - 1 : a] == " ")) > least and _MARK.match(text, x - 1):
@@ -120,11 +117,18 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         yield now
 
 
+_BLANK = re.compile(r"[\x00-\x20]")
+
+
+def _run_start(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1] > " ":
+        at -= 1
+    return at
+
+
 def _run_end(text: str, at: int) -> int:
-    b = at
-    while b < len(text) and text[b] > " " and b - at < 128:
-        b += 1
-    return b
+    m = _BLANK.search(text, at)
+    return m.start() if m else len(text)
 
 
 def features(key: tuple) -> list[str]:
@@ -189,15 +193,15 @@ class Field:
                 self.cache[key] = got
         return got
 
-    def lattice(self, text: str, tokens: list[tuple[int, int]]):
-        """Segments with scores, by their first token."""
+    def lattice(self, text: str, tokens: list[tuple[int, int]], keys: bool = True):
+        """Segments with scores, by their first token; with their keys where training needs them."""
         by_start: list[list] = [[] for _ in tokens]
         for i, j, key in self.segments(text, tokens):
-            by_start[i].append((j, key, self.scores(key)))
+            by_start[i].append((j, key if keys else None, self.scores(key)))
         return by_start
 
     def decode(self, text: str, tokens: list[tuple[int, int]], certainty: float) -> list[tuple[str, int, int]]:
-        by_start, n = self.lattice(text, tokens), len(tokens)
+        by_start, n = self.lattice(text, tokens, keys=False), len(tokens)
         if not any(by_start):
             return []
         best, back = [-math.inf] * (n + 1), [None] * (n + 1)
@@ -294,9 +298,10 @@ def variants(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str
                 yield user + x + host.rpartition(".")[2], []
 
 
-def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, most: int = 1500) -> Field:
+def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, most: int = 1500, train_tokens: int = 200) -> Field:
     """Stochastic gradient on the conditional likelihood of the regions' segmentations. Regions that
-    look alike are one case that counts by the root of its number; at most ``most`` cases are used."""
+    look alike are one case that counts by the root of its number; at most ``most`` cases are used, and no
+    region of over ``train_tokens`` tokens."""
     crf, rng = Field(), random.Random(seed)
     cases: dict[tuple, tuple] = {}
     times: Counter = Counter()
@@ -305,7 +310,7 @@ def fit(texts: list[str], epochs: int = 40, rate: float = 0.3, seed: int = 3, mo
         own = [(text, spans), *variants(text, spans)]
         for t, marked in own:
             for tokens in regions(t):
-                if not tokens or len(tokens) > 200:
+                if not tokens or len(tokens) > train_tokens:
                     continue
                 inside = [s for s in marked if s[1] < tokens[-1][1] and tokens[0][0] < s[2]]
                 if t is not text and marked and not inside:

@@ -724,3 +724,24 @@ def test_benchmark_items_of_text_ids(spark):
     for windows in (500_000, 1):
         found = decontaminate.scan(d, decontaminate.benchmark_windows(b), table_windows=windows)
         assert {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()} == {1: (5, ["q/10", "q/2"]), 2: (0, [])}
+
+
+def test_regions_reach_to_the_blanks_however_far():
+    long = "x" * 300 + "@" + "y" * 400 + ".com"
+    for text in (long, f"a {long} b", f"one\n{long}\ntwo", "z" * 5000 + "1" * 9, "w" * 200 + " [at] " + "v" * 200 + ".org"):
+        found = [(r[0][0], r[-1][1]) for r in pii.regions(text)]
+        for m in re.finditer(r"[^\x00-\x20]+", text):
+            if re.search(r"[0-9@]|\[at\]", m[0]):
+                assert any(a <= m.start() and m.end() <= b for a, b in found), (text[:20], found)
+    (whole,) = pii.regions("w" * 200 + " [at] " + "v" * 200 + ".org")
+    assert (whole[0][0], whole[-1][1]) == (0, 410)
+
+
+def test_long_runs_are_decoded_in_linear_time():
+    import time
+
+    crf = pii.Field()
+    start = time.time()
+    for text in ("1" * 300_000, "a1" * 100_000, "1." * 20_000, "@" * 20_000):
+        pii.all_spans(text, crf)
+    assert time.time() - start < 60
