@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 from tablekit.functions.columns import col, numeric_columns, require_columns, small_table
 from tablekit.functions.numbering import in_order
 from tablekit.functions.storage import checkpoint
+from tablekit.operators.boxes import Cells, apart, components, gap_and_span, meet, placed_in_regions, slices, tree_for
 from tablekit.operators.features import prepared
 from tablekit.operators.neighbours import numbered, own_key
 
 LABEL = "cluster_label"
 ROWS_PER_SALT = 50_000
+#: places of a cell that are carried with it
+CARRIED = 32
 
 
 def _vectors(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -129,47 +134,125 @@ def _grid(width: float) -> Column:
     return F.transform("x", lambda v: F.floor(v / F.lit(width)))
 
 
-def _neighbour_cells(cells: DataFrame, eps: float, dims: int) -> DataFrame:
-    """Pairs of cells whose boxes come within eps (each cell with itself included). Found through
-    blocks of side eps over up to three dimensions, so only adjacent blocks meet."""
-    p = min(dims, 3)
-    block = F.array(*[F.floor(F.get("lo", F.lit(j)) / F.lit(eps)) for j in range(p)])
-    # a cell is smaller than eps, so its box starts in one block and ends at most one further on
-    right = cells.select(F.col("cell").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), block.alias("block"))
-    left = cells.select(F.col("cell").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), block.alias("k"))
-    for j in range(p):
-        left = left.withColumn(f"d{j}", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    left = left.withColumn("block", F.array(*[F.get("k", F.lit(j)) + F.col(f"d{j}") for j in range(p)]))
-    near = _gap2(F.col("alo"), F.col("ahi"), F.col("blo"), F.col("bhi")) <= F.lit(eps * eps)
-    return left.join(right, "block").filter(near).select("a", "b")
-
-
-def _close_to(
-    points: DataFrame, pairs: DataFrame, boxes: DataFrame, members: DataFrame, eps: float
-) -> tuple[DataFrame, DataFrame]:
-    """For points (id, a, x) against neighbour cells: (cells wholly within eps, single members
-    within eps), both with ``id, b`` and the weight ``w``. Boxes settle most cells; only the cut
-    cells are compared member by member, and big cells are spread over salts."""
-    cand = points.join(pairs, "a").join(boxes, "b")
-    x = F.col("x")
-    e2 = F.lit(eps * eps)
-    cand = cand.withColumn("gap", _gap2(x, x, F.col("lo"), F.col("hi"))).filter(F.col("gap") <= e2)
-    cand = cand.withColumn("span", _span2(x, x, F.col("lo"), F.col("hi")))
-    whole = cand.filter(F.col("span") <= e2).select("id", "b", F.col("bw").alias("w"))
-    salts = F.ceil(F.col("locs") / F.lit(ROWS_PER_SALT)).cast("long")
-    cut = (
-        cand.filter(F.col("span") > e2)
-        .withColumn("salt", F.explode(F.sequence(F.lit(1).cast("long"), salts)))
-        .select("id", "b", "salt", "x")
-    )
-    salted = (
-        members.withColumnRenamed("cell", "b")
-        .join(boxes.select("b", salts.alias("salts")), "b")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")) + 1)
-        .select("b", "salt", F.col("x").alias("y"), "w")
+def _summaries(placed: DataFrame, most: int, dims: int) -> DataFrame:
+    """Cells of places (cid, id, x, w, locs): corners, rows ``cw``, places ``locs``, and the places themselves
+    (``ids, ws, xs``) of cells with at most ``most``; of crowded cells these are empty."""
+    cells = placed.groupBy("cid").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("locs"), *_corners(dims))
+    # at most ``most`` places each
+    few = placed.filter(F.col("locs") <= most).groupBy("cid").agg(F.collect_list(F.struct("id", "w", "x")).alias("p"))
+    none = F.array()
+    return cells.join(few, "cid", "left").select(
+        "cid",
+        "cw",
+        "locs",
+        "lo",
+        "hi",
+        F.coalesce(F.col("p")["id"], none.cast("array<bigint>")).alias("ids"),
+        F.coalesce(F.col("p")["w"], none.cast("array<bigint>")).alias("ws"),
+        F.coalesce(F.flatten(F.col("p")["x"]), none.cast("array<double>")).alias("xs"),
     )
-    single = cut.join(salted, ["b", "salt"]).filter(_dist2(F.col("x"), F.col("y")) <= e2)
-    return whole, single.select("id", "b", "w")
+
+
+def _count_near(eps: float, dims: int):
+    """Rows within eps of every carried point of the homes (``id, n``), without crowded cells that the ball
+    cuts (``id, cid``)."""
+    e2 = eps * eps
+
+    def run(homes: pa.Table, visitors: pa.Table) -> pa.Table:
+        q, v = Cells(homes, dims), Cells(visitors, dims)
+        crowd = np.nonzero(~v.carried)[0]
+        cw = v.column("cw")
+        n, cut_id, cut_cid = np.zeros(len(q.ids), np.int64), [], []
+        for s in slices(len(q.ids)):
+            x = q.xs[s]
+            n[s] = (apart(x, v.xs) <= e2) @ v.ws
+            gap, span = gap_and_span(x, x, v.lo[crowd], v.hi[crowd])
+            n[s] += (span <= e2) @ cw[crowd]
+            i, j = np.nonzero((gap <= e2) & (span > e2))
+            cut_id.append(q.ids[s][i])
+            cut_cid.append(v.cid[crowd[j]])
+        cid = np.concatenate([np.full(len(n), -1), *cut_cid])
+        ids = np.concatenate([q.ids, *cut_id])
+        n = np.concatenate([n, np.zeros(len(ids) - len(n), np.int64)])
+        return pa.table({"id": ids.astype(np.int64), "cid": pa.array(cid.astype(np.int64), mask=np.arange(len(cid)) < len(q.ids)), "n": n})
+
+    return run
+
+
+def _link_cells(eps: float, dims: int):
+    """Links (``a, b, sure``) of a block: stars over the components that points or corners prove, and the open
+    ones between its components, where a cell is crowded."""
+    e2 = eps * eps
+
+    def run(homes: pa.Table, visitors: pa.Table) -> pa.Table:
+        q, v = Cells(homes, dims), Cells(visitors, dims)
+        sure = np.zeros((len(q.cid), len(v.cid)), bool)
+        open_ = np.zeros_like(sure)
+        cols = np.nonzero(v.carried)[0]
+        first = np.searchsorted(v.of, cols)
+        for s in slices(len(q.ids)):
+            if len(cols):
+                near = np.logical_or.reduceat(apart(q.xs[s], v.xs) <= e2, first, axis=1)
+                of = q.of[s]
+                rows, at = np.unique(of, return_index=True)
+                sure[np.ix_(rows, cols)] |= np.logical_or.reduceat(near, at, axis=0)
+        for s in slices(len(q.cid)):
+            gap, span = gap_and_span(q.lo[s], q.hi[s], v.lo, v.hi)
+            crowded = ~(q.carried[s, None] & v.carried[None])
+            sure[s] |= crowded & (span <= e2)
+            open_[s] = crowded & (gap <= e2) & ~sure[s]
+        # a link is seen from both ends; a cell is one node on both sides
+        once, same = q.cid[:, None] < v.cid[None], q.cid[:, None] == v.cid[None]
+        row_in, col_in = components(sure & once | same)
+        number, cid = np.concatenate([row_in, col_in]), np.concatenate([q.cid, v.cid])
+        # every component as a star around its first cell
+        first = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(first, number, cid)
+        star = np.unique(np.stack([cid, first[number]], axis=1), axis=0)
+        star = star[star[:, 0] != star[:, 1]]
+        u, w = np.nonzero(open_ & once & (row_in[:, None] != col_in[None]))
+        a, b = np.concatenate([star[:, 0], q.cid[u]]), np.concatenate([star[:, 1], v.cid[w]])
+        return pa.table({"a": a, "b": b, "sure": np.arange(len(a)) < len(star)})
+
+    return run
+
+
+def _first_label(eps: float, dims: int):
+    """The smallest label of the cells within eps of every carried point of the homes (``id, label``), and
+    crowded cells of smaller labels that the ball cuts (``id, label, cid``)."""
+    e2, far = eps * eps, np.iinfo(np.int64).max
+
+    def run(homes: pa.Table, visitors: pa.Table) -> pa.Table:
+        label = visitors.column("label")
+        q, v = Cells(homes, dims), Cells(visitors.filter(label.is_valid()), dims)
+        label = v.column("label").astype(np.int64)
+        crowd = np.nonzero(~v.carried)[0]
+        best, cut = np.full(len(q.ids), far), []
+        for s in slices(len(q.ids)):
+            x = q.xs[s]
+            near = np.where(apart(x, v.xs) <= e2, label[v.of][None], far).min(axis=1, initial=far)
+            gap, span = gap_and_span(x, x, v.lo[crowd], v.hi[crowd])
+            whole = np.where(span <= e2, label[crowd][None], far).min(axis=1, initial=far)
+            best[s] = np.minimum(near, whole)
+            i, j = np.nonzero((gap <= e2) & (span > e2) & (label[crowd][None] < best[s][:, None]))
+            cut.append((q.ids[s][i], label[crowd[j]], v.cid[crowd[j]]))
+        has = best < far
+        parts = [(q.ids[has], best[has], np.full(int(has.sum()), -1)), *cut]
+        ids, labels, cids = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+        return pa.table({"id": ids, "label": labels, "cid": pa.array(cids, mask=np.arange(len(cids)) < has.sum())})
+
+    return run
+
+
+def _members_near(cut: DataFrame, placed: DataFrame, eps: float) -> DataFrame:
+    """``cut`` (id, cid, x) with the weight ``w`` of every place of the crowded cell within eps. Big cells are
+    spread over salts."""
+    cells = cut.select("cid").distinct().join(placed.select("cid", "locs").distinct(), "cid")
+    salts = F.ceil(F.col("locs") / F.lit(ROWS_PER_SALT)).cast("long")
+    every = F.explode(F.sequence(F.lit(1).cast("long"), salts))
+    asked = cut.join(cells, "cid").withColumn("salt", every).drop("locs")
+    members = placed.select("cid", F.col("x").alias("y"), "w", (F.pmod(F.xxhash64("id"), salts) + 1).alias("salt"))
+    return asked.join(members, ["cid", "salt"]).filter(_dist2(F.col("x"), F.col("y")) <= F.lit(eps * eps))
 
 
 def _core_links(core: DataFrame, pairs: DataFrame, eps: float, dims: int, width: float) -> DataFrame:
@@ -288,7 +371,10 @@ def dbscan(
 
     Identical rows are one weighted place. Places lie in grid cells so small that all
     members of a cell are neighbours: a cell with ``min_samples`` rows is dense without
-    comparing anything, which is where crowded regions end.
+    comparing anything, which is where crowded regions end. Cells that come within eps meet in
+    regions of a tree (``boxes``), in any number of columns; a cell brings its places along unless
+    it is crowded, and crowded ones are compared place by place only where their corners leave
+    the answer open. A place with a missing number is an outlier unless its own copies are dense.
     """
     require_columns(df, key)
     df = numbered(df, key)
@@ -297,6 +383,7 @@ def dbscan(
         work, names = prepared(df, cols, skip=(key, "_tk_key"))
     dims = len(names)
     width = eps / math.sqrt(dims) * (1 - 1e-9)
+    most = max(min_samples - 1, CARRIED)
     rows = work.select(
         col("_tk_key").alias("key"), F.array(*[col(c).cast("double") + F.lit(0.0) for c in names]).alias("x")
     )
@@ -305,49 +392,69 @@ def dbscan(
         .agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("w"))
         .withColumn("cell", _grid(width))
     )
-    cells = checkpoint(
-        places.groupBy("cell").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("locs"), *_corners(dims))
+    cells = places.groupBy("cell").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("locs"), F.sum("w").alias("cw"))
+    placed = checkpoint(places.join(cells, "cell").select("cid", "id", "x", "w", "locs", "cw"))
+    cells = checkpoint(_summaries(placed, most, dims))
+    thin = placed.filter(F.col("cw") < min_samples)
+    tree = tree_for(cells, dims)
+
+    # how many rows are near a place of a thin cell
+    near = meet(
+        placed_in_regions(cells, tree, eps, width, dims),
+        F.col("cw") < min_samples,
+        _count_near(eps, dims),
+        "id long, cid long, n long",
     )
-    pairs = checkpoint(_neighbour_cells(cells, eps, dims))
-    dense = cells.filter(F.col("cw") >= min_samples).select("cell")
-    thin = places.join(cells.filter(F.col("cw") < min_samples).select("cell"), "cell")
-    boxes = cells.select(F.col("cell").alias("b"), "lo", "hi", F.col("cw").alias("bw"), "locs")
-    ask = thin.select("id", F.col("cell").alias("a"), "x")
-    whole, single = _close_to(ask, pairs, boxes, places, eps)
-    counts = whole.select("id", "w").unionByName(single.select("id", "w")).groupBy("id").agg(F.sum("w").alias("n"))
+    near = checkpoint(near)
+    sure = near.filter(F.col("cid").isNull()).groupBy("id").agg(F.sum("n").alias("n"))
+    short = sure.filter(F.col("n") < min_samples)
+    cut = near.filter(F.col("cid").isNotNull()).select("id", "cid").join(short.select("id"), "id", "left_semi")
+    more = _members_near(cut.join(thin.select("id", "x"), "id"), placed, eps).select("id", F.col("w").alias("n"))
+    counts = sure.unionByName(more).groupBy("id").agg(F.sum("n").alias("n"))
     thin_core = thin.join(counts.filter(F.col("n") >= min_samples).select("id"), "id", "left_semi")
-    names_out = ["id", "cell", "x", "w"]
-    core = checkpoint(places.join(dense, "cell").select(*names_out).unionByName(thin_core.select(*names_out)))
-    if core.isEmpty():
+    # core places, in cells named by the first of them
+    thin_core = thin_core.join(thin_core.groupBy("cid").agg(F.min("id").alias("first")), "cid")
+    thin_core = thin_core.select(F.col("first").alias("cid"), "id", "x", "w", "locs")
+    dense = placed.filter(F.col("cw") >= min_samples).select("cid", "id", "x", "w", "locs")
+    core = checkpoint(dense.unionByName(thin_core))
+    core_cells = checkpoint(_summaries(core, most, dims))
+    if core_cells.isEmpty():
         none = rows.select(F.col("key").alias("_tk_n"), F.lit(-1).cast("long").alias(LABEL))
         return own_key(none, df, key, "_tk_n")
-    core_cells = core.groupBy("cell").agg(F.min("id").alias("cid"))
-    core_pairs = pairs.join(core_cells.select(F.col("cell").alias("a")), "a", "left_semi").join(
-        core_cells.select(F.col("cell").alias("b")), "b", "left_semi"
+
+    links = meet(
+        placed_in_regions(core_cells, tree, eps, width, dims), F.lit(True), _link_cells(eps, dims), "a long, b long, sure boolean"
     )
-    links = _core_links(core, core_pairs, eps, dims, width)
-    ids = core_cells.select("cell", "cid")
-    edges = links.join(ids.select(F.col("cell").alias("a"), F.col("cid").alias("u")), "a").join(
-        ids.select(F.col("cell").alias("b"), F.col("cid").alias("v")), "b"
+    links = checkpoint(links)
+    edges = links.filter("sure").select("a", "b")
+    undecided = links.filter("not sure").select("a", "b").distinct()
+    if not undecided.isEmpty():
+        some = undecided.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        crowds = core.join(some, "cid", "left_semi").select(F.col("cid").alias("cell"), "x")
+        edges = edges.unionByName(_core_links(checkpoint(crowds), undecided, eps, dims, width))
+    roots = connected_components(
+        core_cells.select(F.col("cid").alias("id")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    roots = connected_components(core_cells.select(F.col("cid").alias("id")), edges)
     number = in_order(roots.select("root").distinct(), [F.col("root")], "label")
-    cell_label = checkpoint(
-        core_cells.join(roots.withColumnRenamed("id", "cid"), "cid").join(number, "root").select("cell", "label")
-    )
-    core_label = core.join(cell_label, "cell").select("id", "label")
-    core_boxes = core.groupBy(F.col("cell").alias("b")).agg(
-        *_corners(dims), F.sum("w").alias("bw"), F.count(F.lit(1)).alias("locs")
-    )
-    loose = ask.join(core.select("id"), "id", "left_anti")
-    whole, single = _close_to(loose, pairs, core_boxes, core, eps)
-    border = (
-        whole.select("id", "b")
-        .unionByName(single.select("id", "b"))
-        .join(cell_label.withColumnRenamed("cell", "b"), "b")
-        .groupBy("id")
-        .agg(F.min("label").alias("label"))
+    cell_label = checkpoint(roots.withColumnRenamed("id", "cid").join(number, "root").select("cid", "label"))
+    core_label = core.join(cell_label, "cid").select("id", "label")
+
+    # other places beside the core
+    loose = thin.join(core.select("id"), "id", "left_anti")
+    askers = _summaries(loose, most, dims).withColumn("label", F.lit(None).cast("long"))
+    beside = askers.unionByName(core_cells.join(cell_label, "cid"))
+    found = meet(
+        placed_in_regions(beside, tree, eps, width, dims),
+        F.col("label").isNull(),
+        _first_label(eps, dims),
+        "id long, label long, cid long",
     )
+    found = checkpoint(found)
+    sure = found.filter(F.col("cid").isNull()).groupBy("id").agg(F.min("label").alias("label"))
+    cut = found.filter(F.col("cid").isNotNull()).join(sure.withColumnRenamed("label", "known"), "id", "left")
+    cut = cut.filter(F.col("known").isNull() | (F.col("label") < F.col("known"))).select("id", "label", "cid").distinct()
+    more = _members_near(cut.join(loose.select("id", "x"), "id"), core, eps).select("id", "label")
+    border = sure.unionByName(more).groupBy("id").agg(F.min("label").alias("label"))
     labels = places.select("id", "x").join(core_label.unionByName(border), "id", "left")
     found = rows.join(labels.select("x", "label"), "x").select(
         F.col("key").alias("_tk_n"), F.coalesce("label", F.lit(-1)).cast("long").alias(LABEL)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import order_stats
-from tablekit.operators import anomaly, cluster, features, metrics, neighbours, rules, sample, whatif
+from tablekit.operators import anomaly, boxes, cluster, features, metrics, neighbours, rules, sample, whatif
 
 
 @pytest.fixture(scope="module")
@@ -151,6 +151,48 @@ def test_dbscan(spark, monkeypatch, dims, eps, m):
     assert list(got["cluster_label"]) == list(want)
 
 
+def test_dbscan_in_eight_columns_lists_no_pairs(spark, monkeypatch):
+    sizes = []
+    for module in (cluster, boxes):
+        real = module.checkpoint
+
+        def counted(df, real=real):
+            out = real(df)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(module, "checkpoint", counted)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(2000, 8)), columns=list("abcdefgh")).assign(id=np.arange(2000))
+    got = cluster.dbscan(spark.createDataFrame(pdf), "id", list("abcdefgh"), 2.5, 5, standardise=False)
+    assert list(got.toPandas().sort_values("id")["cluster_label"]) == list(_dbscan(pdf, 2.5, 5))
+    assert max(sizes) <= 2000 * -(-2000 // boxes.WANTED)  # rows times regions
+
+
+def test_dbscan_of_crowded_cells_in_small_blocks(spark, monkeypatch):
+    for module, name, value in ((boxes, "POINTS", 64), (boxes, "WANTED", 20), (cluster, "CARRIED", 2), (cluster, "ROWS_PER_SALT", 50)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(5)
+    crowds = [rng.normal(size=(900, 2)) * 0.15, rng.normal(size=(600, 2)) * 0.15 + [1.0, 0.2], rng.uniform(-2, 2, size=(300, 2))]
+    pdf = pd.DataFrame(rng.permutation(np.concatenate(crowds)), columns=["a", "b"]).assign(id=np.arange(1800))
+    got = cluster.dbscan(spark.createDataFrame(pdf), "id", ["a", "b"], 0.12, 6, standardise=False)
+    want = _dbscan(pdf, 0.12, 6)
+    assert want.max() > 0 and (want == -1).any()
+    assert list(got.toPandas().sort_values("id")["cluster_label"]) == list(want)
+
+
+def test_regions_hold_all_that_is_near():
+    rng = np.random.default_rng(3)
+    lo = np.concatenate([rng.normal(size=(400, 3)), np.zeros((200, 3))])
+    hi = lo + rng.uniform(0, 0.1, size=lo.shape)
+    tree = boxes.fit_tree(lo, 16)
+    home = boxes._homes(tree, lo)
+    met = {(r, i) for r, rows in boxes._visits(tree, lo, hi, 0.5, 0.1) for i in rows}
+    gap, _ = boxes.gap_and_span(lo, hi, lo, hi)
+    assert (home >= 0).all() and len(set(home)) > 4
+    assert all((home[i], j) in met for i, j in zip(*np.nonzero(gap <= 0.25)))
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.range(300)
     links = spark.range(299).filter("id != 150").select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
