@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tablekit.functions.numbering import in_order
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.boxes import Cells, apart, components, gap_and_span, meet, placed_in_regions, slices, tree_for
 from tablekit.operators.features import prepared
+from tablekit.operators.lloyd import Fit, fit_all, nearest
 from tablekit.operators.neighbours import numbered, own_key
 
 LABEL = "cluster_label"
@@ -34,20 +35,9 @@ def _with_label(df: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
     return base.join(labelled.select(key, LABEL), key)
 
 
-def fit_kmeans(points: DataFrame, names: Sequence[str], k: int, seed: int = 42, starts: int = 10):
-    """(labelled table, model) of the best of several starts, on prepared columns."""
-    vectors = _vectors(points, names).persist()
-    try:
-        best = None
-        for i in range(starts):
-            model = KMeans(
-                k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="_features", predictionCol=LABEL
-            ).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-    finally:
-        vectors.unpersist()
-    return best.transform(_vectors(points, names)).drop("_features"), best
+def label_nearest(points: DataFrame, names: Sequence[str], fit: Fit) -> DataFrame:
+    """``points`` with the number of the nearest centre."""
+    return points.withColumn(LABEL, nearest(names, fit))
 
 
 def clamp_k(k: int, rows: int) -> int:
@@ -59,14 +49,16 @@ def kmeans(
 ) -> tuple[DataFrame, DataFrame, float]:
     """(table with ``cluster_label``, centres in prepared space, inertia)."""
     points, names = prepared(df.drop(LABEL), cols, skip=(key,) if key else ())
-    labelled, model = fit_kmeans(points, names, clamp_k(k, df.count()), seed, starts)
+    k = clamp_k(k, df.count())
+    fit = fit_all(points, names, [k], seed, starts)[k]
+    labelled = label_nearest(points, names, fit)
     centres = small_table(
         df.sparkSession,
-        [(i, c, float(v)) for i, m in enumerate(model.clusterCenters()) for c, v in zip(names, m)],
+        [(i, c, float(v)) for i, m in enumerate(fit.centres) for c, v in zip(names, m)],
         "cluster long, column_name string, value double",
     )
     out = labelled if key is None else _with_label(df, labelled, key)
-    return out, centres, float(model.summary.trainingCost)
+    return out, centres, fit.cost
 
 
 def fit_bisecting(points: DataFrame, names: Sequence[str], k: int, seed: int = 42):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, small_table
 from tablekit.functions.storage import checkpoint
-from tablekit.operators.cluster import LABEL, dbscan, fit_bisecting, fit_kmeans
+from tablekit.operators.cluster import LABEL, dbscan, fit_bisecting, label_nearest
 from tablekit.operators.features import prepared
+from tablekit.operators.lloyd import fit_all
 from tablekit.operators.metrics import cluster_metrics
 
 DENSITY_RADII = (0.3, 0.5, 0.8, 1.2, 1.8, 2.5)
@@ -34,10 +35,10 @@ def suggest_k(df: DataFrame, key: str, cols: Sequence[str] | None = None, max_k:
     points, names, n = _start(df, key, cols)
     ks = list(range(2, max(2, min(max_k, n - 1)) + 1))
     inertia, sil, db, ch = [], [], [], []
+    fits = fit_all(points, names, ks)
     for k in ks:
-        labelled, model = fit_kmeans(points, names, k)
-        m = _metrics(labelled, names, key)
-        inertia.append(float(model.summary.trainingCost))
+        m = _metrics(label_nearest(points, names, fits[k]), names, key)
+        inertia.append(fits[k].cost)
         sil.append(m.get("silhouette_squared", 0.0))
         db.append(m.get("davies_bouldin", 0.0))
         ch.append(m.get("calinski_harabasz", 0.0))
@@ -77,8 +78,10 @@ def cluster_best(
             rank = (m.get("silhouette_squared", -1.0), -m["davies_bouldin"], m["calinski_harabasz"])
             found.append((rank, method, k, eps, m, labelled.select(key, LABEL)))
 
-    for k in range(2, max(2, min(max_k, n - 1)) + 1):
-        labelled, _ = fit_kmeans(points, names, k)
+    ks = range(2, max(2, min(max_k, n - 1)) + 1)
+    fits = fit_all(points, names, ks)
+    for k in ks:
+        labelled = label_nearest(points, names, fits[k])
         add("kmeans", k, None, labelled, labelled)
         labelled, _ = fit_bisecting(points, names, k)
         add("hierarchical", k, None, labelled, labelled)
