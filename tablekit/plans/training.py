@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, require_columns, small_table
 from tablekit.functions.storage import checkpoint
+from tablekit.operators.boosting import HistogramBoosting
 from tablekit.operators.features import (
     class_weights,
     feature_pipeline,
@@ -30,6 +31,7 @@ from tablekit.operators.neighbours import knn_join, knn_vote
 from tablekit.operators.sample import stratified_sample, train_test_split
 
 KNN = "K-Nearest Neighbors"
+HISTOGRAM = "Histogram Gradient Boosting"
 
 
 @dataclass
@@ -58,7 +60,7 @@ LABEL, WEIGHT, FEATURES, PREDICTION, PROBABILITY = (f"_tk_{x}" for x in ("label"
 
 
 def classification_panel(classes: int, trees: int = 300, fast: bool = False, rounds: int = 50) -> dict:
-    """Estimators by name; ``fast`` leaves out the forest, which needs the most passes."""
+    """Estimators by name; ``fast`` leaves out the forest and boosting over histograms, which need the most passes."""
     common = {"featuresCol": FEATURES, "labelCol": LABEL, "weightCol": WEIGHT, "predictionCol": PREDICTION}
     odds = {"probabilityCol": PROBABILITY, "rawPredictionCol": "_tk_raw"}
     gbt = GBTClassifier(maxIter=rounds, maxDepth=3, seed=42, featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION)
@@ -69,6 +71,8 @@ def classification_panel(classes: int, trees: int = 300, fast: bool = False, rou
     if not fast:
         panel["Random Forest"] = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=42, **common, **odds)
     panel["Gradient Boosting"] = boosted
+    if not fast:
+        panel[HISTOGRAM] = HistogramBoosting(classes, FEATURES, LABEL, WEIGHT, PREDICTION, PROBABILITY, rounds)
     return panel
 
 
@@ -78,6 +82,8 @@ def regression_panel(trees: int = 300, fast: bool = False, rounds: int = 50) ->
     if not fast:
         panel["Random Forest"] = RandomForestRegressor(numTrees=trees, maxDepth=10, seed=42, **common)
     panel["Gradient Boosting"] = GBTRegressor(maxIter=rounds, maxDepth=3, seed=42, **common)
+    if not fast:
+        panel[HISTOGRAM] = HistogramBoosting(0, FEATURES, LABEL, WEIGHT, PREDICTION, PROBABILITY, rounds)
     return panel
 
 

@@ -25,7 +25,7 @@ def run(table):
 
 def test_imbalanced_classification(run, table):
     board = run.leaderboard.orderBy("rank").collect()
-    assert run.problem == "classification" and all(r["error"] is None for r in board) and len(board) == 4
+    assert run.problem == "classification" and all(r["error"] is None for r in board) and len(board) == 5
     scores = [r["primary_score"] for r in board]
     assert scores == sorted(scores, reverse=True) and 0.8 < scores[0] <= 1
     assert features.class_weights(table, "y").first()["imbalanced"]
@@ -79,7 +79,7 @@ def test_columns_with_the_names_of_this_module(spark):
     df = spark.createDataFrame(rows, "id long, weight double, prediction string, features long, probability double, label string")
     run = training.train_models(df, "label", ["id"], trees=10, rounds=5)
     board = {r["model"]: (r["primary_score"], r["error"]) for r in run.leaderboard.collect()}
-    assert len(board) == 4 and all(score == 1.0 and error is None for score, error in board.values())
+    assert len(board) == 5 and all(score == 1.0 and error is None for score, error in board.values())
     got = training.predict(run.models[run.best], df)
     assert got.filter("prediction = label").count() == 200
 

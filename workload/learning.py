@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import small_table
-from tablekit.operators import anomaly, cluster, features, metrics, neighbours, reduce, rules, sample, whatif
+from tablekit.operators import anomaly, boosting, cluster, features, metrics, neighbours, reduce, rules, sample, whatif
 from tablekit.plans import clustering, training
 from workload.base import LINE_KEYS, LINEITEM, lineitem, query, r, scratch, table
 from workload.profiling import _rounded
@@ -116,7 +116,7 @@ def _decided_sql(models: str) -> str:
     FROM (SELECT unnest([{models}]) AS m) WHERE (SELECT count(DISTINCT c_mktsegment < 'F') FROM customer) = 2"""
 
 
-@query("k1_train_classifiers", _decided_sql("'Gradient Boosting', 'K-Nearest Neighbors', 'Logistic Regression', 'Random Forest'"))
+@query("k1_train_classifiers", _decided_sql("'Gradient Boosting', 'Histogram Gradient Boosting', 'K-Nearest Neighbors', 'Logistic Regression', 'Random Forest'"))
 def k1(spark, d):
     run = training.train_models(_decided(spark, d), "label", ["c_custkey"])
     return run.leaderboard.select("rank", "model", r("primary_score", 6).alias("primary_score"), "error")
@@ -130,7 +130,7 @@ def k1_texts(spark, d):
 
 @query(
     "k2_train_regressors",
-    """SELECT m AS model, true AS fits, CAST(NULL AS VARCHAR) AS error FROM (SELECT unnest(['Gradient Boosting', 'K-Nearest Neighbors',
+    """SELECT m AS model, true AS fits, CAST(NULL AS VARCHAR) AS error FROM (SELECT unnest(['Gradient Boosting', 'Histogram Gradient Boosting', 'K-Nearest Neighbors',
     'Random Forest', 'Ridge Regression']) AS m) WHERE (SELECT count(*) FROM part) > 0""",
 )
 def k2(spark, d):
@@ -140,6 +140,26 @@ def k2(spark, d):
     return run.leaderboard.select("model", (F.col("primary_score") > 0.95).alias("fits"), "error")
 
 
+@query(
+    "k1_histogram_boosting",
+    """SELECT CAST(3 AS BIGINT) AS classes, true AS fits, CASE WHEN count(*) > 0 THEN 'p_size' END AS strongest FROM part""",
+)
+def k1_histogram(spark, d):
+    """All columns of a table; one of them decides between three classes."""
+    df = table(spark, d, "part").drop("p_name")
+    size = F.when(F.col("p_size") <= 15, "small").when(F.col("p_size") <= 35, "middle").otherwise("large")
+    df = df.withColumn("kind", size)
+    prep = features.feature_pipeline(df.drop("p_partkey"), "kind")
+    rows = prep.transform(features.label_index(df, "kind")).withColumn("w", F.lit(1.0))
+    model = boosting.HistogramBoosting(3, "features", "label", "w", "guess", "odds").fit(rows)
+    got = model.transform(rows).agg(F.avg((F.col("guess") == F.col("label")).cast("double")).alias("right"))
+    attrs = rows.schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
+    top = names[int(model.featureImportances.toArray().argmax())]
+    strongest = F.regexp_extract(F.lit(top), "p_[a-z]+", 0).alias("strongest")
+    return got.select(F.lit(3).cast("long").alias("classes"), (F.col("right") > 0.99).alias("fits"), strongest)
+
+
 @query("k4_train_large", _decided_sql("'Gradient Boosting', 'Logistic Regression'"))
 def k4(spark, d):
     run = training.train_large(_decided(spark, d), "label", ["c_custkey"])
@@ -260,7 +280,7 @@ def k9(spark, d):
 
 @query(
     "k10_save_and_load_model",
-    """SELECT m AS model, CAST((SELECT count(*) FROM part) AS BIGINT) AS same FROM (SELECT unnest(['Gradient Boosting',
+    """SELECT m AS model, CAST((SELECT count(*) FROM part) AS BIGINT) AS same FROM (SELECT unnest(['Gradient Boosting', 'Histogram Gradient Boosting',
     'K-Nearest Neighbors', 'Logistic Regression', 'Random Forest']) AS m)""",
 )
 def k10(spark, d):
