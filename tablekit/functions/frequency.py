@@ -33,24 +33,37 @@ def _cell(df: DataFrame, name: str, at: int) -> Column:
     )
 
 
+def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A row per non-missing cell."""
+    require_columns(df, *cols)
+    cells = F.array(*[_cell(df, c, i) for i, c in enumerate(cols)])
+    return df.select(F.inline(cells)).filter(F.col("_s").isNotNull() | F.col("_n").isNotNull() | F.col("_d").isNotNull())
+
+
+def _named(freq: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return freq.withColumn("column_name", F.get(F.array(*[F.lit(c) for c in cols]), F.col("_c")))
+
+
 def value_frequency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``column_name, value, count`` of the non-missing values (value as text; the typed
     slots ``_n _d _s`` stay for ordering)."""
-    require_columns(df, *cols)
-    cells = F.array(*[_cell(df, c, i) for i, c in enumerate(cols)])
     number = F.col("_n").cast("string")
     times = [c for c in cols if isinstance(df.schema[c].dataType, _TIMES)]
     if times:
         moment = F.timestamp_micros("_n").cast("string")
         number = F.when(F.col("column_name").isin(*times), moment).otherwise(number)
-    return (
-        df.select(F.inline(cells))
-        .filter(F.col("_s").isNotNull() | F.col("_n").isNotNull() | F.col("_d").isNotNull())
-        .groupBy("_c", "_n", "_d", "_s")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("column_name", F.get(F.array(*[F.lit(c) for c in cols]), F.col("_c")))
-        .withColumn("value", F.coalesce("_s", number, F.col("_d").cast("string")))
-    )
+    freq = _cells(df, cols).groupBy("_c", "_n", "_d", "_s").agg(F.count(F.lit(1)).alias("count"))
+    return _named(freq, cols).withColumn("value", F.coalesce("_s", number, F.col("_d").cast("string")))
+
+
+def value_digests(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column_name, words, count`` by distinct non-missing value, without the values: texts go into the shuffle
+    as SHA-256 digests of 32 bytes, however long they are. ``words`` is null for numbers and -1 for blank texts."""
+    text = F.col("_s")
+    words = F.when(text.isNotNull(), F.when(F.trim(text) != "", word_count(text)).otherwise(-1))
+    cells = _cells(df, cols).select("_c", "_n", "_d", F.unhex(F.sha2(text, 256)).alias("_h"), words.alias("words"))
+    freq = cells.groupBy("_c", "_n", "_d", "_h", "words").agg(F.count(F.lit(1)).alias("count"))
+    return _named(freq, cols).select("column_name", "words", "count")
 
 
 def top_values(freq: DataFrame, top: int) -> DataFrame:
@@ -63,20 +76,19 @@ def top_values(freq: DataFrame, top: int) -> DataFrame:
     )
 
 
-def frequency_summary(freq: DataFrame) -> dict[str, dict[str, int]]:
+def frequency_summary(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int]]:
     """Per column: ``unique`` values, ``repeated`` values, and for text the non-blank cells
-    (``filled``), their distinct values (``unique_nonblank``) and words (``words``). Words are
-    counted once per distinct value."""
-    text = F.when(F.trim("_s") != "", F.col("_s"))
-    shown = F.when(text.isNotNull(), F.col("count"))
+    (``filled``), their distinct values (``unique_nonblank``) and words (``words``)."""
+    shown = F.when(F.col("words") >= 0, F.col("count"))
     rows = (
-        freq.groupBy("column_name")
+        value_digests(df, cols)
+        .groupBy("column_name")
         .agg(
             F.count(F.lit(1)).alias("unique"),
             F.count_if(F.col("count") > 1).alias("repeated"),
-            F.count(text).alias("unique_nonblank"),
+            F.count(shown).alias("unique_nonblank"),
             F.coalesce(F.sum(shown), F.lit(0)).alias("filled"),
-            F.coalesce(F.sum(shown * word_count(text)), F.lit(0)).alias("words"),
+            F.coalesce(F.sum(shown * F.col("words")), F.lit(0)).alias("words"),
         )
         .collect()  # one row per column
     )

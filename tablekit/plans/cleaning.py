@@ -18,7 +18,7 @@ from tablekit.functions.columns import (
     strip,
     to_number,
 )
-from tablekit.functions.frequency import frequency_summary, value_frequency
+from tablekit.functions.frequency import frequency_summary
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.clean import (
     _filled,
@@ -134,7 +134,7 @@ def recommend_cleaning(df: DataFrame) -> DataFrame:
     n = row["n"]
     count = {c: row[f"c{i}"] for i, c in enumerate(df.columns)}
     at = {c: i for i, c in enumerate(df.columns)}
-    summary = frequency_summary(value_frequency(df, df.columns))
+    summary = frequency_summary(df, df.columns)
     dup = duplicate_count(df).first()["duplicate_rows"]
 
     def repeated(c: str) -> bool:

@@ -109,6 +109,6 @@ def test_rare_categories_are_folded_by_the_saved_pipeline(spark):
 def test_parameters_bound_the_learning_rows_of_classifiers_only(spark):
     df = spark.range(300).selectExpr("id", "double(id % 7) AS a", "double(id) AS y", "IF(id % 2 = 0, 'e', 'o') AS c")
     run = training.train_models(df.drop("y"), "c", ["id"], trees=5, rounds=2, train_rows=50, neighbours=False)
-    assert run.leaderboard.count() == 3
+    assert run.leaderboard.count() == 4
     with pytest.raises(ValueError):
         training.train_models(df.drop("c"), "y", ["id"], train_rows=50)
