@@ -174,8 +174,26 @@ def knn_join(
 ) -> DataFrame:
     """The k nearest points of every query, ties by smaller key: ``qkey, pkey, dist, rank``.
 
-    ``queries`` has ``qkey, x``, ``points`` has ``pkey, x`` (array<double>, whole-number keys).
+    ``queries`` has ``qkey, x``, ``points`` has ``pkey, x`` (array<double>, whole-number keys). Queries at one place
+    have the same neighbours, and of points at one place only the k of smallest keys can be among them: the work
+    grows with the number of places.
     """
+    copies = Window.partitionBy("x").orderBy("pkey")
+    # row_number <= k is cut inside the map tasks, before the shuffle
+    kept = points.select("pkey", "x").withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k).drop("nth")
+    places = checkpoint(queries.select("x").distinct().withColumn("place", F.monotonically_increasing_id()))
+    near = _knn_places(places.withColumnRenamed("place", "qkey"), checkpoint(kept), k, pivots, points_block, queries_block)
+    near = near.select(F.col("qkey").alias("place"), "pkey", "dist")
+    if places.count() <= MAX_PIVOTS:  # many queries may share few places: then those go to the queries
+        places, near = F.broadcast(places), F.broadcast(near)
+    # a key may stand for several queries
+    return _best(queries.select("qkey", "x").join(places, "x").join(near, "place").select("qkey", "pkey", "dist"), k)
+
+
+def _knn_places(
+    queries: DataFrame, points: DataFrame, k: int, pivots: int | None = None, points_block: int = POINTS_PER_BLOCK, queries_block: int = QUERIES_PER_BLOCK
+) -> DataFrame:
+    """The same for every query by itself; meant for few copies."""
     n = points.count()
     if n == 0:
         raise ValueError("there are no points to search")
@@ -294,7 +312,7 @@ def local_outlier_factor(
     kept = rows.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 2)
     kept = checkpoint(kept)
     queries = kept.filter("nth = 1").select(F.col("pkey").alias("qkey"), "x")
-    near = knn_join(queries, kept.filter(F.col("nth") <= k + 1).select("pkey", "x"), k + 1)
+    near = _knn_places(queries, kept.filter(F.col("nth") <= k + 1).select("pkey", "x"), k + 1)
     # neighbours of each kept row: those of its place without itself
     home = kept.join(queries.select(F.col("qkey").alias("place"), "x"), "x").select("pkey", "place")
     edges = (

@@ -1,7 +1,9 @@
 """Steps whose cost must follow the input: copies, blocks of many columns, rows of a task."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tablekit.operators import neighbours
 from tablekit.sources import tables
 
 
@@ -12,3 +14,28 @@ def test_limits_can_warn_and_give_the_whole_table(spark):
         assert tables.check_limits(spark.range(10), 10, 0, refuse=False).count() == 10
     with pytest.raises(ValueError):
         tables.check_limits(spark.range(10), 10, 0)
+
+
+def test_neighbours_are_searched_once_for_a_place(spark, monkeypatch):
+    sizes = []
+    real = neighbours.checkpoint
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "checkpoint", counted)
+    x = F.array((F.col("id") % 5).cast("double"), F.lit(0.0))
+    points = spark.range(3000).select(F.col("id").alias("pkey"), x.alias("x"))
+    asked = spark.range(2000).select(F.col("id").alias("qkey"), x.alias("x"))
+    got = neighbours.knn_join(asked, points, 4).collect()
+    assert max(sizes) <= 5 * 4
+    assert sorted((r["qkey"], r["pkey"], r["dist"], r["rank"]) for r in got) == [(q, q % 5 + 5 * i, 0.0, i + 1) for q in range(2000) for i in range(4)]
+
+
+def test_keys_of_several_queries_share_their_neighbours(spark):
+    asked = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (1, [9.0])], "qkey long, x array<double>")
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "pkey long, x array<double>")
+    got = neighbours.knn_join(asked, points, 4).collect()
+    assert sorted((r["pkey"], r["dist"]) for r in got) == [(0, 0.0), (0, 0.0), (1, 1.0), (9, 0.0)]
