@@ -26,6 +26,8 @@ from tablekit.operators.features import prepared
 POINTS_PER_BLOCK = 20_000
 QUERIES_PER_BLOCK = 20_000
 MAX_PIVOTS = 20_000
+#: numbers of the arrays that a task works on, or gives out, at once
+HELD = 1 << 20
 
 
 def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -41,7 +43,7 @@ def _matrix(x: pd.Series) -> np.ndarray:
 
 
 def _rows_per_step(width: int) -> int:
-    return max(1, 4_000_000 // max(width, 1))
+    return max(1, HELD // max(width, 1))
 
 
 def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -57,6 +59,14 @@ def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.select("pkey", "x").mapInPandas(run, "pkey long, x array<double>, cell int, r double")
 
 
+def _pieces(rows: pd.DataFrame, at: np.ndarray, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows ``at`` with their cells, in pieces of bounded size: a point of many columns may visit every cell."""
+    step = _rows_per_step(len(rows["x"].iloc[0])) if len(rows) else 1
+    for i in range(0, len(at), step):
+        part = rows.iloc[at[i : i + step]]
+        yield pd.DataFrame({"qkey": part["qkey"].to_numpy(), "x": part["x"].to_numpy(), "cell": cell[i : i + step].astype("int32")})
+
+
 def _candidates(
     queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, k: int, second: bool
 ) -> DataFrame:
@@ -84,11 +94,7 @@ def _candidates(
                         plane = (d**2 - own**2) / (2 * between)
                     plane[np.arange(len(part)), near] = 0.0
                     hit = ~first & (d - radius[None, :] <= bound) & ~(plane > bound)
-                at, cell = np.nonzero(hit)
-                rows = part.iloc[at]
-                yield pd.DataFrame(
-                    {"qkey": rows["qkey"].to_numpy(), "x": rows["x"].to_numpy(), "cell": cell.astype("int32")}
-                )
+                yield from _pieces(part, *np.nonzero(hit))
 
     names = ["qkey", "x", "bound"] if second else ["qkey", "x"]
     return queries.select(*names).mapInPandas(run, "qkey long, x array<double>, cell int")

@@ -1,5 +1,7 @@
 """Steps whose cost must follow the input: copies, blocks of many columns, rows of a task."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,13 @@ def test_keys_of_several_queries_share_their_neighbours(spark):
     points = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "pkey long, x array<double>")
     got = neighbours.knn_join(asked, points, 4).collect()
     assert sorted((r["pkey"], r["dist"]) for r in got) == [(0, 0.0), (0, 0.0), (1, 1.0), (9, 0.0)]
+
+
+def test_visits_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 640)
+    rows = pd.DataFrame({"qkey": np.arange(30), "x": list(np.zeros((30, 64)))})
+    at, cell = np.nonzero(np.ones((30, 7), bool))
+    pieces = list(neighbours._pieces(rows, at, cell))
+    assert max(map(len, pieces)) == 10
+    whole = pd.concat(pieces)
+    assert list(whole["qkey"]) == list(at) and list(whole["cell"]) == list(cell)
