@@ -5,6 +5,9 @@ searches cells that surely hold k points; the distance found bounds the second s
 and cells that the triangle inequality or the bisector plane puts farther away are
 skipped. Cells are cut into blocks on both sides, so no task holds more than a block
 against a block, and every task emits k rows per query, never all pairs.
+
+Points of a block are screened by matrix products; the few that may be among the nearest are then measured by
+differences. Copies of a point count k times at most, and queries at one place are searched once.
 """
 
 from __future__ import annotations
@@ -100,22 +103,48 @@ def _candidates(
     return queries.select(*names).mapInPandas(run, "qkey long, x array<double>, cell int")
 
 
-def _nearest_in_block(q: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
-    p = p.sort_values("pkey")
-    keys, px, qx = p["pkey"].to_numpy(), _matrix(p["x"]), _matrix(q["x"])
-    out = []
-    step = _rows_per_step(len(p))
+def _screened(qx: np.ndarray, px: np.ndarray, k: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, point, distance) for ``step`` queries at a time: the k nearest points, and maybe some more. Squared
+    distances by products in single precision are off by less than ``slack``, so no nearest point is missed."""
+    middle = px.mean(axis=0)
+    p, q = px - middle, qx - middle
+    p_size, q_size = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    slack = (px.shape[1] + 8) * float(np.finfo(np.float32).eps) * (np.sqrt(q_size) + np.sqrt(p_size.max())) ** 2 + 1e-33
+    p_half, p32, q32 = (p_size / 2).astype(np.float32), p.T.astype(np.float32), q.astype(np.float32)
     for i in range(0, len(q), step):
+        half = p_half - q32[i : i + step] @ p32  # half of the squared distance, without the query's own size
+        cut = np.partition(half, k - 1, axis=1)[:, k - 1] + slack[i : i + step]
+        at, pick = np.nonzero(half <= cut[:, None])
+        d = np.zeros(len(at))
+        for j in range(px.shape[1]):
+            d += (qx[i + at, j] - px[pick, j]) ** 2
+        yield at, pick, np.sqrt(d)
+
+
+def _compared(qx: np.ndarray, px: np.ndarray, k: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same by differences to all points."""
+    for i in range(0, len(qx), step):
         d = _distances(qx[i : i + step], px)
-        if len(p) > k:
+        if len(px) > k:
             cut = np.partition(d, k - 1, axis=1)[:, k - 1][:, None]
             at, pick = np.nonzero(d <= cut)
         else:
             at, pick = np.nonzero(np.ones(d.shape, dtype=bool))
-        dist = d[at, pick]
+        yield at, pick, d[at, pick]
+
+
+def _nearest_in_block(q: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
+    p = p.sort_values("pkey")
+    keys, px, qx = p["pkey"].to_numpy(), _matrix(p["x"]), _matrix(q["x"])
+    out = []
+    step = _rows_per_step(len(p))
+    # products need finite numbers that single precision can square
+    plain = len(p) <= k or not all(np.abs(x).max(initial=0.0) < 1e15 for x in (px, qx))
+    for i, (at, pick, dist) in enumerate((_compared if plain else _screened)(qx, px, k, step)):
+        i *= step
         order = np.lexsort((pick, dist, at))
         at, pick, dist = at[order], pick[order], dist[order]
-        start = np.searchsorted(at, np.arange(len(d)))
+        start = np.searchsorted(at, np.arange(len(qx[i : i + step])))
         keep = np.arange(len(at)) - start[at] < k
         out.append(
             pd.DataFrame(

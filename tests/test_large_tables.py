@@ -43,6 +43,19 @@ def test_keys_of_several_queries_share_their_neighbours(spark):
     assert sorted((r["pkey"], r["dist"]) for r in got) == [(0, 0.0), (0, 0.0), (1, 1.0), (9, 0.0)]
 
 
+@pytest.mark.parametrize("dims", [1, 3, 64])
+def test_screened_neighbours_equal_all_differences(dims):
+    rng = np.random.default_rng(dims)
+    px, qx = (np.concatenate([rng.normal(size=(300, dims)), rng.integers(0, 3, (300, dims)) * 1.0]) + 1e4 for _ in range(2))
+    qx[:50] = px[:50] + 1e-9  # nearer than single precision tells
+    frame = lambda x, key: pd.DataFrame({key: np.arange(len(x)), "x": list(x)})
+    got = neighbours._nearest_in_block(frame(qx, "qkey"), frame(px, "pkey"), 5)
+    d = neighbours._distances(qx, px)
+    pick = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got["pkey"].to_numpy().reshape(-1, 5).tolist() == pick.tolist()
+    assert got["dist"].to_numpy().reshape(-1, 5).tolist() == np.take_along_axis(d, pick, axis=1).tolist()
+
+
 def test_visits_leave_in_pieces(monkeypatch):
     monkeypatch.setattr(neighbours, "HELD", 640)
     rows = pd.DataFrame({"qkey": np.arange(30), "x": list(np.zeros((30, 64)))})
