@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, require_columns, small_table
-from tablekit.functions.storage import checkpoint
+from tablekit.functions.storage import checkpoint, spread
 from tablekit.operators.boosting import HistogramBoosting
 from tablekit.operators.features import (
     class_weights,
@@ -151,7 +151,8 @@ def train_models(
     features = [c for c in df.columns if c != target and c not in key]
     if not features:
         raise ValueError("at least one feature column is needed")
-    if rows.count() < 5:
+    n = rows.count()
+    if n < 5:
         raise ValueError("at least five rows with a target are needed")
     problem = infer_problem_type(rows, target)
     classes: list[str] = []
@@ -183,8 +184,9 @@ def train_models(
         def marked(part: DataFrame) -> DataFrame:
             return part.withColumns({LABEL: col(target).cast("double"), WEIGHT: F.lit(1.0)})
 
-    # fitting reads the rows many times: the split is made once
-    train, test = checkpoint(marked(train)), checkpoint(marked(test))
+    # fitting reads the rows many times: the split is made once, in tasks of bounded size
+    asked = int(n * test_fraction)
+    train, test = checkpoint(spread(marked(train), min(n - asked, train_rows or n))), checkpoint(spread(marked(test), asked))
     # fitted on the training rows only, then read by every model
     inputs = [*features, target]
     prep = feature_pipeline(

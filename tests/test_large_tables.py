@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablekit.functions import storage
 from tablekit.operators import neighbours
+from tablekit.plans import training
 from tablekit.sources import tables
 
 
@@ -64,3 +66,11 @@ def test_visits_leave_in_pieces(monkeypatch):
     assert max(map(len, pieces)) == 10
     whole = pd.concat(pieces)
     assert list(whole["qkey"]) == list(at) and list(whole["cell"]) == list(cell)
+
+
+def test_training_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 50)
+    df = spark.range(0, 500, 1, 1).selectExpr("id", "double(id % 7) AS a", "IF(id % 2 = 0, 'e', 'o') AS c")
+    run = training.train_models(df, "c", ["id"], trees=2, rounds=1)
+    kept = run.models[training.KNN].neighbours
+    assert kept.rdd.getNumPartitions() == 8 and kept.count() == 400
