@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col, small_table
-from tablekit.functions.storage import checkpoint
+from tablekit.functions.storage import checkpoint, spread
 from tablekit.operators.cluster import LABEL, dbscan, fit_bisecting, label_nearest
 from tablekit.operators.features import prepared
 from tablekit.operators.lloyd import fit_all
@@ -26,8 +26,8 @@ def _start(df: DataFrame, key: str, cols: Sequence[str] | None) -> tuple[DataFra
     if n < 3:
         raise ValueError("at least three rows are needed")
     points, names = prepared(df.drop(LABEL), cols, skip=(key,))
-    # read by every candidate: written once
-    return checkpoint(points.select(col(key), *[col(c) for c in names])), names, n
+    # read by every candidate: written once, in tasks of bounded size
+    return checkpoint(spread(points.select(col(key), *[col(c) for c in names]), n)), names, n
 
 
 def suggest_k(df: DataFrame, key: str, cols: Sequence[str] | None = None, max_k: int = 10) -> DataFrame:
