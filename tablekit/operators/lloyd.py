@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col
+from tablekit.functions.storage import spread
 from tablekit.operators.boxes import apart, matrix, slices
+from tablekit.operators.sample import random_rows
 
 #: rows that first centres are drawn from
 SEEDS = 1 << 13
@@ -66,12 +68,12 @@ def _pass(points: DataFrame, fits: list[np.ndarray], middle: np.ndarray) -> list
                 x = every[s]
                 gain = x @ centres.T - half  # largest at the nearest centre
                 own = np.zeros(gain.shape)
-                at = np.arange(len(x))
-                size = (x * x).sum(axis=1)
-                for lo, hi in zip(ends[:-1], ends[1:]):
-                    best = lo + gain[:, lo:hi].argmax(axis=1)
-                    own[at, best] = 1.0
-                    np.add.at(total[:, 1], best, np.maximum(size - 2 * gain[at, best], 0.0))
+                at = np.arange(len(x))[:, None]
+                size = (x * x).sum(axis=1)[:, None]
+                best = np.stack([lo + gain[:, lo:hi].argmax(axis=1) for lo, hi in zip(ends[:-1], ends[1:])], axis=1)
+                own[at, best] = 1.0
+                cost = np.maximum(size - 2 * gain[at, best], 0.0)
+                total[:, 1] += np.bincount(best.ravel(), cost.ravel(), len(centres))
                 total[:, 0] += own.sum(axis=0)
                 total[:, 2:] += own.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
@@ -98,9 +100,10 @@ def fit_all(
     A fit ends when none of its centres moves by more than ``tolerance``, or after ``rounds``; a centre that no row
     is nearest to stays where it is.
     """
-    rows = points.select(_features(names).alias("x")).persist()
+    n = points.count()
+    rows = spread(points.select(_features(names).alias("x")), n).persist()
     try:
-        some = rows.orderBy(F.rand(seed)).limit(SEEDS).toArrow().column("x")
+        some = random_rows(rows, n, SEEDS, seed).toArrow().column("x")
         some = matrix(some, len(names))
         if not len(some):
             raise ValueError("k-means needs rows")

@@ -69,6 +69,15 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return pool.orderBy("_h", *[col(k) for k in key]).limit(n).drop("_h")
 
 
+def random_rows(df: DataFrame, rows: int, n: int, seed: int) -> DataFrame:
+    """n random rows of ``df``, of ``rows`` rows. The draw is bounded first, so not every task gives n rows to the sort."""
+    names = [col(c) for c in df.columns]
+    drawn = df.withColumn("_u", F.rand(seed))
+    if rows > n:
+        drawn = drawn.filter(F.col("_u") < F.lit((n + 8 * math.sqrt(n) + 50) / rows))
+    return drawn.orderBy("_u").limit(n).select(*names)
+
+
 def class_table(df: DataFrame, label: str) -> DataFrame:
     """``_c, _n``: rows per class, missing labels left out; any number of classes."""
     counts = df.filter(col(label).isNotNull()).groupBy(col(label).cast("string").alias("_c"))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import storage
-from tablekit.operators import neighbours
-from tablekit.plans import training
+from tablekit.operators import lloyd, neighbours
+from tablekit.plans import clustering, training
 from tablekit.sources import tables
 
 
@@ -74,3 +74,14 @@ def test_training_rows_are_dealt_out(spark, monkeypatch):
     run = training.train_models(df, "c", ["id"], trees=2, rounds=1)
     kept = run.models[training.KNN].neighbours
     assert kept.rdd.getNumPartitions() == 8 and kept.count() == 400
+
+
+def test_cluster_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 50)
+    seen = []
+    real = lloyd._pass
+    monkeypatch.setattr(lloyd, "_pass", lambda p, f, m: seen.append(p.rdd.getNumPartitions()) or real(p, f, m))
+    df = spark.range(0, 500, 1, 1).selectExpr("id", "double(id % 7) AS a", "double(id % 2 * 100) AS b")
+    assert clustering._start(df, "id", None)[0].rdd.getNumPartitions() == 10
+    fit = lloyd.fit_all(df, ["a", "b"], [2])[2]
+    assert set(seen) == {10} and sorted(fit.centres[:, 1]) == [0.0, 100.0]

@@ -182,7 +182,7 @@ KNN_SQL = """WITH n AS (SELECT label AS c, count(*) AS n FROM embeddings GROUP B
 
 
 def _vectors(spark, d):
-    emb = table(spark, d, "embeddings")
+    emb = table(spark, d, "embeddings", spread=True)
     return emb.selectExpr("vec_id", "label", *[f"double(embedding[{i}]) AS x{i}" for i in range(64)])
 
 
