@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.functions.columns import col
-from tablekit.functions.storage import checkpoint
+from tablekit.functions.storage import checkpoint, spread
 from tablekit.operators.boxes import matrix, slices
+from tablekit.operators.sample import random_rows
 
 #: cells of a pass; more columns than fit are taken in several passes
 CELLS = 1 << 23
@@ -113,8 +114,17 @@ def _binned(x: np.ndarray, edges: list[np.ndarray], missing: int) -> np.ndarray:
 
 
 def _bytes(column, width: int, kind) -> np.ndarray:
-    """Rows of a binary column of equal lengths."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), width)
+    """Rows of a binary column of equal lengths, as they lie in its buffer."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), width)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The reverse: a binary value per row."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows[:1].nbytes
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.ravel().view(np.uint8))])
 
 
 def best_cuts(g: np.ndarray, h: np.ndarray, missing: int, shrink: float, least: float) -> tuple[np.ndarray, ...]:
@@ -171,13 +181,14 @@ class HistogramBoosting:
         x = vector_to_array(col(self.features))
         rows = df.select(x.alias("x"), col(self.label).cast("double").alias("y"), col(self.weight).cast("double").alias("w"))
         rows = rows.filter("y IS NOT NULL")
-        some = rows.select("x").orderBy(F.rand(self.seed)).limit(self.bin_rows).toArrow().column("x")
+        n = rows.count()
+        some = random_rows(rows.select("x"), n, self.bin_rows, self.seed).toArrow().column("x")
         if not len(some):
             raise ValueError("boosting needs rows")
         sample = matrix(some, len(some[0]))
         edges = _edges(sample, self.bins)
         start = self._start(rows)
-        table = self._table(rows, edges, start)
+        table = self._table(rows, edges, start, n)
         total = table.agg(F.sum("w")).first()[0]
         rounds: list[list[Tree]] = []
         recent: list[list[Tree]] = []
@@ -202,29 +213,31 @@ class HistogramBoosting:
         logs = np.log(np.maximum(share / share.sum(), 1e-9))
         return logs[1:] - logs[:1] if self.classes == 2 else logs
 
-    def _table(self, rows: DataFrame, edges: list[np.ndarray], start: np.ndarray) -> DataFrame:
+    def _table(self, rows: DataFrame, edges: list[np.ndarray], start: np.ndarray, n: int) -> DataFrame:
         """Bins ``b`` and scores ``f`` of every row as bytes, with ``y`` and ``w``."""
         missing = self.bins
-        first = start.astype(float).tobytes()
+        first = start.astype(float)[None]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 bins = _binned(matrix(batch.column("x"), len(edges)), edges, missing)
-                packed = [pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([first] * len(bins), pa.binary())]
+                packed = [_packed(bins), _packed(np.repeat(first, len(bins), axis=0))]
                 yield pa.RecordBatch.from_arrays([*packed, batch.column("y"), batch.column("w")], names=["b", "f", "y", "w"])
 
-        return checkpoint(rows.mapInArrow(run, "b binary, f binary, y double, w double"))
+        return checkpoint(spread(rows.mapInArrow(run, "b binary, f binary, y double, w double"), n))
 
     def _refreshed(self, table: DataFrame, recent: list[list[Tree]], columns: int, trees: int) -> DataFrame:
         missing, depth = self.bins, self.depth
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 bins = _bytes(batch.column("b"), columns, np.uint8)
                 scores = _add_trees(_bytes(batch.column("f"), trees, float).copy(), recent, bins, missing, depth)
-                new = pa.array([r.tobytes() for r in scores], pa.binary())
+                new = _packed(scores)
                 yield pa.RecordBatch.from_arrays([batch.column("b"), new, batch.column("y"), batch.column("w")], names=["b", "f", "y", "w"])
 
         return checkpoint(table.mapInArrow(run, table.schema))

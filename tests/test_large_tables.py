@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import storage
-from tablekit.operators import lloyd, neighbours
+from tablekit.operators import boosting, lloyd, neighbours
 from tablekit.plans import clustering, training
 from tablekit.sources import tables
 
@@ -85,3 +85,24 @@ def test_cluster_rows_are_dealt_out(spark, monkeypatch):
     assert clustering._start(df, "id", None)[0].rdd.getNumPartitions() == 10
     fit = lloyd.fit_all(df, ["a", "b"], [2])[2]
     assert set(seen) == {10} and sorted(fit.centres[:, 1]) == [0.0, 100.0]
+
+
+def test_binned_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 50)
+    seen = []
+    real = boosting.HistogramBoosting._grow
+    grow = lambda self, table, *rest: seen.append(table.rdd.getNumPartitions()) or real(self, table, *rest)
+    monkeypatch.setattr(boosting.HistogramBoosting, "_grow", grow)
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(0, 500, 1, 1).selectExpr("array(double(id % 9)) AS x", "double(id % 9 > 4) AS y", "1D AS w")
+    model = boosting.HistogramBoosting(2, "x", "y", "w", "guess", "odds", rounds=3, bin_rows=100).fit(rows.withColumn("x", array_to_vector("x")))
+    assert set(seen) == {10}
+    assert model.transform(rows.withColumn("x", array_to_vector("x"))).filter("guess = y").count() == 500
+
+
+def test_packed_rows_come_back():
+    for a in (np.arange(24.0).reshape(6, 4), np.arange(12, dtype=np.uint8).reshape(6, 2)):
+        column = boosting._packed(a)
+        assert (boosting._bytes(column, a.shape[1], a.dtype) == a).all()
+        assert (boosting._bytes(column.slice(2, 3), a.shape[1], a.dtype) == a[2:5]).all()

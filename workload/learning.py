@@ -146,7 +146,7 @@ def k2(spark, d):
 )
 def k1_histogram(spark, d):
     """All columns of a table; one of them decides between three classes."""
-    df = table(spark, d, "part").drop("p_name")
+    df = table(spark, d, "part", spread=True).drop("p_name")
     size = F.when(F.col("p_size") <= 15, "small").when(F.col("p_size") <= 35, "middle").otherwise("large")
     df = df.withColumn("kind", size)
     prep = features.feature_pipeline(df.drop("p_partkey"), "kind")
