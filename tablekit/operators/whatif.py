@@ -22,6 +22,12 @@ MIN_ROWS = 5
 POISSON_CUTS = [
     math.floor(TWO_32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)
 ]
+#: copies by the upper half of the hash; OPEN where the lower half decides
+OPEN = 255
+COPIES = np.searchsorted(np.array(POISSON_CUTS), np.arange(1 << 16) << 16, side="right").astype(np.uint8)
+COPIES[np.array(POISSON_CUTS) >> 16] = OPEN
+#: draws that a task works on at once
+HELD = 1 << 18
 
 
 def _complete(df: DataFrame, driver: str, outcome: str, key: Sequence[str] = ()) -> DataFrame:
@@ -161,14 +167,19 @@ def _scenario_matrix(b: pd.DataFrame, mode: str, beta: float, p: tuple, amount:
 
 
 def _steps(b: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
-    step = max(1, 2_000_000 // width)
+    step = max(1, HELD // width)
     for i in range(0, len(b), step):
         yield b.iloc[i : i + step]
 
 
 def _copies(b: pd.DataFrame, trials: np.ndarray) -> np.ndarray:
-    h = _draws(b["a"].to_numpy(), b["b"].to_numpy(), trials)
-    return np.searchsorted(np.array(POISSON_CUTS), h, side="right")
+    """Copies of every row in every trial. The upper half of a draw tells them, but for the few halves that hold a cut."""
+    start, stride = (b[c].to_numpy().astype(np.uint32)[:, None] for c in "ab")
+    h = start + trials.astype(np.uint32) * stride  # modulo 2^32
+    out = COPIES[h >> np.uint32(16)]
+    open_ = out == OPEN
+    out[open_] = np.searchsorted(np.array(POISSON_CUTS), h[open_].astype(np.int64), side="right")
+    return out
 
 
 def _bootstrap_sums(rows: DataFrame, trials: int, mode: str, beta: float, p: tuple, amount: float) -> DataFrame:
@@ -193,76 +204,105 @@ def _bootstrap_sums(rows: DataFrame, trials: int, mode: str, beta: float, p: tup
     return parts.groupBy("trial").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"), F.sum("ws").alias("ws"))
 
 
-def _bootstrap_medians(
-    rows: DataFrame, trials: int, n: int, which: str, mode: str, beta: float, p: tuple, amount: float
-) -> DataFrame:
-    """``trial, value``: weighted median per trial.
+def _bootstrap_medians(rows: DataFrame, trials: int, n: int, mode: str, beta: float, p: tuple, amount: float) -> DataFrame:
+    """``trial, y, s``: weighted medians per trial of the outcome and of the scenario, from the same copies.
 
     Trial medians lie close to the median of the table. Tasks count the copies below a
-    bracket around it and pass on only the values inside; if a trial falls outside the
-    bracket, it is widened and the pass repeated.
+    bracket around it and pass on only the values inside; if a trial falls outside a
+    bracket, it is widened and the pass repeated for that column.
     """
-    if which == "y":
-        base = F.col("y")
-    elif mode == "percent":
-        base = F.col("y") + F.lit(beta * amount / 100.0) * F.col("x")
+    base = {"y": F.col("y")}
+    if mode == "percent":
+        base["s"] = F.col("y") + F.lit(beta * amount / 100.0) * F.col("x")
     elif mode == "fixed":
-        base = F.col("y") + F.lit(beta * amount)
+        base["s"] = F.col("y") + F.lit(beta * amount)
     else:
         # spread of the first trial, as a proposal only
         pct = F.lit(p[0]) + F.lit(p[1] - p[0]) * F.col("c") / F.lit(float(TWO_32))
         if mode == "normal_percent":
             pct = F.lit(p[0])
-        base = F.col("y") + F.lit(beta) * F.col("x") * pct / F.lit(100.0)
+        base["s"] = F.col("y") + F.lit(beta) * F.col("x") * pct / F.lit(100.0)
     reach = 6 / math.sqrt(n)
-    while True:
+    first = F.floor((F.col("total") - 1) / 2)
+    last = F.ceil((F.col("total") - 1) / 2)
+    found: dict[str, DataFrame] = {}
+    while len(found) < 2:
+        todo = [c for c in base if c not in found]
         lo_p, hi_p = 0.5 - reach, 0.5 + reach
-        lo, hi = -math.inf, math.inf
+        lo, hi = (dict.fromkeys(todo, v) for v in (-math.inf, math.inf))
         if lo_p > 0:
-            q = exact_quantiles(rows.select(base.alias("v")), {"v": [lo_p, hi_p]})["v"]
-            lo, hi = q[lo_p], q[hi_p]
+            q = exact_quantiles(rows.select(*[base[c].alias(c) for c in todo]), {c: [lo_p, hi_p] for c in todo})
+            lo, hi = ({c: q[c][v] for c in todo} for v in (lo_p, hi_p))
+        # a value of the row, the same in all trials
+        plain = [c for c in todo if c == "y" or mode in ("percent", "fixed")]
 
-        def run(batches: Iterator[pd.DataFrame], lo=lo, hi=hi) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], todo=todo, plain=plain, lo=lo, hi=hi) -> Iterator[pd.DataFrame]:
             ts = np.arange(trials, dtype=np.int64)
-            below, total = np.zeros(trials, dtype=np.int64), np.zeros(trials, dtype=np.int64)
+            below, total = {c: np.zeros(trials, dtype=np.int64) for c in todo}, np.zeros(trials, dtype=np.int64)
+
+            def cells(c: str, v: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
+                at, t = np.nonzero((v >= lo[c]) & (v <= hi[c]) & (m > 0))
+                if len(at):
+                    v = np.broadcast_to(v, m.shape)
+                    yield pd.DataFrame({"c": c, "trial": t, "v": v[at, t], "w": m[at, t].astype(np.int64), "below": 0, "total": 0})
+
             for batch in batches:
+                fixed = {c: batch["y"].to_numpy() if c == "y" else _scenario_matrix(batch, mode, beta, p, amount, ts[:1])[:, 0] for c in plain}
+                done = 0
                 for b in _steps(batch, trials):
                     m = _copies(b, ts)
-                    if which == "y":
-                        v = np.repeat(b["y"].to_numpy()[:, None], trials, axis=1)
-                    else:
-                        v = _scenario_matrix(b, mode, beta, p, amount, ts)
-                    total += m.sum(axis=0)
-                    below += np.where(v < lo, m, 0).sum(axis=0)
-                    at, t = np.nonzero((v >= lo) & (v <= hi) & (m > 0))
-                    if len(at):
-                        yield pd.DataFrame({"trial": t, "v": v[at, t], "w": m[at, t], "below": 0, "total": 0})
-            yield pd.DataFrame({"trial": ts, "v": [None] * trials, "w": 0, "below": below, "total": total})
+                    part = slice(done, done + len(b))
+                    done += len(b)
+                    # copies of all rows, and of those below: whole numbers small enough for single precision
+                    flags = np.stack([np.ones(len(b), bool), *[fixed[c][part] < lo[c] for c in plain]])
+                    sums = flags.astype(np.float32) @ m.astype(np.float32)
+                    total += sums[0].astype(np.int64)
+                    for c, some in zip(plain, sums[1:]):
+                        below[c] += some.astype(np.int64)
+                    for c in todo:
+                        if c not in plain:
+                            v = _scenario_matrix(b, mode, beta, p, amount, ts)
+                            below[c] += np.where(v < lo[c], m, 0).sum(axis=0, dtype=np.int64)
+                            yield from cells(c, v, m)
+                for c in plain:
+                    inside = np.flatnonzero((fixed[c] >= lo[c]) & (fixed[c] <= hi[c]))
+                    done = 0
+                    for b in _steps(batch.iloc[inside], trials):
+                        yield from cells(c, fixed[c][inside[done : done + len(b)]][:, None], _copies(b, ts))
+                        done += len(b)
+            for c in todo:
+                yield pd.DataFrame({"c": c, "trial": ts, "v": [None] * trials, "w": 0, "below": below[c], "total": total})
 
         parts = checkpoint(
-            rows.mapInPandas(run, "trial long, v double, w long, below long, total long")
-            .groupBy("trial", "v")
+            rows.mapInPandas(run, "c string, trial long, v double, w long, below long, total long")
+            .groupBy("c", "trial", "v")
             .agg(F.sum("w").alias("w"), F.sum("below").alias("below"), F.sum("total").alias("total"))
         )
-        heads = parts.filter(F.col("v").isNull()).select("trial", "below", "total")
-        cells = parts.filter(F.col("v").isNotNull()).select("trial", "v", "w")
-        inside = cells.groupBy("trial").agg(F.sum("w").alias("inside"))
-        first = F.floor((F.col("total") - 1) / 2)
-        last = F.ceil((F.col("total") - 1) / 2)
-        missed = heads.join(inside, "trial", "left").filter(
+        heads = parts.filter(F.col("v").isNull()).select("c", "trial", "below", "total")
+        inner = parts.filter(F.col("v").isNotNull()).select("c", "trial", "v", "w")
+        inside = inner.groupBy("c", "trial").agg(F.sum("w").alias("inside"))
+        missed = heads.join(inside, ["c", "trial"], "left").filter(
             (F.col("total") > 0)
             & ((F.col("below") > first) | (last >= F.col("below") + F.coalesce("inside", F.lit(0))))
         )
-        if lo == -math.inf or missed.isEmpty():
-            break
+        wide = {r["c"] for r in missed.select("c").distinct().collect()} if lo_p > 0 else set()  # y, s
+        for c in todo:
+            if c not in wide:
+                found[c] = _weighted_medians(inner.filter(F.col("c") == c), heads.filter(F.col("c") == c), first, last, c)
         reach *= 4
+    return found["s"].join(found["y"], "trial")
+
+
+def _weighted_medians(cells: DataFrame, heads: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """``trial, name`` from the copies ``w`` of the values of a bracket, and the number of those below it."""
     run_w = Window.partitionBy("trial").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    heads = heads.select("trial", "below", "total")
     ranked = cells.withColumn("upto", F.sum("w").over(run_w)).join(F.broadcast(heads), "trial")  # a row per trial
     ranked = ranked.withColumn("upto", F.col("upto") + F.col("below"))
     from_ = F.col("upto") - F.col("w")
     lower = F.max(F.when((from_ <= first) & (first < F.col("upto")), F.col("v")))
     upper = F.max(F.when((from_ <= last) & (last < F.col("upto")), F.col("v")))
-    return ranked.groupBy("trial").agg(((lower + upper) / 2).alias("value"))
+    return ranked.groupBy("trial").agg(((lower + upper) / 2).alias(name))
 
 
 def bootstrap(
@@ -290,10 +330,8 @@ def bootstrap(
     p = _spread(mode, amount, low, high)
     rows = _seeded(rows, len(key), seed)
     if aggregate == "median":
-        base = _bootstrap_medians(rows, trials, n, "y", mode, beta, p, amount)
-        scen = _bootstrap_medians(rows, trials, n, "s", mode, beta, p, amount)
-        both = scen.join(base.withColumnRenamed("value", "base"), "trial")
-        return both.select("trial", F.col("value").alias("result"), (F.col("value") - F.col("base")).alias("delta"))
+        both = _bootstrap_medians(rows, trials, n, mode, beta, p, amount)
+        return both.select("trial", F.col("s").alias("result"), (F.col("s") - F.col("y")).alias("delta"))
     sums = _bootstrap_sums(rows, trials, mode, beta, p, amount).filter(F.col("w") > 0)
     scale: Column = F.lit(float(n)) if aggregate == "sum" else F.lit(1.0)
     return sums.select(

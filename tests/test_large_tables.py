@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import storage
-from tablekit.operators import boosting, lloyd, neighbours
+from tablekit.operators import boosting, lloyd, neighbours, whatif
 from tablekit.plans import clustering, training
 from tablekit.sources import tables
 
@@ -106,3 +106,21 @@ def test_packed_rows_come_back():
         column = boosting._packed(a)
         assert (boosting._bytes(column, a.shape[1], a.dtype) == a).all()
         assert (boosting._bytes(column.slice(2, 3), a.shape[1], a.dtype) == a[2:5]).all()
+
+
+def test_copies_by_halves_of_the_draw():
+    rng = np.random.default_rng(6)
+    a = np.concatenate([rng.integers(0, 2**32, 3000), [c + i for c in whatif.POISSON_CUTS for i in (-1, 0, 1)]])
+    rows = pd.DataFrame({"a": a, "b": rng.integers(0, 2**32, len(a)) | 1})
+    ts = np.arange(120, dtype=np.int64)
+    want = np.searchsorted(np.array(whatif.POISSON_CUTS), whatif._draws(rows["a"].to_numpy(), rows["b"].to_numpy(), ts), side="right")
+    assert (whatif._copies(rows, ts) == want).all()
+
+
+def test_medians_of_both_columns_take_one_pass(spark, monkeypatch):
+    passes = []
+    real = whatif.checkpoint
+    monkeypatch.setattr(whatif, "checkpoint", lambda df: passes.append(1) or real(df))
+    df = spark.range(3000).selectExpr("id", "double(id % 50) AS x", "double(id % 977) AS y")
+    assert whatif.bootstrap(df, "x", "y", ["id"], aggregate="median", trials=100).count() == 100
+    assert len(passes) == 1
