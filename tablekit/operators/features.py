@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    IDF,
     Normalizer,
     OneHotEncoder,
     PCA,
@@ -169,19 +172,44 @@ def stop_tokens() -> list[str]:
     return sorted({t for w in STOP_WORDS for t in re.findall(r"\w+", w) if len(t) > 1})
 
 
+def _term_counts(df: DataFrame, source: str) -> DataFrame:
+    """``term, n, docs``: places and rows of every term, and a row without a term with the number of rows. Counted by
+    the batch, so that no row per word is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0)
+            coded = words.flatten().dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.to_numpy()
+            row = pc.list_parent_indices(words).to_numpy()
+            once = np.unique(row * max(len(terms), 1) + code) % max(len(terms), 1)
+            n, docs = np.bincount(code, minlength=len(terms)), np.bincount(once, minlength=len(terms))
+            names = pa.concat_arrays([terms.cast(pa.string()), pa.nulls(1, pa.string())])
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array(np.append(n, batch.num_rows)), pa.array(np.append(docs, batch.num_rows))], names=["term", "n", "docs"]
+            )
+
+    counts = df.select(col(source)).mapInArrow(run, "term string, n long, docs long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 class TopTerms(Estimator):
-    """Fits a term counter whose vocabulary is the most frequent terms, ties by term."""
+    """Fits a term counter whose vocabulary is the most frequent terms, ties by term. The pass also counts the rows
+    that hold them, which SmoothIdf weighs terms by: ``idf`` after the fit."""
 
     def __init__(self, source: str, out: str, size: int) -> None:
         super().__init__()
         self.source, self.out, self.size = source, out, size
+        self.idf: list[float] = []
 
     def _fit(self, df: DataFrame):
-        words = df.select(F.explode(col(self.source)).alias("term"))
-        top = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(self.size)
-        # at most ``size`` rows; a model needs one term
-        terms = [r["term"] for r in top.collect()] or [""]
-        return CountVectorizerModel.from_vocabulary(terms, inputCol=self.source, outputCol=self.out)
+        counts = _term_counts(df, self.source)
+        # at most ``size`` rows, after that without a term
+        top = counts.orderBy(F.col("term").isNotNull(), F.col("n").desc(), "term").limit(self.size + 1).collect()
+        rows = sum(r["n"] for r in top if r["term"] is None)
+        found = [(r["term"], r["docs"]) for r in top if r["term"] is not None][: self.size] or [("", 0)]  # a model needs one term
+        self.idf = [math.log((rows + 1.0) / (docs + 1.0)) + 1.0 for _, docs in found]
+        return CountVectorizerModel.from_vocabulary([t for t, _ in found], inputCol=self.source, outputCol=self.out)
 
 
 class DampedCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -199,22 +227,20 @@ class DampedCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
 
 
 class SmoothIdf(Estimator):
-    """Fits a stage that multiplies by ln((1 + n) / (1 + df)) + 1."""
+    """Fits a stage that multiplies by ln((1 + n) / (1 + df)) + 1, as counted by the fit of ``terms`` before it."""
 
-    def __init__(self, source: str, out: str) -> None:
+    def __init__(self, source: str, out: str, terms: TopTerms) -> None:
         super().__init__()
-        self.source, self.out = source, out
+        self.source, self.out, self.terms = source, out, terms
 
     def _fit(self, df: DataFrame):
-        idf = IDF(inputCol=self.source, outputCol=self.out).fit(df).idf
-        return ElementwiseProduct(
-            scalingVec=Vectors.dense([float(x) + 1.0 for x in idf]), inputCol=self.source, outputCol=self.out
-        )
+        return ElementwiseProduct(scalingVec=Vectors.dense(self.terms.idf), inputCol=self.source, outputCol=self.out)
 
 
 def tfidf_stages(column: str, max_features: int, out: str) -> list:
     """Text to a length-1 vector of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
     t = f"_tk_{column}"
+    terms = TopTerms(f"{t}_words", f"{t}_tf", max_features)
     return [
         # a missing text counts as empty
         SQLTransformer(statement=f"SELECT *, coalesce({quoted(column)}, '') AS {quoted(t + '_text')} FROM __THIS__"),
@@ -225,9 +251,9 @@ def tfidf_stages(column: str, max_features: int, out: str) -> list:
             minTokenLength=2,
         ),
         StopWordsRemover(inputCol=f"{t}_tok", outputCol=f"{t}_words", stopWords=stop_tokens()),
-        TopTerms(f"{t}_words", f"{t}_tf", max_features),
+        terms,
         DampedCounts(inputCol=f"{t}_tf", outputCol=f"{t}_damped"),
-        SmoothIdf(f"{t}_damped", f"{t}_idf"),
+        SmoothIdf(f"{t}_damped", f"{t}_idf", terms),
         Normalizer(inputCol=f"{t}_idf", outputCol=out),
     ]
 

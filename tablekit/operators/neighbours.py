@@ -7,7 +7,8 @@ skipped. Cells are cut into blocks on both sides, so no task holds more than a b
 against a block, and every task emits k rows per query, never all pairs.
 
 Points of a block are screened by matrix products; the few that may be among the nearest are then measured by
-differences. Copies of a point count k times at most, and queries at one place are searched once.
+differences. Copies of a point count k times at most, and queries at one place are searched once. Points of more than
+NARROW columns, whose cells overlap, are searched in another order (``wide_neighbours``).
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from tablekit.functions.columns import col, is_numeric, numeric_columns, quoted,
 from tablekit.functions.order_stats import exact_quantiles
 from tablekit.functions.storage import checkpoint
 from tablekit.operators.features import prepared
+from tablekit.operators.wide_neighbours import knn_wide
 
 POINTS_PER_BLOCK = 20_000
 QUERIES_PER_BLOCK = 20_000
 MAX_PIVOTS = 20_000
+#: columns up to which a partition by pivots rules out cells
+NARROW = 16
 #: numbers of the arrays that a task works on, or gives out, at once
 HELD = 1 << 20
 
@@ -204,8 +208,8 @@ def knn_join(
     points: DataFrame,
     k: int,
     pivots: int | None = None,
-    points_block: int = POINTS_PER_BLOCK,
-    queries_block: int = QUERIES_PER_BLOCK,
+    points_block: int | None = None,
+    queries_block: int | None = None,
 ) -> DataFrame:
     """The k nearest points of every query, ties by smaller key: ``qkey, pkey, dist, rank``.
 
@@ -213,7 +217,8 @@ def knn_join(
     have the same neighbours, and of points at one place only the k of smallest keys can be among them: the work
     grows with the number of places.
     """
-    copies = Window.partitionBy("x").orderBy("pkey")
+    # a sort and a join by the hash first compare two long arrays only where it is the same
+    copies = Window.partitionBy(F.xxhash64("x"), "x").orderBy("pkey")
     # row_number <= k is cut inside the map tasks, before the shuffle
     kept = points.select("pkey", "x").withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k).drop("nth")
     places = checkpoint(queries.select("x").distinct().withColumn("place", F.monotonically_increasing_id()))
@@ -221,17 +226,22 @@ def knn_join(
     near = near.select(F.col("qkey").alias("place"), "pkey", "dist")
     if places.count() <= MAX_PIVOTS:  # many queries may share few places: then those go to the queries
         places, near = F.broadcast(places), F.broadcast(near)
+    asked, places = (df.withColumn("hash", F.xxhash64("x")) for df in (queries.select("qkey", "x"), places))
     # a key may stand for several queries
-    return _best(queries.select("qkey", "x").join(places, "x").join(near, "place").select("qkey", "pkey", "dist"), k)
+    return _best(asked.join(places, ["hash", "x"]).join(near, "place").select("qkey", "pkey", "dist"), k)
 
 
 def _knn_places(
-    queries: DataFrame, points: DataFrame, k: int, pivots: int | None = None, points_block: int = POINTS_PER_BLOCK, queries_block: int = QUERIES_PER_BLOCK
+    queries: DataFrame, points: DataFrame, k: int, pivots: int | None = None, points_block: int | None = None, queries_block: int | None = None
 ) -> DataFrame:
     """The same for every query by itself; meant for few copies."""
     n = points.count()
     if n == 0:
         raise ValueError("there are no points to search")
+    width = points.select(F.size("x")).first()[0]
+    if width > NARROW and pivots is None:
+        return _best(knn_wide(queries, points, n, width, k, points_block, queries_block), k)
+    points_block, queries_block = points_block or POINTS_PER_BLOCK, queries_block or QUERIES_PER_BLOCK
     m = pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(n) / 4)))
     drawn = points.orderBy(F.xxhash64("x"), "pkey").select("x").limit(m).collect()
     centres = np.unique(np.array([r["x"] for r in drawn], dtype=float), axis=0)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions import storage
-from tablekit.operators import boosting, lloyd, neighbours, whatif
+from tablekit.operators import boosting, features, lloyd, neighbours, whatif, wide_neighbours
 from tablekit.plans import clustering, training
 from tablekit.sources import tables
 
@@ -124,3 +124,107 @@ def test_medians_of_both_columns_take_one_pass(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id", "double(id % 50) AS x", "double(id % 977) AS y")
     assert whatif.bootstrap(df, "x", "y", ["id"], aggregate="median", trials=100).count() == 100
     assert len(passes) == 1
+
+
+def test_wide_points_are_searched_in_blocks(spark, monkeypatch):
+    """Also places that hold many points, ties, and more leaves than blocks."""
+    monkeypatch.setattr(wide_neighbours, "TILE", 16)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 40)), rng.integers(0, 2, (300, 40)) * (np.arange(40) < 3)])
+    x[:100, 5:9] += 50
+    frame = lambda name: spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], f"{name} long, x array<double>")
+    seen = []
+    real = wide_neighbours._in_blocks
+    monkeypatch.setattr(wide_neighbours, "_in_blocks", lambda *a: seen.append(len(a[2])) or real(*a))
+    got = neighbours.knn_join(frame("qkey"), frame("pkey"), 4, points_block=60, queries_block=50).orderBy("qkey", "rank").toPandas()
+    d = neighbours._distances(x, x)
+    pick = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert len(seen) == 3 and seen[0] > 10
+    assert got["pkey"].to_numpy().reshape(-1, 4).tolist() == pick.tolist()
+    assert got["dist"].to_numpy().reshape(-1, 4).tolist() == np.take_along_axis(d, pick, axis=1).tolist()
+
+
+@pytest.mark.parametrize("odd", [None, np.nan, np.inf, 1e200])
+def test_tiles_leave_out_no_neighbour(odd):
+    rng = np.random.default_rng(4)
+    px, qx = (np.concatenate([rng.normal(size=(700, 24)), rng.integers(0, 3, (700, 24)) * 1.0]) + 1e4 for _ in range(2))
+    qx[:50] = px[:50] + 1e-9  # nearer than single precision tells
+    if odd is not None:
+        px[5, 3] = odd
+    keys = rng.permutation(len(px))
+    by = np.argsort(wide_neighbours.fit_order(px, 40).of(px), kind="stable")
+    with np.errstate(all="ignore"):
+        d = neighbours._distances(qx, px[by])
+    near = np.array([np.lexsort((keys[by], row))[:5] for row in d])
+    dist = np.take_along_axis(d, near, axis=1)
+    for bound in (np.full(len(qx), np.inf), dist[:, -1]):
+        got = [np.concatenate(part) for part in zip(*wide_neighbours.nearest(qx, bound, px[by], keys[by], 5))]
+        assert got[0].tolist() == np.repeat(np.arange(len(qx)), 5).tolist()
+        assert got[1].reshape(-1, 5).tolist() == near.tolist() and got[2].reshape(-1, 5).tolist() == dist.tolist()
+
+
+def test_tiles_far_from_a_query_are_not_measured(monkeypatch):
+    """Points of 32 kinds: a query is multiplied with its own kind."""
+    rng = np.random.default_rng(5)
+    kind = np.repeat(np.arange(32), 256)
+    x = np.concatenate([np.eye(32)[kind] * 9, rng.normal(size=(len(kind), 40)) / 40], axis=1)
+    pairs = []
+    real = np.nonzero
+    monkeypatch.setattr(wide_neighbours.np, "nonzero", lambda hit: (pairs.append(hit.size), real(hit))[1])
+    found = list(wide_neighbours.nearest(x[::37], np.full(len(x[::37]), 5.0), x, np.arange(len(x)), 3))
+    assert sum(pairs) < 0.1 * len(x) * len(x[::37])
+    assert (kind[::37].repeat(3) == kind[np.concatenate([f[1] for f in found])]).all()
+
+
+def test_terms_and_their_rows_are_counted_in_one_pass(spark, monkeypatch):
+    passes = []
+    real = features._term_counts
+    monkeypatch.setattr(features, "_term_counts", lambda *a: passes.append(1) or real(*a))
+    df = spark.createDataFrame([(1, "ant ant bee"), (2, "Bee cow, cow. cow"), (3, None), (4, "ant"), (5, "")], "id long, t string")
+    model, got = features.tfidf(df, "t", 2)
+    counter, weigh = model.stages[3], model.stages[5]
+    assert len(passes) == 1 and counter.vocabulary == ["ant", "cow"]
+    assert np.allclose(weigh.getScalingVec().toArray(), np.log([6 / 3, 6 / 2]) + 1)
+    first = {r["id"]: r["tfidf"].toArray().tolist() for r in got.collect()}
+    assert first[1] == [1.0, 0.0] and first[2] == [0.0, 1.0] and first[3] == [0.0, 0.0]
+    empty = features.tfidf(df.filter("id = 5"), "t", 2)[0]
+    assert empty.stages[3].vocabulary == [""]
+
+
+def test_costly_rows_use_idle_cores(spark):
+    df = spark.range(0, 4000, 1, 1)
+    cores = spark.sparkContext.defaultParallelism
+    assert storage.spread(df, 4000).rdd.getNumPartitions() == 1
+    assert storage.spread(df, 4000, 10).rdd.getNumPartitions() == cores
+    assert storage.spread(df, 4000, 4001).rdd.getNumPartitions() == 1
+
+
+def test_predictions_are_made_once_for_all_scores(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    made = spark.sparkContext.accumulator(0)
+
+    def guess(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    p = F.col("id") / 100
+    rows = spark.range(100).mapInArrow(guess, "id long")
+    rows = rows.select(
+        (F.col("id") % 3 > 0).cast("double").alias(training.LABEL), F.round(p).alias(training.PREDICTION), array_to_vector(F.array(1 - p, p)).alias(training.PROBABILITY)
+    )
+    found = training._measured(rows, "classification", ["0", "1"])
+    assert "roc_auc" in found and made.value == 100
+
+
+def test_forest_of_many_rows_adds_up_fewer_nodes_at_once(spark, monkeypatch):
+    df = spark.range(0, 60, 1, 1).selectExpr("id", "double(id % 7) AS a", "IF(id % 2 = 0, 'e', 'o') AS c")
+    sizes = []
+    for most in (60, 59):
+        monkeypatch.setattr(training, "ROWS_PER_TASK", most)
+        run = training.train_models(df, "c", ["id"], trees=2, rounds=1, neighbours=False)
+        forest = run.models["Random Forest"].pipeline.stages[-1]
+        sizes.append(forest.getMaxMemoryInMB())
+        assert forest.getNumTrees == 2 and forest.getMaxDepth() == 10
+    assert sizes == [256, 32]
